@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestone.session import Scratch
 
+from .rows import keep_rows
+
 BLOCK_BYTES = 4096
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Stands for the missing right half of a last odd block; no name has this value.
@@ -114,27 +116,10 @@ def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES, block_hash
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs that exact_duplicates keeps, with all their columns.
-
-    Rows that agree in doc_id and text are told apart by nothing that later reads can see;
-    one of them stays.
-    """
+    """The rows of docs that exact_duplicates keeps, with all their columns."""
     scratch = Scratch(docs.sparkSession, "exact-dedup-keep")
-    found = scratch.save(exact_duplicates(docs), "found")
-    keys = found.where("group_size > 1").groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("copies"))
-    keys = scratch.save(keys.where("not kept or copies > 1"), "keys")
-    sha = F.sha2(F.encode(normalised(F.col("text")), "UTF-8"), 256)
-
-    def matching(some: DataFrame, how: str) -> DataFrame:
-        k = some.select(F.col("doc_id").alias("_k_id"), F.col("text_sha256").alias("_k_sha"))
-        return docs.join(k, docs["doc_id"].eqNullSafe(F.col("_k_id")) & (sha == F.col("_k_sha")), how)
-
-    out = matching(keys, "left_anti")
-    again = keys.where("kept")
-    if again.isEmpty():
-        return out
-    one = matching(again, "left_semi").withColumn("_sha", sha).dropDuplicates(["doc_id", "_sha"]).drop("_sha")
-    return out.unionByName(one)
+    found = exact_duplicates(docs).where("group_size > 1").select("doc_id", F.col("text_sha256").alias("text_key"), "kept")
+    return keep_rows(docs, found, F.sha2(F.encode(normalised(F.col("text")), "UTF-8"), 256), scratch)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
