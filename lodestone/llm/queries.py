@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, minhash_dedup, url_filter
+from . import exact_dedup, minhash_dedup, packing, url_filter
 
 _MODULES = {
     "op1_minhash_dedup": minhash_dedup,
+    "op2_packing": packing,
     "op3_url_filter": url_filter,
     "op10_exact_dedup": exact_dedup,
 }
