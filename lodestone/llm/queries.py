@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, minhash_dedup, packing, url_filter
+from . import exact_dedup, language_id, minhash_dedup, packing, url_filter
 
 _MODULES = {
     "op1_minhash_dedup": minhash_dedup,
     "op2_packing": packing,
     "op3_url_filter": url_filter,
+    "op6_language_id": language_id,
     "op10_exact_dedup": exact_dedup,
 }
 
