@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, minhash_dedup, packing, quality, url_filter
+from . import exact_dedup, language_id, minhash_dedup, packing, quality, toxicity, url_filter
 
 _MODULES = {
     "op1_minhash_dedup": minhash_dedup,
@@ -10,6 +10,7 @@ _MODULES = {
     "op3_url_filter": url_filter,
     "op6_language_id": language_id,
     "op8_quality": quality,
+    "op9_toxicity": toxicity,
     "op10_exact_dedup": exact_dedup,
 }
 
