@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, minhash_dedup, packing, quality, toxicity, url_filter
+from . import exact_dedup, language_id, minhash_dedup, packing, quality, topk, toxicity, url_filter
 
 _MODULES = {
     "op1_minhash_dedup": minhash_dedup,
     "op2_packing": packing,
     "op3_url_filter": url_filter,
     "op6_language_id": language_id,
+    "op7_topk": topk,
     "op8_quality": quality,
     "op9_toxicity": toxicity,
     "op10_exact_dedup": exact_dedup,
