@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, minhash_dedup, packing, quality, topk, toxicity, url_filter
+from . import exact_dedup, language_id, lattice, minhash_dedup, packing, quality, token_counts, topk, toxicity, url_filter
 
 _MODULES = {
     "op1_minhash_dedup": minhash_dedup,
     "op2_packing": packing,
     "op3_url_filter": url_filter,
+    "op4_sentencepiece": lattice,
+    "op5_token_counts": token_counts,
     "op6_language_id": language_id,
     "op7_topk": topk,
     "op8_quality": quality,
