@@ -15,6 +15,8 @@ number the sequence and offset.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -29,7 +31,7 @@ from lodestone.session import Scratch, table
 CAPACITY = 2048
 ROUNDS = 300
 #: Entries of the chunk cache of one worker; it starts anew when full.
-CACHE = 400_000
+CACHE = 800_000
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
 
@@ -192,42 +194,92 @@ def _places(runs: dict[str, np.ndarray], capacity: int, length: np.ndarray, numb
 
 _worker: dict = {}
 _SPECIAL, _ODD_SPACE = "<|", "\x1c\x1d\x1e\x1f"
+#: Code points that all versions of Unicode lower-case alike, one by one.
+_WIDE = re.compile("[\u0250-\U0010ffff]")
+_END = "</w>"
 
 
-def _encoder(path: str):
-    """text to the bytes of its ids. Chunks between white space are looked up, and encoded when first met."""
-    if path in _worker:
-        return _worker[path]
-    import os
+class Encoder:
+    """Texts to the bytes of their ids, by a tokenizer that never looks across white space.
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    as_bytes = lambda ids: np.array(ids, "<u4").tobytes()
-    cache: dict[str, bytes] = {}
+    Chunks between white space are looked up. What is met first is encoded: plain words many at a
+    time, as the vocabulary marks where each ends; a word before a full stop or comma as the two;
+    other chunks one by one. Texts where white space could be more than that are encoded whole.
+    """
 
-    def encode(texts: list[str]) -> list[bytes]:
-        """White space only separates for this tokenizer; texts where that could fail are encoded whole."""
-        split = [None if _SPECIAL in t or any(c in t for c in _ODD_SPACE) else t.split() for t in texts]
-        new = set()
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(_END)]] = True
+        self.cache: dict[str, bytes] = {}
+
+    def one(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _words(self, words: list[str]) -> None:
+        """Words of letters only: the tokenizer makes each one unit, and its last id is one that ends a word."""
+        for a in range(0, len(words), 5_000):
+            part = words[a : a + 5_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cut = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(cut) == len(part):
+                data, start = ids.tobytes(), 0
+                for w, end in zip(part, cut.tolist(), strict=True):
+                    self.cache[w] = data[start:end]
+                    start = end
+            else:
+                for w in part:
+                    self.cache[w] = self.one(w)
+
+    def _learn(self, chunks: set[str]) -> None:
+        words, joined, rest = set(), [], []
+        for c in chunks:
+            if _WIDE.search(c.lower()):
+                rest.append(c)
+            elif c.isalpha():
+                words.add(c)
+            elif c[-1] in ".," and c[:-1].isalpha():
+                joined.append(c)
+                if c[:-1] not in self.cache:
+                    words.add(c[:-1])
+            else:
+                rest.append(c)
+        self._words(list(words))
+        for a in range(0, len(rest), 20_000):
+            for c, e in zip(rest[a : a + 20_000], self.tokenizer.encode_batch_fast(rest[a : a + 20_000], add_special_tokens=False), strict=True):
+                self.cache[c] = np.array(e.ids, "<u4").tobytes()
+        marks = {m: self.one(m) for m in ".,"}
+        for c in joined:
+            self.cache[c] = self.cache[c[:-1]] + marks[c[-1]]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        split = []
+        for t in texts:
+            if _SPECIAL in t or any(c in t for c in _ODD_SPACE):
+                split.append(None)
+            else:
+                split.append((t if _WIDE.search(t) else t.lower()).split())
+        every: set[str] = set()
         for chunks in split:
             if chunks:
-                new.update(chunks)
-        new.difference_update(cache)
-        if len(cache) + len(new) > CACHE:
-            cache.clear()
-            new = {c for chunks in split if chunks for c in chunks}
-        order = sorted(new)
-        for i in range(0, len(order), 20_000):
-            part = order[i : i + 20_000]
-            for chunk, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                cache[chunk] = as_bytes(e.ids)
-        look = cache.__getitem__
-        return [as_bytes(tokenizer.encode(t, add_special_tokens=False).ids) if chunks is None else b"".join(map(look, chunks)) for t, chunks in zip(texts, split, strict=True)]
-
-    _worker[path] = encode
-    return encode
+                every.update(chunks)
+        new = every.difference(self.cache)
+        if len(self.cache) + len(new) > CACHE:
+            self.cache.clear()
+            new = every
+        self._learn(new)
+        look = self.cache.__getitem__
+        return [self.one(t) if chunks is None else b"".join(map(look, chunks)) for t, chunks in zip(texts, split, strict=True)]
+
+
+def _encoder(path: str) -> Encoder:
+    if path not in _worker:
+        _worker[path] = Encoder(path)
+    return _worker[path]
 
 
 def _pieces(tokenizer: str, capacity: int):
