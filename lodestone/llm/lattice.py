@@ -1,8 +1,9 @@
 """SentencePiece encoding by sampling from the lattice of pieces, and decoding.
 
 A text is the pieces' alphabet of characters with U+2581 for a space, after one such for the start.
-No piece goes on past the start of a word, so words are lattices of their own. Forward filtering
-adds up, once for each distinct word, the weights of all segmentations that reach each position.
+No piece goes on past the start of a word, nor from a letter or digit to most marks, so what
+lies between is a lattice of its own. Forward filtering adds up, once for all that begin
+alike, the weights of all segmentations that reach each position.
 Backward sampling then walks all words of a batch at once from their ends: at each position
 one random number picks the last piece, with the probability that the forward sums give it. The
 random numbers are hashes of the row's key, the word's place and the step, so a row has the same
@@ -15,7 +16,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from lodestone.session import table
 
+from .workers import tidy
+
 MODEL = "piece_bpe_32k.model"
 #: A piece of rank r weighs (r + RANK0) ** -POWER, to the power of the sharpness.
 RANK0, POWER, SHARPNESS = 10.0, 1.0, 1.0
@@ -31,7 +34,21 @@ SPACE = "▁"
 #: Edges of the lattices that one worker keeps; it starts anew when there are more.
 EDGES = 4_000_000
 CHUNK = 1_000_000
-_SPLIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+$")
+_WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+$")
+_LATIN = r"0-9A-Za-z\u00c0-\u024f"
+_LETTER, _OTHER = f"[{_LATIN}]", f"[^{_LATIN}{SPACE}]"
+_MARKS = [c for c in map(chr, range(128)) if not c.isalnum() and c != "_"]
+
+
+def _units(pieces_: Iterable[str]) -> re.Pattern:
+    """Words, cut where a Latin letter or digit comes before an ASCII mark that no piece has after one."""
+    after = {m[1] for t in pieces_ for m in re.findall(rf"({_LETTER})(?=(.))", t)}
+    cut = "".join(re.escape(c) for c in _MARKS if c not in after)
+    if not cut:
+        return _WORDS
+    return re.compile(rf"(?s)(?=.){SPACE}*+{_OTHER}*+(?:{_LETTER}++[^{_LATIN}{SPACE}{cut}]{_OTHER}*+)*+{_LETTER}*+")
+
+
 _LITERAL = ""
 _STEPS = np.arange(1, 4097, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
@@ -51,7 +68,10 @@ class Pieces:
         self.log = {self.text[i]: -POWER * sharpness * float(np.log(rank + RANK0)) for rank, i in enumerate(plain)}
         self.byte_log = -POWER * sharpness * float(np.log(len(plain) + RANK0))
         self.longest = max(map(len, self.ids), default=1)
-        self.tails = {t[k:] for t in self.ids for k in range(len(t))}
+        # Each piece with its weight and id, and each end of a piece that is none with None.
+        self.known: dict[str, tuple[float, int] | None] = {t[k:]: None for t in self.ids for k in range(len(t))}
+        self.known |= {t: (self.log[t], i) for t, i in self.ids.items()}
+        self.split = _units(self.ids).findall
         self.bytes = [bytes([int(t[3:5], 16)]) if model.is_byte(i) else t.replace(SPACE, " ").encode("utf-8", "surrogatepass") for i, t in enumerate(self.text)]
 
 
@@ -112,7 +132,7 @@ class Lattices:
     def add(self, words: list[str]) -> None:
         """Forward filtering over new words. Words with one beginning share its nodes, and the sums there."""
         of, exp, log = self.of, math.exp, math.log
-        ids, logs, tails = of.ids, of.log, of.tails
+        known, absent = of.known.get, ()
         children, totals = self.children, self.totals
         cum, piece, source, sizes = [], [], [], []
         next_node = self.nodes
@@ -127,17 +147,19 @@ class Lattices:
                     node.append(here)
                     continue
                 options, start, tail = [], end - 1, atom
-                if (i := ids.get(atom)) is not None:
-                    options.append((totals[node[start]] + logs[atom], i, node[start]))
+                hit = known(atom, absent)
+                if hit:
+                    options.append((totals[here] + hit[0], hit[1], here))
                 else:
                     raw = _bytes_of(atom)
                     self.several.append(tuple(of.byte[b] for b in raw))
-                    options.append((totals[node[start]] + len(raw) * of.byte_log, -len(self.several), node[start]))
-                while tail in tails and start:
+                    options.append((totals[here] + len(raw) * of.byte_log, -len(self.several), here))
+                while hit is not absent and start:
                     start -= 1
                     tail = atoms[start] + tail
-                    if (i := ids.get(tail)) is not None:
-                        options.append((totals[node[start]] + logs[tail], i, node[start]))
+                    hit = known(tail, absent)
+                    if hit:
+                        options.append((totals[node[start]] + hit[0], hit[1], node[start]))
                 if len(options) == 1:
                     cum.append(1.0)
                     piece.append(options[0][1])
@@ -204,7 +226,7 @@ class Lattices:
 
 def encode_batch(texts: list[str], keys: list[bytes], lattices: Lattices) -> list[np.ndarray]:
     """The sampled ids of each text. The same text and key give the same ids in any batch."""
-    words = [_SPLIT.findall(marked(t)) for t in texts]
+    words = [lattices.of.split(marked(t)) for t in texts]
     every: set[str] = set()
     for own in words:
         every.update(own)
@@ -229,23 +251,30 @@ def decode(ids: np.ndarray, of: Pieces) -> str:
     return b"".join(map(of.bytes.__getitem__, ids.tolist())).decode("utf-8", "surrogatepass")[1:]
 
 
-def _encoder(model: str, sharpness: float):
+def _encoder(model: str, sharpness: float, digest: bool = False):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = pieces(model, sharpness)
         lattices = _worker.get(("lattices", model, sharpness)) or _worker.setdefault(("lattices", model, sharpness), Lattices(of))
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            keys = ["" if i is None else str(i) for i in batch.column("doc_id").to_pylist()]
+            lengths = batch.column("text").fill_null("").to_pylist()
             start = 0
-            while start < len(texts):
+            while start < len(lengths):
                 stop, size = start, 0
-                while stop < len(texts) and (stop == start or size + len(texts[stop]) <= CHUNK):
-                    size += len(texts[stop])
+                while stop < len(lengths) and (stop == start or size + len(lengths[stop]) <= CHUNK):
+                    size += len(lengths[stop])
                     stop += 1
-                ids = encode_batch(texts[start:stop], [k.encode() for k in keys[start:stop]], lattices)
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, stop - start), batch.column("text").slice(start, stop - start), lists], ["doc_id", "text", "ids"])
+                texts, part = lengths[start:stop], batch.slice(start, stop - start)
+                keys = [b"" if i is None else str(i).encode() for i in part.column("doc_id").to_pylist()]
+                ids = encode_batch(texts, keys, lattices)
+                if digest:
+                    whole = [decode(x, of) == t for x, t in zip(ids, texts, strict=True)]
+                    cols = [pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()), pa.array(whole, pa.bool_())]
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), *cols], ["doc_id", "n_ids", "ids_crc32", "lossless"])
+                else:
+                    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), lists], ["doc_id", "text", "ids"])
                 start = stop
 
     return run
@@ -262,7 +291,14 @@ def encode(docs: DataFrame, model: str = MODEL, sharpness: float = SHARPNESS) ->
     return docs.select("doc_id", "text").mapInArrow(_encoder(model, sharpness), f"doc_id {kind}, text string, ids array<int>")
 
 
+def encode_digests(docs: DataFrame, model: str = MODEL, sharpness: float = SHARPNESS) -> DataFrame:
+    """(doc_id, n_ids, ids_crc32, lossless): what encode gives, by number and CRC, and whether decoding it gives the text."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(_encoder(model, sharpness, True), f"doc_id {kind}, n_ids long, ids_crc32 long, lossless boolean")
+
+
 def _decoder(model: str):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = pieces(model)
         for batch in batches:
@@ -279,22 +315,5 @@ def decode_rows(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     return encoded.mapInArrow(_decoder(model), f"{rest}, decoded string")
 
 
-def _digests(model: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = pieces(model)
-        for batch in batches:
-            ids = [x.values.to_numpy() for x in batch.column("ids")]
-            whole = [decode(x, of) == (t or "") for x, t in zip(ids, batch.column("text").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()), pa.array(whole, pa.bool_())],
-                ["doc_id", "n_ids", "ids_crc32", "lossless"],
-            )
-
-    return run
-
-
 def query(spark, sf_dir: str) -> DataFrame:
-    """(doc_id, n_ids, ids_crc32, lossless): the sampled ids of every document, decoded and held against the text."""
-    docs = table(spark, sf_dir, "documents")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return encode(docs).mapInArrow(_digests(MODEL), f"doc_id {kind}, n_ids long, ids_crc32 long, lossless boolean")
+    return encode_digests(table(spark, sf_dir, "documents"))

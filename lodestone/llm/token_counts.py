@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 
 from lodestone.session import table
 
-from .lattice import _LITERAL, _SPLIT, MODEL, Pieces, _atoms, _bytes_of, marked, pieces
+from .lattice import _LITERAL, MODEL, Pieces, _atoms, _bytes_of, marked, pieces
+from .workers import tidy
 
 #: Nodes that one worker keeps; it starts anew when there are more.
 NODES = 1_200_000
@@ -36,7 +37,7 @@ class Trie:
 
     def insert(self, words) -> None:
         of = self.of
-        ids, logs, tails = of.ids, of.log, of.tails
+        known, absent = of.known.get, ()
         children, score, count = self.children, self.score, self.count
         for word in words:
             atoms = _atoms(word) if _LITERAL in word else word
@@ -48,15 +49,18 @@ class Trie:
                     here = child
                     node.append(here)
                     continue
-                start, tail = end - 1, atom
-                size = 1 if atom in ids else len(_bytes_of(atom))
-                best = score[here] + (logs[atom] if atom in ids else size * of.byte_log)
-                least = count[here] + size
-                while tail in tails and start:
+                start, tail, hit = end - 1, atom, known(atom, absent)
+                if hit:
+                    best, least = score[here] + hit[0], count[here] + 1
+                else:
+                    size = len(_bytes_of(atom))
+                    best, least = score[here] + size * of.byte_log, count[here] + size
+                while hit is not absent and start:
                     start -= 1
                     tail = atoms[start] + tail
-                    if tail in ids:
-                        s, n = score[node[start]] + logs[tail], count[node[start]] + 1
+                    hit = known(tail, absent)
+                    if hit:
+                        s, n = score[node[start]] + hit[0], count[node[start]] + 1
                         if s > best or (s == best and n < least):
                             best, least = s, n
                 children[step] = here = len(score)
@@ -67,7 +71,7 @@ class Trie:
 
     def total(self, texts: list[str]) -> list[tuple[int, int]]:
         """(pre-tokens, tokens) of each text."""
-        words = [_SPLIT.findall(marked(t)) for t in texts]
+        words = [self.of.split(marked(t)) for t in texts]
         every: set[str] = set()
         for own in words:
             every.update(own)
@@ -84,6 +88,7 @@ _worker: dict = {}
 
 
 def _counter(model: str):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = _worker.get(model) or _worker.setdefault(model, Trie(pieces(model)))
         for batch in batches:
@@ -104,7 +109,7 @@ def token_counts(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """(doc_id, n_pretokens, n_tokens) for every row of docs (doc_id, text, ...).
 
     n_tokens is the number of pieces of the text's best segmentation; of equally good ones, the
-    fewest. Pre-tokens are words with the spaces before them. Null text counts as empty, which is
+    fewest. Pre-tokens are what no piece goes across: words with the spaces before them, cut after letters and digits. Null text counts as empty, which is
     one pre-token, the start's space. Rows that repeat count alike; null ids stay null. An empty table gives no
     rows. model is a path, or a file name of the public tokenizers.
     """

@@ -63,7 +63,9 @@ def test_same_key_same_ids_in_any_batch(of):
 def test_whole_table(spark):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
     a = sorted(L.query(spark, "/root/testdata/sf0.001").collect())
-    b = sorted(L.encode(docs.repartition(7)).mapInArrow(L._digests(L.MODEL), "doc_id long, n_ids long, ids_crc32 long, lossless boolean").collect())
+    b = sorted(L.encode_digests(docs.repartition(7)).collect())
+    ids = {r.doc_id: r.ids for r in L.encode(docs).collect()}
+    assert all(len(ids[r.doc_id]) == r.n_ids for r in a)
     assert a == b and len(a) == docs.count() and all(r.lossless for r in a)
 
 
