@@ -60,13 +60,24 @@ def cluster_forms(stems: bool = False) -> dict[str, list[str]]:
 # --- columns -------------------------------------------------------------------------------
 
 
-def _stemmed(words: pd.Series) -> pd.Series:
-    return words.map(lambda ws: None if ws is None else [stem(w) if len(w) >= 2 else w for w in ws])
+def _stem_map(words: pd.Series) -> pd.Series:
+    def of(ws):
+        if ws is None:
+            return None
+        every = {*ws, *(_PARTNERS[w] for w in ws if w in _PARTNERS)}
+        every |= {stem(w) for w in every if len(w) >= 2}
+        return {w: stem(w) for w in every if len(w) >= 2}
 
+    return words.map(of)
 
-def stems_of(words: Column) -> Column:
-    """The stem of each word of a list; workers remember words they have met."""
-    return F.pandas_udf(_stemmed, "array<string>")(words)
+
+def stem_map(words: Column) -> Column:
+    """Stems of a list of words and of all their base forms, as a map.
+
+    This is the one function here that needs Python workers. It can't stand in a lambda, so a plan has it as a
+    column of its own, worked out once for each row; workers remember words they have met.
+    """
+    return F.pandas_udf(_stem_map, "map<string,string>")(words)
 
 
 def plural_partner(word: Column) -> Column:
@@ -81,13 +92,15 @@ def let(value: Column, body) -> Column:
 
 
 def base_forms_of(words: Column, stems: Column | None = None) -> Column:
-    """Distinct base forms of a list of lower-cased words; stems is the list of their stems."""
+    """Distinct base forms of a list of lower-cased words; stems is a map from stem_map."""
 
     def of(ws: Column) -> Column:
-        return F.concat(ws, F.filter(F.transform(ws, plural_partner), lambda p: p.isNotNull()))
+        parts = [ws, F.filter(F.transform(ws, plural_partner), lambda p: p.isNotNull())]
+        if stems is not None:
+            parts.append(F.filter(F.transform(ws, lambda w: F.try_element_at(stems, w)), lambda s: F.length(s) >= 2))
+        return F.concat(*parts)
 
-    own = let(words, of)
-    return F.array_distinct(own if stems is None else F.concat(own, F.filter(stems, lambda s: F.length(s) >= 2)))
+    return F.array_distinct(let(words, of))
 
 
 def partials_of(word: Column) -> Column:
@@ -99,8 +112,7 @@ def partials_of(word: Column) -> Column:
 
 def forms_of(words: Column, stems: Column | None = None) -> Column:
     """All distinct forms of a list of lower-cased words."""
-    own = let(words, lambda ws: F.concat(base_forms_of(ws), F.flatten(F.transform(F.array_distinct(ws), partials_of))))
-    return F.array_distinct(own if stems is None else F.concat(own, F.filter(stems, lambda s: F.length(s) >= 2)))
+    return F.array_distinct(let(words, lambda ws: F.concat(base_forms_of(ws, stems), F.flatten(F.transform(F.array_distinct(ws), partials_of)))))
 
 
 def _ends(words: Column) -> Column:
@@ -111,8 +123,7 @@ def _ends(words: Column) -> Column:
 
 def keys_of(words: Column, stems: Column | None = None) -> Column:
     """Distinct match keys of a list of lower-cased words."""
-    own = let(words, lambda ws: F.concat(base_forms_of(ws), _ends(ws)))
-    return F.array_distinct(own if stems is None else F.concat(own, F.filter(stems, lambda s: F.length(s) >= 2)))
+    return F.array_distinct(let(words, lambda ws: F.concat(base_forms_of(ws, stems), _ends(ws))))
 
 
 def literal(values) -> Column:

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lodestone.functions import forms, text
-from lodestone.functions.query import Query
 from lodestone.sources.textfiles import TextFiles
 
 from .scoring import concepts
@@ -16,19 +15,20 @@ from .scoring import concepts
 SCHEMA = "id string, file_path string, filename string, size long, index_path string, title string, document string, content string, embedding array<float>"
 
 
-def _full_forms(tokens: Column, stems: bool) -> Column:
+def _full_forms(tokens: Column, stems: Column | None = None) -> Column:
     """The sorted base forms of tokens of three letters and more that aren't stop words."""
     wanted = F.filter(text.without_stops(tokens), lambda t: F.length(t) > 2)
-    if stems:
-        pairs = F.arrays_zip(wanted.alias("w"), forms.stems_of(wanted).alias("s"))
-        return F.flatten(F.transform(pairs, lambda p: F.array_sort(forms.base_forms_of(F.array(p["w"]), F.array(p["s"])))))
-    return F.flatten(F.transform(wanted, lambda t: F.array_sort(forms.base_forms_of(F.array(t)))))
+    return F.flatten(F.transform(wanted, lambda t: F.array_sort(forms.base_forms_of(F.array(t), stems))))
 
 
-def embedding_text(c: Column, stems: bool = False) -> Column:
-    """Symbols apart, operators by name, lower case: tokens longer than one, then full forms of words."""
-    tokens = text.tokens(F.lower(text.unify_lines(text.verbalize_operators(text.separate_symbols(c)))))
-    return F.array_join(F.concat(F.filter(tokens, lambda t: F.length(t) > 1), _full_forms(tokens, stems)), " ")
+def with_embedding_text(df: DataFrame, source: str, name: str, stems: bool = False) -> DataFrame:
+    """df with the column name: symbols apart, operators by name, lower case; tokens longer than one, then full forms of words."""
+    spelled = F.lower(text.unify_lines(text.verbalize_operators(text.separate_symbols(F.col(source)))))
+    told = df.withColumn("_tokens", text.tokens(spelled))
+    if stems:
+        told = told.withColumn("_stems", forms.stem_map(F.array_distinct("_tokens")))
+    long = F.filter("_tokens", lambda t: F.length(t) > 1)
+    return told.withColumn(name, F.array_join(F.concat(long, _full_forms(F.col("_tokens"), F.col("_stems") if stems else None)), " ")).drop("_tokens", "_stems")
 
 
 def search_text(c: Column) -> Column:
@@ -39,13 +39,20 @@ def search_text(c: Column) -> Column:
     return F.array_join(F.concat(own, F.flatten(F.transform(wanted, lambda t: F.array_sort(forms.forms_of(F.array(t)))))), " ")
 
 
-def representation(c: Column, stems: bool = False) -> Column:
-    """What is stored of a file: its cleaned text, its embedding text, and all forms of its concepts."""
-    cleaned = text.clean(c)
-    spelled = F.when(cleaned == "", "").otherwise(embedding_text(cleaned, stems))
-    found = concepts(spelled, Query("", stems))
-    variants = F.array_sort(F.array_distinct(F.concat(found, forms.forms_of(found, forms.stems_of(found) if stems else None))))
-    return F.concat_ws(" ", cleaned, spelled, F.when(F.size(variants) > 0, F.array_join(variants, " ")))
+def with_representation(df: DataFrame, source: str, name: str, stems: bool = False) -> DataFrame:
+    """df with what is stored of a file: its cleaned text, its embedding text, and all forms of its concepts.
+
+    Steps are columns of their own, so that each is worked out once.
+    """
+    df = with_embedding_text(df.withColumn("_clean", text.clean(F.col(source))), "_clean", "_spelled", stems)
+    if stems:
+        df = df.withColumn("_stems", forms.stem_map(F.array_distinct(text.words(F.col("_spelled")))))
+    known = F.col("_stems") if stems else None
+    df = df.withColumn("_concepts", concepts(F.col("_spelled"), known))
+    df = df.withColumn("_forms", forms.forms_of(F.col("_concepts"), known))
+    variants = F.array_sort(F.array_distinct(F.concat("_concepts", "_forms")))
+    whole = F.concat_ws(" ", "_clean", "_spelled", F.when(F.size("_concepts") > 0, F.array_join(variants, " ")))
+    return df.withColumn(name, whole).drop("_clean", "_spelled", "_concepts", "_forms", "_stems")
 
 
 def files(spark: SparkSession, root: str) -> DataFrame:
@@ -56,14 +63,14 @@ def files(spark: SparkSession, root: str) -> DataFrame:
 
 def corpus_rows(found: DataFrame, root: str, stems: bool = False) -> DataFrame:
     """Files as rows of the stored corpus. The id is a hash of the path, so a file that is read again has its old id."""
-    return found.select(
+    return with_representation(found, "content", "document", stems).select(
         F.sha2("file_path", 256).alias("id"),
         "file_path",
         "filename",
         "size",
         F.lit(root).alias("index_path"),
         F.lit(None).cast("string").alias("title"),
-        representation(F.col("content"), stems).alias("document"),
+        "document",
         text.clean(F.col("content")).alias("content"),
         F.lit(None).cast("array<float>").alias("embedding"),
     )

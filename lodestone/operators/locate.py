@@ -29,7 +29,7 @@ def _occurrences(line: Column, word: Column) -> Column:
     return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), column)).otherwise(F.array().cast("array<int>"))
 
 
-def _line_matches(line: Column, number: Column, query: Query) -> Column:
+def _line_matches(line: Column, number: Column, query: Query, stems: Column | None) -> Column:
     """A phrase match, or else one for each place of each word alike to a query word."""
     low = F.lower(line)
     place = F.instr(low, F.lit(query.lowered))
@@ -40,25 +40,24 @@ def _line_matches(line: Column, number: Column, query: Query) -> Column:
     for w in wanted:
         own = literal(query._all(w))
         keyed = forms.forms_of if whole else forms.keys_of
-        stems = (lambda x: forms.stems_of(F.array(x))) if query.stems else (lambda x: None)
-        alike = F.filter(text.words(low), lambda x: F.arrays_overlap(keyed(F.array(x), stems(x)), own))  # noqa: B023
+        alike = F.filter(text.words(low), lambda x: F.arrays_overlap(keyed(F.array(x), stems), own))  # noqa: B023
         found.append(F.flatten(F.transform(F.slice(alike, 1, MOST), lambda x: _occurrences(low, x))))
     words = F.flatten(F.array(*found)) if found else F.array().cast("array<int>")
     morphological = F.transform(F.slice(words, 1, MOST), lambda c: F.struct(number.alias("line"), c.alias("column"), F.lit("morphological").alias("match_type")))
     return F.when(place > 0, phrase.cast(MATCH)).otherwise(morphological.cast(MATCH))
 
 
-def matches(content: Column, query: Query) -> Column:
+def matches(content: Column, query: Query, stems: Column | None = None) -> Column:
     """The first MOST matches in order of line, query word, line word and place. No rows move."""
     if not query.text:
         return F.array().cast(MATCH)
-    each = F.transform(F.split(content, "\n"), lambda line, i: _line_matches(line, i + 1, query))
+    each = F.transform(F.split(content, "\n"), lambda line, i: _line_matches(line, i + 1, query, stems))
     return F.slice(F.flatten(each), 1, MOST)
 
 
-def display(content: Column, query: Query) -> Column:
+def display(content: Column, query: Query, stems: Column | None = None) -> Column:
     """struct(matches, total_matches, file_size): size in characters."""
-    found = matches(content, query)
+    found = matches(content, query, stems)
     return F.struct(found.alias("matches"), F.size(found).alias("total_matches"), F.length(content).alias("file_size"))
 
 

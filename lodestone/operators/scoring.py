@@ -20,10 +20,6 @@ from .bm25 import exact_match, squash
 COMPONENTS = list(WEIGHTS)
 
 
-def _stems(words: Column, query: Query) -> Column | None:
-    return forms.stems_of(words) if query.stems else None
-
-
 def cosine(a: Column, b: Column) -> Column:
     """1 less the cosine distance, in doubles; null for vectors of length 0."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -42,53 +38,42 @@ def _overlap(mine: list[str], theirs: Column, jaccard: float, coverage: float) -
     return let(theirs, of)
 
 
-def morphological(content: Column, query: Query) -> Column:
+def morphological(content: Column, query: Query, stems: Column | None = None) -> Column:
     """Overlap of the forms of the words that aren't stop words."""
     if not query.forms:
         return F.lit(0.0)
     words = text.without_stops(text.words(content))
-    return _overlap(query.forms, forms.forms_of(words, _stems(words, query)), 0.4, 0.6)
+    return _overlap(query.forms, forms.forms_of(words, stems), 0.4, 0.6)
 
 
-def concepts(content: Column, query: Query) -> Column:
+def concepts(content: Column, stems: Column | None = None) -> Column:
     """Distinct concept words of a text: identifiers with a form in the vocabulary, those forms, and pattern words."""
     words = F.array_distinct(text.identifiers(content))
     vocabulary = literal(CONCEPTS)
 
     def of(word: Column) -> Column:
         hits = lambda h: F.when(F.size(h) > 0, F.concat(F.array(word), h)).otherwise(F.array().cast("array<string>"))
-        return let(F.array_intersect(forms.base_forms_of(F.array(word)), vocabulary), hits)
+        return let(F.array_intersect(forms.base_forms_of(F.array(word), stems), vocabulary), hits)
 
-    found = F.flatten(F.transform(words, of))
-    if query.stems:
-        pairs = F.arrays_zip(words.alias("w"), forms.stems_of(words).alias("s"))
-        by_stem = F.filter(pairs, lambda p: F.array_contains(vocabulary, p["s"]))
-        found = F.concat(found, F.flatten(F.transform(by_stem, lambda p: F.array(p["w"], p["s"]))))
-    return F.array_distinct(F.concat(found, text.pattern_words(content)))
+    return F.array_distinct(F.concat(F.flatten(F.transform(words, of)), text.pattern_words(content)))
 
 
-def concept_overlap(content: Column, query: Query) -> Column:
+def concept_overlap(content: Column, query: Query, stems: Column | None = None) -> Column:
     if not query.concept_forms:
         return F.lit(0.0)
-    words = concepts(content, query)
     # With nothing in common, both terms are 0.
-    return _overlap(query.concept_forms, forms.forms_of(words, _stems(words, query)), 0.3, 0.7)
+    return _overlap(query.concept_forms, forms.forms_of(concepts(content, stems), stems), 0.3, 0.7)
 
 
-def _keyword_lists(content: Column, query: Query) -> Column:
+def _keyword_lists(content: Column, stems: Column | None = None) -> Column:
     """struct(base, total): the base forms of a text's keywords, with repeats and in order, and how many forms of all kinds there are."""
-    words = text.topic_words(content)
-    if query.stems:
-        pairs = F.arrays_zip(words.alias("w"), forms.stems_of(words).alias("s"))
-    else:
-        pairs = F.transform(words, lambda w: F.struct(w.alias("w"), w.alias("s")))
 
-    def of(ps: Column) -> Column:
-        base = F.flatten(F.transform(ps, lambda p: F.array_sort(forms.base_forms_of(F.array(p["w"]), F.array(p["s"])))))
-        partial = F.aggregate(ps, F.lit(0), lambda s, p: s + F.when(F.length(p["w"]) > 4, 2 * (F.length(p["w"]) - 3)).otherwise(0))
+    def of(words: Column) -> Column:
+        base = F.flatten(F.transform(words, lambda w: F.array_sort(forms.base_forms_of(F.array(w), stems))))
+        partial = F.aggregate(words, F.lit(0), lambda s, w: s + F.when(F.length(w) > 4, 2 * (F.length(w) - 3)).otherwise(0))
         return let(base, lambda b: F.struct(b.alias("base"), (F.size(b) + partial).cast("double").alias("total")))
 
-    return let(pairs, of)
+    return let(text.topic_words(content), of)
 
 
 def _weight(freq: Column, total: Column, word: Column) -> Column:
@@ -96,15 +81,13 @@ def _weight(freq: Column, total: Column, word: Column) -> Column:
     return freq / total * boost * F.when(freq > total * 0.1, 0.5).otherwise(1.0)
 
 
-def keyword_relevance(content: Column, query: Query) -> Column:
+def keyword_relevance(content: Column, query: Query, stems: Column | None = None) -> Column:
     """Shared keywords by the lesser weight: threefold for the same form, twofold for the first alike.
 
     First is the earliest in the text; of the forms of one word, the least.
     """
     if not query.keywords:
         return F.lit(0.0)
-    lists = _keyword_lists(content, query)
-    stemmed = forms.stems_of(F.array_distinct(lists["base"])) if query.stems else None
 
     def of(k: Column) -> Column:
         base, total = k["base"], k["total"]
@@ -114,13 +97,9 @@ def keyword_relevance(content: Column, query: Query) -> Column:
 
         def gain(word: str, weight: float) -> Column:
             own = literal(query.keyword_forms(word))
-            each = F.array_distinct(base)
-            if stemmed is None:
-                alike = F.filter(each, lambda f: F.arrays_overlap(forms.forms_of(F.array(f)), own))
-            else:
-                zipped = F.arrays_zip(each.alias("f"), k["stems"].alias("s"))
-                alike = F.transform(F.filter(zipped, lambda p: F.arrays_overlap(forms.forms_of(F.array(p["f"]), F.array(p["s"])), own)), lambda p: p["f"])
-            morphological = let(F.get(alike, F.lit(0)), lambda f: F.when(f.isNull(), F.lit(None).cast("double")).otherwise(F.least(F.lit(weight), _weight(count(f), total, f)) * 2.0))
+            alike = F.filter(F.array_distinct(base), lambda f: F.arrays_overlap(forms.forms_of(F.array(f), stems), own))
+            first = lambda f: F.when(f.isNull(), F.lit(None).cast("double")).otherwise(F.least(F.lit(weight), _weight(count(f), total, f)) * 2.0)
+            morphological = let(F.get(alike, F.lit(0)), first)
             return let(count(F.lit(word)), lambda n: F.when(n > 0, F.least(F.lit(weight), _weight(n, total, F.lit(word))) * 3.0).otherwise(morphological))
 
         gains = F.array(*(gain(w, x) for w, x in query.keywords.items()))
@@ -128,32 +107,30 @@ def keyword_relevance(content: Column, query: Query) -> Column:
         summed = lambda g: F.aggregate(g, F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0))) / number + F.size(F.filter(g, lambda v: v.isNotNull())) / number * 0.2
         return F.when(F.size(base) > 0, let(gains, summed)).otherwise(0.0)
 
-    if stemmed is not None:
-        lists = F.struct(lists["base"].alias("base"), lists["total"].alias("total"), stemmed.alias("stems"))
-    return let(lists, of)
+    return let(_keyword_lists(content, stems), of)
 
 
-def topic_relevance(content: Column, query: Query) -> Column:
-    return F.least(concept_overlap(content, query) * 0.8 + keyword_relevance(content, query) * 0.2, F.lit(1.0))
+def topic_relevance(content: Column, query: Query, stems: Column | None = None) -> Column:
+    return F.least(concept_overlap(content, query, stems) * 0.8 + keyword_relevance(content, query, stems) * 0.2, F.lit(1.0))
 
 
-def topic_clusters(content: Column, stems: bool = False) -> Column:
+def topic_clusters(content: Column, stems: Column | None = None) -> Column:
     """The clusters with a keyword that some word is alike to, by match keys."""
-    words = F.array_distinct(text.words(content))
-    keys = forms.keys_of(words, forms.stems_of(words) if stems else None)
-    hit = lambda own: F.array(*(F.when(F.arrays_overlap(own, literal(f)), F.lit(name)) for name, f in forms.cluster_forms(stems).items()))
+    keys = forms.keys_of(F.array_distinct(text.words(content)), stems)
+    clusters = forms.cluster_forms(stems is not None)
+    hit = lambda own: F.array(*(F.when(F.arrays_overlap(own, literal(f)), F.lit(name)) for name, f in clusters.items()))
     return F.filter(let(keys, hit), lambda c: c.isNotNull())
 
 
-def semantic_distance(content: Column, query: Query) -> Column:
+def semantic_distance(content: Column, query: Query, stems: Column | None = None) -> Column:
     """The share of the query's clusters that the text has; 0.1 for none, 0.5 where the query has none."""
     if not query.clusters:
         return F.lit(0.5)
-    shared = F.size(F.array_intersect(topic_clusters(content, query.stems), literal(query.clusters))) / F.lit(float(len(query.clusters)))
+    shared = F.size(F.array_intersect(topic_clusters(content, stems), literal(query.clusters))) / F.lit(float(len(query.clusters)))
     return let(shared, lambda s: F.when(s > 0, s).otherwise(0.1))
 
 
-def breakdown(content: Column, embedding: Column, bm25: Column, query: Query) -> Column:
+def breakdown(content: Column, embedding: Column, bm25: Column, query: Query, stems: Column | None = None) -> Column:
     """struct of the components, without the sum."""
     none = query.blank
     blank = F.lit(True) if none else F.coalesce(text.strip(content) == "", F.lit(True))
@@ -161,9 +138,9 @@ def breakdown(content: Column, embedding: Column, bm25: Column, query: Query) ->
     return F.struct(
         embedding.alias("embedding"),
         F.when(blank, bm25).otherwise(squash(bm25)).alias("bm25"),
-        part(topic_relevance(content, query)).alias("topic_relevance"),
-        part(semantic_distance(content, query)).alias("semantic_distance"),
-        part(morphological(content, query)).alias("morphological_match"),
+        part(topic_relevance(content, query, stems)).alias("topic_relevance"),
+        part(semantic_distance(content, query, stems)).alias("semantic_distance"),
+        part(morphological(content, query, stems)).alias("morphological_match"),
         part(exact_match(content, query)).alias("exact_matches"),
         blank.alias("blank"),
     )
@@ -179,7 +156,10 @@ def final_score(parts: Column) -> Column:
 
 def scored(df: DataFrame, query: Query) -> DataFrame:
     """df (content, embedding_similarity, bm25_score, ...) with its components and similarity."""
-    told = df.withColumn("similarity_breakdown", breakdown(F.col("content"), F.col("embedding_similarity"), F.col("bm25_score"), query))
+    stems = F.col("_stems") if query.stems else None
+    if query.stems:
+        df = df.withColumn("_stems", forms.stem_map(F.array_distinct(text.words(F.col("content")))))
+    told = df.withColumn("similarity_breakdown", breakdown(F.col("content"), F.col("embedding_similarity"), F.col("bm25_score"), query, stems)).drop("_stems")
     told = told.withColumn("similarity", final_score(F.col("similarity_breakdown")))
     parts = [F.col(f"similarity_breakdown.{k}").alias(k) for k in COMPONENTS]
     return told.withColumn("similarity_breakdown", F.struct(*parts, F.col("similarity").alias("final_score")))
@@ -187,8 +167,7 @@ def scored(df: DataFrame, query: Query) -> DataFrame:
 
 def topic_keywords(docs: DataFrame) -> DataFrame:
     """(doc_id, keyword, weight) of every document (doc_id, text), without stems."""
-    query = Query("")
-    rows = docs.select("doc_id", _keyword_lists(F.col("text"), query).alias("k")).select("doc_id", "k.total", F.explode("k.base").alias("keyword"))
+    rows = docs.select("doc_id", _keyword_lists(F.col("text")).alias("k")).select("doc_id", "k.total", F.explode("k.base").alias("keyword"))
     counted = rows.groupBy("doc_id", "keyword").agg(F.count(F.lit(1)).cast("double").alias("freq"), F.max("total").alias("total"))
     counted = counted.where("not startswith(keyword, 'prefix_') and not startswith(keyword, 'suffix_')")
     return counted.select("doc_id", "keyword", _weight(F.col("freq"), F.col("total"), F.col("keyword")).alias("weight"))

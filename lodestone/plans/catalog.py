@@ -111,12 +111,12 @@ def plural_forms(spark, sf_dir):
 def stems(spark, sf_dir):
     """The stem of each distinct word of documents; SQL has no stemmer."""
     vocabulary = _docs(spark, sf_dir).select(F.explode(text.words(F.col("text"))).alias("word")).distinct()
-    return vocabulary.select("word", F.element_at(forms.stems_of(F.array("word")), 1).alias("stem"))
+    return vocabulary.select("word", forms.stem_map(F.array("word")).alias("m")).select("word", F.coalesce(F.try_element_at("m", F.col("word")), "word").alias("stem"))
 
 
 @_query(f"SELECT page_id, list_sort({X.concepts('html')}) AS concepts FROM pages")
 def page_concepts(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.array_sort(scoring.concepts(F.col("html"), Query(""))).alias("concepts"))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_sort(scoring.concepts(F.col("html"))).alias("concepts"))
 
 
 @_query(
@@ -367,7 +367,7 @@ def hybrid_topk(spark, sf_dir):
     return _hybrid(spark, sf_dir).select("rank", F.col("key").alias("doc_id"), _r(F.col("similarity"), "similarity"), _r(F.col("bm25_score"), "bm25_score"))
 
 
-@_query(f"WITH {_SCORED}, {_CANDIDATES.lstrip()}, {_TOP} SELECT rank::INT AS rank, printf('%d. %s (sim %.3f)', rank, doc_id, round(similarity, 6)) AS line, printf('   BM25: %.3f', round(raw, 6)) AS score_line FROM top")
+@_query(f"WITH {_SCORED}, {_CANDIDATES.lstrip()}, {_TOP} SELECT rank::INT AS rank, printf('%d. %s (sim %.3f)', rank, doc_id::VARCHAR, round(similarity, 6)) AS line, printf('   BM25: %.3f', round(raw, 6)) AS score_line FROM top")
 def report_lines(spark, sf_dir):
     rows = _hybrid(spark, sf_dir)
     return rows.select("rank", report.result_line(F.col("rank"), F.col("key").cast("string"), F.round("similarity", 6)).alias("line"), report.bm25_line(F.round("bm25_score", 6)).alias("score_line"))
@@ -480,12 +480,14 @@ _EMBED = "(SELECT doc_id, {cl} AS cleaned, list_filter(regexp_split_to_array(low
 
 @_query(f"SELECT doc_id, md5({_FORM_TEXT}) AS embedded FROM {_EMBED}")
 def embedding_text(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.md5(corpus.embedding_text(text.clean(F.col("text"))).cast("binary")).alias("embedded"))
+    docs = corpus.with_embedding_text(_docs(spark, sf_dir).withColumn("cleaned", text.clean(F.col("text"))), "cleaned", "embedded")
+    return docs.select("doc_id", F.md5(F.col("embedded").cast("binary")).alias("embedded"))
 
 
 @_query(f"SELECT doc_id, md5(cleaned || ' ' || embedded || CASE WHEN len(c) > 0 THEN ' ' || array_to_string(list_sort(list_distinct(list_concat(c, {X.forms_of('c')}))), ' ') ELSE '' END) AS represented FROM (SELECT *, {X.concepts('embedded')} AS c FROM (SELECT doc_id, cleaned, {_FORM_TEXT} AS embedded FROM {_EMBED}))")
 def document_representation(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.md5(corpus.representation(F.col("text")).cast("binary")).alias("represented"))
+    docs = corpus.with_representation(_docs(spark, sf_dir), "text", "represented")
+    return docs.select("doc_id", F.md5(F.col("represented").cast("binary")).alias("represented"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

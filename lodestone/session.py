@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +39,23 @@ def scratch_root(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH).rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the workers, unless they find it where the driver does."""
+    folder = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    found = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if folder in map(os.path.abspath, filter(None, found)) or getattr(spark.sparkContext, "_lodestone_sent", False):
+        return
+    zipped = os.path.join(tempfile.mkdtemp(), "lodestone.zip")
+    with zipfile.ZipFile(zipped, "w") as z:
+        for top, _, names in os.walk(os.path.join(folder, "lodestone")):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(top, name)
+                    z.write(path, os.path.relpath(path, folder))
+    spark.sparkContext.addPyFile(zipped)
+    spark.sparkContext._lodestone_sent = True
+
+
 class Scratch:
     """Tables in the shared folder that cut lineage and survive lost executors.
 
