@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lodestone.session import Scratch, table
 
 from .folds import fold
+from .workers import tidy
 
 ORDERS = (3, 4)
 FLOOR = 1e-5
@@ -65,6 +66,7 @@ def grams(text: str | None) -> np.ndarray:
     return np.concatenate(out)
 
 
+@tidy
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text) to (lang, gram, n): the counts of a partition."""
     held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}

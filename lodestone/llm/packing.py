@@ -28,10 +28,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from lodestone.session import Scratch, table
 
+from .workers import tidy
+
 CAPACITY = 2048
 ROUNDS = 300
 #: Entries of the chunk cache of one worker; it starts anew when full.
-CACHE = 800_000
+CACHE = 600_000
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
 
@@ -285,6 +287,7 @@ def _encoder(path: str) -> Encoder:
 def _pieces(tokenizer: str, capacity: int):
     end = END_ID.to_bytes(4, "little")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
@@ -322,6 +325,7 @@ def _pieces(tokenizer: str, capacity: int):
 
 
 def _placed(runs, capacity: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             number = batch.column("number").to_numpy() + batch.column("before").to_numpy()

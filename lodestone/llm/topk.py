@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestone.session import Scratch, table
 
+from .workers import tidy
+
 SCALE, K, EVERY = 1024, 10, 100
 #: Vectors of a block, and queries of a block.
 BLOCK, QUERIES = 4096, 1024
@@ -33,6 +35,7 @@ def quantised(embedding: Column, scale: int = SCALE) -> Column:
     return F.when(fine, F.transform(x, lambda v: F.floor(v * scale)))
 
 
+@tidy
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = None
     for batch in batches:
@@ -112,6 +115,7 @@ def block_topk(q_ids, q, ids, x, basis: np.ndarray, k: int, floors) -> Iterator[
 
 
 def _meet(sent, k: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         basis = sent.value
         for batch in batches:
@@ -130,6 +134,7 @@ def _meet(sent, k: int):
 def _packed(size: int, names: tuple[str, str]):
     """(vec_id, x) to blocks of at most size rows, in the order of the partition."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def block(parts):
             both = pa.Table.from_batches(parts).combine_chunks()
