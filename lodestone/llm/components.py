@@ -13,8 +13,13 @@ def _mark(edges: DataFrame) -> tuple:
     return row.n, row.x
 
 
+#: Graphs of no more edges are kept in one partition, where a round needs no exchange.
+FEW = 100_000
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    ends = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")
+    both = edges.select(ends).select("e.u", "e.v")
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     return both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
@@ -22,8 +27,9 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v")))
+    # Each edge (u, v) gives (v, m) and (u, m).
+    ends = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")
+    return down.join(least, "u").select(ends).select("e.u", "e.v").where("u <> v")
 
 
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -37,7 +43,8 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     now = scratch.save(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = _mark(now)
     while mark[0]:
-        new = scratch.save(_small_star(_large_star(now).distinct()).distinct(), "stars")
+        held = now.coalesce(1) if mark[0] <= FEW else now
+        new = scratch.save(_small_star(_large_star(held).distinct()).distinct(), "stars")
         scratch.drop(now)
         now, last, mark = new, mark, _mark(new)
         if mark == last:

@@ -19,7 +19,7 @@ def keep_rows(docs: DataFrame, verdicts: DataFrame, key: Column, scratch: Scratc
 
     def matching(some: DataFrame, how: str) -> DataFrame:
         k = some.select(F.col("doc_id").alias("_k_id"), F.col("text_key").alias("_k_text"))
-        return docs.join(k, docs["doc_id"].eqNullSafe(F.col("_k_id")) & key.eqNullSafe(F.col("_k_text")), how)
+        return docs.join(k.hint("merge"), docs["doc_id"].eqNullSafe(F.col("_k_id")) & key.eqNullSafe(F.col("_k_text")), how)
 
     out = matching(groups, "left_anti")
     again = groups.where("kept")
