@@ -6,10 +6,13 @@
    densification). Texts with one set are one class, and only its first row goes on.
 2. Four neighbouring bins make a band. Documents that agree in a band meet in a bucket; a pair at
    similarity 0.75 misses all 32 buckets with a chance of 5 in a million.
-3. A bucket sends out a star: one hub, and an edge to each other member. Links are confirmed on
-   full sets and joined to components. Members outside the first hub's component become hubs of
-   further stars, until each pair of a bucket is in one component or has been compared; so no
-   bucket emits all its pairs, and none loses a link.
+3. Shingles that one candidate alone has are in no intersection, and two members of a bucket share no
+   more than both share with its hub plus what both have beside it. Documents and pairs that
+   can't reach a link by these bounds are put aside.
+4. A bucket sends out a star: one hub, the member with the smallest share of such shingles, and an
+   edge to each other member. Links are confirmed on full sets and joined to components. Members outside the
+   first hub's component become hubs of further stars, until each pair of a bucket is in one
+   component, is ruled out by its counts, or has been compared; so no bucket loses a link.
 """
 
 from __future__ import annotations
@@ -25,14 +28,17 @@ from lodestone.session import Scratch, table
 
 from .components import connected_components
 from .rows import keep_rows
+from .workers import tidy
 
 WORDS, BINS, ROWS = 5, 128, 4
 #: Links need PER_CENT * union <= 100 * intersection.
 PER_CENT = 75
-#: Sets of at least so many shingles, of which fewer than half the bins agree, are not compared in
-#: full: at similarity 0.75 that is over six standard deviations below the mean.
-ESTIMATED = 64
+#: Of sets of at least ESTIMATED shingles, the similarity is at most the share of bins that agree plus
+#: MARGIN, which is over six standard deviations.
+ESTIMATED, MARGIN = 64, 0.25
 CHUNK = 2_000_000
+#: After the first, a round has at most so many times the hubs for each bucket that the one before had.
+MORE_HUBS = 64
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 _BOUNDS = np.arange(BINS, dtype=np.uint64) << np.uint64(57)
 _PROBES = 1024
@@ -112,6 +118,7 @@ def _lengths(column: pa.Array) -> list[int]:
     return pc.fill_null(pc.binary_length(column), 0).to_pylist()
 
 
+@tidy
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(rid, doc_id, text_key, text) to (rid, doc_id, text_key, n, fp, bands, sig)."""
     for batch in batches:
@@ -131,53 +138,141 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+@tidy
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, fps) to (fp, shingles) for the sets that are wanted."""
+    """(rid, text, fp) to (rid, shingles) for the sets that are wanted."""
     for batch in batches:
         for a, b in _groups(_lengths(batch.column("text"))):
             part = batch.slice(a, b - a)
-            fps, out = [], []
-            for text, wanted in zip(part.column("text").to_pylist(), part.column("fp").to_pylist(), strict=True):
+            rids, out = [], []
+            for rid, text, wanted in zip(*(part.column(c).to_pylist() for c in ("rid", "text", "fp")), strict=True):
                 data = shingle_set(text).tobytes()
                 if xxhash.xxh3_128_digest(data) == wanted:
-                    fps.append(wanted)
+                    rids.append(rid)
                     out.append(data)
-            yield pa.RecordBatch.from_arrays([pa.array(fps, pa.binary()), pa.array(out, pa.large_binary())], ["fp", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(out, pa.binary())], ["rid", "shingles"])
 
 
+@tidy
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rid, shingles) to a row (rid, shingle) for each member of a set."""
+    for batch in batches:
+        for rid, data in zip(batch.column("rid"), batch.column("shingles"), strict=True):
+            s = np.frombuffer(data.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), rid.as_py(), np.int64)), pa.array(s)], ["rid", "shingle"])
+
+
+@tidy
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs whose signatures don't rule out a link."""
+    """(a, b, upto): how many shingles a pair shares at most, by its signatures; null if it may be linked."""
     for batch in batches:
-        if batch.num_rows:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BINS) for c in ("sig_a", "sig_b"))
-            small = np.minimum(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()) < ESTIMATED
-            batch = batch.filter(pa.array(small | ((a == b).sum(axis=1) * 2 >= BINS)))
-        yield batch.select(["a", "b", "fp_a", "fp_b"])
+        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BINS) for c in ("sig_a", "sig_b"))
+        n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+        alike = (a == b).mean(axis=1)
+        most = np.minimum(alike + MARGIN, 1)
+        upto = np.floor(most / (1 + most) * (n_a + n_b)).astype(np.int64)
+        open_ = (np.minimum(n_a, n_b) < ESTIMATED) | (alike + MARGIN >= PER_CENT / 100)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(upto, pa.int64(), mask=open_)], ["a", "b", "upto"])
 
 
+@tidy
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, set_a, set_b) to (a, b, upto, linked), with upto the size of the intersection."""
     for batch in batches:
-        keep = []
+        upto, linked = [], []
         for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
             s, t = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
             both = len(np.intersect1d(s, t, assume_unique=True))
-            keep.append(100 * both >= PER_CENT * (len(s) + len(t) - both))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            upto.append(both)
+            linked.append(100 * both >= PER_CENT * (len(s) + len(t) - both))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(upto, pa.int64()), pa.array(linked, pa.bool_())], ["a", "b", "upto", "linked"])
+
+
+#: Two documents share no more than both share with the bucket's first hub, plus what both have beside it.
+_SHARED = "(least(m_with_hub, h_with_hub) + least(m_most - m_with_hub, h_most - h_with_hub))"
+_ABLE = f"m_rid <> h_rid and m_label <> h_label and 100 * {_SHARED} >= {PER_CENT} * (m_n + h_n - {_SHARED})"
+
+
+def _side(df: DataFrame, side: str, *more: str) -> DataFrame:
+    return df.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("rid", "n", "most", "with_hub", "label", *more)))
 
 
-def _pairs(entries: DataFrame, hubs: DataFrame) -> DataFrame:
-    """Distinct (a, b) of hubs and members in one bucket whose sizes allow a link and whose labels differ."""
-    met = entries.select("key", F.col("rid").alias("m"), F.col("n").alias("m_n"), F.col("label").alias("m_l")).join(hubs, "key")
-    met = met.where(f"m <> h and m_l <> h_l and 100 * least(m_n, h_n) >= {PER_CENT} * greatest(m_n, h_n)")
-    return met.select(F.least("m", "h").alias("a"), F.greatest("m", "h").alias("b")).distinct()
+def _pairs(members: DataFrame, hubs: DataFrame, condition: str = "true") -> DataFrame:
+    """Distinct (a, b) of hubs and members in one bucket whose labels differ and whose counts allow a link."""
+    met = members.join(hubs, "key").where(f"{_ABLE} and {condition}")
+    return met.select(F.least("m_rid", "h_rid").alias("a"), F.greatest("m_rid", "h_rid").alias("b")).distinct()
 
 
-def _links(pairs: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
-    side = lambda s: reps.select(F.col("rid").alias(s), F.col("n").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"), F.col("fp").alias(f"fp_{s}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_alike, "a long, b long, fp_a binary, fp_b binary")
-    full = lambda s: sets.select(F.col("fp").alias(f"fp_{s}"), F.col("shingles").alias(f"set_{s}"))
-    whole = near.join(full("a"), "fp_a").join(full("b"), "fp_b").select("a", "b", "set_a", "set_b")
-    return whole.mapInArrow(_confirmed, "a long, b long")
+def _compared(pairs: DataFrame, reps: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b, upto, linked) of pairs, confirmed on full sets unless signatures rule a link out."""
+    side = lambda s: reps.select(F.col("rid").alias(s), F.col("n").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"))
+    near = scratch.save(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_alike, "a long, b long, upto long"), "alike")
+    full = lambda s: sets.select(F.col("rid").alias(s), F.col("shingles").alias(f"set_{s}"))
+    whole = near.where("upto is null").join(full("a"), "a").join(full("b"), "b").select("a", "b", "set_a", "set_b")
+    told = whole.mapInArrow(_confirmed, "a long, b long, upto long, linked boolean")
+    return scratch.save(told.unionByName(near.where("upto is not null").withColumn("linked", F.lit(False))), "compared")
+
+
+def _hub(*more: str):
+    """The member most central by how few shingles it has alone."""
+    return F.min(F.struct(((F.col("n") - F.col("most")) / F.col("n")).alias("alone"), "rid", "n", "most", *more)).alias("hub")
+
+
+def _members(entries: DataFrame, met: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, rid, n, most): the bucket entries that some size in the bucket lets reach a link.
+
+    most is how many shingles a document shares with others; one that a single set has is in no intersection.
+    """
+    owned = sets.mapInArrow(_exploded, "rid long, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("owners"), F.min("rid").alias("rid"))
+    alone = owned.where("owners = 1").groupBy("rid").agg(F.count(F.lit(1)).alias("alone"))
+    sized = met.select("rid", "n").join(alone, "rid", "left").select("rid", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
+    able = scratch.save(entries.join(sized.where(f"100 * most >= {PER_CENT} * n"), "rid"), "able")
+    small = able.groupBy("key").agg(F.min("n").alias("smallest"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    other = F.greatest("smallest", F.ceil(F.col("n") * PER_CENT / 100))
+    return able.join(small, "key").where(100 * F.col("most") >= PER_CENT * (F.col("n") + other - F.col("most"))).select("key", "rid", "n", "most")
+
+
+def _bucket_links(entries: DataFrame, met: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """(node, component) of the documents linked within buckets, or None."""
+    members = scratch.save(_members(entries, met, sets, scratch), "members")
+    first = scratch.save(members.groupBy("key").agg(_hub(), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "hub"), "hubs")
+    hubs = first.select("key", *(F.col(f"hub.{c}").alias(f"h_{c}") for c in ("rid", "n", "most")), F.col("hub.most").alias("h_with_hub"), F.col("hub.rid").alias("h_label"))
+    stars = _side(members.withColumn("with_hub", F.col("most")).withColumn("label", F.col("rid")), "m")
+    told = _compared(_pairs(stars, hubs), met, sets, scratch)
+    edges = told.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    if edges.isEmpty():
+        labels = edges.select(F.col("u").alias("rid"), F.col("v").alias("component"))
+    else:
+        labels = connected_components(edges, scratch).withColumnRenamed("node", "rid")
+    # What each member shares with its bucket's hub bounds what members share with one another.
+    centre = first.select("key", F.col("hub.rid").alias("h"))
+    near = members.join(centre, "key").withColumn("a", F.least("rid", "h")).withColumn("b", F.greatest("rid", "h")).join(told.select("a", "b", "upto"), ["a", "b"], "left")
+    with_hub = F.when(F.col("rid") == F.col("h"), F.col("most")).otherwise(F.least("most", F.coalesce("upto", "most")))
+    keys = members.groupBy("rid").agg(F.collect_list("key").alias("keys"))  # one for each band at most
+    members = scratch.save(near.select("key", "rid", "n", "most", "h", with_hub.alias("with_hub")).join(keys, "rid"), "near")
+    done, slots = told.select("a", "b"), MORE_HUBS
+    hubbed = labels.select("rid").where("false")
+    # A later hub is one in all its buckets, and a pair is looked at in the least bucket of both and only once.
+    once = "key = array_min(array_intersect(m_keys, h_keys)) and (m_hub is null or m_rid > h_rid)"
+    while True:
+        of_hub = labels.select(F.col("rid").alias("h"), F.col("component").alias("main"))
+        at = members.join(labels, "rid", "left").withColumn("label", F.coalesce("component", "rid")).drop("component")
+        at = at.join(of_hub, "h", "left").withColumn("main", F.coalesce("main", "h"))
+        at = scratch.save(at.join(hubbed, "rid", "left_anti"), "labelled")  # earlier hubs have met all others
+        rest = at.where("label <> main")
+        slot = F.pmod(F.xxhash64("rid", F.lit(slots)), F.lit(slots))
+        some = scratch.save(rest.groupBy("key", slot.alias("slot")).agg(_hub()).select("hub.rid").distinct(), "hubs")
+        if some.isEmpty():
+            return labels.withColumnRenamed("rid", "node")
+        now = some.withColumn("hub", F.lit(True))
+        hubs = _side(at.join(some, "rid", "left_semi"), "h", "keys")
+        told = _compared(_pairs(_side(at.join(now, "rid", "left"), "m", "keys", "hub"), hubs, once).join(done, ["a", "b"], "left_anti"), met, sets, scratch)
+        found = told.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        if not found.isEmpty():
+            edges = edges.unionByName(found)
+            labels = connected_components(edges, scratch).withColumnRenamed("node", "rid")
+        hubbed = hubbed.unionByName(some)
+        slots *= MORE_HUBS
 
 
 def near_duplicate_rows(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -185,7 +280,6 @@ def near_duplicate_rows(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     text_key is xxhash64 of the text.
     """
-    spark = docs.sparkSession
     cols = docs.select("doc_id", "text").select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.xxhash64("text").alias("text_key"), "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     told = scratch.save(cols.mapInArrow(_describe, f"rid long, doc_id {id_type}, text_key long, n long, fp binary, bands array<long>, sig binary"), "described")
@@ -193,41 +287,16 @@ def near_duplicate_rows(docs: DataFrame, scratch: Scratch) -> DataFrame:
     reps = told.join(classes.select(F.col("cls").alias("rid")), "rid", "left_semi").select("rid", "doc_id", "text_key", "n", "fp", "sig", "bands")
 
     banded = reps.select("rid", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("rid").alias("hub"), F.bit_xor(F.xxhash64("rid")).alias("x"), F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("y")).where("members > 1")
-    one = buckets.groupBy("members", "hub", "x", "y").agg(F.min("key").alias("key"))  # of buckets with the same members
-    entries = scratch.save(banded.join(one.select("key", "hub"), "key"), "entries")
-    edges = spark.createDataFrame([], "u long, v long")
+    buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("rid")).alias("x"), F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("y")).where("members > 1")
+    one = buckets.groupBy("members", "x", "y").agg(F.min("key").alias("key"))  # of buckets with the same members
+    entries = scratch.save(banded.join(one.select("key"), "key"), "entries")
     labels = None
     if not entries.isEmpty():
         met = scratch.save(reps.join(entries.select("rid").distinct(), "rid", "left_semi").drop("bands"), "met")
-        wanted = met.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "fp")
-        texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))).select("text", "fp")
-        sets = scratch.save(texts.mapInArrow(_full_sets, "fp binary, shingles binary").dropDuplicates(["fp"]), "sets")
-        sized = met.select("rid", "n")
-        slots, hubbed = 1, None
-        while True:
-            at = entries.join(sized, "rid")
-            at = at.withColumn("label", F.col("rid")) if labels is None else at.join(labels, F.col("rid") == F.col("node"), "left").withColumn("label", F.coalesce("component", "rid")).drop("node", "component")
-            at = scratch.save(at, "round")
-            if labels is None:
-                hubs = at.where("rid = hub").select("key", F.col("rid").alias("h"), F.col("n").alias("h_n"), F.col("label").alias("h_l"))
-            else:
-                first = at.where("rid = hub").select("key", F.col("label").alias("l"))
-                rest = at.join(first, "key").where("label <> l")
-                if hubbed is not None:
-                    rest = rest.join(hubbed, ["key", "rid"], "left_anti")
-                slot = F.pmod(F.xxhash64("rid", F.lit(slots)), F.lit(slots))
-                hubs = rest.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("rid", "n", "label")).alias("h")).select("key", F.col("h.rid").alias("h"), F.col("h.n").alias("h_n"), F.col("h.label").alias("h_l"))
-                hubs = scratch.save(hubs, "hubs")
-                if hubs.isEmpty():
-                    break
-                old, hubbed = hubbed, hubs.select("key", F.col("h").alias("rid"))
-                hubbed = hubbed if old is None else old.unionByName(hubbed)
-                slots *= 4
-            found = scratch.save(_links(_pairs(at, hubs), met, sets).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
-            if labels is None or not found.isEmpty():
-                edges = edges.unionByName(found)
-                labels = connected_components(edges, scratch)
+        wanted = met.select("rid", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "fp")
+        texts = docs.select("doc_id", "text").join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))).select("rid", "text", "fp")
+        sets = scratch.save(texts.mapInArrow(_full_sets, "rid long, shingles binary").dropDuplicates(["rid"]), "sets")
+        labels = _bucket_links(entries, met, sets, scratch)
 
     rows = told.select("rid", "doc_id", "text_key", "n", "fp").join(classes, "fp", "left").withColumn("node", F.coalesce("cls", "rid")).drop("cls", "fp")
     if labels is not None:
