@@ -490,6 +490,21 @@ def document_representation(spark, sf_dir):
     return docs.select("doc_id", F.md5(F.col("represented").cast("binary")).alias("represented"))
 
 
+_PLAIN = "list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\\p{L}\\p{N}_\\p{Z}\\t-\\r\\x{1c}-\\x{1f}\\x{85}]', ' ', 'g'), '" + X.S + "+'), lambda w: w <> '')"
+_ALL_FORMS = f"list_sort(list_distinct(list_concat({X.base('t')}, {X.partials('t')})))"
+
+
+@_query(f"SELECT doc_id, md5(array_to_string(list_concat(list_filter(regexp_split_to_array(lower(text), '{X.S}+'), lambda w: length(w) > 1), flatten(list_transform(list_filter({X.unstopped(_PLAIN)}, lambda t: length(t) > 2), lambda t: {_ALL_FORMS}))), ' ')) AS searched FROM documents")
+def search_text(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.md5(corpus.search_text(F.col("text")).cast("binary")).alias("searched"))
+
+
+@_query(f"WITH {_SCORED}, {_CANDIDATES.lstrip()}, {_TOP} SELECT rank::INT AS rank, to_json({{'doc_id': doc_id, 'similarity': round(similarity, 3), 'bm25_score': round(raw, 3)}})::VARCHAR AS j FROM top")
+def result_json(spark, sf_dir):
+    rows = _hybrid(spark, sf_dir).select("rank", F.col("key").alias("doc_id"), F.round("similarity", 3).alias("similarity"), F.round("bm25_score", 3).alias("bm25_score"))
+    return rows.select("rank", report.result_json("doc_id", "similarity", "bm25_score").alias("j"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
