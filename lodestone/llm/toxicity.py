@@ -1,6 +1,6 @@
 """Toxicity by the nearest labelled examples.
 
-The vocabulary is the terms whose presence goes with the label, by a likelihood-ratio test over all
+The vocabulary is the terms whose presence goes with label 1, by a likelihood-ratio test over all
 labelled documents; a text's vector is the TF-IDF of these. Examples are indexed by term, in blocks
 of examples alike; each list holds its highest weight in each block. The exact nearest examples by
 cosine come from the blocks in order of their bounds, until no bound reaches the k-th cosine found.
@@ -19,13 +19,21 @@ from pyspark.sql import DataFrame, functions as F
 from lodestone.session import Scratch, table
 
 from .folds import fold
+from .workers import tidy
 
 FOLDS, HELD_OUT = 5, 0
 #: A term is in the vocabulary from this G-squared and so many documents on; the highest come first.
-LEAST_G2, LEAST_DF, MAX_TERMS = 24.0, 4, 4096
+LEAST_G2, LEAST_DF, MAX_TERMS = 24.0, 4, 1000
+#: Of the documents with a term of the vocabulary, at least this share has label 1. Common words of large groups of
+#: near copies go with the group's label a little too, and would swell every vector.
+LEAST_SHARE = 0.5
 #: Examples that are indexed, half of each label, taken in order of a hash of their id.
 MAX_EXAMPLES = 8_000
 BLOCK = 32
+#: Blocks that are scored before others are ruled out.
+FIRST = 4
+#: Up to so many further blocks are scored from the table of weights, more from the lists.
+DENSE = 24
 NEIGHBOURS = 15
 #: The base rate votes with this weight.
 PRIOR = 0.5
@@ -36,6 +44,7 @@ def terms(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+@tidy
 def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, label) to (term, n, n1): documents of the partition with the term, and those labelled 1."""
     all_, ones = {}, {}
@@ -76,21 +85,18 @@ def vocabulary(labelled: DataFrame) -> tuple[dict[str, tuple[int, float]], float
     n0, m1, m0 = n - n1, F.lit(ones) - F.col("n1"), F.lit(all_ - ones) - (F.col("n") - F.col("n1"))
     rate = ones / all_
     g2 = 2 * (part(n1, n * rate) + part(n0, n * (1 - rate)) + part(m1, (all_ - n) * rate) + part(m0, (all_ - n) * (1 - rate)))
-    best = counts.withColumn("g2", g2).where(F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "term").limit(MAX_TERMS).collect()
+    best = counts.withColumn("g2", g2).where((F.col("g2") >= LEAST_G2) & (n1 >= n * LEAST_SHARE)).orderBy(F.desc("g2"), "term").limit(MAX_TERMS).collect()
     return {r.term: (i, float(np.log(1 + all_ / r.n))) for i, r in enumerate(best)}, rate
 
 
 def vector(text: str | None, vocab: dict[str, tuple[int, float]]) -> tuple[np.ndarray, np.ndarray]:
     """Indexes and weights of the unit TF-IDF vector; both empty for texts without a vocabulary term."""
-    count: dict[int, int] = {}
-    idf: dict[int, float] = {}
-    for t in terms(text):
-        if (hit := vocab.get(t)) is not None:
-            count[hit[0]] = count.get(hit[0], 0) + 1
-            idf[hit[0]] = hit[1]
-    at = sorted(count)
-    w = np.array([(1 + np.log(count[i])) * idf[i] for i in at])
-    return np.array(at, np.int64), w / np.sqrt((w * w).sum()) if len(at) else w
+    count: dict[str, int] = {}
+    for t in filter(vocab.__contains__, terms(text)):
+        count[t] = count.get(t, 0) + 1
+    hits = sorted((vocab[t][0], n, vocab[t][1]) for t, n in count.items())
+    w = np.array([(1 + np.log(n)) * idf for _, n, idf in hits])
+    return np.array([i for i, _, _ in hits], np.int64), w / np.sqrt((w * w).sum()) if hits else w
 
 
 class Index:
@@ -109,26 +115,50 @@ class Index:
         self.start = np.searchsorted(term[by], np.arange(size + 1))
         self.top = np.zeros((size, max(1, self.blocks)))
         np.maximum.at(self.top, (term[by], self.doc // BLOCK), self.weight)
-        # Where each list has the postings of each block.
-        self.cut = np.stack([self.start[t] + np.searchsorted(self.doc[self.start[t] : self.start[t + 1]], np.arange(self.blocks + 1) * BLOCK) for t in range(size)]) if size else np.zeros((0, 1), np.int64)
+        self.dense = np.zeros((size, self.blocks * BLOCK), np.float32 if size * n > 20_000_000 else np.float64)
+        self.dense[term[by], self.doc] = self.weight
 
     def nearest(self, at: np.ndarray, weight: np.ndarray, k: int) -> list[tuple[int, float]]:
-        """The k examples of highest cosine above 0; of equal ones, the earlier."""
+        """The k examples of highest cosine above 0; of equal ones, the earlier.
+
+        The blocks of the highest bounds are scored first. Their k-th cosine rules out all blocks
+        whose bound is less; the lists give the scores of the others.
+        """
         if not len(at) or not self.blocks:
             return []
         bound = weight @ self.top[at]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best) == k and bound[b] < best[-1][0] * (1 - 1e-9)):
-                break
-            score = np.zeros(BLOCK)
-            for t, w in zip(at, weight, strict=True):
-                a, z = self.cut[t, b], self.cut[t, b + 1]
-                if a < z:
-                    score[self.doc[a:z] - b * BLOCK] += w * self.weight[a:z]
-            best += [(round(float(score[i]), 12), int(b) * BLOCK + int(i)) for i in np.flatnonzero(score > 0)]
-            best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
-        return [(i, s) for s, i in best]
+        first = np.argpartition(-bound, FIRST - 1)[:FIRST] if self.blocks > FIRST else np.arange(self.blocks)
+        rows, score = self._dense(first, at, weight)
+        least = np.partition(score, -k)[-k] if len(score) >= k else 0.0
+        open_ = bound >= max(least * (1 - 1e-6), 1e-12)
+        open_[first] = False
+        more = np.flatnonzero(open_)
+        if len(more) > DENSE:
+            open_[first] = True
+            rows, score = self._listed(open_, at, weight)
+        elif len(more):
+            others, theirs = self._dense(more, at, weight)
+            rows, score = np.concatenate([rows, others]), np.concatenate([score, theirs])
+        score = np.round(score, 12)
+        hits = np.flatnonzero(score > 0)
+        if len(hits) > k:
+            hits = hits[score[hits] >= np.partition(score[hits], -k)[-k]]
+        hits = hits[np.lexsort((rows[hits], -score[hits]))][:k]
+        return list(zip(rows[hits].tolist(), score[hits].tolist(), strict=True))
+
+    def _dense(self, blocks: np.ndarray, at: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of some blocks and their cosines."""
+        rows = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        return rows, weight @ self.dense[at[:, None], rows]
+
+    def _listed(self, open_: np.ndarray, at: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of many blocks, from the lists."""
+        ranges = [slice(self.start[t], self.start[t + 1]) for t in at.tolist()]
+        doc = np.concatenate([self.doc[r] for r in ranges])
+        score = np.concatenate([self.weight[r] * w for r, w in zip(ranges, weight.tolist(), strict=True)])
+        held = open_[doc // BLOCK]
+        score = np.bincount(doc[held], score[held], minlength=1)
+        return np.arange(len(score)), score
 
 
 def vote(found: list[tuple[int, float]], labels: np.ndarray, rate: float) -> float:
@@ -146,6 +176,7 @@ def examples(labelled: DataFrame, vocab: dict, limit: int = MAX_EXAMPLES) -> Ind
     spark = labelled.sparkSession
     sent = spark.sparkContext.broadcast(vocab)
 
+    @tidy
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(i, *vector(t.as_py(), sent.value)) for i, t in enumerate(batch.column("text"))]
@@ -162,14 +193,22 @@ def examples(labelled: DataFrame, vocab: dict, limit: int = MAX_EXAMPLES) -> Ind
 
 
 def _scorer(sent, k: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, index, rate = sent.value
+        met: dict[bytes, tuple[float, list]] = {}  # results by vector: few terms give few vectors
         for batch in batches:
             score, evidence = [], []
             for text in batch.column("text"):
-                found = index.nearest(*vector(text.as_py(), vocab), k)
-                score.append(vote(found, index.labels, rate))
-                evidence.append([{"doc_id": index.ids[i], "cosine": c, "label": int(index.labels[i])} for i, c in found])
+                at, weight = vector(text.as_py(), vocab)
+                key = at.tobytes() + weight.tobytes()
+                if key not in met:
+                    if len(met) > 20_000:
+                        met.clear()
+                    found = index.nearest(at, weight, k)
+                    met[key] = vote(found, index.labels, rate), [{"doc_id": index.ids[i], "cosine": c, "label": int(index.labels[i])} for i, c in found]
+                score.append(met[key][0])
+                evidence.append(met[key][1])
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score, pa.float64()), pa.array(evidence, kind)], ["doc_id", "held_out", "score", "evidence"])
 
@@ -177,9 +216,15 @@ def _scorer(sent, k: int):
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, label) of the documents to learn from. Of labels that differ for an id, 1 wins."""
+    """(doc_id, text, label) of the documents to learn from, one for each text. Of labels that differ for an id or a text, 1 wins.
+
+    Copies would make all words of a text seem to go with its label. They are found by hash, so only texts that teach move.
+    """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label")).where(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
-    return docs.select("doc_id", "text").where("text is not null").join(known, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label")
+    hashed = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("h"))
+    first = hashed.join(known.hint("merge"), "doc_id").groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label"))
+    taught = docs.where("text is not null").select("doc_id", "text", F.xxhash64("text").alias("h")).join(first.hint("merge"), ["doc_id", "h"])
+    return taught.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
