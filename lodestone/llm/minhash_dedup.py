@@ -7,7 +7,7 @@
 2. Four neighbouring bins make a band. Documents that agree in a band meet in a bucket; a pair at
    similarity 0.75 misses all 32 buckets with a chance of 5 in a million.
 3. Shingles that one candidate alone has are in no intersection, and two members of a bucket share no
-   more than both share with its hub plus what both have beside it. Documents and pairs that
+   more than the one shares with its hub plus what the other has beside it. Documents and pairs that
    can't reach a link by these bounds are put aside.
 4. A bucket sends out a star: one hub, the member with the smallest share of such shingles, and an
    edge to each other member. Links are confirmed on full sets and joined to components. Members outside the
@@ -188,13 +188,14 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(upto, pa.int64()), pa.array(linked, pa.bool_())], ["a", "b", "upto", "linked"])
 
 
-#: Two documents share no more than both share with the bucket's first hub, plus what both have beside it.
-_SHARED = "(least(m_with_hub, h_with_hub) + least(m_most - m_with_hub, h_most - h_with_hub))"
+#: Two documents share no more than the one shares with the bucket's first hub, plus what the other has beside it.
+#: Of what is shared with the hub, with_hub is the most and sure the least.
+_SHARED = "least(m_most, h_most, m_with_hub + h_most - h_sure, h_with_hub + m_most - m_sure)"
 _ABLE = f"m_rid <> h_rid and m_label <> h_label and 100 * {_SHARED} >= {PER_CENT} * (m_n + h_n - {_SHARED})"
 
 
 def _side(df: DataFrame, side: str, *more: str) -> DataFrame:
-    return df.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("rid", "n", "most", "with_hub", "label", *more)))
+    return df.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("rid", "n", "most", "with_hub", "sure", "label", *more)))
 
 
 def _pairs(members: DataFrame, hubs: DataFrame, condition: str = "true") -> DataFrame:
@@ -204,13 +205,14 @@ def _pairs(members: DataFrame, hubs: DataFrame, condition: str = "true") -> Data
 
 
 def _compared(pairs: DataFrame, reps: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b, upto, linked) of pairs, confirmed on full sets unless signatures rule a link out."""
+    """(a, b, upto, exact, linked) of pairs, confirmed on full sets unless signatures rule a link out; upto is an exact count if exact."""
     side = lambda s: reps.select(F.col("rid").alias(s), F.col("n").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"))
     near = scratch.save(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_alike, "a long, b long, upto long"), "alike")
     full = lambda s: sets.select(F.col("rid").alias(s), F.col("shingles").alias(f"set_{s}"))
     whole = near.where("upto is null").join(full("a"), "a").join(full("b"), "b").select("a", "b", "set_a", "set_b")
     told = whole.mapInArrow(_confirmed, "a long, b long, upto long, linked boolean")
-    return scratch.save(told.unionByName(near.where("upto is not null").withColumn("linked", F.lit(False))), "compared")
+    told = told.withColumn("exact", F.lit(True))
+    return scratch.save(told.unionByName(near.where("upto is not null").withColumn("linked", F.lit(False)).withColumn("exact", F.lit(False))), "compared")
 
 
 def _hub(*more: str):
@@ -236,20 +238,22 @@ def _bucket_links(entries: DataFrame, met: DataFrame, sets: DataFrame, scratch:
     """(node, component) of the documents linked within buckets, or None."""
     members = scratch.save(_members(entries, met, sets, scratch), "members")
     first = scratch.save(members.groupBy("key").agg(_hub(), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "hub"), "hubs")
-    hubs = first.select("key", *(F.col(f"hub.{c}").alias(f"h_{c}") for c in ("rid", "n", "most")), F.col("hub.most").alias("h_with_hub"), F.col("hub.rid").alias("h_label"))
-    stars = _side(members.withColumn("with_hub", F.col("most")).withColumn("label", F.col("rid")), "m")
+    hubs = first.select("key", *(F.col(f"hub.{c}").alias(f"h_{c}") for c in ("rid", "n", "most")), F.col("hub.most").alias("h_with_hub"), F.col("hub.most").alias("h_sure"), F.col("hub.rid").alias("h_label"))
+    stars = _side(members.withColumn("with_hub", F.col("most")).withColumn("sure", F.lit(0)).withColumn("label", F.col("rid")), "m")
     told = _compared(_pairs(stars, hubs), met, sets, scratch)
     edges = told.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
     if edges.isEmpty():
         labels = edges.select(F.col("u").alias("rid"), F.col("v").alias("component"))
     else:
         labels = connected_components(edges, scratch).withColumnRenamed("node", "rid")
-    # What each member shares with its bucket's hub bounds what members share with one another.
+    # What each member shares with its bucket's hub bounds what members share with one another. A pair that was
+    # ruled out by signatures or counts has an upper bound only.
     centre = first.select("key", F.col("hub.rid").alias("h"))
-    near = members.join(centre, "key").withColumn("a", F.least("rid", "h")).withColumn("b", F.greatest("rid", "h")).join(told.select("a", "b", "upto"), ["a", "b"], "left")
+    near = members.join(centre, "key").withColumn("a", F.least("rid", "h")).withColumn("b", F.greatest("rid", "h")).join(told.select("a", "b", "upto", "exact"), ["a", "b"], "left")
     with_hub = F.when(F.col("rid") == F.col("h"), F.col("most")).otherwise(F.least("most", F.coalesce("upto", "most")))
+    sure = F.when(F.col("rid") == F.col("h"), F.col("most")).when(F.col("exact"), F.col("upto")).otherwise(F.lit(0))
     keys = members.groupBy("rid").agg(F.collect_list("key").alias("keys"))  # one for each band at most
-    members = scratch.save(near.select("key", "rid", "n", "most", "h", with_hub.alias("with_hub")).join(keys, "rid"), "near")
+    members = scratch.save(near.select("key", "rid", "n", "most", "h", with_hub.alias("with_hub"), sure.alias("sure")).join(keys, "rid"), "near")
     done, slots = told.select("a", "b"), MORE_HUBS
     hubbed = labels.select("rid").where("false")
     # A later hub is one in all its buckets, and a pair is looked at in the least bucket of both and only once.

@@ -51,6 +51,32 @@ def test_hub_that_is_not_linked_loses_no_link(spark):
     check(spark, rows)
 
 
+def mixed_family(g, rng):
+    """Two linked texts of one passage, and hubs for all their buckets, parts of it that neither is linked with."""
+    core = [f"f{g}c{i}" for i in range(254)]
+    rows, turned = [], core * 2
+    for s in range(0, 254, 5):
+        other = [f"f{g}o{s}x{i}" for i in range(10)]
+        rows += [" ".join(other + turned[s : s + 194 + k]) for k in (0, 1)]
+    rng.shuffle(rows)
+    return rows + [" ".join(core + [f"f{g}{side}{i}" for i in range(n)]) for side, n in (("h", 10), ("m", 20))]
+
+
+def test_bounds_by_the_hub_lose_no_link(spark):
+    rng = random.Random(7)
+    check(spark, list(enumerate(t for g in range(4) for t in mixed_family(g, rng))))
+
+
+def test_mixtures_of_few_passages(spark):
+    rng = random.Random(11)
+    passages = [[f"p{p}w{i}" for i in range(rng.choice([20, 40, 60]))] for p in range(9)]
+    rows = []
+    for i in range(260):
+        took = [p[: rng.choice([len(p), len(p), len(p) * 3 // 4])] for p in passages[:8] if rng.random() < 0.6] or passages[8:]
+        rows.append((i, " ".join(w for p in took for w in p)))
+    check(spark, rows)
+
+
 def test_edge_cases(spark):
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "One two"), (5, "one  TWO"), (6, "one two three"), (7, "é\x85x a b c d"), (8, "é\x85x a b c d"), (9, "word " * 3000), (10, "word " * 5)]
     check(spark, rows)
