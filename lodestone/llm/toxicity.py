@@ -22,8 +22,8 @@ from .folds import fold
 from .workers import tidy
 
 FOLDS, HELD_OUT = 5, 0
-#: A term is in the vocabulary from this G-squared and so many documents on; the highest come first.
-LEAST_G2, LEAST_DF, MAX_TERMS = 24.0, 4, 1000
+#: A term is in the vocabulary from this G-squared and so many documents on; all of these are.
+LEAST_G2, LEAST_DF = 24.0, 4
 #: Of the documents with a term of the vocabulary, at least this share has label 1. Common words of large groups of
 #: near copies go with the group's label a little too, and would swell every vector.
 LEAST_SHARE = 0.5
@@ -34,6 +34,8 @@ BLOCK = 32
 FIRST = 4
 #: Up to so many further blocks are scored from the table of weights, more from the lists.
 DENSE = 24
+#: Larger tables of weights, by term and example, aren't built; all scores are from the lists.
+MAX_CELLS = 20_000_000
 NEIGHBOURS = 15
 #: The base rate votes with this weight.
 PRIOR = 0.5
@@ -85,7 +87,7 @@ def vocabulary(labelled: DataFrame) -> tuple[dict[str, tuple[int, float]], float
     n0, m1, m0 = n - n1, F.lit(ones) - F.col("n1"), F.lit(all_ - ones) - (F.col("n") - F.col("n1"))
     rate = ones / all_
     g2 = 2 * (part(n1, n * rate) + part(n0, n * (1 - rate)) + part(m1, (all_ - n) * rate) + part(m0, (all_ - n) * (1 - rate)))
-    best = counts.withColumn("g2", g2).where((F.col("g2") >= LEAST_G2) & (n1 >= n * LEAST_SHARE)).orderBy(F.desc("g2"), "term").limit(MAX_TERMS).collect()
+    best = counts.withColumn("g2", g2).where((F.col("g2") >= LEAST_G2) & (n1 >= n * LEAST_SHARE)).orderBy(F.desc("g2"), "term").collect()
     return {r.term: (i, float(np.log(1 + all_ / r.n))) for i, r in enumerate(best)}, rate
 
 
@@ -113,10 +115,18 @@ class Index:
         by = np.lexsort((doc, term))
         self.doc, self.weight = doc[by], weight[by]
         self.start = np.searchsorted(term[by], np.arange(size + 1))
-        self.top = np.zeros((size, max(1, self.blocks)))
-        np.maximum.at(self.top, (term[by], self.doc // BLOCK), self.weight)
-        self.dense = np.zeros((size, self.blocks * BLOCK), np.float32 if size * n > 20_000_000 else np.float64)
-        self.dense[term[by], self.doc] = self.weight
+        # The highest weight of each list in each block that it meets, by list.
+        met, where = np.unique(term[by] * max(1, self.blocks) + self.doc // BLOCK, return_inverse=True)
+        self.top = np.zeros(len(met))
+        np.maximum.at(self.top, where, self.weight)
+        self.top_block = met % max(1, self.blocks)
+        self.top_start = np.searchsorted(met // max(1, self.blocks), np.arange(size + 1))
+        self.dense = None
+        if size * self.blocks * BLOCK <= MAX_CELLS:
+            self.dense = np.zeros((size, self.blocks * BLOCK))
+            self.dense[term[by], self.doc] = self.weight
+            self.top_table = np.zeros((size, max(1, self.blocks)))
+            self.top_table[met // max(1, self.blocks), self.top_block] = self.top
 
     def nearest(self, at: np.ndarray, weight: np.ndarray, k: int) -> list[tuple[int, float]]:
         """The k examples of highest cosine above 0; of equal ones, the earlier.
@@ -126,18 +136,18 @@ class Index:
         """
         if not len(at) or not self.blocks:
             return []
-        bound = weight @ self.top[at]
+        bound = self._bounds(at, weight)
         first = np.argpartition(-bound, FIRST - 1)[:FIRST] if self.blocks > FIRST else np.arange(self.blocks)
-        rows, score = self._dense(first, at, weight)
+        rows, score = self._some(first, at, weight)
         least = np.partition(score, -k)[-k] if len(score) >= k else 0.0
         open_ = bound >= max(least * (1 - 1e-6), 1e-12)
         open_[first] = False
         more = np.flatnonzero(open_)
-        if len(more) > DENSE:
+        if len(more) > DENSE or (len(more) and self.dense is None):
             open_[first] = True
             rows, score = self._listed(open_, at, weight)
         elif len(more):
-            others, theirs = self._dense(more, at, weight)
+            others, theirs = self._some(more, at, weight)
             rows, score = np.concatenate([rows, others]), np.concatenate([score, theirs])
         score = np.round(score, 12)
         hits = np.flatnonzero(score > 0)
@@ -146,8 +156,18 @@ class Index:
         hits = hits[np.lexsort((rows[hits], -score[hits]))][:k]
         return list(zip(rows[hits].tolist(), score[hits].tolist(), strict=True))
 
-    def _dense(self, blocks: np.ndarray, at: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _bounds(self, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """What no cosine in a block exceeds, by block."""
+        if self.dense is not None:
+            return weight @ self.top_table[at]
+        ranges = [slice(self.top_start[t], self.top_start[t + 1]) for t in at.tolist()]
+        block = np.concatenate([self.top_block[r] for r in ranges])
+        return np.bincount(block, np.concatenate([self.top[r] * w for r, w in zip(ranges, weight.tolist(), strict=True)]), minlength=self.blocks)
+
+    def _some(self, blocks: np.ndarray, at: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of some blocks and their cosines."""
+        if self.dense is None:
+            return self._listed(np.isin(np.arange(self.blocks), blocks), at, weight)
         rows = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
         return rows, weight @ self.dense[at[:, None], rows]
 

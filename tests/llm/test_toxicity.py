@@ -29,6 +29,19 @@ def test_nearest_against_all_cosines():
     assert T.Index([], [], [], 3).nearest(np.array([1]), np.array([1.0]), 5) == []
 
 
+def test_nearest_without_a_table_of_weights(monkeypatch):
+    monkeypatch.setattr(T, "MAX_CELLS", 0)
+    test_nearest_against_all_cosines()
+
+
+def test_vocabulary_has_no_limit(spark):
+    """Each of 1,500 terms is in ten texts labelled 1 and in no other."""
+    rows = [(" ".join(f"bad{i}x{j}" for j in range(50)), 1) for i in range(30) for _ in range(10)]
+    rows += [(f"fine day {i}", 0) for i in range(900)]
+    vocab, rate = T.vocabulary(spark.createDataFrame(rows, "text string, label int"))
+    assert set(vocab) == {f"bad{i}x{j}" for i in range(30) for j in range(50)} and rate == 0.25
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.1"
     got = T.query(spark, d).join(table(spark, d, "labels"), "doc_id").where("held_out").select("predicted", "toxic").toPandas()
