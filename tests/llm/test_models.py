@@ -38,6 +38,18 @@ def test_language_edge_cases(spark):
     assert {r.lang_pred for r in L.identify(df.withColumn("lang", df.lang.substr(0, 0).cast("string")).selectExpr("doc_id", "text", "cast(null as string) lang")).collect()} == {"und"}
 
 
+def test_language_stage_drops_languages_that_were_not_learned(spark):
+    finnish = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto ja heidän on toimittava toisiaan kohtaan veljeyden hengessä"
+    polish = "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa"
+    rng = np.random.default_rng(2)
+    noise = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz    "), 600)) for _ in range(20)]
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
+    strange = spark.createDataFrame([(10_000_000 + i, t, None) for i, t in enumerate([finnish, polish, *noise])], docs.schema)
+    kept = {r.doc_id for r in L.drop_unidentified(docs.unionByName(strange)).select("doc_id").collect()}
+    clean = {r.doc_id for r in docs.where("length(text) > 200").collect()}
+    assert not any(i >= 10_000_000 for i in kept) and len(clean - kept) <= len(clean) // 500
+
+
 def plain_kneser_ney(texts, size, order):
     """The same model from its formula, for symbol lists."""
     counts = {order: {}}
