@@ -1,56 +1,39 @@
 """SentencePiece encoding by sampling from the lattice of pieces, and decoding.
 
-A text is the pieces' alphabet of characters with U+2581 for a space, after one such for the start.
-No piece goes on past the start of a word, nor from a letter or digit to most marks, so what
-lies between is a lattice of its own. Forward filtering adds up, once for all that begin
-alike, the weights of all segmentations that reach each position.
-Backward sampling then walks all words of a batch at once from their ends: at each position
+A text is the pieces' alphabet of characters with U+2581 for a space, after one such for the start. Where
+no piece can go across, the lattice falls into units, and each distinct unit of a batch has one lattice.
+Forward filtering adds up the weights of all segmentations that reach each position, once for all units
+that begin alike: units lie in a trie, whose nodes of one depth are worked on together. A node holds what its
+weight is times that of the position before, so no product gets too small.
+Backward sampling then walks all units of a batch at once from their ends: at each position
 one random number picks the last piece, with the probability that the forward sums give it. The
-random numbers are hashes of the row's key, the word's place and the step, so a row has the same
+random numbers are hashes of the row's key, the unit's place and the step, so a row has the same
 segmentation wherever and whenever it is encoded. A U+2581 of the text itself, and what no piece
 covers, go as bytes; so decoding gives back every text.
 """
 
 from __future__ import annotations
 
-import math
-import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from lodestone.session import table
 
+from .units import Table, Trie, byte_pairs, chunks, coded, raw_bytes, split
 from .workers import tidy
 
 MODEL = "piece_bpe_32k.model"
 #: A piece of rank r weighs (r + RANK0) ** -POWER, to the power of the sharpness.
 RANK0, POWER, SHARPNESS = 10.0, 1.0, 1.0
 SPACE = "▁"
-#: Edges of the lattices that one worker keeps; it starts anew when there are more.
-EDGES = 4_000_000
-CHUNK = 1_000_000
-_WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+$")
-_LATIN = r"0-9A-Za-z\u00c0-\u024f"
-_LETTER, _OTHER = f"[{_LATIN}]", f"[^{_LATIN}{SPACE}]"
-_MARKS = [c for c in map(chr, range(128)) if not c.isalnum() and c != "_"]
-
-
-def _units(pieces_: Iterable[str]) -> re.Pattern:
-    """Words, cut where a Latin letter or digit comes before an ASCII mark that no piece has after one."""
-    after = {m[1] for t in pieces_ for m in re.findall(rf"({_LETTER})(?=(.))", t)}
-    cut = "".join(re.escape(c) for c in _MARKS if c not in after)
-    if not cut:
-        return _WORDS
-    return re.compile(rf"(?s)(?=.){SPACE}*+{_OTHER}*+(?:{_LETTER}++[^{_LATIN}{SPACE}{cut}]{_OTHER}*+)*+{_LETTER}*+")
-
-
-_LITERAL = ""
-_STEPS = np.arange(1, 4097, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+CHUNK = 8_000_000
+_STEP = 0x9E3779B97F4A7C15
 
 
 class Pieces:
@@ -68,11 +51,17 @@ class Pieces:
         self.log = {self.text[i]: -POWER * sharpness * float(np.log(rank + RANK0)) for rank, i in enumerate(plain)}
         self.byte_log = -POWER * sharpness * float(np.log(len(plain) + RANK0))
         self.longest = max(map(len, self.ids), default=1)
-        # Each piece with its weight and id, and each end of a piece that is none with None.
-        self.known: dict[str, tuple[float, int] | None] = {t[k:]: None for t in self.ids for k in range(len(t))}
-        self.known |= {t: (self.log[t], i) for t, i in self.ids.items()}
-        self.split = _units(self.ids).findall
         self.bytes = [bytes([int(t[3:5], 16)]) if model.is_byte(i) else t.replace(SPACE, " ").encode("utf-8", "surrogatepass") for i, t in enumerate(self.text)]
+        # By id, then by number of bytes of a character without piece.
+        self.logs = np.full(size, self.byte_log)
+        self.logs[plain] = [self.log[self.text[i]] for i in plain]
+        self.weight = np.exp(self.logs)
+        self.byte_weight = np.exp(self.byte_log) ** np.arange(5)
+        self.joined = byte_pairs([self.bytes[i] for i in plain])
+        # Lattices have a plain space for U+2581, so a U+2581 of the text is in no piece.
+        self.table = Table({t.replace(SPACE, " "): i for t, i in self.ids.items()})
+        self.byte_ids = np.array([self.byte.get(b, 0) for b in range(256)], np.int32)
+        self.values = pa.array(self.bytes, pa.binary())
 
 
 _worker: dict = {}
@@ -87,195 +76,191 @@ def pieces(model: str, sharpness: float = SHARPNESS) -> Pieces:
     return _worker[key]
 
 
-def marked(text: str) -> str:
-    """The lattice's characters. A U+2581 of the text, and a code point that stands for it, go by stand-ins that no piece has."""
-    if SPACE in text or _LITERAL in text:
-        text = text.replace(_LITERAL, _LITERAL + "b").replace(SPACE, _LITERAL + "a")
-    return SPACE + text.replace(" ", SPACE)
-
+def utf8_size(points: np.ndarray) -> np.ndarray:
+    return 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
 
-def _atoms(word: str) -> list[str]:
-    """The characters of a word; a stand-in and what follows it are one."""
-    if _LITERAL not in word:
-        return list(word)
-    return re.findall(f"{_LITERAL}.|.", word, re.DOTALL)
 
+class Lattices:
+    """Lattices of distinct units: for each position, the pieces that may end there, with cumulative probabilities.
 
-def _bytes_of(atom: str) -> bytes:
-    plain = SPACE if atom == _LITERAL + "a" else _LITERAL if atom == _LITERAL + "b" else atom
-    return plain.encode("utf-8", "surrogatepass")
-
+    Of the edges of one node, longer pieces come first. An edge of a character without piece has -1 minus its code point.
+    """
 
-class Lattices:
-    """Lattices of distinct words: for each position, the pieces that may end there, with cumulative probabilities."""
-
-    def __init__(self, of: Pieces):
-        self.of = of
-        self.cum, self.piece, self.source = np.empty(EDGES), np.empty(EDGES, np.int32), np.empty(EDGES, np.int32)
-        self.first = np.empty(EDGES + 2, np.int32)
-        self.clear()
-
-    def clear(self) -> None:
-        self.ends: dict[str, int] = {}  # word: its last node
-        self.edges, self.nodes = 0, 1  # node 0 is every start and has no edge
-        self.first[:2] = 0
-        self.children: dict[tuple[int, str], int] = {}
-        self.totals = [0.0]  # of each node, the log of the weight of all segmentations that reach it
-        self.several: list[tuple[int, ...]] = []  # runs of bytes; edges have -1 minus the place here
-
-    def grow(self, edges: int) -> None:
-        """Room for one batch, however long its words."""
-        if self.edges + edges > len(self.cum):
-            more = self.edges + edges - len(self.cum)
-            self.cum, self.piece, self.source, self.first = (np.concatenate([a, np.empty(more, a.dtype)]) for a in (self.cum, self.piece, self.source, self.first))
-
-    def add(self, words: list[str]) -> None:
-        """Forward filtering over new words. Words with one beginning share its nodes, and the sums there."""
-        of, exp, log = self.of, math.exp, math.log
-        known, absent = of.known.get, ()
-        children, totals = self.children, self.totals
-        cum, piece, source, sizes = [], [], [], []
-        next_node = self.nodes
-        for word in words:
-            atoms = _atoms(word) if _LITERAL in word else word
-            node, here, end = [0], 0, 0
-            for atom in atoms:
-                end += 1
-                step = (here, atom)
-                if (child := children.get(step)) is not None:
-                    here = child
-                    node.append(here)
-                    continue
-                options, start, tail = [], end - 1, atom
-                hit = known(atom, absent)
-                if hit:
-                    options.append((totals[here] + hit[0], hit[1], here))
-                else:
-                    raw = _bytes_of(atom)
-                    self.several.append(tuple(of.byte[b] for b in raw))
-                    options.append((totals[here] + len(raw) * of.byte_log, -len(self.several), here))
-                while hit is not absent and start:
-                    start -= 1
-                    tail = atoms[start] + tail
-                    hit = known(tail, absent)
-                    if hit:
-                        options.append((totals[node[start]] + hit[0], hit[1], node[start]))
-                if len(options) == 1:
-                    cum.append(1.0)
-                    piece.append(options[0][1])
-                    source.append(options[0][2])
-                    total = options[0][0]
+    def __init__(self, of: Pieces, units: pa.Array):
+        self.trie = trie = Trie(units)
+        # 1 / ratio[i] is the weight of node i over that of its parent.
+        ratio = np.ones(len(trie.parent))
+        sizes, cum, piece, source = [np.zeros(1, np.int64)], [], [], []
+        for nodes, options in trie.levels(of.table):
+            n = nodes.stop - nodes.start
+            weights, ids, back = [], [], []
+            scale = None
+            for size, found, origin in options:
+                w = np.where(found >= 0, of.weight[found], 0.0)
+                if size == 1:
+                    none = found < 0
+                    if none.any():
+                        point = trie.point[nodes][none]
+                        w[none] = of.byte_weight[utf8_size(point)]
+                        found[none] = -1 - point.astype(np.int32)
+                    scale = ratio[origin]
                 else:
-                    most = max(options)[0]
-                    weights = [exp(o[0] - most) for o in options]
-                    mass = sum(weights)
-                    run = 0.0
-                    for w, o in zip(weights, options, strict=True):
-                        run += w / mass
-                        cum.append(run)
-                        piece.append(o[1])
-                        source.append(o[2])
-                    cum[-1] = 1.0
-                    total = most + log(mass)
-                sizes.append(len(options))
-                totals.append(total)
-                children[step] = here = next_node
-                node.append(here)
-                next_node += 1
-            self.ends[word] = here
-        self.grow(len(cum))
-        new = slice(self.edges, self.edges + len(cum))
-        self.cum[new], self.piece[new], self.source[new] = cum, piece, source
-        self.first[self.nodes + 1 : next_node + 1] = self.edges + np.cumsum(sizes)
-        self.edges, self.nodes = new.stop, next_node
-
-    def sample(self, ends: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Backward sampling: the ids of all words, and how many each has. seeds are 64-bit."""
-        active, where = np.arange(len(ends)), ends
-        count = np.zeros(len(ends), np.int64)
+                    w *= scale
+                    scale = scale * ratio[origin]
+                weights.append(w)
+                ids.append(found)
+                back.append(origin)
+            run = np.cumsum(np.stack(weights[::-1], axis=1), axis=1)
+            total = run[:, -1].copy()
+            ratio[nodes] = 1.0 / total
+            run /= total[:, None]
+            run[:, -1] = 1.0
+            ids = np.stack(ids[::-1], axis=1)
+            here = ids >= 0
+            here[:, -1] = True
+            sizes.append(np.count_nonzero(here, axis=1))
+            cum.append(run[here])
+            piece.append(ids[here])
+            source.append(np.stack(back[::-1], axis=1)[here])
+            assert len(sizes[-1]) == n
+        for nodes, ids in trie.chains(of.table):
+            for part in self._chain(of, nodes, ids, ratio):
+                for to, x in zip((sizes, cum, piece, source), part, strict=True):
+                    to.append(x)
+        self.first = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        self.cum, self.piece, self.source = (np.concatenate([np.empty(0, t), *x]) for t, x in ((np.float64, cum), (np.int32, piece), (np.int32, source)))
+
+    def _chain(self, of: Pieces, nodes: slice, ids: np.ndarray, ratio: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """The same for the nodes of one long unit, where each is its own level."""
+        base, sizes, cum, piece, source = nodes.start, [], [], [], []
+        back = [1.0]  # of the nodes before, latest last; the root's is not used
+        for i in range(nodes.stop - base):
+            row, point = ids[i], int(self.trie.point[base + i])
+            w = [float(of.weight[row[0]])] if row[0] >= 0 else [float(of.byte_weight[utf8_size(np.array([point]))[0]])]
+            scale = 1.0
+            hits = [0]
+            for n in range(1, min(i + 1, len(row))):
+                scale *= back[-n]
+                w.append(float(of.weight[row[n]]) * scale if row[n] >= 0 else 0.0)
+                if row[n] >= 0:
+                    hits.append(n)
+            run, sums = 0.0, {}
+            for n in range(len(w) - 1, -1, -1):
+                run += w[n]
+                sums[n] = run
+            hits.reverse()
+            sizes.append(len(hits))
+            for n in hits:
+                cum.append(1.0 if n == 0 else sums[n] / run)
+                piece.append(int(row[n]) if row[n] >= 0 else -1 - point)
+                source.append(0 if n == i else base + i - n - 1)
+            back.append(1.0 / run)
+            ratio[base + i] = back[-1]
+        yield np.array(sizes, np.int64), np.array(cum), np.array(piece, np.int32), np.array(source, np.int32)
+
+    def sample(self, units: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Backward sampling: the pieces of all units, and how many each has. seeds are 64-bit."""
+        active, where = np.arange(len(units)), self.trie.end[units]
+        count = np.zeros(len(units), np.int64)
         steps = []
         while len(active):
-            x = seeds[active] + _STEPS[len(steps) % len(_STEPS)]
+            x = seeds[active] + np.uint64((len(steps) + 1) * _STEP % (1 << 64))
             x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
             x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
             u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            edge = self.first[where].astype(np.int64)
+            edge = self.first[where]
             beyond = np.flatnonzero(self.cum[edge] <= u)
             while len(beyond):
                 edge[beyond] += 1
                 beyond = beyond[self.cum[edge[beyond]] <= u[beyond]]
-            ids = self.piece[edge]
-            size = np.ones(len(ids), np.int64)
-            for k in np.flatnonzero(ids < 0):
-                size[k] = len(self.several[-1 - ids[k]])
-            steps.append((active, ids, size))
-            count[active] += size
+            steps.append((active, self.piece[edge]))
+            count[active] += 1
             where = self.source[edge]
             go = np.flatnonzero(where)
             active, where = active[go], where[go]
         out = np.zeros(int(count.sum()), np.int32)
         end = np.cumsum(count)
-        for active, ids, size in steps:
-            end[active] -= size
-            at = end[active]
+        for active, ids in steps:
+            at = end[active] - 1
+            end[active] = at
             out[at] = ids
-            for k in np.flatnonzero(ids < 0):
-                out[at[k] : at[k] + size[k]] = self.several[-1 - ids[k]]
         return out, count
 
 
-def encode_batch(texts: list[str], keys: list[bytes], lattices: Lattices) -> list[np.ndarray]:
-    """The sampled ids of each text. The same text and key give the same ids in any batch."""
-    words = [lattices.of.split(marked(t)) for t in texts]
-    every: set[str] = set()
-    for own in words:
-        every.update(own)
-    new = every.difference(lattices.ends)
-    if lattices.edges > EDGES - EDGES // 8:
-        lattices.clear()
-        new = every
-    lattices.add(list(new))
-    known = lattices.ends.__getitem__
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.concatenate([np.empty(0, np.int64), *(np.fromiter(map(known, own), np.int64, len(own)) for own in words)])
+def encode_batch(texts: pa.Array, keys: list[bytes], of: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The sampled ids of all texts one after the other, where each text's begin and the last one's end; the texts' bytes, and where each begins.
+
+    The same text and key give the same ids in any batch. texts are strings without null.
+    """
+    data, at = raw_bytes(pc.binary_join_element_wise(pa.scalar("", texts.type), texts, pa.scalar(" ", texts.type)))
+    begins, sizes = split(data, at, of.joined)
+    codes, distinct = coded(data, begins)
+    lattices = Lattices(of, distinct)
     row = np.repeat(np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), np.uint64, len(keys)), sizes)
-    place = np.arange(len(ends)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(len(codes)) - np.repeat(first, sizes)
     seeds = (row ^ (place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0xA0761D6478BD642F)
-    ids, count = lattices.sample(ends, seeds ^ (seeds >> np.uint64(32)))
+    ids, count = lattices.sample(codes, seeds ^ (seeds >> np.uint64(32)))
+    if len(ids) and int(ids.min()) < 0:
+        ids, count = _as_bytes(ids, count, of)
     cut = np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], np.cumsum(sizes)])]
-    return [ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    return ids, cut, data, at
+
+
+def _as_bytes(ids: np.ndarray, count: np.ndarray, of: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """ids and counts with the bytes of characters without piece."""
+    raw = np.flatnonzero(ids < 0)
+    spelled = "".join(map(chr, (-1 - ids[raw]).tolist())).encode("utf-8", "surrogatepass")
+    size = np.ones(len(ids), np.int64)
+    size[raw] = utf8_size(-1 - ids[raw])
+    begin = np.cumsum(size) - size
+    out = np.repeat(ids, size)
+    own = np.repeat(ids < 0, size)
+    out[own] = of.byte_ids[np.frombuffer(spelled, np.uint8)]
+    ends = np.append(begin, len(out))[np.cumsum(count)]
+    return out, np.diff(np.concatenate([[0], ends]))
+
+
+def decode_batch(ids: np.ndarray, of: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all ids one after the other, and where each id's begin and the last one's end."""
+    return raw_bytes(of.values.take(pa.array(ids)))
 
 
 def decode(ids: np.ndarray, of: Pieces) -> str:
     """The text that was encoded."""
-    return b"".join(map(of.bytes.__getitem__, ids.tolist())).decode("utf-8", "surrogatepass")[1:]
+    return decode_batch(np.asarray(ids, np.int32), of)[0].tobytes().decode("utf-8", "surrogatepass")[1:]
+
+
+def _keys(ids: pa.Array) -> list[bytes]:
+    return [b"" if i is None else str(i).encode() for i in ids.to_pylist()]
+
+
+def byte_sizes(texts: pa.Array) -> list[int]:
+    return pc.binary_length(texts).to_pylist()
 
 
 def _encoder(model: str, sharpness: float, digest: bool = False):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = pieces(model, sharpness)
-        lattices = _worker.get(("lattices", model, sharpness)) or _worker.setdefault(("lattices", model, sharpness), Lattices(of))
         for batch in batches:
-            lengths = batch.column("text").fill_null("").to_pylist()
-            start = 0
-            while start < len(lengths):
-                stop, size = start, 0
-                while stop < len(lengths) and (stop == start or size + len(lengths[stop]) <= CHUNK):
-                    size += len(lengths[stop])
-                    stop += 1
-                texts, part = lengths[start:stop], batch.slice(start, stop - start)
-                keys = [b"" if i is None else str(i).encode() for i in part.column("doc_id").to_pylist()]
-                ids = encode_batch(texts, keys, lattices)
+            every = batch.column("text").fill_null("")
+            for a, b in chunks(byte_sizes(every), CHUNK):
+                texts, doc_id = every.slice(a, b - a), batch.column("doc_id").slice(a, b - a)
+                ids, cut, data, at = encode_batch(texts, _keys(doc_id), of)
                 if digest:
-                    whole = [decode(x, of) == t for x, t in zip(ids, texts, strict=True)]
-                    cols = [pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()), pa.array(whole, pa.bool_())]
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), *cols], ["doc_id", "n_ids", "ids_crc32", "lossless"])
+                    whole, ends = decode_batch(ids, of)
+                    ends = ends[cut]
+                    if len(whole) == len(data) and (ends == at).all() and (whole == data).all():
+                        same = np.ones(len(texts), bool)
+                    else:
+                        same = np.array([np.array_equal(whole[ends[i] : ends[i + 1]], data[at[i] : at[i + 1]]) for i in range(len(texts))], bool)
+                    raw = memoryview(np.ascontiguousarray(ids, "<i4")).cast("B")
+                    crc = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([doc_id, pa.array(np.diff(cut)), pa.array(crc, pa.int64()), pa.array(same)], ["doc_id", "n_ids", "ids_crc32", "lossless"])
                 else:
-                    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), lists], ["doc_id", "text", "ids"])
-                start = stop
+                    lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(ids))
+                    yield pa.RecordBatch.from_arrays([doc_id, batch.column("text").slice(a, b - a), lists], ["doc_id", "text", "ids"])
 
     return run
 

@@ -4,9 +4,9 @@ The histogram of piece lengths has at most as many entries as a sequence has tok
 configuration linear program (least number of sequences, each filled by one pattern of lengths)
 is solved on the driver whatever the size of the table. Multiplicative weights give each length a
 price; the pattern worth most at these prices comes from a knapsack by dynamic programming; the
-lengths it covers become cheaper. The mean of the patterns is the fractional solution. It is
-rounded down to whole sequences that never hold more pieces than there are, and what is left is
-packed best-fit.
+lengths it covers become cheaper. The patterns used make up the fractional solution, and the prices bound
+how few sequences any plan needs. It is rounded down to whole sequences that never hold more pieces than there are;
+what is left is priced anew, and what no pattern fills well in the end is packed best-fit.
 
 Pieces find their places without meeting: each knows its number among the pieces of its length in
 its partition, partitions' counts are summed up by length, and the plan says for each length and
@@ -15,25 +15,33 @@ number the sequence and offset.
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lodestone.session import Scratch, table
 
+from .units import chunks
+from .word_bpe import Encoder
 from .workers import tidy
 
 CAPACITY = 2048
-ROUNDS = 300
-#: Entries of the chunk cache of one worker; it starts anew when full.
-CACHE = 600_000
+#: Pricing rounds of the linear program at most, and how near to the best the patterns are that it uses.
+ROUNDS, NEAR = 60, 0.02
+#: The most that a use of a pattern adds to the covered share of a length, and how fast prices fall with that share.
+STEP, PRICE = 1.0, 4.0
+#: How the solution is rounded: patterns filled less than the first number are not used, of the others so large a share
+#: of their amount, and then, where the last one says so, as often as there are pieces. Each way is tried.
+ROUNDINGS = ((0.9995, 1.0, True), (0.97, 1.0, True), (0.9995, 0.25, False), (0.97, 0.25, False), (0.9995, 0.05, False), (0.0, 0.05, False))
+#: How often what rounding leaves is priced anew.
+PASSES = 4
+CHUNK = 8_000_000
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
 
@@ -41,10 +49,8 @@ END_ID = 0
 # --- the plan, on the driver ---------------------------------------------------------------
 
 
-def price_pattern(values: np.ndarray, capacity: int) -> dict[int, int]:
-    """The pattern {length: times} of most value. values[l] is the price of length l; 0: none left."""
-    lengths = np.flatnonzero(values)
-    prices = values[lengths]
+def _knapsack(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each space, the most value that fits and the length to put first; 0: none."""
     best, pick = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
     upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
@@ -54,38 +60,66 @@ def price_pattern(values: np.ndarray, capacity: int) -> dict[int, int]:
             k = int(np.argmax(gain))
             if gain[k] > best[c] + 1e-15:
                 best[c], pick[c] = gain[k], lengths[k]
-    out: dict[int, int] = {}
-    c = capacity
+    return best, pick
+
+
+def _filled(pick: np.ndarray, space: int, first: int = 0) -> dict[int, int]:
+    """The pattern that begins with first, where one is given, and goes on as the knapsack says."""
+    out = {first: 1} if first else {}
+    c = space - first
     while c > 0:
-        if pick[c]:
-            out[int(pick[c])] = out.get(int(pick[c]), 0) + 1
-            c -= int(pick[c])
+        if l := int(pick[c]):
+            out[l] = out.get(l, 0) + 1
+            c -= l
         else:
             c -= 1
     return out
 
 
-def solve_lp(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], float]]:
-    """Patterns and how often to use each, covering counts[l] pieces of each length l but for rounding."""
-    present = counts > 0
-    if not present.any():
-        return []
-    # The weight of a length falls as the share of its pieces that is covered grows.
-    weights = np.where(present, np.arange(len(counts)) / capacity, 0.0)
-    covered = np.zeros(len(counts))
+def price_pattern(values: np.ndarray, capacity: int) -> dict[int, int]:
+    """The pattern {length: times} of most value. values[l] is the price of length l; 0: none left."""
+    lengths = np.flatnonzero(values)
+    return _filled(_knapsack(values[lengths], lengths, capacity)[1], capacity)
+
+
+def solve_lp(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[list[tuple[dict[int, int], float]], float]:
+    """Patterns and how often to use each to cover counts[l] pieces of each length l, and what no solution is less than.
+
+    A length's price falls as the share of its pieces that is covered grows. Each round prices patterns once and uses,
+    of the best pattern with each length in it, those that are still worth nearly as much as the best one, each so often
+    that no share grows by more than STEP. The prices of a round are a dual solution once the dearest pattern
+    costs 1; the highest value of these is the bound.
+    """
+    lengths = np.flatnonzero(counts)
+    if not len(lengths):
+        return [], 0.0
+    at = np.zeros(capacity + 1, np.int64)
+    at[lengths] = np.arange(len(lengths))
+    need = counts[lengths].astype(float)
+    share = np.zeros(len(lengths))
     used: dict[tuple, float] = {}
-    step = 1.0 / rounds
-    need = counts.astype(float)
-    mass = float((need * np.arange(len(counts))).sum()) / capacity
+    bound = float((need * lengths).sum()) / capacity
     for _ in range(rounds):
-        pattern = price_pattern(np.where(present, weights, 0.0), capacity)
-        key = tuple(sorted(pattern.items()))
-        amount = max(mass * step, 1e-9)
-        used[key] = used.get(key, 0.0) + amount
-        for l, times in pattern.items():
-            covered[l] += amount * times
-            weights[l] = (l / capacity) * np.exp(-4.0 * min(covered[l] / need[l], 50.0))
-    return [(dict(k), x) for k, x in used.items()]
+        prices = lengths / capacity * np.exp(-PRICE * (share - share.min()))
+        best, pick = _knapsack(prices, lengths, capacity)
+        bound = max(bound, float(prices @ need) / best[capacity])
+        gain = best[capacity - lengths] + prices
+        for k in np.argsort(-gain, kind="stable").tolist():
+            if gain[k] < (1 - NEAR) * best[capacity]:
+                break
+            pattern = _filled(pick, capacity, int(lengths[k]))
+            own = at[list(pattern)]
+            times = np.array(list(pattern.values()))
+            if prices[own] @ times < (1 - NEAR) * best[capacity]:
+                continue
+            amount = STEP * float((need[own] / times).min())
+            key = tuple(sorted(pattern.items()))
+            used[key] = used.get(key, 0.0) + amount
+            share[own] += amount * times / need[own]
+            prices[own] *= np.exp(-PRICE * amount * times / need[own])
+        if share.min() >= 1:
+            break
+    return [(dict(k), x / max(1.0, float(share.min()))) for k, x in used.items()], bound
 
 
 def _best_fit(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -125,40 +159,56 @@ def _best_fit(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], i
     return [(dict(p), n) for rows in opened.values() for p, n in rows]
 
 
-#: Patterns filled less than this are not used when the solution is rounded. Each is tried; 2 uses none.
-FILLED = (0.999, 0.99, 0.97, 0.9, 0.0, 2)
-
-
-def _rounded(solution, counts: np.ndarray, capacity: int, filled: float) -> list[tuple[dict[int, int], int]]:
-    left, out = counts.copy(), []
-    for again in (False, True):  # what rounding down has left may still fill whole sequences
+def _rounded(solution, left: np.ndarray, capacity: int, filled: float, part: float, twice: bool) -> list[tuple[dict[int, int], int]]:
+    """Whole sequences by the patterns that are filled so far, taken out of left, which holds what is still to be packed."""
+    out = []
+    for again in (False, True)[: 1 + twice]:  # what rounding down has left may still fill whole sequences
         for pattern, x in solution:
             if sum(l * n for l, n in pattern.items()) < capacity * filled:
                 continue
             most = min(int(left[l]) // n for l, n in pattern.items())
-            times = most if again else min(int(x), most)
+            times = most if again else min(int(part * x), most)
             if times:
                 out.append((pattern, times))
                 for l, n in pattern.items():
                     left[l] -= n * times
-    return out + _best_fit(left, capacity)
+    return out
+
 
+def plan_sequences(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[list[tuple[dict[int, int], int]], int]:
+    """[(pattern, number of sequences)], and the least number of sequences that any plan needs, by the linear program.
 
-def plan_sequences(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """[(pattern, number of sequences)]; the patterns hold exactly counts[l] pieces of each length l."""
+    The patterns hold exactly counts[l] pieces of each length l. What rounding leaves is priced and rounded anew, and
+    what no pattern fills well is packed best-fit. Several ways of rounding are tried.
+    """
     left = counts.astype(np.int64).copy()
     full = [({capacity: 1}, int(left[capacity]))] if left[capacity] else []
+    least = int(left[capacity])
     left[capacity] = 0
-    solution = sorted(solve_lp(left, capacity, rounds), key=lambda s: -sum(l * n for l, n in s[0].items()))
-    least = -(-int((left * np.arange(len(left))).sum()) // capacity)
+    solution, bound = solve_lp(left, capacity, rounds)
+    least += int(np.ceil(bound - 1e-6))
     best: list[tuple[dict[int, int], int]] | None = None
-    for filled in FILLED:
-        found = _rounded(solution, left, capacity, filled)
+    for filled, part, twice in ROUNDINGS:
+        rest, found = left.copy(), list(full)
+        patterns = solution
+        for _ in range(PASSES):
+            more = _rounded(sorted(patterns, key=lambda s: -sum(l * n for l, n in s[0].items())), rest, capacity, filled, part, twice)
+            found += more
+            if not more or not rest.any() or not twice:
+                break
+            patterns, _ = solve_lp(rest, capacity, max(1, rounds // 4))
+        found += _best_fit(rest, capacity)
         if best is None or sum(n for _, n in found) < sum(n for _, n in best):
             best = found
         if sum(n for _, n in best) == least:
             break
-    return full + best
+    held = np.zeros(len(counts), np.int64)
+    for pattern, n in best:
+        for l, times in pattern.items():
+            held[l] += n * times
+    if (held != counts).any():
+        raise AssertionError("the plan does not hold each piece once")
+    return best, least
 
 
 def place_runs(plan: list[tuple[dict[int, int], int]], capacity: int) -> dict[str, np.ndarray]:
@@ -195,87 +245,6 @@ def _places(runs: dict[str, np.ndarray], capacity: int, length: np.ndarray, numb
 # --- tokens, on the executors --------------------------------------------------------------
 
 _worker: dict = {}
-_SPECIAL, _ODD_SPACE = "<|", "\x1c\x1d\x1e\x1f"
-#: Code points that all versions of Unicode lower-case alike, one by one.
-_WIDE = re.compile("[\u0250-\U0010ffff]")
-_END = "</w>"
-
-
-class Encoder:
-    """Texts to the bytes of their ids, by a tokenizer that never looks across white space.
-
-    Chunks between white space are looked up. What is met first is encoded: plain words many at a
-    time, as the vocabulary marks where each ends; a word before a full stop or comma as the two;
-    other chunks one by one. Texts where white space could be more than that are encoded whole.
-    """
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith(_END)]] = True
-        self.cache: dict[str, bytes] = {}
-
-    def one(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _words(self, words: list[str]) -> None:
-        """Words of letters only: the tokenizer makes each one unit, and its last id is one that ends a word."""
-        for a in range(0, len(words), 5_000):
-            part = words[a : a + 5_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cut = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            if len(cut) == len(part):
-                data, start = ids.tobytes(), 0
-                for w, end in zip(part, cut.tolist(), strict=True):
-                    self.cache[w] = data[start:end]
-                    start = end
-            else:
-                for w in part:
-                    self.cache[w] = self.one(w)
-
-    def _learn(self, chunks: set[str]) -> None:
-        words, joined, rest = set(), [], []
-        for c in chunks:
-            if _WIDE.search(c.lower()):
-                rest.append(c)
-            elif c.isalpha():
-                words.add(c)
-            elif c[-1] in ".," and c[:-1].isalpha():
-                joined.append(c)
-                if c[:-1] not in self.cache:
-                    words.add(c[:-1])
-            else:
-                rest.append(c)
-        self._words(list(words))
-        for a in range(0, len(rest), 20_000):
-            for c, e in zip(rest[a : a + 20_000], self.tokenizer.encode_batch_fast(rest[a : a + 20_000], add_special_tokens=False), strict=True):
-                self.cache[c] = np.array(e.ids, "<u4").tobytes()
-        marks = {m: self.one(m) for m in ".,"}
-        for c in joined:
-            self.cache[c] = self.cache[c[:-1]] + marks[c[-1]]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = []
-        for t in texts:
-            if _SPECIAL in t or any(c in t for c in _ODD_SPACE):
-                split.append(None)
-            else:
-                split.append((t if _WIDE.search(t) else t.lower()).split())
-        every: set[str] = set()
-        for chunks in split:
-            if chunks:
-                every.update(chunks)
-        new = every.difference(self.cache)
-        if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
-            new = every
-        self._learn(new)
-        look = self.cache.__getitem__
-        return [self.one(t) if chunks is None else b"".join(map(look, chunks)) for t, chunks in zip(texts, split, strict=True)]
 
 
 def _encoder(path: str) -> Encoder:
@@ -293,33 +262,30 @@ def _pieces(tokenizer: str, capacity: int):
 
         encode = _encoder(tokenizer if "/" in tokenizer else public_tokenizers.path(tokenizer))
         part = TaskContext.get().partitionId()
-        counted = np.zeros(capacity + 1, np.int64)
+        counted = [0] * (capacity + 1)
         for batch in batches:
-            ids, texts = batch.column("doc_id"), [t or "" for t in batch.column("text").to_pylist()]
-            start = 0
-            while start < len(texts):
-                stop, size = start, 0
-                while stop < len(texts) and (stop == start or size + len(texts[stop]) <= 1_000_000):
-                    size += len(texts[stop])
-                    stop += 1
-                doc, piece, at, length, crc, number = [], [], [], [], [], []
-                for i, data in enumerate(encode(texts[start:stop]), start):
-                    data += end
-                    for k, a in enumerate(range(0, len(data), 4 * capacity)):
-                        own = data[a : a + 4 * capacity]
-                        n = len(own) // 4
-                        doc.append(i)
-                        piece.append(k)
-                        at.append(a // 4)
-                        length.append(n)
-                        crc.append(zlib.crc32(own))
-                        number.append(counted[n])
-                        counted[n] += 1
+            ids, texts = batch.column("doc_id"), batch.column("text").fill_null("")
+            for a, b in chunks(pc.binary_length(texts).to_pylist(), CHUNK):
+                data, at = encode(texts.slice(a, b - a))
+                size = np.diff(at) // 4 + 1  # with the id that ends a document
+                number_of = -(-size // capacity)
+                doc = np.repeat(np.arange(b - a), number_of)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(number_of) - number_of, number_of)
+                start = piece * capacity
+                length = np.minimum(capacity, size[doc] - start)
+                low = at[:-1][doc] + 4 * start
+                high = np.minimum(low + 4 * length, at[1:][doc])
+                raw = memoryview(np.ascontiguousarray(data))
+                crc, number = [], []
+                for x, y, n in zip(low.tolist(), high.tolist(), length.tolist(), strict=True):
+                    c = zlib.crc32(raw[x:y])
+                    crc.append(c if y - x == 4 * n else zlib.crc32(end, c))
+                    number.append(counted[n])
+                    counted[n] += 1
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(doc, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (at, length, crc)), pa.array([part] * len(doc), pa.int32()), pa.array(number, pa.int64())],
+                    [ids.slice(a, b - a).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.full(len(doc), part, np.int32)), pa.array(number, pa.int64())],
                     ["doc_id", "piece", "start", "length", "ids_crc32", "part", "number"],
                 )
-                start = stop
 
     return run
 
@@ -354,7 +320,7 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY,
     histogram = np.zeros(capacity + 1, np.int64)
     for row in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most capacity rows
         histogram[row.length] = row.n
-    runs = spark.sparkContext.broadcast(place_runs(plan_sequences(histogram, capacity, rounds), capacity))
+    runs = spark.sparkContext.broadcast(place_runs(plan_sequences(histogram, capacity, rounds)[0], capacity))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.select("length", "part", F.coalesce(before, F.lit(0)).cast("long").alias("before"))
     kinds = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"

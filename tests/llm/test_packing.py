@@ -3,11 +3,13 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
 from lodestone.llm import packing as P
+from lodestone.llm.word_bpe import Encoder
 from lodestone.session import table
 
 
@@ -50,8 +52,28 @@ def test_empty_table_and_null_ids(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert P.pack(empty).collect() == []
     rows = P.pack(spark.createDataFrame([(None, "a b"), (None, "a b"), (1, "c")], "doc_id long, text string")).collect()
-    assert sorted((r.length, r.offset) for r in rows) == [(2, 0), (3, 2), (3, 5)] or len(rows) == 3
+    assert sorted((r.doc_id or 0, r.piece, r.start, r.length) for r in rows) == [(0, 0, 0, 3), (0, 0, 0, 3), (1, 0, 0, 2)]
     assert len({r.sequence_id for r in rows}) == 1
+    end = 0
+    for r in sorted(rows, key=lambda r: r.offset):
+        assert r.offset == end
+        end += r.length
+
+
+def test_units_as_the_tokenizer_has_them():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encode = Encoder(path)
+    assert encode.by_units
+    rng = random.Random(5)
+    letters = "aAbBsStTéÉ'' .,!0 1\n\tßs\u0331t\u0301\u0338日<|>x\u00a0\x1c"
+    texts = ["", " ", "don't 'story' !'s l'été d'Un ''s", "<|endoftext|>x", "H\u0331 ẖ a\u0338b ≮", *("".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(3000))]
+    ids, at = encode(pa.array(texts))
+    for i, t in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tobytes() == encode.one(t), t
+    other = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not other.by_units
+    ids, at = other(pa.array(texts[:200]))
+    assert all(ids[at[i] : at[i + 1]].tobytes() == other.one(t) for i, t in enumerate(texts[:200]))
 
 
 @pytest.mark.parametrize("kind", ["log", "big", "few", "one", "full"])
@@ -65,14 +87,24 @@ def test_plan_holds_every_piece(kind):
         "full": np.full(9, 2048),
     }[kind]
     counts = np.bincount(lengths, minlength=2049)
-    plan = P.plan_sequences(counts)
+    plan, least = P.plan_sequences(counts)
     held = np.zeros(2049, int)
     for pattern, n in plan:
         assert n > 0 and sum(l * k for l, k in pattern.items()) <= 2048
         for l, k in pattern.items():
             held[l] += k * n
     assert (held == counts).all()
-    assert sum(n for _, n in plan) <= sum(n for _, n in P._best_fit(counts.copy(), 2048))
+    assert least <= sum(n for _, n in plan) <= sum(n for _, n in P._best_fit(counts.copy(), 2048))
+
+
+def test_bound_of_the_program():
+    counts = np.zeros(11, int)
+    counts[6] = 7  # two of six never share ten
+    solution, bound = P.solve_lp(counts, 10)
+    assert bound == pytest.approx(7) and [p for p, _ in solution] == [{6: 1}]
+    counts[4] = 7
+    plan, least = P.plan_sequences(counts, 10)
+    assert least == sum(n for _, n in plan) == 7
 
 
 def test_pricing_finds_the_best_pattern():
