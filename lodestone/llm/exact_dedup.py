@@ -5,61 +5,184 @@ get one integer name: the distinct blocks are dealt out by hash, sorted, and num
 adjacent blocks are then paired, and equal pairs named in the same way, until each document
 has one name. Two documents of as many blocks have the same name only if all bytes are equal.
 
-Distinct blocks cross the network once, in full; this also tells which 64-bit block hashes
-stand for one block. Documents then fetch names by hash alone. Blocks whose hash stands for two
-blocks or more are named by their bytes, so no hash collision can join two texts.
+A document with a block whose 64-bit hash no other block has is like no other: that hash is its name. Only the
+blocks of the others travel, once from each task. Blocks whose hash stands for two blocks or more are named by their
+bytes, so no hash collision can join two texts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, functions as F
 
 from lodestone.session import Scratch
 
-from .rows import keep_rows
+from .rows import keep_rows, with_group
+from .units import raw_bytes
+from .workers import tidy
 
-BLOCK_BYTES = 4096
+BLOCK_BYTES = 16_384
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Stands for the missing right half of a last odd block; no name has this value.
 NO_NAME = -(2**63)
+#: The filter of hashes that several blocks have is so many bits (2 MB), whatever the size of the table. More than it can
+#: tell apart make more blocks travel than need to.
+FILTER_BITS = 24
+#: Bytes of blocks that a task remembers as sent.
+REMEMBERED = 32_000_000
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+
+
+def _texts(batch: pa.RecordBatch) -> tuple[memoryview, list[int]]:
+    """The lower-cased bytes of all texts, and where each begins and the last one ends."""
+    data, at = raw_bytes(batch.column("text").fill_null(""))
+    return memoryview(_LOWER[data]), at.tolist()
+
+
+def _starts(a: int, b: int, size: int) -> range:
+    return range(a, max(b, a + 1), size)
+
+
+def _describe(size: int, block_hash):
+    """(doc_id, text_key, text) to (doc_id, text_key, sha, hashes): a hash for each block; an empty text has one, empty."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = _texts(batch)
+            sha, hashes, ends = [], [], [0]
+            for a, b in zip(at, at[1:]):
+                sha.append(hashlib.sha256(data[a:b]).digest())
+                hashes += [block_hash(data[x : min(x + size, b)]) for x in _starts(a, b, size)]
+                ends.append(len(hashes))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(hashes, np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(sha, pa.binary()), lists], ["doc_id", "text_key", "sha", "hashes"])
+
+    return run
+
 
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
-def normalised(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
+def _filter(hashes: DataFrame) -> np.ndarray:
+    """Bits that are set for each of the hashes (h); by words of 32, so at most 2 ** FILTER_BITS / 32 rows."""
+    slot = F.shiftrightunsigned("h", 64 - FILTER_BITS)
+    words = hashes.groupBy(F.shiftright(slot, 5).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(shiftrightunsigned(h, {64 - FILTER_BITS}) & 31))")).alias("bits"))
+    found = words.toPandas()
+    out = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
+    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).astype(np.uint32)
+    return out
 
-def _blocks(raw: Column, size: int) -> Column:
-    last = F.greatest(F.lit(0), F.floor((F.octet_length(raw) - 1) / size)).cast("int")
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(raw, i * size + 1, F.lit(size)))
+
+def _hit(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = _slot(h)
+    return (bits[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) != 0
+
+
+def _blocks(size: int, block_hash, sent, whole: bool):
+    """(doc_id, text) to blocks whose hash is in the filter.
+
+    If whole, (h, block) of documents of which all blocks are, each block about once; else (doc_id, sha, pos, h, block).
+    """
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, seen, held = sent.value, set(), 0
+        for batch in batches:
+            data, at = _texts(batch)
+            ids = batch.column("doc_id")
+            spans = [[(x, min(x + size, b)) for x in _starts(a, b, size)] for a, b in zip(at, at[1:])]
+            h = np.array([block_hash(data[x:y]) for own in spans for x, y in own], np.uint64)
+            hit, k = _hit(bits, h).tolist(), 0
+            signed = h.view(np.int64).tolist()
+            doc, sha, pos, hs, blocks, total = [], [], [], [], [], 0
+
+            def out():
+                cols = [pa.array(hs, pa.int64()), pa.array(blocks, pa.binary())]
+                if whole:
+                    return pa.RecordBatch.from_arrays(cols, ["h", "block"])
+                return pa.RecordBatch.from_arrays([ids.take(pa.array(doc, pa.int64())), pa.array(sha, pa.binary()), pa.array(pos, pa.int32()), *cols], ["doc_id", "sha", "pos", "h", "block"])
+
+            for i, own in enumerate(spans):
+                mine = range(k, k + len(own))
+                k += len(own)
+                if whole and not all(hit[j] for j in mine):
+                    continue
+                digest = None if whole else hashlib.sha256(data[at[i] : at[i + 1]]).digest()
+                for p, (j, (x, y)) in enumerate(zip(mine, own)):
+                    if not hit[j]:
+                        continue
+                    block = bytes(data[x:y])
+                    if whole:
+                        if block in seen:
+                            continue
+                        held += len(block) + 64
+                        if held > REMEMBERED:
+                            seen, held = set(), 0
+                        seen.add(block)
+                    doc.append(i)
+                    sha.append(digest)
+                    pos.append(p)
+                    hs.append(signed[j])
+                    blocks.append(block)
+                    total += len(block)
+                if total > 4_000_000:
+                    yield out()
+                    doc, sha, pos, hs, blocks, total = [], [], [], [], [], 0
+            yield out()
+
+    return run
 
 
 def _numbered(distinct: DataFrame, *order: str) -> DataFrame:
     return distinct.sortWithinPartitions(*order).withColumn("name", F.monotonically_increasing_id())
 
 
-def name_texts(docs: DataFrame, scratch: Scratch, block_bytes: int = BLOCK_BYTES, block_hash=F.xxhash64) -> DataFrame:
-    """One row (doc_id, rid, sha, n, name) for each row of docs (doc_id, text), written once.
+def name_texts(docs: DataFrame, scratch: Scratch, block_bytes: int = BLOCK_BYTES, block_hash=xxhash.xxh3_64_intdigest) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key, rid, sha) for each row of docs (doc_id, text), and (rid, n, name) for those that may be like another.
 
     rid tells rows apart, so rows with the same doc_id are rows of their own. (n, name) is equal
-    for two rows exactly if their texts are equal after lower-casing A-Z; null counts as empty.
+    for two rows exactly if their texts are equal after lower-casing A-Z; null counts as empty. Rows
+    without a name are like no other. text_key is xxhash64 of the text as it is.
     """
-    raw = docs.select("doc_id", F.encode(normalised(F.col("text")), "UTF-8").alias("raw"))
-    flat = raw.select(F.explode(_blocks(F.col("raw"), block_bytes)).alias("block")).select(block_hash("block").alias("h"), "block")
-    named = _numbered(flat.distinct(), "block")
-    by_hash = scratch.save(named.groupBy("h").agg(F.count(F.lit(1)).alias("blocks"), F.min("name").alias("name")), "hashes")
-    refs = scratch.save(
-        raw.select("doc_id", F.monotonically_increasing_id().alias("rid"), F.unhex(F.sha2("raw", 256)).alias("sha"), _blocks(F.col("raw"), block_bytes).alias("blocks"))
-        .select("doc_id", "rid", "sha", F.size("blocks").alias("n"), F.posexplode(F.transform("blocks", lambda b: block_hash(b))).alias("pos", "h")),
-        "refs",
-    )
-    sure = by_hash.where("blocks = 1").select("h", "name")
-    level = refs.join(sure, "h").select("rid", "n", "pos", "name")
-    shared = by_hash.where("blocks > 1").select("h")
-    if not shared.isEmpty():
-        level = level.unionByName(_named_by_bytes(raw, refs, flat, shared, scratch, block_bytes, block_hash))
+    spark = docs.sparkSession
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    told = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(_describe(block_bytes, block_hash), f"doc_id {kind}, text_key long, sha binary, hashes array<long>")
+    refs = scratch.save(told.withColumn("rid", F.monotonically_increasing_id()), "refs")
+    heads = refs.select("doc_id", "text_key", "rid", "sha")
+    each = refs.select("rid", F.explode("hashes").alias("h"))
+    counts = scratch.save(each.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min("rid").alias("rid")), "hashes")
+    alone = counts.where("size = 1").select("rid").distinct()
+    some = scratch.save(refs.join(alone, "rid", "left_anti").select("doc_id", "sha", "rid", "hashes"), "some")
+    shared = counts.where("size > 1")
+    if some.isEmpty():
+        return heads, spark.createDataFrame([], "rid long, n int, name long")
+    text = docs.select("doc_id", "text")
+    sent = spark.sparkContext.broadcast(_filter(shared))
+    named = _numbered(text.mapInArrow(_blocks(block_bytes, block_hash, sent, True), "h long, block binary").distinct(), "block")
+    by_hash = scratch.save(named.groupBy("h").agg(F.count(F.lit(1)).alias("blocks"), F.min("name").alias("name")), "names")
+    parts = some.select("doc_id", "sha", "rid", F.size("hashes").alias("n"), F.posexplode("hashes").alias("pos", "h"))
+    met = scratch.save(with_group(parts, by_hash.join(counts.select("h", "size"), "h"), ["h"], "rid"), "met")
+    level = met.where("g.blocks = 1").select("rid", "n", "pos", F.col("g.name").alias("name"))
+    more = met.where("g.blocks > 1")
+    if not more.isEmpty():
+        sent = spark.sparkContext.broadcast(_filter(more.select("h").distinct()))
+        blocks = text.mapInArrow(_blocks(block_bytes, block_hash, sent, False), f"doc_id {kind}, sha binary, pos int, h long, block binary")
+        blocks = scratch.save(blocks.distinct(), "blocks")
+        names = scratch.save(_numbered(blocks.groupBy("block").agg(F.count(F.lit(1)).alias("size")), "block").withColumn("name", -1 - F.col("name")), "bytes")
+        own = with_group(blocks, names, ["block"], "sha").select(F.col("doc_id").alias("_id"), "sha", "pos", F.col("g.name").alias("name"))
+        wanted = more.select("doc_id", "sha", "rid", "n", "pos")
+        same = wanted["doc_id"].eqNullSafe(own["_id"]) & (wanted["sha"] == own["sha"]) & (wanted["pos"] == own["pos"])
+        level = level.unionByName(wanted.join(own, same).select("rid", "n", wanted["pos"], "name"))
     level = scratch.save(level, "level")
     longest = level.agg(F.max("n")).first()[0] or 1
-    done = [level.where("n = 1").select("rid", "name")]
+    done = [level.where("n = 1").select("rid", "n", "name")]
     left = 1
     while left < longest:
         pairs = (
@@ -68,58 +191,49 @@ def name_texts(docs: DataFrame, scratch: Scratch, block_bytes: int = BLOCK_BYTES
             .agg(F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("a"), F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))).alias("b"))
             .withColumn("b", F.coalesce("b", F.lit(NO_NAME)))
         )
-        names = _numbered(pairs.select("a", "b").distinct(), "a", "b")
-        level = scratch.save(pairs.join(names, ["a", "b"]).select("rid", "n", "pos", "name"), "level")
-        done.append(level.where(f"n > {left} and n <= {2 * left}").select("rid", "name"))
+        pairs = scratch.save(pairs, "pairs")
+        names = scratch.save(_numbered(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("size")), "a", "b"), "names")
+        level = scratch.save(with_group(pairs, names, ["a", "b"], "rid").select("rid", "n", "pos", F.col("g.name").alias("name")), "level")
+        done.append(level.where(f"n > {left} and n <= {2 * left}").select("rid", "n", "name"))
         left *= 2
     whole = done[0]
     for more in done[1:]:
         whole = whole.unionByName(more)
-    heads = refs.where("pos = 0").select("doc_id", "rid", "sha", "n")
-    return heads.join(whole, "rid").select("doc_id", "rid", "sha", "n", "name")
-
-
-def _named_by_bytes(raw, refs, flat, shared, scratch, block_bytes, block_hash) -> DataFrame:
-    """Names, below zero, of the blocks that share their hash with another block."""
-    some = flat.join(shared, "h", "left_semi").distinct()
-    names = scratch.save(_numbered(some, "block").select("block", (-1 - F.col("name")).alias("name")), "bytes")
-    texts = (
-        raw.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.unhex(F.sha2("raw", 256)).alias("sha"), F.posexplode(_blocks(F.col("raw"), block_bytes)).alias("pos", "block"))
-        .withColumn("h", block_hash("block"))
-        .join(shared, "h", "left_semi")
-        .join(names, "block")
-        .select("doc_id", "sha", "pos", "h", "name")
-        .distinct()
-    )
-    wanted = refs.join(shared, "h", "left_semi").alias("r")
-    on = [F.col("r.doc_id").eqNullSafe(F.col("t.doc_id")), F.col("r.sha") == F.col("t.sha"), F.col("r.pos") == F.col("t.pos"), F.col("r.h") == F.col("t.h")]
-    return wanted.join(texts.alias("t"), on).select("r.rid", "r.n", "r.pos", "t.name")
+    return heads, scratch.save(whole, "whole")
+
+
+def _grouped(docs: DataFrame, scratch: Scratch, block_bytes: int, block_hash) -> DataFrame:
+    """(doc_id, text_key, sha, best, size): best is of the row that stays, null where a text is alone; size is too."""
+    heads, names = name_texts(docs.select("doc_id", "text"), scratch, block_bytes, block_hash)
+    named = scratch.save(heads.select("doc_id", "text_key", "rid").join(names, "rid"), "named")
+    groups = named.groupBy("n", "name").agg(F.max(F.struct("doc_id", "text_key", "rid")).alias("best"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    groups = scratch.save(groups, "groups")
+    found = with_group(named.select("rid", "n", "name"), groups, ["n", "name"], "rid").where("g is not null").select("rid", "g.best", "g.size")
+    return heads.join(found, "rid", "left").withColumn("kept", F.col("best").isNull() | (F.col("rid") == F.col("best.rid")))
 
 
-def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES, block_hash=F.xxhash64) -> DataFrame:
+def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES, block_hash=xxhash.xxh3_64_intdigest) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for every row of docs (doc_id, text, ...).
 
     Null text counts as empty, and empty texts are equal. Of equal texts the row with the largest
-    doc_id is kept; of rows that share that too, the last read; a null doc_id is less than any
-    other. Other columns are not read. An empty table gives no rows.
+    doc_id is kept; of rows that share that too, the one whose text as it is has the largest xxhash64, and one of rows
+    with the same text; a null doc_id is less than any other. Other columns are not read. An empty table gives no rows.
     """
-    scratch = Scratch(docs.sparkSession, "exact-dedup")
-    names = scratch.save(name_texts(docs.select("doc_id", "text"), scratch, block_bytes, block_hash), "names")
-    groups = names.groupBy("n", "name").agg(F.max(F.struct("doc_id", "rid")).alias("best"), F.count(F.lit(1)).alias("group_size"))
-    return names.join(groups, ["n", "name"]).select(
+    found = _grouped(docs, Scratch(docs.sparkSession, "exact-dedup"), block_bytes, block_hash)
+    return found.select(
         "doc_id",
-        F.col("best.doc_id").alias("keep_id"),
-        "group_size",
-        (F.col("rid") == F.col("best.rid")).alias("kept"),
+        F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),
+        F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
+        "kept",
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs that exact_duplicates keeps, with all their columns."""
+    """The rows of docs that exact_duplicates keeps, with all their columns; of rows alike in doc_id and text, see keep_rows."""
     scratch = Scratch(docs.sparkSession, "exact-dedup-keep")
-    found = exact_duplicates(docs).where("group_size > 1").select("doc_id", F.col("text_sha256").alias("text_key"), "kept")
-    return keep_rows(docs, found, F.sha2(F.encode(normalised(F.col("text")), "UTF-8"), 256), scratch)
+    found = _grouped(docs, scratch, BLOCK_BYTES, xxhash.xxh3_64_intdigest).where("best is not null").select("doc_id", "text_key", "kept")
+    return keep_rows(docs, found, F.xxhash64("text"), scratch)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Taking rows out of documents by verdicts on (doc_id, text)."""
+"""Joins of rows with what is known of their groups."""
 
 from __future__ import annotations
 
@@ -6,12 +6,31 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestone.session import Scratch
 
+#: Groups of more rows are dealt out in SALTS parts.
+HOT, SALTS = 200, 64
+
+
+def with_group(rows: DataFrame, groups: DataFrame, on: list[str], salt: str, size: str = "size") -> DataFrame:
+    """rows with the column g, a struct of the other columns of their group, or null where there is none.
+
+    groups has a row for each group, with how many rows it has in the column size; on are not null. Rows of a group
+    of more than HOT rows meet their group in SALTS parts, by the hash of the column salt, so that no task gets a whole one.
+    """
+    told = groups.select(*on, size, F.struct(*(c for c in groups.columns if c not in on)).alias("_g"))
+    hot = told.where(F.col(size) > HOT).select(*on, F.col("_g").alias("_hot"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_part"))
+    cold = told.where(F.col(size) <= HOT).select(*on, F.col("_g").alias("_cold"), F.lit(-1).alias("_part"))
+    part = F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")
+    out = rows.withColumn("_part", part).join(hot, [*on, "_part"], "left")
+    # Rows that met their group are dealt out as before; no other group has their part.
+    out = out.withColumn("_part", F.when(F.col("_hot").isNull(), -1).otherwise(F.col("_part"))).join(cold, [*on, "_part"], "left")
+    return out.withColumn("g", F.coalesce("_hot", "_cold")).drop("_hot", "_cold", "_part")
+
 
 def keep_rows(docs: DataFrame, verdicts: DataFrame, key: Column, scratch: Scratch) -> DataFrame:
     """docs without the rows that verdicts (doc_id, text_key, kept) drop; all columns of docs stay.
 
-    key is text_key's expression over docs. Rows of docs that agree in doc_id and key can't be told
-    apart; they go if no verdict on them is kept, and otherwise one of them stays for those dropped.
+    key is text_key's expression over docs. Rows of docs that agree in doc_id and key have the same text. They go
+    if no verdict on them is kept; otherwise the one whose columns come first as JSON stays for those dropped.
     Names in docs may be any but _k_id, _k_text and _k_row.
     """
     groups = verdicts.groupBy("doc_id", "text_key").agg(F.max("kept").alias("kept"), F.min("kept").alias("all_kept"))
@@ -25,5 +44,6 @@ def keep_rows(docs: DataFrame, verdicts: DataFrame, key: Column, scratch: Scratc
     again = groups.where("kept")
     if again.isEmpty():
         return out
-    one = matching(again, "left_semi").withColumn("_k_row", key).dropDuplicates(["doc_id", "_k_row"]).drop("_k_row")
-    return out.unionByName(one)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    one = matching(again, "left_semi").groupBy("doc_id", key.alias("_k_text")).agg(F.min_by(row, F.to_json(row)).alias("_k_row"))
+    return out.unionByName(one.select("_k_row.*"))

@@ -3,7 +3,7 @@ import random
 from collections import defaultdict
 
 import pytest
-from pyspark.sql import functions as F
+import xxhash
 
 from lodestone.llm import exact_dedup as E
 from lodestone.session import table
@@ -24,9 +24,8 @@ def found(df):
 
 
 def hash_of(kind):
-    if kind == "usual":
-        return F.xxhash64
-    return lambda c: F.pmod(F.xxhash64(c), F.lit(3)) if kind == "few" else F.xxhash64(c) * 0
+    of = xxhash.xxh3_64_intdigest
+    return {"usual": of, "few": lambda c: of(c) % 3, "one": lambda c: 0}[kind]
 
 
 @pytest.mark.parametrize("kind", ["usual", "few", "one"])
@@ -52,6 +51,17 @@ def test_repeated_rows_null_ids_clashing_columns(spark):
     assert len(got) == 7 and sum(r.kept for r in got) == 4
     kept = E.drop_exact_duplicates(df)
     assert kept.columns == df.columns
-    assert sorted((r.doc_id or 0, (r.text or "").lower()) for r in kept.collect()) in ([(0, "b"), (1, "a"), (2, "c"), (3, "")], [(0, "b"), (1, "a"), (2, "c"), (2, "c"), (3, "")])
+    assert sorted((r.doc_id or 0, (r.text or "").lower(), r.name) for r in kept.collect() if r.doc_id != 2) == [(0, "b", 8), (1, "a", 5), (3, "", 11)]
+    two = [r.text for r in kept.collect() if r.doc_id == 2]
+    hashed = {r.text: r.h for r in df.where("doc_id = 2").selectExpr("text", "xxhash64(text) AS h").collect()}
+    assert two == [max(hashed, key=hashed.get)]
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert E.exact_duplicates(empty).collect() == [] and E.drop_exact_duplicates(empty).collect() == []
+
+
+def test_a_large_group_is_dealt_out(spark):
+    """More rows than one part may have, and a very long text."""
+    rows = [(i, "Same" if i % 3 else "same") for i in range(900)] + [(1000, "x" * 300_000), (1001, "X" * 300_000), (1002, "x" * 299_999)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert found(E.exact_duplicates(df)) == expected(rows)
+    assert sorted(r.doc_id for r in E.drop_exact_duplicates(df).collect()) == [899, 1001, 1002]
