@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lodestone.session import Scratch
 
+from .filters import hash_filter, passes
 from .rows import keep_rows, with_group
 from .units import raw_bytes
 from .workers import tidy
@@ -30,9 +31,6 @@ BLOCK_BYTES = 16_384
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Stands for the missing right half of a last odd block; no name has this value.
 NO_NAME = -(2**63)
-#: The filter of hashes that several blocks have is so many bits (2 MB), whatever the size of the table. More than it can
-#: tell apart make more blocks travel than need to.
-FILTER_BITS = 24
 #: Bytes of blocks that a task remembers as sent.
 REMEMBERED = 32_000_000
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -66,25 +64,6 @@ def _describe(size: int, block_hash):
     return run
 
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-
-
-def _filter(hashes: DataFrame) -> np.ndarray:
-    """Bits that are set for each of the hashes (h); by words of 32, so at most 2 ** FILTER_BITS / 32 rows."""
-    slot = F.shiftrightunsigned("h", 64 - FILTER_BITS)
-    words = hashes.groupBy(F.shiftright(slot, 5).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(shiftrightunsigned(h, {64 - FILTER_BITS}) & 31))")).alias("bits"))
-    found = words.toPandas()
-    out = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).astype(np.uint32)
-    return out
-
-
-def _hit(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = _slot(h)
-    return (bits[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) != 0
-
-
 def _blocks(size: int, block_hash, sent, whole: bool):
     """(doc_id, text) to blocks whose hash is in the filter.
 
@@ -99,7 +78,7 @@ def _blocks(size: int, block_hash, sent, whole: bool):
             ids = batch.column("doc_id")
             spans = [[(x, min(x + size, b)) for x in _starts(a, b, size)] for a, b in zip(at, at[1:])]
             h = np.array([block_hash(data[x:y]) for own in spans for x, y in own], np.uint64)
-            hit, k = _hit(bits, h).tolist(), 0
+            hit, k = passes(bits, h).tolist(), 0
             signed = h.view(np.int64).tolist()
             doc, sha, pos, hs, blocks, total = [], [], [], [], [], 0
 
@@ -164,7 +143,7 @@ def name_texts(docs: DataFrame, scratch: Scratch, block_bytes: int = BLOCK_BYTES
     if some.isEmpty():
         return heads, spark.createDataFrame([], "rid long, n int, name long")
     text = docs.select("doc_id", "text")
-    sent = spark.sparkContext.broadcast(_filter(shared))
+    sent = spark.sparkContext.broadcast(hash_filter(shared, "h"))
     named = _numbered(text.mapInArrow(_blocks(block_bytes, block_hash, sent, True), "h long, block binary").distinct(), "block")
     by_hash = scratch.save(named.groupBy("h").agg(F.count(F.lit(1)).alias("blocks"), F.min("name").alias("name")), "names")
     parts = some.select("doc_id", "sha", "rid", F.size("hashes").alias("n"), F.posexplode("hashes").alias("pos", "h"))
@@ -172,7 +151,7 @@ def name_texts(docs: DataFrame, scratch: Scratch, block_bytes: int = BLOCK_BYTES
     level = met.where("g.blocks = 1").select("rid", "n", "pos", F.col("g.name").alias("name"))
     more = met.where("g.blocks > 1")
     if not more.isEmpty():
-        sent = spark.sparkContext.broadcast(_filter(more.select("h").distinct()))
+        sent = spark.sparkContext.broadcast(hash_filter(more, "h"))
         blocks = text.mapInArrow(_blocks(block_bytes, block_hash, sent, False), f"doc_id {kind}, sha binary, pos int, h long, block binary")
         blocks = scratch.save(blocks.distinct(), "blocks")
         names = scratch.save(_numbered(blocks.groupBy("block").agg(F.count(F.lit(1)).alias("size")), "block").withColumn("name", -1 - F.col("name")), "bytes")

@@ -4,15 +4,14 @@
    sorted hashes gives the one-permutation signature: the least hash of each of 128 bins. An empty
    bin takes the value of the first filled bin in a probe sequence of its own (optimal
    densification). Texts with one set are one class, and only its first row goes on.
-2. Four neighbouring bins make a band. Documents that agree in a band meet in a bucket; a pair at
-   similarity 0.75 misses all 32 buckets with a chance of 5 in a million.
-3. Shingles that one candidate alone has are in no intersection, and two members of a bucket share no
-   more than the one shares with its hub plus what the other has beside it. Documents and pairs that
-   can't reach a link by these bounds are put aside.
-4. A bucket sends out a star: one hub, the member with the smallest share of such shingles, and an
-   edge to each other member. Links are confirmed on full sets and joined to components. Members outside the
-   first hub's component become hubs of further stars, until each pair of a bucket is in one
-   component, is ruled out by its counts, or has been compared; so no bucket loses a link.
+2. Four neighbouring bins make a band. Classes that agree in a band meet in a bucket; a pair at
+   similarity 0.75 misses all 32 buckets with a chance of 5 in a million. Of buckets with the same members one stays.
+3. A bucket sends out a star: its hub is the member of the least number, with an edge to each other member. Links are confirmed
+   on full sets and joined to components.
+4. In buckets whose members are of several components, those outside the hub's one are held against the others by
+   sketches, a part of the bucket against a part of it in each task. Of the pairs that may be linked, each such member's
+   likeliest with each other component are confirmed, then ever more of them, until all that may be linked are of one
+   component or compared; so no bucket loses a link.
 """
 
 from __future__ import annotations
@@ -21,27 +20,38 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from lodestone.session import Scratch, table
 
 from .components import connected_components
-from .rows import keep_rows
+from .filters import hash_filter, passes
+from .rows import keep_rows, with_group
+from .units import chunks, coded, raw_bytes, split
 from .workers import tidy
 
 WORDS, BINS, ROWS = 5, 128, 4
 #: Links need PER_CENT * union <= 100 * intersection.
 PER_CENT = 75
-#: Of sets of at least ESTIMATED shingles, the similarity is at most the share of bins that agree plus
-#: MARGIN, which is over six standard deviations.
-ESTIMATED, MARGIN = 64, 0.25
-CHUNK = 2_000_000
-#: After the first, a round has at most so many times the hubs for each bucket that the one before had.
-MORE_HUBS = 64
+#: A sketch is the one-permutation signature of so many bins, by 16 bits each. Of sets of at least ESTIMATED shingles, the
+#: similarity is at most the share of bins that agree plus MARGIN, which is over six standard deviations.
+SKETCH, ESTIMATED, MARGIN = 256, 64, 0.19
+CHUNK = 8_000_000
+#: Rows of a bucket are dealt out in so many parts when they meet what is known of it.
+SALTS = 32
+#: Members of a bucket are held against one another in parts of about so many.
+PART = 512
+#: Pairs of one member and one other component that are confirmed at first, and how many times as many in each round that follows.
+FIRST, MORE = 1, 8
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
-_BOUNDS = np.arange(BINS, dtype=np.uint64) << np.uint64(57)
 _PROBES = 1024
+_SPACES = b"\t\n\x0b\x0c\r "
+#: White space as one space, A-Z as a-z.
+_LOWER = np.array([0x20 if b in _SPACES else b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+#: Units begin where a word does.
+_JOINED = ~((np.arange(65536) // 256 == 0x20) & (np.arange(65536) % 256 != 0x20))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -50,48 +60,82 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_PROBE = (_mixed(np.arange(1, BINS * _PROBES + 1, dtype=np.uint64)) % np.uint64(BINS)).astype(np.int64).reshape(BINS, _PROBES)
+def _probe(bins: int) -> np.ndarray:
+    return (_mixed(np.arange(1, bins * _PROBES + 1, dtype=np.uint64)) % np.uint64(bins)).astype(np.int64).reshape(bins, _PROBES)
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """The sorted distinct hashes of a text's 5-word shingles; with fewer words, of all its words."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return np.empty(0, np.uint64)
+_PROBE = {bins: _probe(bins) for bins in (BINS, SKETCH)}
+
+
+def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+    """Of each text, the sorted distinct hashes of its 5-word shingles; with fewer words, of all its words. texts are without null."""
+    data, at = raw_bytes(texts)
+    data = _LOWER[data]
+    begins, sizes = split(data, at, _JOINED)
+    codes, distinct = coded(data, begins)
     digest = xxhash.xxh3_64_intdigest
-    hashes = np.fromiter(map(digest, words), np.uint64, len(words))
-    size = min(len(words), WORDS)
-    count = len(words) - size + 1
-    total = np.full(count, size, np.uint64)
-    for j in range(size):
-        total += hashes[j : j + count] * _MULTIPLIERS[j]
-    return np.unique(_mixed(total))
+    words = [w.rstrip(b" ") for w in distinct.to_pylist()]
+    hashes = np.array([digest(w) for w in words], np.uint64)[codes]
+    full = np.array([len(w) > 0 for w in words], bool)[codes]  # white space before a text's first word is a unit too
+    ends = np.concatenate([[0], np.cumsum(full)])[np.concatenate([[0], np.cumsum(sizes)])]
+    hashes = hashes[full]
+    total = np.full(max(len(hashes) - WORDS + 1, 0), WORDS, np.uint64)
+    for j in range(WORDS):
+        total += hashes[j : j + len(total)] * _MULTIPLIERS[j]
+    total = _mixed(total)
+    out = []
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        if b - a >= WORDS:
+            own = np.sort(total[a : b - WORDS + 1])
+            new = np.ones(len(own), bool)
+            np.not_equal(own[1:], own[:-1], out=new[1:])
+            out.append(own if new.all() else own[new])
+        elif b > a:
+            few = np.full(1, b - a, np.uint64)
+            for j in range(b - a):
+                few += hashes[a + j : a + j + 1] * _MULTIPLIERS[j]
+            out.append(_mixed(few))
+        else:
+            out.append(np.empty(0, np.uint64))
+    return out
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    return shingle_sets(pa.array([text or ""], pa.string()))[0]
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
+def signatures(sets: list[np.ndarray], bins: int = BINS) -> np.ndarray:
     """Densified one-permutation signatures, a row for each set; sets are not empty."""
-    sig = np.zeros((len(sets), BINS), np.uint64)
-    filled = np.zeros((len(sets), BINS), bool)
-    for i, s in enumerate(sets):
-        at = np.searchsorted(s, _BOUNDS)
-        filled[i] = np.append(at[1:], len(s)) > at
-        sig[i] = s[np.minimum(at, len(s) - 1)]
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    flat = np.concatenate(sets)
+    shift = np.uint64(64 - (bins - 1).bit_length())
+    bin_of = np.repeat(np.arange(len(sets)) * bins, size) + (flat >> shift).astype(np.int64)
+    first = np.ones(len(flat), bool)
+    np.not_equal(bin_of[1:], bin_of[:-1], out=first[1:])
+    sig = np.zeros(len(sets) * bins, np.uint64)
+    filled = np.zeros(len(sets) * bins, bool)
+    sig[bin_of[first]], filled[bin_of[first]] = flat[first], True
+    sig, filled = sig.reshape(-1, bins), filled.reshape(-1, bins)
     row, bin_ = np.nonzero(~filled)
     source = np.full(len(row), -1, np.int64)
     left = np.arange(len(row))
     for t in range(_PROBES):
         if not len(left):
             break
-        probe = _PROBE[bin_[left], t]
+        probe = _PROBE[bins][bin_[left], t]
         hit = filled[row[left], probe]
         source[left[hit]] = probe[hit]
         left = left[~hit]
     for i in left:  # as good as never: the next filled bin
-        source[i] = (bin_[i] + 1 + np.argmax(np.roll(filled[row[i]], -bin_[i] - 1))) % BINS
+        source[i] = (bin_[i] + 1 + np.argmax(np.roll(filled[row[i]], -bin_[i] - 1))) % bins
     sig[row, bin_] = sig[row, source]
     return sig
 
 
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    return (_mixed(signatures(sets, SKETCH)) & np.uint64(0xFFFF)).astype(np.uint16)
+
+
 def _band_keys(sig: np.ndarray) -> np.ndarray:
     bands = sig.reshape(len(sig), BINS // ROWS, ROWS)
     key = np.broadcast_to(np.arange(1, BINS // ROWS + 1, dtype=np.uint64), bands.shape[:2]).copy()
@@ -100,221 +144,221 @@ def _band_keys(sig: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _groups(texts, size: int = CHUNK) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about size characters."""
-    start = total = 0
-    for i, n in enumerate(texts):
-        total += n
-        if total >= size:
-            yield start, i + 1
-            start, total = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def may_link(alike: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Which pairs may be linked, by the share of sketch bins that agree and the sizes of their sets."""
+    small, large = np.minimum(n_a, n_b), np.maximum(n_a, n_b)
+    return (100 * small >= PER_CENT * large) & ((small < ESTIMATED) | (alike + MARGIN >= PER_CENT / 100))
 
 
-def _lengths(column: pa.Array) -> list[int]:
-    import pyarrow.compute as pc
-
-    return pc.fill_null(pc.binary_length(column), 0).to_pylist()
+def _parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    return chunks(pc.binary_length(texts).to_pylist(), CHUNK)
 
 
 @tidy
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, doc_id, text_key, text) to (rid, doc_id, text_key, n, fp, bands, sig)."""
+    """(doc_id, text_key, text) to (doc_id, text_key, n, fp, bands)."""
     for batch in batches:
-        for a, b in _groups(_lengths(batch.column("text"))):
-            part = batch.slice(a, b - a)
-            sets = [shingle_set(x) for x in part.column("text").to_pylist()]
+        texts = batch.column("text").fill_null("")
+        for a, b in _parts(texts):
+            sets = shingle_sets(texts.slice(a, b - a))
             full = [i for i, s in enumerate(sets) if len(s)]
-            fp, bands, sigs = [None] * len(sets), [None] * len(sets), [None] * len(sets)
+            fp, bands = [None] * len(sets), [None] * len(sets)
             if full:
-                sig = signatures([sets[i] for i in full])
-                keys, low = _band_keys(sig), (_mixed(sig) & np.uint64(0xFFFF)).astype(np.uint16)
+                keys = _band_keys(signatures([sets[i] for i in full]))
                 for k, i in enumerate(full):
-                    fp[i], bands[i], sigs[i] = xxhash.xxh3_128_digest(sets[i].tobytes()), keys[k], low[k].tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [part.column("rid"), part.column("doc_id"), part.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-                ["rid", "doc_id", "text_key", "n", "fp", "bands", "sig"],
-            )
+                    fp[i], bands[i] = xxhash.xxh3_128_digest(sets[i]), keys[k]
+            cols = [pa.array([len(s) for s in sets], pa.int64()), pa.array(fp, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("doc_id", "text_key")), *cols], ["doc_id", "text_key", "n", "fp", "bands"])
 
 
-@tidy
-def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, text, fp) to (rid, shingles) for the sets that are wanted."""
-    for batch in batches:
-        for a, b in _groups(_lengths(batch.column("text"))):
-            part = batch.slice(a, b - a)
-            rids, out = [], []
-            for rid, text, wanted in zip(*(part.column(c).to_pylist() for c in ("rid", "text", "fp")), strict=True):
-                data = shingle_set(text).tobytes()
-                if xxhash.xxh3_128_digest(data) == wanted:
-                    rids.append(rid)
-                    out.append(data)
-            yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(out, pa.binary())], ["rid", "shingles"])
+def _full_sets(sent):
+    """(text_key, text) to (fp, shingles, sketch) of the texts whose key is in the filter, about once each."""
 
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            keys = batch.column("text_key").to_numpy()
+            wanted = np.flatnonzero(passes(sent.value, keys.view(np.uint64)))
+            once = []
+            for i, key in zip(wanted.tolist(), keys[wanted].tolist(), strict=True):
+                if key not in seen:
+                    seen.add(key)
+                    once.append(i)
+            if len(seen) > 1_000_000:
+                seen.clear()
+            texts = batch.column("text").fill_null("").take(pa.array(once, pa.int64()))
+            for a, b in chunks(pc.binary_length(texts).to_pylist(), CHUNK // 4):
+                sets = [s for s in shingle_sets(texts.slice(a, b - a)) if len(s)]
+                if sets:
+                    sketch = [x.tobytes() for x in sketches(sets)]
+                    yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(sketch, pa.binary())], ["fp", "shingles", "sketch"])
 
-@tidy
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, shingles) to a row (rid, shingle) for each member of a set."""
-    for batch in batches:
-        for rid, data in zip(batch.column("rid"), batch.column("shingles"), strict=True):
-            s = np.frombuffer(data.as_buffer(), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), rid.as_py(), np.int64)), pa.array(s)], ["rid", "shingle"])
+    return run
 
 
-@tidy
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, upto): how many shingles a pair shares at most, by its signatures; null if it may be linked."""
-    for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BINS) for c in ("sig_a", "sig_b"))
-        n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
-        alike = (a == b).mean(axis=1)
-        most = np.minimum(alike + MARGIN, 1)
-        upto = np.floor(most / (1 + most) * (n_a + n_b)).astype(np.int64)
-        open_ = (np.minimum(n_a, n_b) < ESTIMATED) | (alike + MARGIN >= PER_CENT / 100)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(upto, pa.int64(), mask=open_)], ["a", "b", "upto"])
+def _sketch_rows(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SKETCH)
 
 
 @tidy
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, set_a, set_b) to (a, b, upto, linked), with upto the size of the intersection."""
+    """(a, b, set_a, set_b, sketch_a, sketch_b) to (a, b, linked)."""
     for batch in batches:
-        upto, linked = [], []
-        for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-            s, t = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            upto.append(both)
-            linked.append(100 * both >= PER_CENT * (len(s) + len(t) - both))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(upto, pa.int64()), pa.array(linked, pa.bool_())], ["a", "b", "upto", "linked"])
-
-
-#: Two documents share no more than the one shares with the bucket's first hub, plus what the other has beside it.
-#: Of what is shared with the hub, with_hub is the most and sure the least.
-_SHARED = "least(m_most, h_most, m_with_hub + h_most - h_sure, h_with_hub + m_most - m_sure)"
-_ABLE = f"m_rid <> h_rid and m_label <> h_label and 100 * {_SHARED} >= {PER_CENT} * (m_n + h_n - {_SHARED})"
-
-
-def _side(df: DataFrame, side: str, *more: str) -> DataFrame:
-    return df.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("rid", "n", "most", "with_hub", "sure", "label", *more)))
-
-
-def _pairs(members: DataFrame, hubs: DataFrame, condition: str = "true") -> DataFrame:
-    """Distinct (a, b) of hubs and members in one bucket whose labels differ and whose counts allow a link."""
-    met = members.join(hubs, "key").where(f"{_ABLE} and {condition}")
-    return met.select(F.least("m_rid", "h_rid").alias("a"), F.greatest("m_rid", "h_rid").alias("b")).distinct()
-
-
-def _compared(pairs: DataFrame, reps: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b, upto, exact, linked) of pairs, confirmed on full sets unless signatures rule a link out; upto is an exact count if exact."""
-    side = lambda s: reps.select(F.col("rid").alias(s), F.col("n").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"))
-    near = scratch.save(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_alike, "a long, b long, upto long"), "alike")
-    full = lambda s: sets.select(F.col("rid").alias(s), F.col("shingles").alias(f"set_{s}"))
-    whole = near.where("upto is null").join(full("a"), "a").join(full("b"), "b").select("a", "b", "set_a", "set_b")
-    told = whole.mapInArrow(_confirmed, "a long, b long, upto long, linked boolean")
-    told = told.withColumn("exact", F.lit(True))
-    return scratch.save(told.unionByName(near.where("upto is not null").withColumn("linked", F.lit(False)).withColumn("exact", F.lit(False))), "compared")
-
-
-def _hub(*more: str):
-    """The member most central by how few shingles it has alone."""
-    return F.min(F.struct(((F.col("n") - F.col("most")) / F.col("n")).alias("alone"), "rid", "n", "most", *more)).alias("hub")
-
-
-def _members(entries: DataFrame, met: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, rid, n, most): the bucket entries that some size in the bucket lets reach a link.
-
-    most is how many shingles a document shares with others; one that a single set has is in no intersection.
+        n_a, n_b = (pc.binary_length(batch.column(c)).to_numpy() // 8 for c in ("set_a", "set_b"))
+        alike = (_sketch_rows(batch.column("sketch_a")) == _sketch_rows(batch.column("sketch_b"))).mean(axis=1) if batch.num_rows else np.empty(0)
+        linked = np.zeros(batch.num_rows, bool)
+        for i in np.flatnonzero(may_link(alike, n_a, n_b)).tolist():
+            s, t = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in ("set_a", "set_b"))
+            both = np.sort(np.concatenate([s, t]), kind="stable")  # two sorted runs
+            same = int(np.count_nonzero(both[1:] == both[:-1]))
+            linked[i] = 100 * same >= PER_CENT * (len(s) + len(t) - same)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked)], ["a", "b", "linked"])
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b, linked) of distinct pairs (a, b). A class may be in very many of them as a."""
+    pairs = scratch.save(pairs, "pairs")
+    hubs = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("size")).join(sets.select(F.col("rid").alias("a"), "shingles", "sketch"), "a")
+    other = sets.select(F.col("rid").alias("b"), F.col("shingles").alias("set_b"), F.col("sketch").alias("sketch_b"))
+    met = with_group(pairs, hubs, ["a"], "b").join(other, "b").select("a", "b", F.col("g.shingles").alias("set_a"), "set_b", F.col("g.sketch").alias("sketch_a"), "sketch_b")
+    return scratch.save(met.mapInArrow(_confirmed, "a long, b long, linked boolean"), "compared")
+
+
+def _likely(of_each: int):
+    """Parts of a bucket, members to be linked and all members of some part, to pairs of other components that may be linked.
+
+    (key, i, j, rid, n, label, asks, sketch) to (a, b, r, label, alike, more): for each asking member r and each label, the of_each
+    most alike pairs; more tells whether there are others.
     """
-    owned = sets.mapInArrow(_exploded, "rid long, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("owners"), F.min("rid").alias("rid"))
-    alone = owned.where("owners = 1").groupBy("rid").agg(F.count(F.lit(1)).alias("alone"))
-    sized = met.select("rid", "n").join(alone, "rid", "left").select("rid", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
-    able = scratch.save(entries.join(sized.where(f"100 * most >= {PER_CENT} * n"), "rid"), "able")
-    small = able.groupBy("key").agg(F.min("n").alias("smallest"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    other = F.greatest("smallest", F.ceil(F.col("n") * PER_CENT / 100))
-    return able.join(small, "key").where(100 * F.col("most") >= PER_CENT * (F.col("n") + other - F.col("most"))).select("key", "rid", "n", "most")
-
-
-def _bucket_links(entries: DataFrame, met: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame | None:
-    """(node, component) of the documents linked within buckets, or None."""
-    members = scratch.save(_members(entries, met, sets, scratch), "members")
-    first = scratch.save(members.groupBy("key").agg(_hub(), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "hub"), "hubs")
-    hubs = first.select("key", *(F.col(f"hub.{c}").alias(f"h_{c}") for c in ("rid", "n", "most")), F.col("hub.most").alias("h_with_hub"), F.col("hub.most").alias("h_sure"), F.col("hub.rid").alias("h_label"))
-    stars = _side(members.withColumn("with_hub", F.col("most")).withColumn("sure", F.lit(0)).withColumn("label", F.col("rid")), "m")
-    told = _compared(_pairs(stars, hubs), met, sets, scratch)
-    edges = told.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    if edges.isEmpty():
-        labels = edges.select(F.col("u").alias("rid"), F.col("v").alias("component"))
-    else:
-        labels = connected_components(edges, scratch).withColumnRenamed("node", "rid")
-    # What each member shares with its bucket's hub bounds what members share with one another. A pair that was
-    # ruled out by signatures or counts has an upper bound only.
-    centre = first.select("key", F.col("hub.rid").alias("h"))
-    near = members.join(centre, "key").withColumn("a", F.least("rid", "h")).withColumn("b", F.greatest("rid", "h")).join(told.select("a", "b", "upto", "exact"), ["a", "b"], "left")
-    with_hub = F.when(F.col("rid") == F.col("h"), F.col("most")).otherwise(F.least("most", F.coalesce("upto", "most")))
-    sure = F.when(F.col("rid") == F.col("h"), F.col("most")).when(F.col("exact"), F.col("upto")).otherwise(F.lit(0))
-    keys = members.groupBy("rid").agg(F.collect_list("key").alias("keys"))  # one for each band at most
-    members = scratch.save(near.select("key", "rid", "n", "most", "h", with_hub.alias("with_hub"), sure.alias("sure")).join(keys, "rid"), "near")
-    done, slots = told.select("a", "b"), MORE_HUBS
-    hubbed = labels.select("rid").where("false")
-    # A later hub is one in all its buckets, and a pair is looked at in the least bucket of both and only once.
-    once = "key = array_min(array_intersect(m_keys, h_keys)) and (m_hub is null or m_rid > h_rid)"
-    while True:
-        of_hub = labels.select(F.col("rid").alias("h"), F.col("component").alias("main"))
-        at = members.join(labels, "rid", "left").withColumn("label", F.coalesce("component", "rid")).drop("component")
-        at = at.join(of_hub, "h", "left").withColumn("main", F.coalesce("main", "h"))
-        at = scratch.save(at.join(hubbed, "rid", "left_anti"), "labelled")  # earlier hubs have met all others
-        rest = at.where("label <> main")
-        slot = F.pmod(F.xxhash64("rid", F.lit(slots)), F.lit(slots))
-        some = scratch.save(rest.groupBy("key", slot.alias("slot")).agg(_hub()).select("hub.rid").distinct(), "hubs")
-        if some.isEmpty():
-            return labels.withColumnRenamed("rid", "node")
-        now = some.withColumn("hub", F.lit(True))
-        hubs = _side(at.join(some, "rid", "left_semi"), "h", "keys")
-        told = _compared(_pairs(_side(at.join(now, "rid", "left"), "m", "keys", "hub"), hubs, once).join(done, ["a", "b"], "left_anti"), met, sets, scratch)
-        found = told.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        if not found.isEmpty():
-            edges = edges.unionByName(found)
-            labels = connected_components(edges, scratch).withColumnRenamed("node", "rid")
-        hubbed = hubbed.unionByName(some)
-        slots *= MORE_HUBS
+
+    def run(frame):
+        import pandas as pd
+
+        asks = frame["asks"].to_numpy(bool)
+        rows = {who: frame[asks == who] for who in (True, False)}
+        m = rows[False]
+        sketch = {who: np.frombuffer(b"".join(x["sketch"]), np.uint16).reshape(-1, SKETCH) for who, x in rows.items()}
+        out = []
+        ids, labels, sizes = (m[c].to_numpy() for c in ("rid", "label", "n"))
+        for rid, n, label, own in zip(*(rows[True][c].to_numpy() for c in ("rid", "n", "label")), sketch[True], strict=True):
+            alike = (sketch[False] == own).mean(axis=1)
+            at = np.flatnonzero(may_link(alike, np.full(len(sizes), n), sizes) & (labels != label))
+            at = at[np.lexsort((ids[at], -alike[at], labels[at]))]
+            if len(at):
+                first = np.flatnonzero(np.concatenate([[True], labels[at][1:] != labels[at][:-1]]))
+                nth = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+                held = nth < of_each
+                cut = not held.all()
+                at = at[held]
+                out.append(pd.DataFrame({"a": np.minimum(rid, ids[at]), "b": np.maximum(rid, ids[at]), "r": rid, "label": labels[at], "alike": alike[at], "more": cut}))
+        return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("a", "int64"), ("b", "int64"), ("r", "int64"), ("label", "int64"), ("alike", "float64"), ("more", "bool"))})
+
+    return run
+
+
+def _open_pairs(entries: DataFrame, labels: DataFrame, sets: DataFrame, of_each: int, scratch: Scratch) -> DataFrame | None:
+    """(a, b, more): pairs to compare in buckets of several components, or None where there is no such bucket."""
+    at = scratch.save(entries.join(labels, "rid", "left").select("key", "rid", F.coalesce("component", "rid").alias("label")), "at")
+    # The hub's component, and how many members are outside it and in all.
+    hub = at.groupBy("key").agg(F.min_by("label", "rid").alias("main"), F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
+    hub = scratch.save(hub.select("key", "main", "size"), "open")
+    if hub.isEmpty():
+        return None
+    salt = F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int").alias("salt")
+    copies = hub.select("key", "main", "size", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    of_all = F.ceil(F.col("size") / PART).cast("int")
+    met = at.select("key", "rid", "label", salt).join(copies, ["key", "salt"]).select("key", "rid", "label", (F.col("label") != F.col("main")).alias("asks"), of_all.alias("parts"))
+    met = met.withColumn("part", F.pmod(F.xxhash64("rid", F.lit(7)), F.col("parts")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    asking = met.where("asks").select("key", "rid", "label", "asks", F.col("part").alias("i"), F.explode(every).alias("j"))
+    others = met.select("key", "rid", "label", F.lit(False).alias("asks"), F.explode(every).alias("i"), F.col("part").alias("j"))
+    both = asking.unionByName(others).join(sets.select("rid", "n", "sketch"), "rid").select("key", "i", "j", "rid", "n", "label", "asks", "sketch")
+    found = both.groupBy("key", "i", "j").applyInPandas(_likely(of_each), "a long, b long, r long, label long, alike double, more boolean")
+    # Each task has kept of_each pairs of a member and a component at most; of all tasks' the likeliest go on.
+    found = found.groupBy("r", "label", "a", "b").agg(F.max("alike").alias("alike"), F.max("more").alias("more"))
+    ranked = Window.partitionBy("r", "label").orderBy(F.desc("alike"), "a", "b")
+    found = found.withColumn("nth", F.row_number().over(ranked)).withColumn("more", F.col("more") | F.lead("nth", default=0).over(ranked).cast("boolean"))
+    return found.where(F.col("nth") <= of_each).select("a", "b", (F.col("more") & (F.col("nth") == of_each)).alias("more"))
+
+
+def _bucket_links(entries: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(rid, component) of the classes linked within buckets (key, rid, hub)."""
+    told = _compared(entries.where("rid <> hub").select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct(), sets, scratch)
+    done = told.select("a", "b")
+
+    def components(links: DataFrame, known: DataFrame | None) -> DataFrame:
+        if known is None:
+            return scratch.save(connected_components(links, scratch).withColumnRenamed("node", "rid"), "labels")
+        # New links join components that are there already, by their least members.
+        name = lambda c: known.select(F.col("rid").alias(c), F.col("component").alias(f"{c}_of"))
+        joined = links.join(name("u"), "u", "left").join(name("v"), "v", "left")
+        joined = connected_components(joined.select(F.coalesce("u_of", "u").alias("u"), F.coalesce("v_of", "v").alias("v")), scratch)
+        old = known.join(joined.select(F.col("node").alias("component"), F.col("component").alias("now")), "component", "left").select("rid", F.coalesce("now", "component").alias("component"))
+        fresh = joined.join(known.select(F.col("rid").alias("node")), "node", "left_anti").select(F.col("node").alias("rid"), "component")
+        return scratch.save(old.unionByName(fresh), "labels")
+
+    links = told.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    labels = components(links, None)
+    of_each = FIRST
+    while (likely := _open_pairs(entries, labels, sets, of_each, scratch)) is not None:
+        likely = scratch.save(likely, "likely")
+        told = _compared(likely.select("a", "b").distinct().join(done, ["a", "b"], "left_anti"), sets, scratch)
+        links = told.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        if not links.isEmpty():
+            labels = components(links, labels)
+        if not likely.agg(F.max("more")).first()[0]:  # all that may be linked are of one component or compared
+            break
+        done = done.unionByName(told.select("a", "b"))
+        of_each *= MORE
+    return labels
 
 
 def near_duplicate_rows(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(rid, doc_id, text_key, n_shingles, component_id, kept), a row for each row of docs (doc_id, text).
+    """(doc_id, text_key, n_shingles, component_id, kept), a row for each row of docs (doc_id, text).
 
     text_key is xxhash64 of the text.
     """
-    cols = docs.select("doc_id", "text").select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.xxhash64("text").alias("text_key"), "text")
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    told = scratch.save(cols.mapInArrow(_describe, f"rid long, doc_id {id_type}, text_key long, n long, fp binary, bands array<long>, sig binary"), "described")
-    classes = scratch.save(told.where("n > 0").groupBy("fp").agg(F.min("rid").alias("cls")), "classes")
-    reps = told.join(classes.select(F.col("cls").alias("rid")), "rid", "left_semi").select("rid", "doc_id", "text_key", "n", "fp", "sig", "bands")
+    spark = docs.sparkSession
+    cols = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    told = cols.mapInArrow(_describe, f"doc_id {kind}, text_key long, n long, fp binary, bands array<long>")
+    told = scratch.save(told.withColumn("rid", F.monotonically_increasing_id()), "described")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("least")
+    classes = told.where("n > 0").groupBy("fp").agg(F.min("rid").alias("cls"), F.count(F.lit(1)).alias("size"), first)
+    classes = scratch.save(classes, "classes")
+    reps = told.where("n > 0").join(classes.select(F.col("cls").alias("rid")), "rid", "left_semi")
+    reps = scratch.save(reps.select("rid", "text_key", "n", "fp", "bands"), "reps")
 
     banded = reps.select("rid", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("rid")).alias("x"), F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("y")).where("members > 1")
-    one = buckets.groupBy("members", "x", "y").agg(F.min("key").alias("key"))  # of buckets with the same members
-    entries = scratch.save(banded.join(one.select("key"), "key"), "entries")
+    buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("rid").alias("hub"), F.bit_xor(F.xxhash64("rid")).alias("x"), F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("y")).where("members > 1")
+    one = buckets.groupBy("members", "hub", "x", "y").agg(F.min("key").alias("key"))  # of buckets with the same members
+    one = one.select("key", "hub", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salt = F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int").alias("salt")
+    entries = scratch.save(banded.select("rid", "key", salt).join(one, ["key", "salt"]).select("key", "rid", "hub"), "entries")
     labels = None
     if not entries.isEmpty():
-        met = scratch.save(reps.join(entries.select("rid").distinct(), "rid", "left_semi").drop("bands"), "met")
-        wanted = met.select("rid", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "fp")
-        texts = docs.select("doc_id", "text").join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))).select("rid", "text", "fp")
-        sets = scratch.save(texts.mapInArrow(_full_sets, "rid long, shingles binary").dropDuplicates(["rid"]), "sets")
-        labels = _bucket_links(entries, met, sets, scratch)
+        met = scratch.save(reps.drop("bands").join(entries.select("rid").distinct(), "rid", "left_semi"), "met")
+        sent = spark.sparkContext.broadcast(hash_filter(met, "text_key"))
+        sets = cols.select("text_key", "text").mapInArrow(_full_sets(sent), "fp binary, shingles binary, sketch binary")
+        sets = sets.join(met.select("rid", "n", "fp"), "fp").dropDuplicates(["rid"]).select("rid", "n", "shingles", "sketch")
+        labels = _bucket_links(entries, scratch.save(sets, "sets"), scratch)
 
-    rows = told.select("rid", "doc_id", "text_key", "n", "fp").join(classes, "fp", "left").withColumn("node", F.coalesce("cls", "rid")).drop("cls", "fp")
     if labels is not None:
-        rows = rows.join(labels, "node", "left").withColumn("node", F.coalesce("component", "node")).drop("component")
-    rows = scratch.save(rows, "rows")
-    least = rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("least"))
-    return rows.join(least, "node").select("rid", "doc_id", "text_key", F.col("n").alias("n_shingles"), F.col("least.doc_id").alias("component_id"), (F.col("rid") == F.col("least.rid")).alias("kept"))
+        own = classes.join(labels.withColumnRenamed("rid", "cls"), "cls", "left").withColumn("node", F.coalesce("component", "cls")).select("fp", "size", "node", "least")
+        own = scratch.save(own, "nodes")
+        of = own.groupBy("node").agg(F.min("least").alias("best"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+        classes = with_group(own, scratch.save(of, "components"), ["node"], "fp", "classes").select("fp", "size", F.coalesce("g.best", "least").alias("least"))
+    rows = with_group(told.where("n > 0").select("doc_id", "text_key", "rid", "n", "fp"), classes, ["fp"], "rid")
+    rows = rows.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.col("g.least.doc_id").alias("component_id"), (F.col("rid") == F.col("g.least.rid")).alias("kept"))
+    return rows.unionByName(told.where("n = 0").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text, ...).
 
     Words are runs of other than ASCII white space, with A-Z lower-cased. Null and empty texts and
-    texts without words have n_shingles 0 and are components of their own. component_id is the
+    texts without words have n_shingles 0 and are components of their own, each row. component_id is the
     least doc_id of the component; a null doc_id only where no member has one. kept marks one row
     of each component, that of component_id; of rows with that doc_id, the first read. An empty
     table gives no rows. Other columns are not read.
