@@ -8,10 +8,9 @@
    similarity 0.75 misses all 32 buckets with a chance of 5 in a million. Of buckets with the same members one stays.
 3. A bucket sends out a star: its hub is the member of the least number, with an edge to each other member. Links are confirmed
    on full sets and joined to components.
-4. In buckets whose members are of several components, those outside the hub's one are held against the others by
-   sketches, a part of the bucket against a part of it in each task. Of the pairs that may be linked, each such member's
-   likeliest with each other component are confirmed, then ever more of them, until all that may be linked are of one
-   component or compared; so no bucket loses a link.
+4. In buckets whose members are of several components, those outside the hub's one are held against the others, a part
+   of the bucket against a part of it in each task. What sizes and sketches don't rule out is compared on full sets,
+   until all that may be linked are of one component or compared; so no bucket loses a link. Only links leave the tasks.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from lodestone.session import Scratch, table
 
@@ -43,8 +42,6 @@ CHUNK = 8_000_000
 SALTS = 32
 #: Members of a bucket are held against one another in parts of about so many.
 PART = 512
-#: Pairs of one member and one other component that are confirmed at first, and how many times as many in each round that follows.
-FIRST, MORE = 1, 8
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 _PROBES = 1024
 _SPACES = b"\t\n\x0b\x0c\r "
@@ -225,93 +222,75 @@ def _compared(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(met.mapInArrow(_confirmed, "a long, b long, linked boolean"), "compared")
 
 
-def _likely(of_each: int):
-    """Parts of a bucket, members to be linked and all members of some part, to pairs of other components that may be linked.
+def _part_links(group: pa.Table) -> pa.Table:
+    """Rows (rid, label, asks, shingles, sketch) of two parts of a bucket to the links (u, v) that join members that ask with the others.
 
-    (key, i, j, rid, n, label, asks, sketch) to (a, b, r, label, alike, more): for each asking member r and each label, the of_each
-    most alike pairs; more tells whether there are others.
+    Pairs of one component, also as joined here, are left out; so are those that sizes and sketches rule out.
     """
-
-    def run(frame):
-        import pandas as pd
-
-        asks = frame["asks"].to_numpy(bool)
-        rows = {who: frame[asks == who] for who in (True, False)}
-        m = rows[False]
-        sketch = {who: np.frombuffer(b"".join(x["sketch"]), np.uint16).reshape(-1, SKETCH) for who, x in rows.items()}
-        out = []
-        ids, labels, sizes = (m[c].to_numpy() for c in ("rid", "label", "n"))
-        for rid, n, label, own in zip(*(rows[True][c].to_numpy() for c in ("rid", "n", "label")), sketch[True], strict=True):
-            alike = (sketch[False] == own).mean(axis=1)
-            at = np.flatnonzero(may_link(alike, np.full(len(sizes), n), sizes) & (labels != label))
-            at = at[np.lexsort((ids[at], -alike[at], labels[at]))]
-            if len(at):
-                first = np.flatnonzero(np.concatenate([[True], labels[at][1:] != labels[at][:-1]]))
-                nth = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
-                held = nth < of_each
-                cut = not held.all()
-                at = at[held]
-                out.append(pd.DataFrame({"a": np.minimum(rid, ids[at]), "b": np.maximum(rid, ids[at]), "r": rid, "label": labels[at], "alike": alike[at], "more": cut}))
-        return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("a", "int64"), ("b", "int64"), ("r", "int64"), ("label", "int64"), ("alike", "float64"), ("more", "bool"))})
-
-    return run
-
-
-def _open_pairs(entries: DataFrame, labels: DataFrame, sets: DataFrame, of_each: int, scratch: Scratch) -> DataFrame | None:
-    """(a, b, more): pairs to compare in buckets of several components, or None where there is no such bucket."""
+    asks = group.column("asks").to_numpy()
+    order = np.argsort(~asks, kind="stable")
+    group, asking = group.take(pa.array(order)).combine_chunks(), int(np.count_nonzero(asks))
+    rid, label = (group.column(c).to_numpy().copy() for c in ("rid", "label"))
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("shingles")]
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    sketch = _sketch_rows(group.column("sketch"))
+    u, v = [], []
+    for i in range(asking):
+        other = np.flatnonzero(label[asking:] != label[i]) + asking
+        alike = (sketch[other] == sketch[i]).mean(axis=1)
+        other = other[may_link(alike, np.full(len(other), size[i]), size[other])]
+        if not len(other):
+            continue
+        flat = np.concatenate([sets[k] for k in other.tolist()])
+        at = np.minimum(np.searchsorted(sets[i], flat), size[i] - 1)
+        ends = np.cumsum(size[other])
+        same = np.add.reduceat((sets[i][at] == flat).astype(np.int64), ends - size[other])
+        for k in other[100 * same >= PER_CENT * (size[i] + size[other] - same)].tolist():
+            if label[k] != label[i]:
+                u.append(rid[i])
+                v.append(rid[k])
+                label[label == label[k]] = label[i]
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
+def _open_links(entries: DataFrame, labels: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """Links (u, v) of buckets whose members are of several components, or None where there is no such bucket."""
     at = scratch.save(entries.join(labels, "rid", "left").select("key", "rid", F.coalesce("component", "rid").alias("label")), "at")
-    # The hub's component, and how many members are outside it and in all.
-    hub = at.groupBy("key").agg(F.min_by("label", "rid").alias("main"), F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
-    hub = scratch.save(hub.select("key", "main", "size"), "open")
-    if hub.isEmpty():
-        return None
     salt = F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int").alias("salt")
-    copies = hub.select("key", "main", "size", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    of_all = F.ceil(F.col("size") / PART).cast("int")
-    met = at.select("key", "rid", "label", salt).join(copies, ["key", "salt"]).select("key", "rid", "label", (F.col("label") != F.col("main")).alias("asks"), of_all.alias("parts"))
-    met = met.withColumn("part", F.pmod(F.xxhash64("rid", F.lit(7)), F.col("parts")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("parts") - 1)
-    asking = met.where("asks").select("key", "rid", "label", "asks", F.col("part").alias("i"), F.explode(every).alias("j"))
-    others = met.select("key", "rid", "label", F.lit(False).alias("asks"), F.explode(every).alias("i"), F.col("part").alias("j"))
-    both = asking.unionByName(others).join(sets.select("rid", "n", "sketch"), "rid").select("key", "i", "j", "rid", "n", "label", "asks", "sketch")
-    found = both.groupBy("key", "i", "j").applyInPandas(_likely(of_each), "a long, b long, r long, label long, alike double, more boolean")
-    # Each task has kept of_each pairs of a member and a component at most; of all tasks' the likeliest go on.
-    found = found.groupBy("r", "label", "a", "b").agg(F.max("alike").alias("alike"), F.max("more").alias("more"))
-    ranked = Window.partitionBy("r", "label").orderBy(F.desc("alike"), "a", "b")
-    found = found.withColumn("nth", F.row_number().over(ranked)).withColumn("more", F.col("more") | F.lead("nth", default=0).over(ranked).cast("boolean"))
-    return found.where(F.col("nth") <= of_each).select("a", "b", (F.col("more") & (F.col("nth") == of_each)).alias("more"))
+    # The component of the hub, and how many members are outside it and in all.
+    buckets = at.groupBy("key").agg(F.min_by("label", "rid").alias("main"), F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
+    buckets = scratch.save(buckets.select("key", "main", "size"), "open")
+    if buckets.isEmpty():
+        return None
+    copies = buckets.select("key", "main", "size", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    met = scratch.save(at.select("key", "rid", "label", salt).join(copies, ["key", "salt"]).select("key", "rid", "label", "size", (F.col("label") != F.col("main")).alias("asks")), "met")
+    asked = met.where("asks").groupBy("key").agg(F.count(F.lit(1)).alias("asking")).select("key", "asking", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    met = met.withColumn("salt", salt).join(asked, ["key", "salt"])
+    parts = lambda n: F.ceil(F.col(n) / PART).cast("int")
+    part = lambda n: F.pmod(F.xxhash64("rid", F.lit(7)), parts(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), parts(n) - 1))
+    asking = met.where("asks").select("key", "rid", "label", "asks", part("asking").alias("i"), every("size").alias("j"))
+    others = met.select("key", "rid", "label", F.lit(False).alias("asks"), every("asking").alias("i"), part("size").alias("j"))
+    both = asking.unionByName(others).join(sets.select("rid", "shingles", "sketch"), "rid").select("key", "i", "j", "rid", "label", "asks", "shingles", "sketch")
+    return both.groupBy("key", "i", "j").applyInArrow(_part_links, "u long, v long")
 
 
 def _bucket_links(entries: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """(rid, component) of the classes linked within buckets (key, rid, hub)."""
     told = _compared(entries.where("rid <> hub").select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct(), sets, scratch)
-    done = told.select("a", "b")
-
-    def components(links: DataFrame, known: DataFrame | None) -> DataFrame:
-        if known is None:
-            return scratch.save(connected_components(links, scratch).withColumnRenamed("node", "rid"), "labels")
-        # New links join components that are there already, by their least members.
-        name = lambda c: known.select(F.col("rid").alias(c), F.col("component").alias(f"{c}_of"))
-        joined = links.join(name("u"), "u", "left").join(name("v"), "v", "left")
-        joined = connected_components(joined.select(F.coalesce("u_of", "u").alias("u"), F.coalesce("v_of", "v").alias("v")), scratch)
-        old = known.join(joined.select(F.col("node").alias("component"), F.col("component").alias("now")), "component", "left").select("rid", F.coalesce("now", "component").alias("component"))
-        fresh = joined.join(known.select(F.col("rid").alias("node")), "node", "left_anti").select(F.col("node").alias("rid"), "component")
-        return scratch.save(old.unionByName(fresh), "labels")
-
-    links = told.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    labels = components(links, None)
-    of_each = FIRST
-    while (likely := _open_pairs(entries, labels, sets, of_each, scratch)) is not None:
-        likely = scratch.save(likely, "likely")
-        told = _compared(likely.select("a", "b").distinct().join(done, ["a", "b"], "left_anti"), sets, scratch)
-        links = told.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        if not links.isEmpty():
-            labels = components(links, labels)
-        if not likely.agg(F.max("more")).first()[0]:  # all that may be linked are of one component or compared
-            break
-        done = done.unionByName(told.select("a", "b"))
-        of_each *= MORE
-    return labels
+    known = connected_components(told.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
+    known = scratch.save(known.withColumnRenamed("node", "rid"), "labels")
+    links = _open_links(entries, known, sets, scratch)
+    if links is None:
+        return known
+    links = scratch.save(links.distinct(), "links")
+    # They join components that are there already, by their least members.
+    name = lambda c: known.select(F.col("rid").alias(c), F.col("component").alias(f"{c}_of"))
+    joined = links.join(name("u"), "u", "left").join(name("v"), "v", "left")
+    joined = connected_components(joined.select(F.coalesce("u_of", "u").alias("u"), F.coalesce("v_of", "v").alias("v")), scratch)
+    old = known.join(joined.select(F.col("node").alias("component"), F.col("component").alias("now")), "component", "left").select("rid", F.coalesce("now", "component").alias("component"))
+    fresh = joined.join(known.select(F.col("rid").alias("node")), "node", "left_anti").select(F.col("node").alias("rid"), "component")
+    return scratch.save(old.unionByName(fresh), "joined")
 
 
 def near_duplicate_rows(docs: DataFrame, scratch: Scratch) -> DataFrame:
