@@ -1,10 +1,11 @@
 """Toxicity by the nearest labelled examples.
 
-The vocabulary is the terms whose presence goes with label 1, by a likelihood-ratio test over all
-labelled documents; a text's vector is the TF-IDF of these. Examples are indexed by term, in blocks
-of examples alike; each list holds its highest weight in each block. The exact nearest examples by
-cosine come from the blocks in order of their bounds, until no bound reaches the k-th cosine found.
-Neighbours vote by distance against the base rate, and are the evidence.
+A text's vector is the TF-IDF of all its terms that the examples have. Terms count in full where their presence goes
+with label 1, by a likelihood-ratio test over all labelled documents, and LEAST_WEIGHT of it otherwise: in plain TF-IDF
+the many words that say nothing of toxicity hide the few that do. Examples are indexed by term, in blocks of
+examples alike. Short lists are added up for all examples; of the long lists each block has its highest
+weights, and a block is scored only where these and its best sum of short lists may reach the k-th
+cosine found. So the nearest examples are exact. They vote by distance, and are the evidence.
 """
 
 from __future__ import annotations
@@ -14,254 +15,293 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from lodestone.session import Scratch, table
 
+from .filters import hash_filter, passes
 from .folds import fold
+from .units import chunks, coded, raw_bytes, split
 from .workers import tidy
 
 FOLDS, HELD_OUT = 5, 0
-#: A term is in the vocabulary from this G-squared and so many documents on; all of these are.
-LEAST_G2, LEAST_DF = 24.0, 4
-#: Of the documents with a term of the vocabulary, at least this share has label 1. Common words of large groups of
-#: near copies go with the group's label a little too, and would swell every vector.
-LEAST_SHARE = 0.5
-#: Examples that are indexed, half of each label, taken in order of a hash of their id.
-MAX_EXAMPLES = 8_000
+#: A term's weight grows with G-squared up to FULL_G2 if its documents have label 1 LIFT times as often as others; it never is less than LEAST_WEIGHT.
+LEAST_WEIGHT, FULL_G2, LIFT = 0.02, 50.0, 2.0
+#: Labelled rows that are indexed, taken in order of a hash of their id: at most so many rows, and bytes in all.
+MAX_EXAMPLES, MAX_BYTES = 3_000, 24_000_000
 BLOCK = 32
 #: Blocks that are scored before others are ruled out.
-FIRST = 4
-#: Up to so many further blocks are scored from the table of weights, more from the lists.
-DENSE = 24
-#: Larger tables of weights, by term and example, aren't built; all scores are from the lists.
-MAX_CELLS = 20_000_000
+FIRST = 2
+#: Lists of more than this share of the examples are long.
+LONG = 1 / 16
+#: Texts that are held against the index at a time, and entries of short lists that these may meet.
+TEXTS, ENTRIES = 256, 4_000_000
 NEIGHBOURS = 15
 #: The base rate votes with this weight.
 PRIOR = 0.5
-WORD = re.compile(r"[^\W_]+")
+CHUNK = 4_000_000
+UNIT, WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+"), re.compile(r"[^\W_]+")
+_IN_UNIT = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
+_JOINED = (_IN_UNIT[:, None] == _IN_UNIT[None, :]).ravel()
+_EVIDENCE = pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())])
 
 
 def terms(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    return [t for u in UNIT.findall(text or "") for t in WORD.findall(u.lower())]
 
 
-@tidy
-def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, label) to (term, n, n1): documents of the partition with the term, and those labelled 1."""
-    all_, ones = {}, {}
+def occurrences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """(text, term, times) for each distinct term of each text, in this order, and the terms by number. texts are without null."""
+    data, at = raw_bytes(texts)
+    begins, sizes = split(data, at, _JOINED)
+    codes, distinct = coded(data, begins)
+    number: dict[str, int] = {}
+    own = [[number.setdefault(t, len(number)) for t in terms(u)] for u in distinct.cast(pa.large_string()).to_pylist()]
+    has = np.fromiter(map(len, own), np.int64, len(own))
+    flat = np.array([t for ts in own for t in ts], np.int64)
+    times = has[codes]
+    text = np.repeat(np.repeat(np.arange(len(texts)), sizes), times)
+    within = np.arange(len(text)) - np.repeat(np.cumsum(times) - times, times)
+    term = flat[np.repeat((np.cumsum(has) - has)[codes], times) + within] if len(text) else np.empty(0, np.int64)
+    key, n = np.unique(text * max(1, len(number)) + term, return_counts=True)
+    return key // max(1, len(number)), key % max(1, len(number)), n, list(number)
+
 
-    def out():
-        keys = list(all_)
-        for a in range(0, len(keys), 50_000):
-            part = keys[a : a + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([all_[k] for k in part], pa.int64()), pa.array([ones.get(k, 0) for k in part], pa.int64())], ["term", "n", "n1"])
-        all_.clear()
-        ones.clear()
+def _parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    return chunks(pc.binary_length(texts).to_pylist(), CHUNK)
 
+
+@tidy
+def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, label) to (term, n, n1): documents of a part of the table with the term, and those labelled 1."""
     for batch in batches:
-        for text, label in zip(batch.column("text"), batch.column("label").to_pylist(), strict=True):
-            found = set(terms(text.as_py()))
-            for t in found:
-                all_[t] = all_.get(t, 0) + 1
-            if label:
-                for t in found:
-                    ones[t] = ones.get(t, 0) + 1
-            if len(all_) > 400_000:
-                yield from out()
-    yield from out()
-
-
-def vocabulary(labelled: DataFrame) -> tuple[dict[str, tuple[int, float]], float]:
-    """{term: (index, idf)}, and the share of labelled (text, label) with label 1."""
-    size = labelled.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("n1")).first()
-    if not size.n:
-        return {}, 0.0
-    all_, ones = float(size.n), float(size.n1)
-    counts = labelled.select("text", "label").mapInArrow(_presence, "term string, n long, n1 long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1")).where(F.col("n") >= LEAST_DF)
+        texts, label = batch.column("text").fill_null(""), batch.column("label").to_numpy()
+        for a, b in _parts(texts):
+            text, term, _, names = occurrences(texts.slice(a, b - a))
+            n = np.bincount(term, minlength=len(names))
+            n1 = np.bincount(term[label[a:b][text] == 1], minlength=len(names))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(n, pa.int64()), pa.array(n1, pa.int64())], ["term", "n", "n1"])
 
-    def part(observed, expected):
-        return F.when((observed > 0) & (expected > 0), observed * F.log(observed / expected)).otherwise(F.lit(0.0))
 
-    n, n1 = F.col("n").cast("double"), F.col("n1").cast("double")
-    n0, m1, m0 = n - n1, F.lit(ones) - F.col("n1"), F.lit(all_ - ones) - (F.col("n") - F.col("n1"))
+def weight_of(n, n1, all_, ones):
+    """The weights of terms by how many documents have them, and how many of these label 1; of all_ documents, ones have it."""
+    n, n1 = np.asarray(n, float), np.asarray(n1, float)
     rate = ones / all_
-    g2 = 2 * (part(n1, n * rate) + part(n0, n * (1 - rate)) + part(m1, (all_ - n) * rate) + part(m0, (all_ - n) * (1 - rate)))
-    best = counts.withColumn("g2", g2).where((F.col("g2") >= LEAST_G2) & (n1 >= n * LEAST_SHARE)).orderBy(F.desc("g2"), "term").collect()
-    return {r.term: (i, float(np.log(1 + all_ / r.n))) for i, r in enumerate(best)}, rate
 
+    def part(observed, expected):
+        return np.where((observed > 0) & (expected > 0), observed * np.log(np.maximum(observed, 1e-300) / np.maximum(expected, 1e-300)), 0.0)
 
-def vector(text: str | None, vocab: dict[str, tuple[int, float]]) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes and weights of the unit TF-IDF vector; both empty for texts without a vocabulary term."""
-    count: dict[str, int] = {}
-    for t in filter(vocab.__contains__, terms(text)):
-        count[t] = count.get(t, 0) + 1
-    hits = sorted((vocab[t][0], n, vocab[t][1]) for t, n in count.items())
-    w = np.array([(1 + np.log(n)) * idf for _, n, idf in hits])
-    return np.array([i for i, _, _ in hits], np.int64), w / np.sqrt((w * w).sum()) if hits else w
+    rest = all_ - n
+    g2 = 2 * (part(n1, n * rate) + part(n - n1, n * (1 - rate)) + part(ones - n1, rest * rate) + part(rest - ones + n1, rest * (1 - rate)))
+    others = (ones - n1) / np.maximum(rest, 1)
+    tells = np.where(n1 / n > LIFT * others, np.clip(g2 / FULL_G2, 0, 1), 0.0)
+    return np.log(1 + all_ / n) * np.maximum(tells, LEAST_WEIGHT)
 
 
 class Index:
-    """Block-max inverted index of example vectors."""
-
-    def __init__(self, ids: list, labels: list[int], vectors: list[tuple[np.ndarray, np.ndarray]], size: int):
-        order = sorted(range(len(ids)), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]), tuple(vectors[i][0]), ids[i]))  # alike ones share blocks
-        self.ids = [ids[i] for i in order]
-        self.labels = np.array([labels[i] for i in order], np.int64)
-        n, self.blocks = len(order), -(-len(order) // BLOCK)
-        doc = np.repeat(np.arange(n), [len(vectors[i][0]) for i in order]) if n else np.empty(0, np.int64)
-        term = np.concatenate([vectors[i][0] for i in order]) if n else np.empty(0, np.int64)
-        weight = np.concatenate([vectors[i][1] for i in order]) if n else np.empty(0)
-        by = np.lexsort((doc, term))
-        self.doc, self.weight = doc[by], weight[by]
+    """Block-max inverted index of example vectors: rows (example, term, weight) in unit vectors, each pair once."""
+
+    def __init__(self, ids: list[int], labels: list[int], example: np.ndarray, term: np.ndarray, weight: np.ndarray, size: int):
+        n = len(ids)
+        strongest = np.full(n, size, np.int64)
+        if len(example):  # alike ones share blocks: those with the same strongest term
+            by = np.lexsort((term, -weight, example))
+            first = by[np.concatenate([[True], np.diff(example[by]) > 0])]
+            strongest[example[first]] = term[first]
+        order = np.lexsort((np.array(ids, np.int64), strongest)) if n else np.empty(0, np.int64)
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        self.ids, self.labels = np.array(ids, np.int64)[order], np.array(labels, np.int64)[order]
+        self.blocks = -(-n // BLOCK)
+        self.n = self.blocks * BLOCK
+        row = place[example]
+        length = np.bincount(term, minlength=size)
+        long = np.flatnonzero(length > max(LONG * n, 1))
+        self.at_long = np.full(size, -1, np.int64)
+        self.at_long[long] = np.arange(len(long))
+        self.table = np.zeros((len(long), self.n))
+        dense = self.at_long[term] >= 0
+        self.table[self.at_long[term[dense]], row[dense]] = weight[dense]
+        self.top = self.table.reshape(len(long), self.blocks, BLOCK).max(axis=2) if self.blocks else np.zeros((len(long), 0))
+        row, term, weight = row[~dense], term[~dense], weight[~dense]
+        by = np.lexsort((row, term))
+        self.row, self.weight = row[by], weight[by]
         self.start = np.searchsorted(term[by], np.arange(size + 1))
-        # The highest weight of each list in each block that it meets, by list.
-        met, where = np.unique(term[by] * max(1, self.blocks) + self.doc // BLOCK, return_inverse=True)
-        self.top = np.zeros(len(met))
-        np.maximum.at(self.top, where, self.weight)
-        self.top_block = met % max(1, self.blocks)
-        self.top_start = np.searchsorted(met // max(1, self.blocks), np.arange(size + 1))
-        self.dense = None
-        if size * self.blocks * BLOCK <= MAX_CELLS:
-            self.dense = np.zeros((size, self.blocks * BLOCK))
-            self.dense[term[by], self.doc] = self.weight
-            self.top_table = np.zeros((size, max(1, self.blocks)))
-            self.top_table[met // max(1, self.blocks), self.top_block] = self.top
-
-    def nearest(self, at: np.ndarray, weight: np.ndarray, k: int) -> list[tuple[int, float]]:
-        """The k examples of highest cosine above 0; of equal ones, the earlier.
-
-        The blocks of the highest bounds are scored first. Their k-th cosine rules out all blocks
-        whose bound is less; the lists give the scores of the others.
+
+    def nearest(self, text: np.ndarray, term: np.ndarray, weight: np.ndarray, texts: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, example, cosine): the k examples of highest cosine above 0 of each text, nearest first; of equal ones the earlier.
+
+        (text, term, weight) are the entries of the texts' unit vectors, by text. Cosines are held to 12 digits.
         """
-        if not len(at) or not self.blocks:
-            return []
-        bound = self._bounds(at, weight)
-        first = np.argpartition(-bound, FIRST - 1)[:FIRST] if self.blocks > FIRST else np.arange(self.blocks)
-        rows, score = self._some(first, at, weight)
-        least = np.partition(score, -k)[-k] if len(score) >= k else 0.0
-        open_ = bound >= max(least * (1 - 1e-6), 1e-12)
-        open_[first] = False
-        more = np.flatnonzero(open_)
-        if len(more) > DENSE or (len(more) and self.dense is None):
-            open_[first] = True
-            rows, score = self._listed(open_, at, weight)
-        elif len(more):
-            others, theirs = self._some(more, at, weight)
-            rows, score = np.concatenate([rows, others]), np.concatenate([score, theirs])
-        score = np.round(score, 12)
-        hits = np.flatnonzero(score > 0)
-        if len(hits) > k:
-            hits = hits[score[hits] >= np.partition(score[hits], -k)[-k]]
-        hits = hits[np.lexsort((rows[hits], -score[hits]))][:k]
-        return list(zip(rows[hits].tolist(), score[hits].tolist(), strict=True))
-
-    def _bounds(self, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """What no cosine in a block exceeds, by block."""
-        if self.dense is not None:
-            return weight @ self.top_table[at]
-        ranges = [slice(self.top_start[t], self.top_start[t + 1]) for t in at.tolist()]
-        block = np.concatenate([self.top_block[r] for r in ranges])
-        return np.bincount(block, np.concatenate([self.top[r] * w for r, w in zip(ranges, weight.tolist(), strict=True)]), minlength=self.blocks)
-
-    def _some(self, blocks: np.ndarray, at: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of some blocks and their cosines."""
-        if self.dense is None:
-            return self._listed(np.isin(np.arange(self.blocks), blocks), at, weight)
-        rows = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-        return rows, weight @ self.dense[at[:, None], rows]
-
-    def _listed(self, open_: np.ndarray, at: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The same of many blocks, from the lists."""
-        ranges = [slice(self.start[t], self.start[t + 1]) for t in at.tolist()]
-        doc = np.concatenate([self.doc[r] for r in ranges])
-        score = np.concatenate([self.weight[r] * w for r, w in zip(ranges, weight.tolist(), strict=True)])
-        held = open_[doc // BLOCK]
-        score = np.bincount(doc[held], score[held], minlength=1)
-        return np.arange(len(score)), score
-
-
-def vote(found: list[tuple[int, float]], labels: np.ndarray, rate: float) -> float:
-    """The share of label 1 by weights that fall with distance, with the base rate as one more vote."""
-    total, ones = PRIOR, PRIOR * rate
-    for i, cosine in found:
-        w = cosine / (1.05 - min(cosine, 1.0))
-        total += w
-        ones += w * int(labels[i])
-    return ones / total
-
-
-def examples(labelled: DataFrame, vocab: dict, limit: int = MAX_EXAMPLES) -> Index:
-    """The index of at most limit rows of labelled (doc_id, text, label) that have a vocabulary term."""
+        if not self.blocks or not len(text):
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        met = np.where(self.at_long[term] < 0, self.start[term + 1] - self.start[term], 0)
+        cost = np.bincount(text, met, minlength=texts).astype(np.int64) + ENTRIES // TEXTS
+        found = []
+        for a, b in chunks(cost.tolist(), ENTRIES):
+            part = slice(*np.searchsorted(text, [a, b]))
+            t, e, c = self._batch(text[part] - a, term[part], weight[part], met[part], b - a, k)
+            found.append((t + a, e, c))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _batch(self, text, term, weight, met, texts, k):
+        total = int(met.sum())
+        at = np.repeat(self.start[term], met) + np.arange(total) - np.repeat(np.cumsum(met) - met, met)
+        score = np.bincount(np.repeat(text, met) * self.n + self.row[at], self.weight[at] * np.repeat(weight, met), minlength=texts * self.n).astype(float).reshape(texts, self.n)
+        q = np.zeros((texts, len(self.table)))
+        long = self.at_long[term] >= 0
+        q[text[long], self.at_long[term[long]]] = weight[long]
+        bound = q @ self.top + score.reshape(texts, self.blocks, BLOCK).max(axis=2)
+        open_ = np.zeros(bound.shape, bool)
+        first = min(FIRST, self.blocks)
+        np.put_along_axis(open_, np.argpartition(-bound, first - 1, axis=1)[:, :first], True, axis=1)
+        self._score(score, q, open_)
+        held = np.where(np.repeat(open_, BLOCK, axis=1), score, 0.0)
+        floor = np.partition(held, self.n - k, axis=1)[:, self.n - k] if self.n >= k else np.zeros(texts)
+        more = ~open_ & (bound >= floor[:, None] - 1e-9) & (bound > 0)
+        self._score(score, q, more)
+        score[~np.repeat(open_ | more, BLOCK, axis=1)] = 0.0
+        # Whole numbers that differ, in order of the cosine, then of the example.
+        rank = np.rint(score * 1e12).astype(np.int64) * self.n + (self.n - 1 - np.arange(self.n))
+        k = min(k, self.n)
+        best = np.argpartition(-rank, k - 1, axis=1)[:, :k]
+        best = np.take_along_axis(best, np.argsort(-np.take_along_axis(rank, best, axis=1), axis=1), axis=1)
+        cosine = np.round(np.take_along_axis(score, best, axis=1), 12)
+        i, j = np.nonzero(cosine > 0)
+        return i, best[i, j], cosine[i, j]
+
+    def _score(self, score: np.ndarray, q: np.ndarray, open_: np.ndarray) -> None:
+        """Adds the long lists' part of the open blocks."""
+        if not q.shape[1]:
+            return
+        if open_.mean() > 0.5:
+            score += np.where(np.repeat(open_, BLOCK, axis=1), q @ self.table, 0.0)
+            return
+        for b in np.flatnonzero(open_.any(axis=0)).tolist():
+            own = np.flatnonzero(open_[:, b])
+            score[own, b * BLOCK : (b + 1) * BLOCK] += q[own] @ self.table[:, b * BLOCK : (b + 1) * BLOCK]
+
+
+def votes(text: np.ndarray, cosine: np.ndarray, label: np.ndarray, texts: int, rate: float) -> np.ndarray:
+    """For each text the share of label 1 by weights that fall with distance, with the base rate as one more vote."""
+    w = cosine / (1.05 - np.minimum(cosine, 1.0))
+    return (PRIOR * rate + np.bincount(text, w * label, minlength=texts)) / (PRIOR + np.bincount(text, w, minlength=texts))
+
+
+class Model:
+    """The vocabulary with its weights, the index and the base rate."""
+
+    def __init__(self, number: dict[str, int], weight: np.ndarray, rate: float):
+        self.number, self.weight, self.rate, self.index = number, weight, rate, None
+
+    def vectors(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The entries (text, term, weight) of the texts' unit vectors, by text."""
+        text, term, n, names = occurrences(texts)
+        known = np.fromiter((self.number.get(t, -1) for t in names), np.int64, len(names))
+        term = known[term] if len(names) else term
+        held = term >= 0
+        text, term, n = text[held], term[held], n[held]
+        w = (1 + np.log(n)) * self.weight[term] if len(term) else np.empty(0)
+        norm = np.sqrt(np.bincount(text, w * w, minlength=len(texts)))
+        return text, term, w / norm[text]
+
+    def nearest(self, texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.index.nearest(*self.vectors(texts), len(texts), k)
+
+
+def train(labelled: DataFrame, limit: int = MAX_EXAMPLES, most: int = MAX_BYTES) -> Model:
+    """A model from labelled (doc_id, text, label). Statistics are over all rows; the index holds a sample, bounded by rows and bytes."""
     spark = labelled.sparkSession
-    sent = spark.sparkContext.broadcast(vocab)
+    size = labelled.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("n1")).first()
+    if not size.n:
+        model = Model({}, np.empty(0), 0.0)
+        model.index = Index([], [], *(np.empty(0, np.int64),) * 2, np.empty(0), 0)
+        return model
+    by = [F.xxhash64("doc_id"), F.col("doc_id")]
+    chosen, total = [], 0
+    for r in labelled.orderBy(*by).select("doc_id", F.octet_length("text").alias("size")).limit(limit).collect():
+        total += r.size
+        if total > most and chosen:
+            break
+        chosen.append(r.doc_id)
+    # The sample's texts are at most MAX_BYTES, or one text.
+    rows = labelled.where(F.col("doc_id").isin(chosen)).select("doc_id", "label", "text").orderBy("doc_id").toArrow().combine_chunks()
+    texts = rows.column("text").combine_chunks().fill_null("")
+    names = sorted({t for a, b in _parts(texts) for t in occurrences(texts.slice(a, b - a))[3]})
+    counts = labelled.select("text", "label").mapInArrow(_presence, "term string, n long, n1 long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"))
+    wanted = spark.createDataFrame(pa.table({"term": pa.array(names, pa.string())}))
+    found = counts.join(wanted, "term", "left_semi").orderBy("term").toArrow()
+    weight = weight_of(found.column("n").to_numpy(), found.column("n1").to_numpy(), float(size.n), float(size.n1))
+    model = Model({t: i for i, t in enumerate(found.column("term").to_pylist())}, weight, float(size.n1) / float(size.n))
+    entries = [(t + a, *rest) for a, b in _parts(texts) for t, *rest in [model.vectors(texts.slice(a, b - a))]]
+    example, term, w = (np.concatenate(x) for x in zip(*entries, strict=True))
+    model.index = Index(rows.column("doc_id").to_pylist(), rows.column("label").to_pylist(), example, term, w, len(weight))
+    return model
 
+
+def _scorer(sent, k: int):
     @tidy
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        index = model.index
         for batch in batches:
-            rows = [(i, *vector(t.as_py(), sent.value)) for i, t in enumerate(batch.column("text"))]
-            rows = [r for r in rows if len(r[1])]
-            at = pa.array([r[0] for r in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("label").take(at), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], ["doc_id", "label", "at", "weight"])
+            texts = batch.column("text").fill_null("")
+            for a, b in _parts(texts):
+                text, example, cosine = model.nearest(texts.slice(a, b - a), k)
+                label = index.labels[example] if len(example) else np.empty(0, np.int64)
+                score = votes(text, cosine, label, b - a, model.rate)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=b - a))])
+                ids = index.ids[example] if len(example) else np.empty(0, np.int64)
+                told = pa.StructArray.from_arrays([pa.array(ids), pa.array(cosine, pa.float64()), pa.array(label, pa.int32())], fields=list(_EVIDENCE))
+                evidence = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), told)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("doc_id", "held_out")), pa.array(score), evidence], ["doc_id", "held_out", "score", "evidence"])
 
-    found = labelled.select("doc_id", "label", "text").mapInArrow(vectors, "doc_id long, label int, at array<long>, weight array<double>")
-    found = Scratch(spark, "toxicity-examples").save(found, "vectors")
-    rows = []
-    for label in (0, 1):
-        rows += found.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit // 2).collect()
-    return Index([r.doc_id for r in rows], [r.label for r in rows], [(np.array(r["at"], np.int64), np.array(r["weight"])) for r in rows], len(vocab))
+    return run
 
 
-def _scorer(sent, k: int):
+def _passing(sent):
+    """Rows whose id_key may be in the filter."""
+
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, index, rate = sent.value
-        met: dict[bytes, tuple[float, list]] = {}  # results by vector: few terms give few vectors
         for batch in batches:
-            score, evidence = [], []
-            for text in batch.column("text"):
-                at, weight = vector(text.as_py(), vocab)
-                key = at.tobytes() + weight.tobytes()
-                if key not in met:
-                    if len(met) > 20_000:
-                        met.clear()
-                    found = index.nearest(at, weight, k)
-                    met[key] = vote(found, index.labels, rate), [{"doc_id": index.ids[i], "cosine": c, "label": int(index.labels[i])} for i, c in found]
-                score.append(met[key][0])
-                evidence.append(met[key][1])
-            kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score, pa.float64()), pa.array(evidence, kind)], ["doc_id", "held_out", "score", "evidence"])
+            yield batch.take(pa.array(np.flatnonzero(passes(sent.value, batch.column("id_key").to_numpy().view(np.uint64))), pa.int64()))
 
     return run
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def labelled_texts(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, text, label) of the documents to learn from, one for each text. Of labels that differ for an id or a text, 1 wins.
 
-    Copies would make all words of a text seem to go with its label. They are found by hash, so only texts that teach move.
+    Copies would make all words of a text seem to go with its label; they are found by hash. A filter of bounded size keeps
+    back the texts of other ids before any text moves.
     """
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label")).where(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
-    hashed = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("h"))
+    spark = docs.sparkSession
+    known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("label")).where(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
+    hashed = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"))
     first = hashed.join(known.hint("merge"), "doc_id").groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label"))
-    taught = docs.where("text is not null").select("doc_id", "text", F.xxhash64("text").alias("h")).join(first.hint("merge"), ["doc_id", "h"])
-    return taught.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label")
+    first = scratch.save(first.select("doc_id", "h", "label", F.xxhash64("doc_id").alias("id_key")), "first")
+    sent = spark.sparkContext.broadcast(hash_filter(first, "id_key"))
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.xxhash64(F.col("doc_id").cast("long")).alias("id_key"), "text")
+    texts = texts.mapInArrow(_passing(sent), "doc_id long, h long, id_key long, text string").drop("id_key")
+    # Rows that repeat in id and text are one.
+    return texts.join(first.drop("id_key").hint("merge"), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("doc_id", "text", "label")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence) for every row of docs (doc_id, text, ...).
 
     labels (doc_id, toxic) teaches from the ids that aren't held out. evidence lists the nearest
-    examples, nearest first. Texts without a vocabulary term, empty and null ones included, have no
+    examples, nearest first. Texts without a term of the examples, empty and null ones included, have no
     neighbour and score the base rate; so do all texts where nothing could be learned, at rate 0. A
-    null doc_id teaches nothing. Rows that repeat are scored alike. An empty table gives no rows.
+    null doc_id teaches nothing. Rows that repeat are scored alike. An empty table gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
-    labelled = scratch.save(labelled_texts(docs, labels), "labelled")
-    vocab, rate = vocabulary(labelled)
-    index = examples(labelled, vocab)
+    labelled = scratch.save(labelled_texts(docs, labels, scratch), "labelled")
+    sent = spark.sparkContext.broadcast(train(labelled))
     scratch.drop(labelled)
-    sent = spark.sparkContext.broadcast((vocab, index, rate))
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = docs.select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "text").mapInArrow(
         _scorer(sent, neighbours), f"doc_id {kind}, held_out boolean, score double, evidence array<struct<doc_id:long,cosine:double,label:int>>"
