@@ -40,9 +40,10 @@ TEXTS, ENTRIES = 256, 4_000_000
 NEIGHBOURS = 15
 #: The base rate votes with this weight.
 PRIOR = 0.5
-CHUNK = 4_000_000
+CHUNK = 6_000_000
 UNIT, WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+"), re.compile(r"[^\W_]+")
 _IN_UNIT = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 _JOINED = (_IN_UNIT[:, None] == _IN_UNIT[None, :]).ravel()
 _EVIDENCE = pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())])
 
@@ -51,21 +52,38 @@ def terms(text: str | None) -> list[str]:
     return [t for u in UNIT.findall(text or "") for t in WORD.findall(u.lower())]
 
 
-def occurrences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+def occurrences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     """(text, term, times) for each distinct term of each text, in this order, and the terms by number. texts are without null."""
     data, at = raw_bytes(texts)
+    data = _LOWER[data]
     begins, sizes = split(data, at, _JOINED)
     codes, distinct = coded(data, begins)
-    number: dict[str, int] = {}
-    own = [[number.setdefault(t, len(number)) for t in terms(u)] for u in distinct.cast(pa.large_string()).to_pylist()]
-    has = np.fromiter(map(len, own), np.int64, len(own))
-    flat = np.array([t for ts in own for t in ts], np.int64)
-    times = has[codes]
+    raw, ends = raw_bytes(distinct)
+    has, wide = (np.zeros(len(distinct), bool),) * 2
+    if len(distinct):
+        has = _IN_UNIT[raw[ends[:-1]]]
+        wide = has & (np.maximum.reduceat(raw, ends[:-1]) >= 0x80)
+    # A unit of ASCII letters and digits is a term; what terms others hold is found one by one.
+    names = distinct.filter(pa.array(has & ~wide)).cast(pa.large_string())
+    own = [terms(u) for u in distinct.filter(pa.array(wide)).cast(pa.large_string()).to_pylist()]
+    other = pa.array([t for ts in own for t in ts], pa.large_string()).dictionary_encode()
+    known = pc.index_in(other.dictionary, value_set=names)
+    fresh = known.is_null().to_numpy(zero_copy_only=False)
+    number = known.fill_null(0).to_numpy().astype(np.int64)
+    number[fresh] = len(names) + np.arange(np.count_nonzero(fresh))
+    many = (has & ~wide).astype(np.int64)
+    many[wide] = [len(ts) for ts in own]
+    start = np.cumsum(many) - many
+    flat = np.empty(int(many.sum()), np.int64)
+    flat[start[has & ~wide]] = np.arange(len(names))
+    flat[np.repeat(wide, many)] = number[other.indices.to_numpy()]
+    times = many[codes]
     text = np.repeat(np.repeat(np.arange(len(texts)), sizes), times)
     within = np.arange(len(text)) - np.repeat(np.cumsum(times) - times, times)
-    term = flat[np.repeat((np.cumsum(has) - has)[codes], times) + within] if len(text) else np.empty(0, np.int64)
-    key, n = np.unique(text * max(1, len(number)) + term, return_counts=True)
-    return key // max(1, len(number)), key % max(1, len(number)), n, list(number)
+    term = flat[np.repeat(start[codes], times) + within]
+    names = pa.concat_arrays([names, other.dictionary.filter(pa.array(fresh))])
+    key, n = np.unique(text * max(1, len(names)) + term, return_counts=True)
+    return key // max(1, len(names)), key % max(1, len(names)), n, names
 
 
 def _parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -81,7 +99,7 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text, term, _, names = occurrences(texts.slice(a, b - a))
             n = np.bincount(term, minlength=len(names))
             n1 = np.bincount(term[label[a:b][text] == 1], minlength=len(names))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(n, pa.int64()), pa.array(n1, pa.int64())], ["term", "n", "n1"])
+            yield pa.RecordBatch.from_arrays([names.cast(pa.string()), pa.array(n, pa.int64()), pa.array(n1, pa.int64())], ["term", "n", "n1"])
 
 
 def weight_of(n, n1, all_, ones):
@@ -157,8 +175,8 @@ class Index:
         first = min(FIRST, self.blocks)
         np.put_along_axis(open_, np.argpartition(-bound, first - 1, axis=1)[:, :first], True, axis=1)
         self._score(score, q, open_)
-        held = np.where(np.repeat(open_, BLOCK, axis=1), score, 0.0)
-        floor = np.partition(held, self.n - k, axis=1)[:, self.n - k] if self.n >= k else np.zeros(texts)
+        held = score.reshape(texts, self.blocks, BLOCK)[open_].reshape(texts, first * BLOCK)
+        floor = np.partition(held, first * BLOCK - k, axis=1)[:, first * BLOCK - k] if first * BLOCK >= k else np.zeros(texts)
         more = ~open_ & (bound >= floor[:, None] - 1e-9) & (bound > 0)
         self._score(score, q, more)
         score[~np.repeat(open_ | more, BLOCK, axis=1)] = 0.0
@@ -192,14 +210,13 @@ def votes(text: np.ndarray, cosine: np.ndarray, label: np.ndarray, texts: int, r
 class Model:
     """The vocabulary with its weights, the index and the base rate."""
 
-    def __init__(self, number: dict[str, int], weight: np.ndarray, rate: float):
-        self.number, self.weight, self.rate, self.index = number, weight, rate, None
+    def __init__(self, names: pa.Array, weight: np.ndarray, rate: float):
+        self.names, self.weight, self.rate, self.index = names, weight, rate, None
 
     def vectors(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The entries (text, term, weight) of the texts' unit vectors, by text."""
         text, term, n, names = occurrences(texts)
-        known = np.fromiter((self.number.get(t, -1) for t in names), np.int64, len(names))
-        term = known[term] if len(names) else term
+        term = pc.index_in(names, value_set=self.names).fill_null(-1).to_numpy().astype(np.int64)[term]
         held = term >= 0
         text, term, n = text[held], term[held], n[held]
         w = (1 + np.log(n)) * self.weight[term] if len(term) else np.empty(0)
@@ -215,25 +232,24 @@ def train(labelled: DataFrame, limit: int = MAX_EXAMPLES, most: int = MAX_BYTES)
     spark = labelled.sparkSession
     size = labelled.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("n1")).first()
     if not size.n:
-        model = Model({}, np.empty(0), 0.0)
+        model = Model(pa.array([], pa.large_string()), np.empty(0), 0.0)
         model.index = Index([], [], *(np.empty(0, np.int64),) * 2, np.empty(0), 0)
         return model
-    by = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen, total = [], 0
-    for r in labelled.orderBy(*by).select("doc_id", F.octet_length("text").alias("size")).limit(limit).collect():
+    for r in labelled.select("doc_id", F.octet_length("text").alias("size"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(limit).collect():
         total += r.size
         if total > most and chosen:
             break
         chosen.append(r.doc_id)
     # The sample's texts are at most MAX_BYTES, or one text.
-    rows = labelled.where(F.col("doc_id").isin(chosen)).select("doc_id", "label", "text").orderBy("doc_id").toArrow().combine_chunks()
+    rows = labelled.where(F.col("doc_id").isin(chosen)).select("doc_id", "label", "text").toArrow().sort_by("doc_id").combine_chunks()
     texts = rows.column("text").combine_chunks().fill_null("")
-    names = sorted({t for a, b in _parts(texts) for t in occurrences(texts.slice(a, b - a))[3]})
+    names = sorted({t for a, b in _parts(texts) for t in occurrences(texts.slice(a, b - a))[3].to_pylist()})
     counts = labelled.select("text", "label").mapInArrow(_presence, "term string, n long, n1 long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"))
     wanted = spark.createDataFrame(pa.table({"term": pa.array(names, pa.string())}))
     found = counts.join(wanted, "term", "left_semi").orderBy("term").toArrow()
     weight = weight_of(found.column("n").to_numpy(), found.column("n1").to_numpy(), float(size.n), float(size.n1))
-    model = Model({t: i for i, t in enumerate(found.column("term").to_pylist())}, weight, float(size.n1) / float(size.n))
+    model = Model(found.column("term").combine_chunks().cast(pa.large_string()), weight, float(size.n1) / float(size.n))
     entries = [(t + a, *rest) for a, b in _parts(texts) for t, *rest in [model.vectors(texts.slice(a, b - a))]]
     example, term, w = (np.concatenate(x) for x in zip(*entries, strict=True))
     model.index = Index(rows.column("doc_id").to_pylist(), rows.column("label").to_pylist(), example, term, w, len(weight))
