@@ -1,11 +1,11 @@
 """Exact top-k by inner product, with vectors in order of length and residual bounds.
 
-Components become integers, so scores are exact. Vectors are dealt by descending length into blocks,
-and each meets the queries in blocks. In rotated coordinates (the SVD of the second-moment matrix,
-which orders directions by how much length they hold) a partial inner product plus the
-product of the lengths that are left bounds the score from above, by Cauchy-Schwarz. Each block is
-first held against its largest length, then vector by vector against the partial sums; only vectors
-that may still enter are scored.
+Components become integers, so scores are exact. Vectors are dealt by descending length into blocks.
+The block of the longest vectors is held against all queries first, which gives each query a floor: its k-th score so
+far. A block of queries then meets only the blocks whose largest length, times the length of one of these queries,
+reaches that query's floor. In rotated coordinates (the SVD of the second-moment matrix, which orders directions by
+how much length they hold) a partial inner product plus the product of the lengths that are left bounds a score from
+above, by Cauchy-Schwarz; only vectors whose bound reaches the floor are scored.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ SCALE, K, EVERY = 1024, 10, 100
 BLOCK, QUERIES = 4096, 1024
 #: Rotated coordinates of the first partial sum.
 HEAD = 16
+#: Classes of lengths, an eighth of an octave each, and parts in which blocks of a class meet their queries.
+CLASSES, SALTS = 512, 16
 _SLACK = 1e-9
 
 
@@ -114,25 +116,80 @@ def block_topk(q_ids, q, ids, x, basis: np.ndarray, k: int, floors) -> Iterator[
             yield own, v, -s
 
 
+def _cells(batch: pa.RecordBatch, row: int, ids: str, x: str) -> tuple[np.ndarray, np.ndarray]:
+    i, v = (np.frombuffer(batch.column(c)[row].as_buffer(), t) for c, t in ((ids, "<i8"), (x, "<f8")))
+    return i, v.reshape(len(i), -1)
+
+
+def least_length(q: np.ndarray, floors: np.ndarray) -> float:
+    """Vectors shorter than this reach no floor of the queries q."""
+    size = np.sqrt(np.einsum("ij,ij->i", q, q))
+    if not len(q) or not size.all() or np.isneginf(floors).any():
+        return float("-inf")
+    return float(((floors - 1e-6) / (size * (1 + 1e-6))).min())
+
+
+def _begin(sent, k: int):
+    """(q_ids, q, a) with each query's hits in the first block, its floor, and the least length of vectors that may reach one."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        basis, ids, x = sent.value
+        kind = pa.list_(pa.struct([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())]))
+        for batch in batches:
+            hits, floors, least = [], [], []
+            for row in range(batch.num_rows):
+                q_ids, q = _cells(batch, row, "q_ids", "q")
+                own, floor = [], np.full(len(q_ids), -np.inf)
+                for i in range(len(q_ids)):
+                    found = list(block_topk(q_ids[i : i + 1], q[i : i + 1], ids, x, basis, k, [None]))
+                    own += [{"query_id": int(a), "vec_id": v, "score": s} for a, v, s in found]
+                    if len(found) == k:
+                        floor[i] = found[-1][2]
+                hits.append(own)
+                floors.append(floor.tobytes())
+                least.append(least_length(q, floor))
+            cols = [*(batch.column(c) for c in ("q_ids", "q", "a")), pa.array(floors, pa.binary()), pa.array(least, pa.float64()), pa.array(hits, kind)]
+            yield pa.RecordBatch.from_arrays(cols, ["q_ids", "q", "a", "floors", "least", "hits"])
+
+    return run
+
+
 def _meet(sent, k: int):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        basis = sent.value
+        basis = sent.value[0]
         for batch in batches:
             out: list[tuple[int, int, int]] = []
             for row in range(batch.num_rows):
-                cell = lambda c, t: np.frombuffer(batch.column(c)[row].as_buffer(), t)  # noqa: B023, E731
-                q_ids, ids = cell("q_ids", "<i8"), cell("ids", "<i8")
-                floors = batch.column("floors")[row].as_py() if "floors" in batch.schema.names else [None] * len(q_ids)
-                out += block_topk(q_ids, cell("q", "<f8").reshape(len(q_ids), -1), ids, cell("x", "<f8").reshape(len(ids), -1), basis, k, floors)
+                q_ids, q = _cells(batch, row, "q_ids", "q")
+                floors = np.frombuffer(batch.column("floors")[row].as_buffer(), "<f8")
+                out += block_topk(q_ids, q, *_cells(batch, row, "ids", "x"), basis, k, floors)
             cols = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
 
     return run
 
 
+def _length_class(length: Column) -> Column:
+    """Lengths as at most CLASSES whole numbers that don't fall as lengths grow; 0 for all that are less than any."""
+    return F.when(length < 1, 0).otherwise(F.least(F.lit(CLASSES - 1), 1 + F.floor(F.log2(length) * 8))).cast("int")
+
+
+def open_pairs(asked: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(a, b): blocks of queries (a, least) with the blocks of vectors (b, longest) that may reach a floor.
+
+    Queries go to the classes of lengths that they need, of which there are CLASSES at most, and to each of SALTS parts of these.
+    """
+    needs = asked.select("a", "least", F.explode(F.sequence(_length_class(F.col("least")), F.lit(CLASSES - 1))).alias("class"))
+    held = blocks.select("b", "longest", _length_class(F.col("longest")).alias("class"), F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt"))
+    needs = needs.join(held.select("class").distinct(), "class", "left_semi")
+    needs = needs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return needs.join(held, ["class", "salt"]).where("longest >= least").select("a", "b")
+
+
 def _packed(size: int, names: tuple[str, str]):
-    """(vec_id, x) to blocks of at most size rows, in the order of the partition."""
+    """(vec_id, x) to blocks of at most size rows, in the order of the partition, with the largest length in each."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +197,8 @@ def _packed(size: int, names: tuple[str, str]):
             both = pa.Table.from_batches(parts).combine_chunks()
             x = _matrix(both.column("x").chunk(0) if both.column("x").num_chunks else both.column("x").combine_chunks())
             ids = both.column("vec_id").to_numpy().astype("<i8")
-            return pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.large_binary()), pa.array([np.ascontiguousarray(x, "<f8").tobytes()], pa.large_binary())], list(names))
+            longest = float(np.sqrt(np.einsum("ij,ij->i", x, x).max()))
+            return pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.large_binary()), pa.array([np.ascontiguousarray(x, "<f8").tobytes()], pa.large_binary()), pa.array([longest])], [*names, "longest"])
 
         held, n = [], 0
         for batch in batches:
@@ -165,7 +223,7 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int =
     vectors that are null or hold null or non-finite components take no part; vectors of other sizes are
     padded with zeros. Scores past 64 bits stop there. Rows that repeat are found as often. An
     empty side gives no rows. Queries may be many: they are dealt in blocks of their own, and only
-    blocks of bounded size meet.
+    blocks of bounded size meet, of which none need to where the lengths rule a pair out.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "topk")
@@ -178,13 +236,21 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int =
     basis = rotation(sorted_)
     if not len(basis):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    sent = spark.sparkContext.broadcast(basis)
-    blocks = scratch.save(sorted_.mapInArrow(_packed(block, ("ids", "x")), "ids binary, x binary").withColumn("b", F.monotonically_increasing_id()), "blocks")
-    asked = scratch.save(whole(queries).repartition("vec_id").mapInArrow(_packed(QUERIES, ("q_ids", "q")), "q_ids binary, q binary").withColumn("a", F.monotonically_increasing_id()), "queries")
-    # Every block of queries with every block of vectors: rows of block numbers, dealt out before any vector moves.
-    numbers = asked.select("a").withColumn("one", F.lit(1)).join(blocks.select("b").withColumn("one", F.lit(1)), "one").select("a", "b")
-    met = numbers.repartition("a", "b").join(asked, "a").join(blocks, "b").select("q_ids", "q", "ids", "x")
+    blocks = sorted_.mapInArrow(_packed(block, ("ids", "x")), "ids binary, x binary, longest double").withColumn("b", F.monotonically_increasing_id())
+    blocks = scratch.save(blocks, "blocks")
+    # One block goes to all tasks: at most so many vectors.
+    first = blocks.orderBy(F.desc("longest"), "b").limit(1).toArrow()
+    number = first.column("b")[0].as_py()
+    sent = spark.sparkContext.broadcast((basis, *_cells(first.to_batches()[0], 0, "ids", "x")))
+    asked = whole(queries).repartition("vec_id").mapInArrow(_packed(QUERIES, ("q_ids", "q")), "q_ids binary, q binary, longest double").drop("longest").withColumn("a", F.monotonically_increasing_id())
+    asked = scratch.save(asked, "queries")
+    asked = asked.mapInArrow(_begin(sent, k), "q_ids binary, q binary, a long, floors binary, least double, hits array<struct<query_id:long,vec_id:long,score:long>>")
+    asked = scratch.save(asked, "begun")
+    pairs = open_pairs(asked, blocks.where(F.col("b") != number))
+    # Numbers of blocks are dealt out before any vector moves.
+    met = pairs.repartition("a", "b").join(asked.drop("hits", "least"), "a").join(blocks, "b").select("q_ids", "q", "floors", "ids", "x")
     found = met.mapInArrow(_meet(sent, k), "query_id long, vec_id long, score long")
+    found = found.unionByName(asked.select(F.explode("hits").alias("h")).select("h.*"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -136,3 +136,30 @@ def test_topk_against_all_products(spark):
         got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in T.exact_topk(df, df.where("vec_id % 20 = 0"), k, block=block).collect())
         assert got == plain_topk(vectors, [i for i, _ in vectors if i % 20 == 0], k)
     assert T.exact_topk(df.where("false"), df, 3).collect() == [] and T.exact_topk(df, df.where("false"), 3).collect() == []
+
+
+def test_topk_rows_that_repeat(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.0]), (2, [0.5, 0.0]), (3, [0.2, 0.0])], "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id) for r in T.exact_topk(df, df.where("vec_id = 3"), 3).collect())
+    assert got == [(3, 1, 1), (3, 2, 1), (3, 3, 2)]
+    got = sorted((r.query_id, r.rank, r.vec_id) for r in T.exact_topk(df, df.where("vec_id = 1").dropDuplicates(), 3).collect())
+    assert got == [(1, 1, 2), (1, 2, 2), (1, 3, 3)]
+
+
+def test_topk_skips_blocks_of_short_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    vectors = [(i, (rng.normal(size=8) * 0.9**i).tolist()) for i in range(200)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(1)
+    seen, plain = [], T.open_pairs
+
+    def spy(asked, blocks):
+        out = plain(asked, blocks)
+        seen.append((asked.count() * blocks.count(), out.count(), out.distinct().count()))
+        return out
+
+    monkeypatch.setattr(T, "open_pairs", spy)
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in T.exact_topk(df, df.where("vec_id < 40"), 2, block=16).collect())
+    assert got == plain_topk(vectors, range(40), 2)
+    every, met, distinct = seen[0]
+    assert met == distinct and 0 < met < every / 2
+    assert T.least_length(np.zeros((1, 2)), np.zeros(1)) == -np.inf and T.least_length(np.ones((2, 2)), np.array([5.0, -np.inf])) == -np.inf
