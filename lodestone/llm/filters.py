@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .workers import tidy
+
 #: So many bits (2 MB). More hashes than they can tell apart let more rows through than need to, and never fewer.
 FILTER_BITS = 24
 
@@ -23,3 +28,14 @@ def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which hashes may be in the filter."""
     at = (hashes.astype(np.uint64, copy=False) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
     return (bits[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) != 0
+
+
+def passing(sent):
+    """Of rows with id_key, those that may be in the filter that was sent."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.take(pa.array(np.flatnonzero(passes(sent.value, batch.column("id_key").to_numpy().view(np.uint64))), pa.int64()))
+
+    return run

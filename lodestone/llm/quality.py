@@ -1,33 +1,35 @@
 """Quality by the perplexity of an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over symbols: the most frequent characters of the corpus, and one symbol for each
-class of the others, with upper-case letters a class of their own. Words would not do: three in four
-words of such corpora are met once, and n-grams of them say little of text that is met later.
-
-Counts of trusted text are summed up by n-gram; the counts of each order meet those of their
-context and of their suffix in joins that are sharded by key, which give the interpolated
-probabilities. There are at most ALPHABET ** ORDER n-grams, so the finished table has a proven
-size bound (21 MB) and is sent to all tasks, which score whole texts. Perplexities are held against
-a quantile, language by language, of those of trusted documents kept back from training.
+The model is over bytes, so it knows every script and has no vocabulary to bound: n-grams of up to ORDER bytes, as many as
+trusted text has. Counts are summed up by n-gram; below the top, an n-gram counts the bytes it follows. Each order's counts meet
+the totals of their contexts in joins by key, which give discounted shares and back-off weights.
+
+Neither the model nor the documents are ever whole in one place. Documents are packed in blocks; a block asks
+for its distinct n-grams, split by hash into the shards of the model, and each shard answers in the order asked. So
+an n-gram travels once for each block, not for each place where it stands. Perplexities are held against a quantile,
+language by language, of those of trusted documents kept back from training.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from lodestone.session import Scratch, table
 
+from .filters import hash_filter, passing
 from .folds import fold
+from .units import chunks, raw_bytes
 from .workers import tidy
 
-ORDER, ALPHABET = 4, 48
-#: Classes of symbols; the frequent characters follow.
-PAD, SPACE, UPPER, LETTER, DIGIT, OTHER, CLASSES = range(7)
-#: A document counts as having so many more symbols of the mean of its language: short ones say little.
+ORDER = 5
+#: A document counts as having so many more bytes of the mean of its language: short ones say little.
 PRIOR = 100
 #: Trusted documents of this fold are kept back, to set thresholds.
 FOLDS, KEPT_BACK = 5, 0
@@ -35,74 +37,56 @@ FOLDS, KEPT_BACK = 5, 0
 QUANTILE, SLACK = 0.99, 1.15
 #: Languages with fewer trusted documents kept back use the threshold of all languages.
 LEAST = 20
-CHUNK = 1_500_000
+#: Bytes of a block of documents, or one document; and bytes that are worked on at a time.
+BLOCK, CHUNK = 12_000_000, 2_000_000
+#: n-grams of a shard of the model, about.
+SHARD = 100_000
+#: Keys hold an n-gram's bytes below its order.
+_TAG = np.uint64(56)
 
 
-def _class_of(point: int) -> int:
-    c = chr(point)
-    return SPACE if c.isspace() else DIGIT if c.isdigit() else UPPER if c.isupper() or c.istitle() else LETTER if c.isalpha() else OTHER
+# --- n-grams -------------------------------------------------------------------------------
 
 
-def _points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+def _low(grams: np.ndarray, k: int) -> np.ndarray:
+    """The last k bytes."""
+    return grams & np.uint64((1 << (8 * k)) - 1)
+
+
+def _tagged(grams: np.ndarray, k: int) -> np.ndarray:
+    return grams | (np.uint64(k) << _TAG)
+
+
+def grams(data: np.ndarray, at: np.ndarray, order: int = ORDER) -> np.ndarray:
+    """The n-gram that ends at each byte of the texts data[at[i]:at[i + 1]], each of which follows order - 1 zero bytes."""
+    pad = order - 1
+    sizes = np.diff(at)
+    padded = np.zeros(len(data) + pad * len(sizes), np.uint8)
+    place = np.arange(len(data)) + np.repeat(pad * np.arange(1, len(sizes) + 1), sizes)
+    padded[place] = data
+    key = np.zeros(len(data), np.uint64)
+    for j in range(pad, -1, -1):
+        key <<= np.uint64(8)
+        key |= padded[place - j]
+    return key
+
+
+def _pieces(data: np.ndarray, at: np.ndarray, order: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, last, codes, distinct): the n-grams of some texts by their code among distinct ones."""
+    for a, b in chunks(np.diff(at).tolist(), CHUNK):
+        key = grams(data[at[a] : at[b]], at[a : b + 1] - at[a], order)
+        found = pa.array(key).dictionary_encode()
+        yield a, b, found.indices.to_numpy(), found.dictionary.to_numpy()
 
 
 @tidy
-def _count_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0x110000, np.int64)
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, order) to (gram, n), the counts of a part of the table."""
     for batch in batches:
-        for text in batch.column("text"):
-            p = _points(text.as_py() or "")
-            if len(p) < 1000:
-                np.add.at(total, p, 1)
-            else:
-                n = np.bincount(p)
-                total[: len(n)] += n
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["point", "n"])
-
-
-def alphabet(docs: DataFrame, size: int = ALPHABET) -> np.ndarray:
-    """The symbol of each code point."""
-    counts = docs.select("text").mapInArrow(_count_characters, "point int, n long").groupBy("point").agg(F.sum("n").alias("n"))
-    symbols = np.fromiter(map(_class_of, range(0x110000)), np.uint8, 0x110000)
-    # Code points number a million at most, and the frequent ones are taken by rank.
-    own = [r.point for r in counts.orderBy(F.desc("n"), "point").limit(4 * size).collect() if symbols[r.point] in (LETTER, OTHER)]
-    for i, point in enumerate(own[: size - CLASSES]):
-        symbols[point] = CLASSES + i
-    return symbols
-
-
-def _codes(symbols: np.ndarray, order: int, size: int) -> np.ndarray:
-    """The n-gram that ends at each symbol; the text follows order - 1 pads."""
-    padded = np.concatenate([np.zeros(order - 1, np.int64), symbols])
-    code = np.zeros(len(symbols), np.int64)
-    for j in range(order):
-        code = code * size + padded[j : j + len(symbols)]
-    return code
-
-
-def _counter(sent, order: int, size: int):
-    @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols = sent.value
-        total, waiting, held = np.zeros(size**order, np.int64), [], 0
-        for batch in batches:
-            for text in batch.column("text"):
-                codes = _codes(symbols[_points(text.as_py() or "")], order, size)
-                waiting.append(codes)
-                held += len(codes)
-                if held > CHUNK:
-                    total += np.bincount(np.concatenate(waiting), minlength=len(total))
-                    waiting, held = [], 0
-        if held:
-            total += np.bincount(np.concatenate(waiting), minlength=len(total))
-        at = np.flatnonzero(total)
-        for a in range(0, len(at), 100_000):
-            part = at[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total[part])], ["gram", "n"])
-
-    return run
+        data, at = raw_bytes(batch.column("text").fill_null(""))
+        order = batch.column("order")[0].as_py() if batch.num_rows else ORDER
+        for _, _, codes, distinct in _pieces(data, at, order):
+            yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(np.bincount(codes, minlength=len(distinct)).astype(np.int64))], ["gram", "n"])
 
 
 def discounts(of: dict[int, int]) -> tuple[float, float, float]:
@@ -115,67 +99,252 @@ def discounts(of: dict[int, int]) -> tuple[float, float, float]:
     return clip(1 - 2 * y * n2 / n1, 1), clip(2 - 3 * y * n3 / n2, 2), clip(3 - 4 * y * n4 / max(n3, 1), 3)
 
 
-def train(trusted: DataFrame, symbols: np.ndarray, scratch: Scratch, order: int = ORDER, size: int = ALPHABET) -> np.ndarray:
-    """The log-probability of each n-gram's last symbol after the others, by n-gram; all rows of trusted (text) count."""
-    sent = trusted.sparkSession.sparkContext.broadcast(symbols)
-    counts = scratch.save(trusted.select("text").mapInArrow(_counter(sent, order, size), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "counts")
-    orders = {order: counts}
-    for k in range(order - 1, 0, -1):  # below the top, an n-gram counts the symbols it follows
-        suffix = F.pmod("gram", F.lit(size**k)).alias("gram")
-        orders[k] = scratch.save(orders[k + 1].select(suffix).groupBy("gram").agg(F.count(F.lit(1)).alias("n")), f"order{k}")
-    dense = np.full(size, 1.0 / size)
-    for k in range(1, order + 1):
-        grams = orders[k].withColumn("context", F.floor(F.col("gram") / size))
-        of = {r.n: r.c for r in orders[k].where("n <= 4").groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
-        d1, d2, d3 = discounts(of)
+def train(trusted: DataFrame, scratch: Scratch, order: int = ORDER) -> DataFrame:
+    """(key, own, gamma): for each n-gram the discounted share of its context's count, and for each context the
+    weight of shorter ones. Keys are n-grams below their order; a key may be in one row of either kind. All rows of trusted (text) count."""
+    counts = trusted.select("text", F.lit(order).alias("order")).mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    orders = {order: scratch.save(counts, "counts")}
+    for k in range(order - 1, 0, -1):  # below the top, an n-gram counts the bytes it follows
+        low = F.col("gram").bitwiseAND(F.lit((1 << (8 * k)) - 1)).alias("gram")
+        orders[k] = scratch.save(orders[k + 1].select(low).groupBy("gram").agg(F.count(F.lit(1)).alias("n")), f"order{k}")
+    model = None
+    for k, held in orders.items():
+        d1, d2, d3 = discounts({r.n: r.c for r in held.where("n <= 4").groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()})
         off = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        contexts = grams.groupBy("context").agg(F.sum("n").alias("total"), F.sum(off).alias("off"))
-        joined = grams.join(contexts, "context").select("gram", ((F.col("n") - off) / F.col("total")).alias("p"))
-        # Tables of one order have at most size ** order rows.
-        seen = joined.toPandas()
-        rest = contexts.select("context", (F.col("off") / F.col("total")).alias("gamma")).toPandas()
-        gamma = np.ones(size ** (k - 1), np.float32)
-        gamma[rest["context"].to_numpy(np.int64)] = rest["gamma"]
-        lower = dense if k > 1 else np.full(size, 1.0 / size)
-        # p(w | context) = gamma(context) * p(w | shorter context), plus what is left of the count
-        shorter = np.tile(lower.reshape(-1, size), (size ** (k - 1) // max(1, len(lower) // size), 1)) if k > 1 else lower.reshape(1, size)
-        dense = (gamma[:, None] * shorter.astype(np.float32)).reshape(-1)
-        dense[seen["gram"].to_numpy(np.int64)] += seen["p"].to_numpy(np.float32)
-    return np.log(np.maximum(dense, 1e-9))
-
-
-def _scorer(sent, order: int, size: int):
+        named = held.withColumn("context", F.shiftrightunsigned("gram", 8))
+        contexts = named.groupBy("context").agg(F.sum("n").alias("total"), F.sum(off).alias("off"))
+        key = lambda c, of: F.col(c).bitwiseOR(F.lit(of << int(_TAG))).alias("key")
+        own = named.join(contexts.select("context", "total"), "context").select(key("gram", k), ((F.col("n") - off) / F.col("total")).cast("float").alias("own"), F.lit(None).cast("float").alias("gamma"))
+        gamma = contexts.select(key("context", k - 1), F.lit(None).cast("float").alias("own"), (F.col("off") / F.col("total")).cast("float").alias("gamma"))
+        rows = own.unionByName(gamma)
+        model = rows if model is None else model.unionByName(rows)
+    return scratch.save(model, "model")
+
+
+# --- blocks, what they ask, and what shards answer -------------------------------------------
+
+
+def _packed(size: int):
+    """(doc_id, text_key, lang, text) to a row for each block: arrays of these, sizes, and all bytes."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def out():
+            all_ = pa.Table.from_batches(held).combine_chunks()
+            texts = all_.column("text").combine_chunks()
+            data, at = raw_bytes(texts)
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            cols = [one(all_.column(c).combine_chunks()) for c in ("doc_id", "text_key", "lang")]
+            packed = zstandard.ZstdCompressor(level=5).compress(np.ascontiguousarray(data))
+            return pa.RecordBatch.from_arrays([*cols, one(pa.array(np.diff(at))), pa.array([packed], pa.binary())], ["doc_id", "text_key", "lang", "size", "data"])
+
+        for batch in batches:
+            batch = batch.set_column(batch.schema.get_field_index("text"), "text", batch.column("text").fill_null(""))
+            for a, b in chunks(pc.binary_length(batch.column("text")).to_pylist(), CHUNK):
+                part = batch.slice(a, b - a)
+                more = pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
+                if held and n + more > size:
+                    yield out()
+                    held, n = [], 0
+                held.append(part)
+                n += more
+        if held:
+            yield out()
+
+    return run
+
+
+def _opened(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray]:
+    at = np.concatenate([[0], np.cumsum(batch.column("size")[row].values.to_numpy())]).astype(np.int64)
+    data = zstandard.ZstdDecompressor().decompress(batch.column("data")[row].as_buffer(), max_output_size=max(1, int(at[-1])))
+    return np.frombuffer(data, np.uint8), at
+
+
+def _wanted(distinct: np.ndarray, shards: int, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What to ask for to score some distinct n-grams: sorted keys; their order by shard; where each shard's begin in it."""
+    parts = []
+    for k in range(1, order + 1):
+        own = np.unique(_low(distinct, k))
+        parts += [_tagged(own, k), _tagged(np.unique(own >> np.uint64(8)), k - 1)]
+    keys = np.unique(np.concatenate(parts))
+    shard = _shard(keys, shards)
+    by = np.argsort(shard, kind="stable")
+    return keys, by, np.searchsorted(shard[by], np.arange(shards + 1))
+
+
+def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
+    x = (keys ^ (keys >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((x >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+
+
+def _distinct(data: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
+    found = [d for _, _, _, d in _pieces(data, at, order)]
+    return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
+
+
+def _asking(shards: int, order: int):
+    """(block, size, data) to (shard, block, payload): the keys of a block in a shard, sorted."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                keys, by, edge = _wanted(_distinct(*_opened(batch, row), order), shards, order)
+                asked = [(s, press.compress(np.diff(keys[by[edge[s] : edge[s + 1]]], prepend=np.uint64(0)).tobytes())) for s in range(shards) if edge[s + 1] > edge[s]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([s for s, _ in asked], pa.int32()), pa.array([batch.column("block")[row].as_py()] * len(asked), pa.int64()), pa.array([p for _, p in asked], pa.binary())],
+                    ["shard", "block", "payload"],
+                )
+
+    return run
+
+
+def _sharded(shards: int):
+    """(key, own, gamma) to (shard, key, own, gamma)."""
+
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, model = sent.value
         for batch in batches:
-            count, loss = [], []
-            for text in batch.column("text"):
-                codes = _codes(symbols[_points(text.as_py() or "")], order, size)
-                count.append(len(codes))
-                loss.append(-float(model[codes].sum(dtype=np.float64)))
-            rest = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(count, pa.int64()), pa.array(loss, pa.float64())], [*rest, "n_symbols", "loss"])
+            shard = _shard(batch.column("key").to_numpy().view(np.uint64), shards).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), *batch.columns], ["shard", *batch.schema.names])
 
     return run
 
 
+def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of equal neighbours."""
+    if len(values):
+        edges = [0, *(np.flatnonzero(np.diff(values)) + 1).tolist(), len(values)]
+        yield from zip(edges, edges[1:])
+
+
+@tidy
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of shards, each one's model before what it is asked, to (block, shard, payload): own and gamma in the order asked."""
+    press, unpress = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+    shard, held, ready = None, [], None
+    for batch in batches:
+        blocks, numbers, out = [], [], []
+        shards, asks = batch.column("shard").to_numpy(), batch.column("block").is_valid().to_numpy(zero_copy_only=False)
+        for a, b in _runs(shards * 2 + asks):
+            if shards[a] != shard:
+                shard, held, ready = int(shards[a]), [], None
+            if not asks[a]:
+                cols = [batch.column(c).slice(a, b - a) for c in ("key", "own", "gamma")]
+                held.append([c.fill_null(np.nan if c.type == pa.float32() else 0).to_numpy() for c in cols])
+                continue
+            if ready is None:
+                key, own, gamma = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.empty(0, np.int64), np.empty(0, np.float32), np.empty(0, np.float32))
+                ready = []
+                for v in (own, gamma):
+                    there = ~np.isnan(v)
+                    k = key[there].view(np.uint64)
+                    order = np.argsort(k)
+                    ready.append((k[order], v[there][order]))
+                held = []
+            for row in range(a, b):
+                asked = np.cumsum(np.frombuffer(unpress.decompress(batch.column("payload")[row].as_buffer()), np.uint64))
+                got = []
+                for (keys, values), none in zip(ready, (0.0, 1.0), strict=True):
+                    answer = np.full(len(asked), none, np.float32)
+                    if len(keys):
+                        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+                        hit = keys[at] == asked
+                        answer[hit] = values[at[hit]]
+                    got.append(answer.tobytes())
+                blocks.append(batch.column("block")[row].as_py())
+                numbers.append(shard)
+                out.append(press.compress(b"".join(got)))
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(numbers, pa.int32()), pa.array(out, pa.binary())], ["block", "shard", "payload"])
+
+
+def _log_probabilities(distinct: np.ndarray, keys: np.ndarray, own: np.ndarray, gamma: np.ndarray, order: int) -> np.ndarray:
+    """Of each n-gram's last byte after the others: p(w | context) = own + gamma(context) * p(w | shorter context)."""
+    p = np.full(len(distinct), 1 / 256)
+    for k in range(1, order + 1):
+        low = _low(distinct, k)
+        p = own[np.searchsorted(keys, _tagged(low, k))] + gamma[np.searchsorted(keys, _tagged(low >> np.uint64(8), k - 1))] * p
+    return np.log(np.maximum(p, 1e-30))
+
+
+def _scorer(shards: int, order: int):
+    """Rows of blocks, each one's answers by shard before the block, to (doc_id, text_key, lang, n_symbols, loss)."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpress = zstandard.ZstdDecompressor()
+        block, own, gamma = None, [], []
+        for batch in batches:
+            numbers, answer = batch.column("block").to_pylist(), batch.column("payload").is_valid().to_pylist()
+            for row in range(batch.num_rows):
+                if numbers[row] != block:
+                    block, own, gamma = numbers[row], [], []
+                if answer[row]:
+                    both = np.frombuffer(unpress.decompress(batch.column("payload")[row].as_buffer()), np.float32)
+                    own.append(both[: len(both) // 2])
+                    gamma.append(both[len(both) // 2 :])
+                    continue
+                data, at = _opened(batch, row)
+                distinct = _distinct(data, at, order)
+                loss = np.zeros(len(at) - 1)
+                if len(distinct):
+                    keys, by, _ = _wanted(distinct, shards, order)
+                    values = np.empty((2, len(keys)))
+                    values[0, by], values[1, by] = np.concatenate(own), np.concatenate(gamma)
+                    logs = _log_probabilities(distinct, keys, *values, order)
+                    for a, b, codes, some in _pieces(data, at, order):
+                        total = np.concatenate([[0.0], np.cumsum(logs[np.searchsorted(distinct, some)][codes])])
+                        loss[a:b] = -np.diff(total[at[a : b + 1] - at[a]])
+                cols = [batch.column(c)[row].values for c in ("doc_id", "text_key", "lang", "size")]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(loss)], ["doc_id", "text_key", "lang", "n_symbols", "loss"])
+                own, gamma = [], []
+
+    return run
+
+
+def losses(docs: DataFrame, model: DataFrame, scratch: Scratch, order: int = ORDER, block: int = BLOCK) -> DataFrame:
+    """(doc_id, text_key, lang, n_symbols, loss) for every row of docs (doc_id, text_key, lang, text)."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    packed = docs.select("doc_id", "text_key", "lang", "text").mapInArrow(_packed(block), f"doc_id array<{kind}>, text_key array<long>, lang array<string>, size array<long>, data binary")
+    packed = scratch.save(packed.withColumn("block", F.monotonically_increasing_id()), "blocks")
+    shards = max(16, ceil(model.count() / SHARD))
+    asked = packed.select("block", "size", "data").mapInArrow(_asking(shards, order), "shard int, block long, payload binary")
+    known = model.mapInArrow(_sharded(shards), "shard int, key long, own float, gamma float")
+    both = known.select("shard", "key", "own", "gamma", F.lit(None).cast("long").alias("block"), F.lit(None).cast("binary").alias("payload")).unionByName(asked, allowMissingColumns=True)
+    answers = both.repartition("shard").sortWithinPartitions("shard", F.asc_nulls_first("block")).mapInArrow(_answers, "block long, shard int, payload binary")
+    met = packed.select("block", F.lit(None).cast("int").alias("shard"), F.lit(None).cast("binary").alias("payload"), "doc_id", "text_key", "lang", "size", "data").unionByName(answers, allowMissingColumns=True)
+    met = met.repartition("block").sortWithinPartitions("block", F.asc_nulls_last("shard"))
+    found = scratch.save(met.mapInArrow(_scorer(shards, order), f"doc_id {kind}, text_key long, lang string, n_symbols long, loss double"), "scores")
+    scratch.drop(packed)
+    return found
+
+
+# --- verdicts ------------------------------------------------------------------------------
+
+
 def _trusted_ids(labels: DataFrame) -> DataFrame:
     """Ids that labels (doc_id, quality) always call good."""
     return labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("least")).where("least = 1").select("doc_id")
 
 
+def _training(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(doc_id, text) of the trusted docs that are not kept back; a filter of bounded size keeps back most others before any text moves."""
+    key = F.xxhash64(F.col("doc_id").cast("string")).alias("id_key")
+    sent = docs.sparkSession.sparkContext.broadcast(hash_filter(trusted.select(key), "id_key"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    some = docs.select("doc_id", key, "text").where((fold(F.col("doc_id"), FOLDS) != KEPT_BACK) & F.col("text").isNotNull())
+    return some.mapInArrow(passing(sent), f"doc_id {kind}, id_key long, text string").drop("id_key").join(trusted.hint("merge"), "doc_id", "left_semi")
+
+
 def scored(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, text_key, lang, n_symbols, perplexity, threshold, kept) for every row of docs."""
-    spark = docs.sparkSession
-    trusted = _trusted_ids(labels)  # these grow with the corpus: joined in one way at every size
-    symbols = alphabet(docs)
-    training = docs.select("doc_id", "text").where(fold(F.col("doc_id"), FOLDS) != KEPT_BACK).join(trusted.hint("merge"), "doc_id", "left_semi")
-    model = train(training, symbols, scratch).astype(np.float32)
-    sent = spark.sparkContext.broadcast((symbols, model))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    cols = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "text")
-    found = scratch.save(cols.mapInArrow(_scorer(sent, ORDER, ALPHABET), f"doc_id {kind}, text_key long, lang string, n_symbols long, loss double"), "scores")
+    trusted = scratch.save(_trusted_ids(labels), "trusted")  # these grow with the corpus: joined in one way at every size
+    model = train(_training(docs, trusted), scratch)
+    found = losses(docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "text"), model, scratch)
 
     back = found.where(fold(F.col("doc_id"), FOLDS) == KEPT_BACK).join(trusted.hint("merge"), "doc_id", "left_semi").where("n_symbols > 0")
     back = scratch.save(back.select("lang", "n_symbols", "loss"), "back")
@@ -201,10 +370,10 @@ def scored(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
 def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, lang, n_symbols, perplexity, threshold, kept) for every row of docs (doc_id, text, lang, ...).
 
-    labels (doc_id, quality) tells what text is trusted: ids whose every label is 1. Null lang is a
+    labels (doc_id, quality) tells what text is trusted: ids whose every label is 1. Symbols are bytes. Null lang is a
     language of its own, ''. Null and empty text has no symbols, the mean perplexity of its
     language, and isn't kept. Without trusted text the model is uniform and all other text is kept.
-    Rows that repeat are rated alike. An empty table gives no rows.
+    Rows that repeat are rated alike. An empty table gives no rows. Other columns are not read.
     """
     return scored(docs, labels, Scratch(docs.sparkSession, "quality")).drop("text_key")
 

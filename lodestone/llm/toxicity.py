@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lodestone.session import Scratch, table
 
-from .filters import hash_filter, passes
+from .filters import hash_filter, passing
 from .folds import fold
 from .units import chunks, coded, raw_bytes, split
 from .workers import tidy
@@ -276,17 +276,6 @@ def _scorer(sent, k: int):
     return run
 
 
-def _passing(sent):
-    """Rows whose id_key may be in the filter."""
-
-    @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.take(pa.array(np.flatnonzero(passes(sent.value, batch.column("id_key").to_numpy().view(np.uint64))), pa.int64()))
-
-    return run
-
-
 def labelled_texts(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, text, label) of the documents to learn from, one for each text. Of labels that differ for an id or a text, 1 wins.
 
@@ -300,7 +289,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Data
     first = scratch.save(first.select("doc_id", "h", "label", F.xxhash64("doc_id").alias("id_key")), "first")
     sent = spark.sparkContext.broadcast(hash_filter(first, "id_key"))
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.xxhash64(F.col("doc_id").cast("long")).alias("id_key"), "text")
-    texts = texts.mapInArrow(_passing(sent), "doc_id long, h long, id_key long, text string").drop("id_key")
+    texts = texts.mapInArrow(passing(sent), "doc_id long, h long, id_key long, text string").drop("id_key")
     # Rows that repeat in id and text are one.
     return texts.join(first.drop("id_key").hint("merge"), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("doc_id", "text", "label")
 

@@ -1,4 +1,7 @@
 import math
+import zlib
+from collections import Counter
+from functools import cache
 
 import numpy as np
 
@@ -50,52 +53,85 @@ def test_language_stage_drops_languages_that_were_not_learned(spark):
     assert not any(i >= 10_000_000 for i in kept) and len(clean - kept) <= len(clean) // 500
 
 
-def plain_kneser_ney(texts, size, order):
-    """The same model from its formula, for symbol lists."""
+def plain_kneser_ney(texts, order):
+    """p(gram) from the formula, for tuples of bytes."""
     counts = {order: {}}
     for t in texts:
-        padded = [0] * (order - 1) + t
+        padded = [0] * (order - 1) + list(t)
         for i in range(len(t)):
             g = tuple(padded[i : i + order])
             counts[order][g] = counts[order].get(g, 0) + 1
     for k in range(order - 1, 0, -1):
-        counts[k] = {}
-        for g in counts[k + 1]:
-            counts[k][g[1:]] = counts[k].get(g[1:], 0) + 1
-    off = {}
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    total, off = {}, {}
     for k, c in counts.items():
-        of = {}
-        for n in c.values():
-            of[n] = of.get(n, 0) + 1
-        off[k] = Q.discounts(of)
+        d = Q.discounts(Counter(c.values()))
+        for g, n in c.items():
+            total[k, g[:-1]] = total.get((k, g[:-1]), 0) + n
+            off[k, g[:-1]] = off.get((k, g[:-1]), 0) + d[min(n, 3) - 1]
+        off[k] = d
 
+    @cache
     def p(g):
         k = len(g)
         if k == 0:
-            return 1 / size
-        below = p(g[1:])
-        seen = {h: n for h, n in counts[k].items() if h[:-1] == g[:-1]}
-        if not seen:
-            return below
-        d = lambda n: off[k][min(n, 3) - 1]
-        total = sum(seen.values())
-        own = (seen[g] - d(seen[g])) / total if g in seen else 0
-        return own + sum(d(n) for n in seen.values()) / total * below
+            return 1 / 256
+        if (k, g[:-1]) not in total:
+            return p(g[1:])
+        n, all_ = counts[k].get(g, 0), total[k, g[:-1]]
+        return (n - off[k][min(n, 3) - 1] if n else 0) / all_ + off[k, g[:-1]] / all_ * p(g[1:])
 
     return p
 
 
+def plain_loss(p, text, order):
+    padded = (0,) * (order - 1) + tuple(text)
+    return -sum(math.log(p(padded[i : i + order])) for i in range(len(text)))
+
+
 def test_model_against_its_formula(spark):
-    texts = ["abcab abca", "bca abc", "aab", "cab cab cab"]
-    symbols = np.zeros(0x110000, np.uint8)
-    for i, c in enumerate("abc ", 1):
-        symbols[ord(c)] = i
-    got = Q.train(spark.createDataFrame([(t,) for t in texts], "text string"), symbols, Scratch(spark, "kn"), order=3, size=5)
-    p = plain_kneser_ney([[int(symbols[ord(c)]) for c in t] for t in texts], 5, 3)
-    for code in range(125):
-        g = (code // 25, code // 5 % 5, code % 5)
-        assert math.isclose(math.exp(got[code]), p(g), rel_tol=2e-3, abs_tol=1e-6), g
-    assert np.allclose(np.exp(got).reshape(25, 5).sum(axis=1), 1, atol=1e-3)
+    texts = ["abcab abca", "bca abc", "aab", "cab cab cab", "日本 é"]
+    model = Q.train(spark.createDataFrame([(t,) for t in texts], "text string"), Scratch(spark, "kn"), order=3)
+    p = plain_kneser_ney([t.encode() for t in texts], 3)
+    asked = [*texts, "", None, "xyz", "cabby ca", "\0a", "日é" * 50]
+    docs = spark.createDataFrame([(i, i, "", t) for i, t in enumerate(asked)], "doc_id long, text_key long, lang string, text string").repartition(2)
+    for block in (1, 40, 10**6):
+        got = {r.doc_id: r for r in Q.losses(docs, model, Scratch(spark, "kn"), 3, block).collect()}
+        assert len(got) == len(asked)
+        for i, t in enumerate(asked):
+            assert got[i].n_symbols == len((t or "").encode())
+            assert math.isclose(got[i].loss, plain_loss(p, (t or "").encode(), 3), rel_tol=1e-4, abs_tol=1e-6), t
+    for context in ((97, 98), (0, 0), (120, 121)):
+        assert math.isclose(sum(p((*context, w)) for w in range(256)), 1, abs_tol=1e-9)
+
+
+def test_quality_against_plain_version(spark):
+    """The whole query: model, perplexity, quantiles by language, and verdicts."""
+    d = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, (r.text or "").encode(), r.lang or "") for r in table(spark, d, "documents").collect()]
+    least = {}
+    for r in table(spark, d, "labels").collect():
+        least[r.doc_id] = min(least.get(r.doc_id, 2), 2 if r.quality is None else r.quality)
+    of = lambda i: zlib.crc32(str(i).encode()) % Q.FOLDS
+    p = plain_kneser_ney([t for i, t, _ in docs if least.get(i) == 1 and of(i) != Q.KEPT_BACK], Q.ORDER)
+    loss = {i: plain_loss(p, t, Q.ORDER) for i, t, _ in docs}
+    back = [(i, t, g) for i, t, g in docs if least.get(i) == 1 and of(i) == Q.KEPT_BACK and t]
+    mean = lambda rows: sum(loss[i] for i, *_ in rows) / sum(len(t) for _, t, _ in rows)
+    langs = {g for *_, g in back}
+    means = {g: mean([r for r in back if r[2] == g]) for g in langs}
+    perplexity = {i: math.exp((loss[i] + Q.PRIOR * means.get(g, mean(back))) / (len(t) + Q.PRIOR)) for i, t, g in docs}
+
+    def cut(rows):
+        own = sorted(perplexity[i] for i, *_ in rows)
+        return own[math.ceil(Q.QUANTILE * len(own)) - 1] * Q.SLACK
+
+    cuts = {g: cut([r for r in back if r[2] == g]) for g in langs if sum(r[2] == g for r in back) >= Q.LEAST}
+    got = {r.doc_id: r for r in Q.query(spark, d).collect()}
+    assert set(got) == set(loss)
+    for i, t, g in docs:
+        threshold = cuts.get(g, cut(back))
+        assert math.isclose(got[i].perplexity, perplexity[i], rel_tol=1e-4) and math.isclose(got[i].threshold, threshold, rel_tol=1e-4)
+        assert got[i].kept == (len(t) > 0 and perplexity[i] <= threshold) or abs(perplexity[i] / threshold - 1) < 1e-4
 
 
 def test_quality_keeps_trusted_and_drops_junk(spark):
