@@ -38,7 +38,7 @@ QUANTILE, SLACK = 0.99, 1.15
 #: Languages with fewer trusted documents kept back use the threshold of all languages.
 LEAST = 20
 #: Bytes of a block of documents, or one document; and bytes that are worked on at a time.
-BLOCK, CHUNK = 12_000_000, 2_000_000
+BLOCK, CHUNK = 12_000_000, 1_000_000
 #: n-grams of a shard of the model, about.
 SHARD = 100_000
 #: Keys hold an n-gram's bytes below its order.
@@ -79,14 +79,27 @@ def _pieces(data: np.ndarray, at: np.ndarray, order: int) -> Iterator[tuple[int,
         yield a, b, found.indices.to_numpy(), found.dictionary.to_numpy()
 
 
+def _counter(order: int):
+    """(pressed) to (gram, n), the counts of a part of the table."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpress = zstandard.ZstdDecompressor()
+        for batch in batches:
+            texts = pa.array([unpress.decompress(x.as_buffer()) if x.as_buffer().size else b"" for x in batch.column("pressed")], pa.large_binary())
+            for _, _, codes, distinct in _pieces(*raw_bytes(texts), order):
+                yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(np.bincount(codes, minlength=len(distinct)).astype(np.int64))], ["gram", "n"])
+
+    return run
+
+
 @tidy
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, order) to (gram, n), the counts of a part of the table."""
+def _press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts in compressed form, so that less travels."""
+    press = zstandard.ZstdCompressor(level=5)
     for batch in batches:
-        data, at = raw_bytes(batch.column("text").fill_null(""))
-        order = batch.column("order")[0].as_py() if batch.num_rows else ORDER
-        for _, _, codes, distinct in _pieces(data, at, order):
-            yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(np.bincount(codes, minlength=len(distinct)).astype(np.int64))], ["gram", "n"])
+        pressed = [press.compress(x.as_buffer()) if x.is_valid and x.as_buffer().size else b"" for x in batch.column("text")]
+        yield batch.drop_columns(["text"]).append_column("pressed", pa.array(pressed, pa.binary()))
 
 
 def discounts(of: dict[int, int]) -> tuple[float, float, float]:
@@ -101,8 +114,8 @@ def discounts(of: dict[int, int]) -> tuple[float, float, float]:
 
 def train(trusted: DataFrame, scratch: Scratch, order: int = ORDER) -> DataFrame:
     """(key, own, gamma): for each n-gram the discounted share of its context's count, and for each context the
-    weight of shorter ones. Keys are n-grams below their order; a key may be in one row of either kind. All rows of trusted (text) count."""
-    counts = trusted.select("text", F.lit(order).alias("order")).mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    weight of shorter ones. Keys are n-grams below their order; a key may be in one row of either kind. All rows of trusted (pressed) count."""
+    counts = trusted.select("pressed").mapInArrow(_counter(order), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     orders = {order: scratch.save(counts, "counts")}
     for k in range(order - 1, 0, -1):  # below the top, an n-gram counts the bytes it follows
         low = F.col("gram").bitwiseAND(F.lit((1 << (8 * k)) - 1)).alias("gram")
@@ -137,7 +150,7 @@ def _packed(size: int):
             data, at = raw_bytes(texts)
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
             cols = [one(all_.column(c).combine_chunks()) for c in ("doc_id", "text_key", "lang")]
-            packed = zstandard.ZstdCompressor(level=5).compress(np.ascontiguousarray(data))
+            packed = zstandard.ZstdCompressor(level=7).compress(np.ascontiguousarray(data))
             return pa.RecordBatch.from_arrays([*cols, one(pa.array(np.diff(at))), pa.array([packed], pa.binary())], ["doc_id", "text_key", "lang", "size", "data"])
 
         for batch in batches:
@@ -215,6 +228,16 @@ def _sharded(shards: int):
     return run
 
 
+def _short(values: np.ndarray) -> bytes:
+    """Numbers to 16 bits after the leading one, equal bytes of all of them together, as they compress well."""
+    bits = values.astype(np.float32).view(np.uint32)
+    return ((bits + np.uint32(64)) & np.uint32(0xFFFFFF80)).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _long(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.float32).ravel()
+
+
 def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
     """Ranges of equal neighbours."""
     if len(values):
@@ -225,7 +248,7 @@ def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
 @tidy
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of shards, each one's model before what it is asked, to (block, shard, payload): own and gamma in the order asked."""
-    press, unpress = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+    press, unpress = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
     shard, held, ready = None, [], None
     for batch in batches:
         blocks, numbers, out = [], [], []
@@ -255,10 +278,10 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
                         hit = keys[at] == asked
                         answer[hit] = values[at[hit]]
-                    got.append(answer.tobytes())
+                    got.append(answer)
                 blocks.append(batch.column("block")[row].as_py())
                 numbers.append(shard)
-                out.append(press.compress(b"".join(got)))
+                out.append(press.compress(_short(np.concatenate(got))))
         yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(numbers, pa.int32()), pa.array(out, pa.binary())], ["block", "shard", "payload"])
 
 
@@ -284,7 +307,7 @@ def _scorer(shards: int, order: int):
                 if numbers[row] != block:
                     block, own, gamma = numbers[row], [], []
                 if answer[row]:
-                    both = np.frombuffer(unpress.decompress(batch.column("payload")[row].as_buffer()), np.float32)
+                    both = _long(unpress.decompress(batch.column("payload")[row].as_buffer()))
                     own.append(both[: len(both) // 2])
                     gamma.append(both[len(both) // 2 :])
                     continue
@@ -315,9 +338,10 @@ def losses(docs: DataFrame, model: DataFrame, scratch: Scratch, order: int = ORD
     asked = packed.select("block", "size", "data").mapInArrow(_asking(shards, order), "shard int, block long, payload binary")
     known = model.mapInArrow(_sharded(shards), "shard int, key long, own float, gamma float")
     both = known.select("shard", "key", "own", "gamma", F.lit(None).cast("long").alias("block"), F.lit(None).cast("binary").alias("payload")).unionByName(asked, allowMissingColumns=True)
-    answers = both.repartition("shard").sortWithinPartitions("shard", F.asc_nulls_first("block")).mapInArrow(_answers, "block long, shard int, payload binary")
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    answers = both.repartition(max(least, shards), "shard").sortWithinPartitions("shard", F.asc_nulls_first("block")).mapInArrow(_answers, "block long, shard int, payload binary")
     met = packed.select("block", F.lit(None).cast("int").alias("shard"), F.lit(None).cast("binary").alias("payload"), "doc_id", "text_key", "lang", "size", "data").unionByName(answers, allowMissingColumns=True)
-    met = met.repartition("block").sortWithinPartitions("block", F.asc_nulls_last("shard"))
+    met = met.repartition(max(least, packed.count() // 8), "block").sortWithinPartitions("block", F.asc_nulls_last("shard"))
     found = scratch.save(met.mapInArrow(_scorer(shards, order), f"doc_id {kind}, text_key long, lang string, n_symbols long, loss double"), "scores")
     scratch.drop(packed)
     return found
@@ -332,12 +356,14 @@ def _trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def _training(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(doc_id, text) of the trusted docs that are not kept back; a filter of bounded size keeps back most others before any text moves."""
+    """(doc_id, pressed) of the trusted docs that are not kept back; a filter of bounded size keeps back most others before any text moves."""
     key = F.xxhash64(F.col("doc_id").cast("string")).alias("id_key")
     sent = docs.sparkSession.sparkContext.broadcast(hash_filter(trusted.select(key), "id_key"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     some = docs.select("doc_id", key, "text").where((fold(F.col("doc_id"), FOLDS) != KEPT_BACK) & F.col("text").isNotNull())
-    return some.mapInArrow(passing(sent), f"doc_id {kind}, id_key long, text string").drop("id_key").join(trusted.hint("merge"), "doc_id", "left_semi")
+    keep = passing(sent)
+    some = some.mapInArrow(lambda batches: _press(keep(batches)), f"doc_id {kind}, id_key long, pressed binary")
+    return some.drop("id_key").join(trusted.hint("merge"), "doc_id", "left_semi")
 
 
 def scored(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:

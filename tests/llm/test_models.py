@@ -91,7 +91,8 @@ def plain_loss(p, text, order):
 
 def test_model_against_its_formula(spark):
     texts = ["abcab abca", "bca abc", "aab", "cab cab cab", "日本 é"]
-    model = Q.train(spark.createDataFrame([(t,) for t in texts], "text string"), Scratch(spark, "kn"), order=3)
+    pressed = spark.createDataFrame([(t,) for t in [*texts, "", None]], "text string").mapInArrow(Q._press, "pressed binary")
+    model = Q.train(pressed, Scratch(spark, "kn"), order=3)
     p = plain_kneser_ney([t.encode() for t in texts], 3)
     asked = [*texts, "", None, "xyz", "cabby ca", "\0a", "日é" * 50]
     docs = spark.createDataFrame([(i, i, "", t) for i, t in enumerate(asked)], "doc_id long, text_key long, lang string, text string").repartition(2)
