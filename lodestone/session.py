@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -82,3 +83,8 @@ class Scratch:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
             conf = self.spark._jsparkSession.sessionState().newHadoopConf()
             path.getFileSystem(conf).delete(path, True)
+
+    def settle(self) -> None:
+        """Lets Spark remove the shuffle files of steps that are done: those whose plans nothing holds any more."""
+        gc.collect()
+        self.spark._jvm.System.gc()
