@@ -60,15 +60,14 @@ def _tagged(grams: np.ndarray, k: int) -> np.ndarray:
 def grams(data: np.ndarray, at: np.ndarray, order: int = ORDER) -> np.ndarray:
     """The n-gram that ends at each byte of the texts data[at[i]:at[i + 1]], each of which follows order - 1 zero bytes."""
     pad = order - 1
-    sizes = np.diff(at)
-    padded = np.zeros(len(data) + pad * len(sizes), np.uint8)
-    place = np.arange(len(data)) + np.repeat(pad * np.arange(1, len(sizes) + 1), sizes)
-    padded[place] = data
-    key = np.zeros(len(data), np.uint64)
-    for j in range(pad, -1, -1):
-        key <<= np.uint64(8)
-        key |= padded[place - j]
-    return key
+    real = np.ones(len(data) + pad * (len(at) - 1), bool)
+    real[(at[:-1] + pad * np.arange(len(at) - 1))[:, None] + np.arange(pad)] = False
+    padded = np.zeros(len(real), np.uint64)
+    padded[real] = data
+    key = padded.copy()
+    for j in range(1, order):
+        key[j:] |= padded[: len(padded) - j] << np.uint64(8 * j)
+    return key[real]
 
 
 def _pieces(data: np.ndarray, at: np.ndarray, order: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -131,7 +130,9 @@ def train(trusted: DataFrame, scratch: Scratch, order: int = ORDER) -> DataFrame
         gamma = contexts.select(key("context", k - 1), F.lit(None).cast("float").alias("own"), (F.col("off") / F.col("total")).cast("float").alias("gamma"))
         rows = own.unionByName(gamma)
         model = rows if model is None else model.unionByName(rows)
-    return scratch.save(model, "model")
+    model = scratch.save(model, "model")
+    scratch.drop(*orders.values())
+    return model
 
 
 # --- blocks, what they ask, and what shards answer -------------------------------------------
@@ -193,9 +194,8 @@ def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((x >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
 
 
-def _distinct(data: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
-    found = [d for _, _, _, d in _pieces(data, at, order)]
-    return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
+def _distinct(pieces: list) -> np.ndarray:
+    return np.unique(np.concatenate([d for *_, d in pieces])) if pieces else np.empty(0, np.uint64)
 
 
 def _asking(shards: int, order: int):
@@ -206,7 +206,7 @@ def _asking(shards: int, order: int):
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for row in range(batch.num_rows):
-                keys, by, edge = _wanted(_distinct(*_opened(batch, row), order), shards, order)
+                keys, by, edge = _wanted(_distinct([*_pieces(*_opened(batch, row), order)]), shards, order)
                 asked = [(s, press.compress(np.diff(keys[by[edge[s] : edge[s + 1]]], prepend=np.uint64(0)).tobytes())) for s in range(shards) if edge[s + 1] > edge[s]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([s for s, _ in asked], pa.int32()), pa.array([batch.column("block")[row].as_py()] * len(asked), pa.int64()), pa.array([p for _, p in asked], pa.binary())],
@@ -312,14 +312,15 @@ def _scorer(shards: int, order: int):
                     gamma.append(both[len(both) // 2 :])
                     continue
                 data, at = _opened(batch, row)
-                distinct = _distinct(data, at, order)
+                pieces = [*_pieces(data, at, order)]
+                distinct = _distinct(pieces)
                 loss = np.zeros(len(at) - 1)
                 if len(distinct):
                     keys, by, _ = _wanted(distinct, shards, order)
                     values = np.empty((2, len(keys)))
                     values[0, by], values[1, by] = np.concatenate(own), np.concatenate(gamma)
                     logs = _log_probabilities(distinct, keys, *values, order)
-                    for a, b, codes, some in _pieces(data, at, order):
+                    for a, b, codes, some in pieces:
                         total = np.concatenate([[0.0], np.cumsum(logs[np.searchsorted(distinct, some)][codes])])
                         loss[a:b] = -np.diff(total[at[a : b + 1] - at[a]])
                 cols = [batch.column(c)[row].values for c in ("doc_id", "text_key", "lang", "size")]
@@ -343,7 +344,8 @@ def losses(docs: DataFrame, model: DataFrame, scratch: Scratch, order: int = ORD
     met = packed.select("block", F.lit(None).cast("int").alias("shard"), F.lit(None).cast("binary").alias("payload"), "doc_id", "text_key", "lang", "size", "data").unionByName(answers, allowMissingColumns=True)
     met = met.repartition(max(least, packed.count() // 8), "block").sortWithinPartitions("block", F.asc_nulls_last("shard"))
     found = scratch.save(met.mapInArrow(_scorer(shards, order), f"doc_id {kind}, text_key long, lang string, n_symbols long, loss double"), "scores")
-    scratch.drop(packed)
+    scratch.drop(packed, model)
+    scratch.settle()
     return found
 
 
@@ -370,6 +372,7 @@ def scored(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, text_key, lang, n_symbols, perplexity, threshold, kept) for every row of docs."""
     trusted = scratch.save(_trusted_ids(labels), "trusted")  # these grow with the corpus: joined in one way at every size
     model = train(_training(docs, trusted), scratch)
+    scratch.settle()
     found = losses(docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "text"), model, scratch)
 
     back = found.where(fold(F.col("doc_id"), FOLDS) == KEPT_BACK).join(trusted.hint("merge"), "doc_id", "left_semi").where("n_symbols > 0")
