@@ -70,6 +70,19 @@ def text_report(results: DataFrame) -> str:
     return "\n".join(out) + "\n"
 
 
+def command_report(results: DataFrame) -> str:
+    """What the command line shows: the list with each result's parts, then the merged report."""
+    b = F.col("similarity_breakdown")
+    told = sections(results).withColumns({"parts": breakdown_line(b), "raw": F.format_string("   Raw BM25 Score: %.3f", "bm25_score")})
+    rows = told.orderBy("rank").select("line", "parts", "raw", "section").collect()
+    out = [f"Found {len(rows)} documents"]
+    for r in rows:
+        out += [r.line, r.parts, r.raw]
+    if rows:
+        out += ["\n" + WIDE, "MERGED RESULT", WIDE, "\n".join(r.section for r in rows)]
+    return "\n".join(out) + "\n"
+
+
 def merged_report(results: DataFrame) -> str:
     return "\n".join(r.section for r in sections(results).orderBy("rank").select("section").collect())
 

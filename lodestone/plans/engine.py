@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from lodestone.functions import forms, text
 from lodestone.functions.query import Query
 from lodestone.operators import bm25, corpus, locate, report, retrieve, scoring
+from lodestone.session import Scratch
 
 DEFAULT_ROOT = "./documents"
 DIMENSIONS = 256
@@ -64,14 +65,17 @@ class SearchEngine:
         """Reads all files under directory; the number read. replace: rows of the same paths go first."""
         self.index_path = os.path.abspath(directory)
         found = corpus.files(self.spark, self.index_path)
-        new = self._rows(found)
+        # Files are read once, into a table.
+        scratch = Scratch(self.spark, "ingest")
+        new = scratch.save(self._rows(found), "rows")
         old = self.collection.read()
         if replace:
-            old = old.join(found.select("file_path"), "file_path", "left_anti").select(*new.columns)
-        n = found.count()
+            old = old.join(new.select("file_path"), "file_path", "left_anti").select(*new.columns)
+        n = new.count()
         if n:
             self.collection.write(old.unionByName(new))
             self.rebuild_index()
+        scratch.drop(new)
         return n
 
     def add_document(self, content: str, title: str | None = None, now: datetime | None = None) -> str:
@@ -97,7 +101,8 @@ class SearchEngine:
         found = corpus.files(self.spark, self.index_path)
         old = self.collection.read()
         plan = corpus.sync_plan(old.select(F.col("file_path").alias("path"), "size"), found.select(F.col("file_path").alias("path"), "size"))
-        plan = self.spark.createDataFrame(plan.toArrow()) if self._small(plan) else plan
+        # A table, so that it still tells what was done once it is done.
+        plan = Scratch(self.spark, "sync").save(plan, "plan")
         gone = plan.where("action in ('delete', 'update')").select(F.col("path").alias("file_path"))
         came = plan.where("action in ('insert', 'update')").select(F.col("path").alias("file_path"))
         new = self._rows(found.join(came, "file_path", "left_semi"))
@@ -106,16 +111,19 @@ class SearchEngine:
         self.rebuild_index()
         return plan
 
-    @staticmethod
-    def _small(plan: DataFrame) -> bool:
-        """Plans of few rows are kept by the driver, so that they still tell what was done once it is done."""
-        return len(plan.head(10_001)) <= 10_000
-
     # --- reading ---------------------------------------------------------------------------
 
     def _vector(self, words: str) -> list[float] | None:
         return self.spark.range(1).select(self.embed(F.lit(words)).alias("v")).first().v if words else None
 
+    def _strategy(self, number: int, words: str) -> list[float] | None:
+        """The vector of a strategy. One that fails leaves its candidates to the others, and a warning."""
+        try:
+            return self._vector(words)
+        except Exception as error:
+            self.warnings.append(f"strategy {number} failed: {error}")
+            return None
+
     def search(self, query: str, n: int = 5, threshold: float = 0.7) -> DataFrame:
         """The n best documents of at least threshold, by rank.
 
@@ -133,7 +141,7 @@ class SearchEngine:
         if q.blank or self.index is None or n == 0:
             strategies, scores = {}, self.spark.createDataFrame([], "key string, bm25_score double")
         else:
-            strategies = {1: self._vector(q.expanded), 2: self._vector(q.concept_text), 3: self._vector(q.lowered)}
+            strategies = {1: self._strategy(1, q.expanded), 2: self._strategy(2, q.concept_text), 3: self._strategy(3, q.lowered)}
             scores = self.index.score(q).select(F.col("doc_id").alias("key"), F.col("bm25").alias("bm25_score"))
         best = retrieve.hybrid(vectors, meta, scores, strategies, q, n, threshold)
         ranked = retrieve.with_rank(best, F.desc("similarity"), "position", "key")
@@ -154,6 +162,9 @@ class SearchEngine:
     def text_report(self, results: DataFrame) -> str:
         return report.text_report(results)
 
+    def command_report(self, results: DataFrame) -> str:
+        return report.command_report(results)
+
     def json_report(self, results: DataFrame) -> str:
         return report.json_report(results)
 

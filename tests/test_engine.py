@@ -145,3 +145,30 @@ def test_stream_of_files(spark, folder, tmp_path):
     ingest.start(engine, str(folder), str(tmp_path / "cp")).awaitTermination(90)
     names = {r.filename for r in engine.collection.read().collect()}
     assert "UPPER.TXT" in names and "skip.bin" not in names
+
+
+def test_command_line_shows_parts(spark, tmp_path, capsys):
+    base = ["--db-path", str(tmp_path / "db"), "--index-path", str(tmp_path / "docs"), "--similarity-threshold", "0.1"]
+    service.main([*base, "add", "Python is a language"], spark)
+    out = service.main([*base, "search", "language"], spark)
+    lines = out.splitlines()
+    assert lines[0] == "Found 1 documents" and lines[1].startswith("1. ")
+    assert lines[2].startswith("   BM25: ") and "Topic Relevance: " in lines[2] and "Morphological: " in lines[2]
+    assert lines[3].startswith("   Raw BM25 Score: ") and out in capsys.readouterr().out
+    assert service.main([*base, "search", "  "], spark) == "Found 0 documents\n"
+
+
+def test_a_failing_strategy_leaves_the_others(spark, tmp_path, monkeypatch):
+    engine = SearchEngine(spark, str(tmp_path / "db"), index_path=str(tmp_path / "docs"))
+    engine.add_document("Python is a language")
+    whole, calls = engine._vector, []
+
+    def failing(words):
+        calls.append(words)
+        if len(calls) == 1:
+            raise RuntimeError("no model")
+        return whole(words)
+
+    monkeypatch.setattr(engine, "_vector", failing)
+    assert engine.search("language", 2, 0.1).count() == 1
+    assert engine.warnings == ["strategy 1 failed: no model"]
