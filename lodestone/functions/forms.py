@@ -46,6 +46,11 @@ def all_forms(word: str, stems: bool = False, lemmas: dict[str, list[str]] | Non
     return sorted({*base_forms(word, stems, lemmas), *partial_forms(word)})
 
 
+def with_partners(words) -> list[str]:
+    """words, and the singulars and plurals of them."""
+    return sorted({*words, *(_PARTNERS[w] for w in words if w in _PARTNERS)})
+
+
 @lru_cache(maxsize=200_000)
 def stem(word: str) -> str:
     return porter.stem(word)
@@ -83,7 +88,8 @@ def stem_map(words: Column) -> Column:
 def plural_partner(word: Column) -> Column:
     """The other of singular and plural for words of the table, else null."""
     pairs = F.create_map(*(F.lit(x) for item in sorted(_PARTNERS.items()) for x in item))
-    return F.element_at(pairs, word)
+    # Maps are searched key by key, sets by hash: few words get as far as the map.
+    return F.when(word.isin(*_PARTNERS), F.element_at(pairs, word))
 
 
 def let(value: Column, body) -> Column:
@@ -103,6 +109,24 @@ def base_forms_of(words: Column, stems: Column | None = None) -> Column:
     return F.array_distinct(let(words, of))
 
 
+def sorted_base_forms_of(word: Column, stems: Column | None = None) -> Column:
+    """The sorted base forms of one lower-cased word."""
+    if stems is not None:
+        return F.sort_array(base_forms_of(F.array(word), stems))
+    return F.when(word.isin(*_PARTNERS), F.sort_array(F.array(word, plural_partner(word)))).otherwise(F.array(word))
+
+
+def alike(word: Column, wanted: list[str], stems: Column | None = None) -> Column:
+    """Whether a match key of a lower-cased word is among wanted; null counts as no."""
+    partnered = [w for w, p in _PARTNERS.items() if p in wanted]
+    ends = F.concat(F.lit("prefix_"), F.substring(word, 1, 3)).isin(*wanted) | F.concat(F.lit("suffix_"), F.substring(word, F.length(word) - 2, F.lit(3))).isin(*wanted)
+    found = word.isin(*wanted, *partnered) | ((F.length(word) > 4) & ends)
+    if stems is not None:
+        stem_of = F.try_element_at(stems, word)
+        found = found | F.coalesce((F.length(stem_of) >= 2) & stem_of.isin(*wanted), F.lit(False))
+    return found
+
+
 def partials_of(word: Column) -> Column:
     n = F.length(word)
     prefixes = F.transform(F.sequence(F.lit(3), n - 1), lambda i: F.concat(F.lit("prefix_"), F.substring(word, 1, i)))

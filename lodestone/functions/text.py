@@ -80,20 +80,15 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(c, f"{SPACE}+"), lambda w: w != "")
 
 
-def _stops() -> Column:
-    return F.array(*map(F.lit, STOP_WORDS))
-
-
 def without_stops(c: Column) -> Column:
     """A list of words without stop words; repeats stay."""
-    stops = _stops()
-    return F.filter(c, lambda w: ~F.array_contains(stops, w))
+    return F.filter(c, lambda w: ~w.isin(*STOP_WORDS))
 
 
 def bm25_tokens(c: Column) -> Column:
     """Identifiers without the stop words of three letters and more."""
-    stops = F.array(*(F.lit(w) for w in STOP_WORDS if len(w) > 2))
-    return F.filter(identifiers(c), lambda w: ~F.array_contains(stops, w))
+    stops = [w for w in STOP_WORDS if len(w) > 2]
+    return F.filter(identifiers(c), lambda w: ~w.isin(*stops))
 
 
 def topic_words(c: Column) -> Column:

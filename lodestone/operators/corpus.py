@@ -18,7 +18,7 @@ SCHEMA = "id string, file_path string, filename string, size long, index_path st
 def _full_forms(tokens: Column, stems: Column | None = None) -> Column:
     """The sorted base forms of tokens of three letters and more that aren't stop words."""
     wanted = F.filter(text.without_stops(tokens), lambda t: F.length(t) > 2)
-    return F.flatten(F.transform(wanted, lambda t: F.array_sort(forms.base_forms_of(F.array(t), stems))))
+    return F.flatten(F.transform(wanted, lambda t: forms.sorted_base_forms_of(t, stems)))
 
 
 def with_embedding_text(df: DataFrame, source: str, name: str, stems: bool = False) -> DataFrame:
@@ -36,7 +36,7 @@ def search_text(c: Column) -> Column:
     plain = text.tokens(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_\p{Z}\t-\r\x1c-\x1f\x85]", " "))
     wanted = F.filter(text.without_stops(plain), lambda t: F.length(t) > 2)
     own = F.filter(text.tokens(F.lower(c)), lambda t: F.length(t) > 1)
-    return F.array_join(F.concat(own, F.flatten(F.transform(wanted, lambda t: F.array_sort(forms.forms_of(F.array(t)))))), " ")
+    return F.array_join(F.concat(own, F.flatten(F.transform(wanted, lambda t: F.sort_array(forms.forms_of(F.array(t)))))), " ")
 
 
 def with_representation(df: DataFrame, source: str, name: str, stems: bool = False) -> DataFrame:
@@ -50,7 +50,7 @@ def with_representation(df: DataFrame, source: str, name: str, stems: bool = Fal
     known = F.col("_stems") if stems else None
     df = df.withColumn("_concepts", concepts(F.col("_spelled"), known))
     df = df.withColumn("_forms", forms.forms_of(F.col("_concepts"), known))
-    variants = F.array_sort(F.array_distinct(F.concat("_concepts", "_forms")))
+    variants = F.sort_array(F.array_distinct(F.concat("_concepts", "_forms")))
     whole = F.concat_ws(" ", "_clean", "_spelled", F.when(F.size("_concepts") > 0, F.array_join(variants, " ")))
     return df.withColumn(name, whole).drop("_clean", "_spelled", "_concepts", "_forms", "_stems")
 

@@ -29,30 +29,49 @@ def _occurrences(line: Column, word: Column) -> Column:
     return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), column)).otherwise(F.array().cast("array<int>"))
 
 
-def _line_matches(line: Column, number: Column, query: Query, stems: Column | None) -> Column:
-    """A phrase match, or else one for each place of each word alike to a query word."""
+def _alike(words: Column, query: Query, word: str, stems: Column | None) -> Column:
+    """Those of a list of distinct words that are alike to a word of the query."""
+    own = query._all(word)
+    if any(w.startswith(("prefix_", "suffix_")) for w in query.content_words):
+        return F.filter(words, lambda x: F.arrays_overlap(forms.forms_of(F.array(x), stems), literal(own)))
+    return F.filter(words, lambda x: forms.alike(x, own, stems))
+
+
+def _line_matches(line: Column, number: Column, query: Query, alike: Column, n: int) -> Column:
+    """A phrase match, or else one for each place of each word that is in one of the n lists of alike."""
     low = F.lower(line)
     place = F.instr(low, F.lit(query.lowered))
     phrase = F.array(F.struct(number.alias("line"), place.alias("column"), F.lit("phrase").alias("match_type")))
-    wanted = [w for w in query.content_words if len(w) > 2]
-    whole = any(w.startswith(("prefix_", "suffix_")) for w in wanted)
-    found = []
-    for w in wanted:
-        own = literal(query._all(w))
-        keyed = forms.forms_of if whole else forms.keys_of
-        alike = F.filter(text.words(low), lambda x: F.arrays_overlap(keyed(F.array(x), stems), own))  # noqa: B023
-        found.append(F.flatten(F.transform(F.slice(alike, 1, MOST), lambda x: _occurrences(low, x))))
-    words = F.flatten(F.array(*found)) if found else F.array().cast("array<int>")
+
+    def of(words: Column) -> Column:
+        among = lambda own: lambda x: F.array_contains(own, x)
+        found = [F.filter(words, among(alike[i])) for i in range(n)]
+        return F.concat(*(F.flatten(F.transform(F.slice(f, 1, MOST), lambda x: _occurrences(low, x))) for f in found))
+
+    words = forms.let(text.words(low), of) if n else F.array().cast("array<int>")
     morphological = F.transform(F.slice(words, 1, MOST), lambda c: F.struct(number.alias("line"), c.alias("column"), F.lit("morphological").alias("match_type")))
     return F.when(place > 0, phrase.cast(MATCH)).otherwise(morphological.cast(MATCH))
 
 
 def matches(content: Column, query: Query, stems: Column | None = None) -> Column:
-    """The first MOST matches in order of line, query word, line word and place. No rows move."""
+    """The first MOST matches in order of line, query word, line word and place. No rows move.
+
+    Words are held against the query once for a document, and lines after the last match wanted aren't looked at.
+    """
     if not query.text:
         return F.array().cast(MATCH)
-    each = F.transform(F.split(content, "\n"), lambda line, i: _line_matches(line, i + 1, query, stems))
-    return F.slice(F.flatten(each), 1, MOST)
+    wanted = [w for w in query.content_words if len(w) > 2]
+    nothing = F.array().cast(MATCH)
+
+    def scan(alike: Column) -> Column:
+        numbered = F.transform(F.split(content, "\n"), lambda line, i: F.struct(line.alias("line"), (i + 1).alias("number")))
+        more = lambda got, l: F.when(F.size(got) >= MOST, got).otherwise(F.concat(got, _line_matches(l["line"], l["number"], query, alike, len(wanted))))
+        whole = F.slice(F.aggregate(numbered, nothing, more), 1, MOST)
+        any_alike = F.exists(alike, lambda a: F.size(a) > 0)
+        return F.when(content.isNull(), F.lit(None).cast(MATCH)).when(any_alike | F.contains(F.lower(content), F.lit(query.lowered)), whole).otherwise(nothing)
+
+    found = forms.let(F.array_distinct(text.words(F.lower(content))), lambda ws: F.array(*(_alike(ws, query, w, stems) for w in wanted)) if wanted else F.array().cast("array<array<string>>"))
+    return forms.let(found, scan)
 
 
 def display(content: Column, query: Query, stems: Column | None = None) -> Column:

@@ -49,11 +49,12 @@ def morphological(content: Column, query: Query, stems: Column | None = None) ->
 def concepts(content: Column, stems: Column | None = None) -> Column:
     """Distinct concept words of a text: identifiers with a form in the vocabulary, those forms, and pattern words."""
     words = F.array_distinct(text.identifiers(content))
-    vocabulary = literal(CONCEPTS)
+    if stems is None:  # then the words that can have a form in the vocabulary are known
+        words = F.filter(words, lambda w: w.isin(*forms.with_partners(CONCEPTS)))
 
     def of(word: Column) -> Column:
         hits = lambda h: F.when(F.size(h) > 0, F.concat(F.array(word), h)).otherwise(F.array().cast("array<string>"))
-        return let(F.array_intersect(forms.base_forms_of(F.array(word), stems), vocabulary), hits)
+        return let(F.filter(forms.base_forms_of(F.array(word), stems), lambda f: f.isin(*CONCEPTS)), hits)
 
     return F.array_distinct(F.concat(F.flatten(F.transform(words, of)), text.pattern_words(content)))
 
