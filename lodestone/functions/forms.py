@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from . import porter
+from .text import let
 from .vocab import CLUSTERS, PLURALS
 
 _PARTNERS = {a: b for pair in PLURALS for a, b in (pair, pair[::-1])}
@@ -92,11 +93,6 @@ def plural_partner(word: Column) -> Column:
     return F.when(word.isin(*_PARTNERS), F.element_at(pairs, word))
 
 
-def let(value: Column, body) -> Column:
-    """body(value), with value worked out once and written once in the plan."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def base_forms_of(words: Column, stems: Column | None = None) -> Column:
     """Distinct base forms of a list of lower-cased words; stems is a map from stem_map."""
 

@@ -149,9 +149,9 @@ def verbalized(text: str) -> str:
 
 def separated(text: str) -> str:
     """The rewrites of functions.text.separate_symbols, on a driver string."""
-    from .text import WORD, _separations
+    from .text import SEPARATIONS, WORD
 
-    for pattern, put in _separations():
+    for pattern, put, _ in SEPARATIONS:
         pattern = pattern.replace(WORD, r"\w")
         text = re.sub(pattern, re.sub(r"\$(\d)", r"\\\1", put), text)
     return re.sub(r"\s+", " ", text).strip()

@@ -17,28 +17,39 @@ NOT_WORD = r"[^\p{L}\p{N}_]+"
 SPACE = r"[\p{Z}\t-\r\x1c-\x1f\x85]"
 CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 
-# Symbols are set apart from words by these rewrites, one after the other.
-MARKDOWN = [(r"\*\*([^*]+)\*\*", "** $1 **"), (r"\*([^*]+)\*", "* $1 *"), (r"`([^`]+)`", "` $1 `"), (r"_([^_]+)_", "_ $1 _")]
-AFTER_WORD = [r"\(", r"\[", r"\."]
-BEFORE_WORD = [r"\)", r"\]", r"\}"]
-
-
-def _separations() -> list[tuple[str, str]]:
-    apart = "$1 $2"
-    return [
-        *MARKDOWN,
-        *((f"({WORD})({s})", apart) for s in AFTER_WORD),
-        *((f"({s})({WORD})", apart) for s in BEFORE_WORD),
-        (f"({WORD})(=)", apart),
-        (f"({WORD})([+\\-*/%])", apart),
-        (f"([=+\\-*/%])({WORD})", apart),
-        (f"({WORD})([<>!]=?)", apart),
-        (f"([<>!]=?)({WORD})", apart),
-        (f"({WORD})([;,])", apart),
-        (f"([;,])({WORD})", apart),
-        (f"({WORD})(:)(?!:)", apart),
-        (f"(?<!:)(:)({WORD})", apart),
-    ]
+_APART = "$1 $2"
+# Symbols are set apart from words by these rewrites, one after the other. Each comes with the symbols
+# of which a text must have one, or the rewrite changes nothing.
+SEPARATIONS = [
+    (r"\*\*([^*]+)\*\*", "** $1 **", "*"),
+    (r"\*([^*]+)\*", "* $1 *", "*"),
+    (r"`([^`]+)`", "` $1 `", "`"),
+    (r"_([^_]+)_", "_ $1 _", "_"),
+    (rf"({WORD})(\()", _APART, "("),
+    (rf"({WORD})(\[)", _APART, "["),
+    (rf"({WORD})(\.)", _APART, "."),
+    (rf"(\))({WORD})", _APART, ")"),
+    (rf"(\])({WORD})", _APART, "]"),
+    (rf"(\}})({WORD})", _APART, "}"),
+    (rf"({WORD})(=)", _APART, "="),
+    (rf"({WORD})([+\-*/%])", _APART, "+-*/%"),
+    (rf"([=+\-*/%])({WORD})", _APART, "=+-*/%"),
+    (rf"({WORD})([<>!]=?)", _APART, "<>!"),
+    (rf"([<>!]=?)({WORD})", _APART, "<>!"),
+    (rf"({WORD})([;,])", _APART, ";,"),
+    (rf"([;,])({WORD})", _APART, ";,"),
+    (rf"({WORD})(:)(?!:)", _APART, ":"),
+    (rf"(?<!:)(:)({WORD})", _APART, ":"),
+]
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value worked out once and written once in the plan."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _has(t: Column, symbols: str) -> Column:
+    return reduce(lambda a, b: a | b, (F.contains(t, F.lit(s)) for s in symbols))
 
 
 def strip(c: Column) -> Column:
@@ -61,7 +72,8 @@ def verbalize_operators(c: Column) -> Column:
 
 
 def separate_symbols(c: Column) -> Column:
-    apart = reduce(lambda t, r: F.regexp_replace(t, r[0], r[1]), _separations(), c)
+    rewrite = lambda rule: lambda t: F.when(_has(t, rule[2]), F.regexp_replace(t, rule[0], rule[1])).otherwise(t)
+    apart = reduce(lambda t, rule: let(t, rewrite(rule)), SEPARATIONS, c)
     return strip(F.regexp_replace(apart, f"{SPACE}+", " "))
 
 
@@ -98,9 +110,12 @@ def topic_words(c: Column) -> Column:
 
 def pattern_words(c: Column) -> Column:
     """Distinct words of 'keyword word' pairs, for the keywords that name concepts. Each keyword's pairs are found left to right."""
-    low = F.lower(c)
-    found = [F.regexp_extract_all(low, F.lit(f"(?<!{WORD}){k}{SPACE}+{WORD}+"), 0) for k in PATTERN_WORDS]
-    return F.array_distinct(F.flatten(F.transform(F.flatten(F.array(*found)), lambda m: F.split(m, f"{SPACE}+"))))
+
+    def of(low: Column) -> Column:
+        pairs = lambda k: F.when(F.contains(low, F.lit(k)), F.regexp_extract_all(low, F.lit(f"(?<!{WORD}){k}{SPACE}+{WORD}+"), 0)).otherwise(F.array().cast("array<string>"))
+        return F.concat(*map(pairs, PATTERN_WORDS))
+
+    return F.array_distinct(F.flatten(F.transform(let(F.lower(c), of), lambda m: F.split(m, f"{SPACE}+"))))
 
 
 def contains_phrase(content: Column, query: Column) -> Column:
