@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, filter_audit, language_id, lattice, minhash_dedup, packing, quality, token_counts, topk, toxicity, url_filter
+from . import exact_dedup, filter_audit, language_id, lattice, minhash_dedup, packing, quality, token_counts, topk, toxicity, url_filter, weak_rules
 
 _MODULES = {
     "op1_minhash_dedup": minhash_dedup,
@@ -16,6 +16,7 @@ _MODULES = {
     "op9_toxicity": toxicity,
     "op10_exact_dedup": exact_dedup,
     "op11_filter_audit": filter_audit,
+    "op12_weak_rules": weak_rules,
 }
 
 
