@@ -48,11 +48,13 @@ def _r(c, name: str):
 
 #: Operators that no table has, in all their combinations with words.
 SYMBOLS = ["a::b", "a:b:c", "x==y", "+==", "**b**", "*i* `c` _d_e_", "a_b_c", "...", "x!==y===z", "f(a)[b].c{d}", "p->q=>r?.s??t", "i++ + --j<<2>>1", "a<=b>=c<d>e!f", "a&&b||c&d|e^~f", "10%3/2*1", "é:ü", "#h@m$v;w,x"]
-_SYMBOL_SQL = "(VALUES " + ", ".join(f"({X.q(s)})" for s in SYMBOLS) + ") AS t(s)"
+#: Texts with one of them for each space.
+_SYMBOL_SQL = f"(SELECT item_id, replace(text, ' ', {X.lst(SYMBOLS)}[item_id % {len(SYMBOLS)} + 1]) AS s FROM benchmark)"
 
 
-def _symbols(spark) -> DataFrame:
-    return spark.range(1).select(F.explode(forms.literal(SYMBOLS)).alias("s"))
+def _symbols(spark, sf_dir) -> DataFrame:
+    put = F.element_at(forms.literal(SYMBOLS), (F.col("item_id") % len(SYMBOLS) + 1).cast("int"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.replace("text", F.lit(" "), put).alias("s"))
 
 
 @_query(f"SELECT doc_id, md5({X.strip(X.unify('text'))}) AS cleaned FROM documents")
@@ -60,10 +62,10 @@ def clean_text(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.md5(text.clean(F.col("text")).cast("binary")).alias("cleaned"))
 
 
-@_query(f"SELECT s, {X.separate('s')} AS apart, {X.verbalize('s')} AS spelled, {X.verbalize(X.separate('s'))} AS both FROM {_SYMBOL_SQL}")
+@_query(f"SELECT item_id, {X.separate('s')} AS apart, {X.verbalize('s')} AS spelled, {X.verbalize(X.separate('s'))} AS both FROM {_SYMBOL_SQL}")
 def symbols_inline(spark, sf_dir):
     s = F.col("s")
-    return _symbols(spark).select("s", text.separate_symbols(s).alias("apart"), text.verbalize_operators(s).alias("spelled"), text.verbalize_operators(text.separate_symbols(s)).alias("both"))
+    return _symbols(spark, sf_dir).select("item_id", text.separate_symbols(s).alias("apart"), text.verbalize_operators(s).alias("spelled"), text.verbalize_operators(text.separate_symbols(s)).alias("both"))
 
 
 @_query(f"SELECT page_id, md5({X.separate('html')}) AS apart FROM pages")
@@ -191,6 +193,18 @@ def bm25_topk(spark, sf_dir):
     return retrieve.with_rank(best, F.desc("bm25"), "doc_id")
 
 
+@_query(
+    f"""WITH {_BM25_TABLES}, q AS (SELECT item_id AS query_id, term, count(*) AS times FROM (SELECT item_id, unnest({X.bm25_tokens("text")}) AS term FROM benchmark) GROUP BY ALL),
+b AS (SELECT query_id, doc_id, count(*) AS n_terms, round(sum(times * ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.5::DOUBLE) / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS bm25
+  FROM p JOIN q USING (term) JOIN df USING (term) JOIN d USING (doc_id) CROSS JOIN s GROUP BY query_id, doc_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc_id)::INT AS rank, doc_id, bm25, n_terms FROM b QUALIFY rank <= 20"""
+)
+def benchmark_search(spark, sf_dir):
+    """All passages of benchmark as searches over all documents, in one plan."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return bm25.Index.fit(_docs(spark, sf_dir)).search_many(asked, 20)
+
+
 def _exact_sql(query: Query) -> str:
     ws = X.lst(sorted(set(query.content_words)))
     return f"least(CASE WHEN contains({X.strip('lower(text)')}, {X.q(query.phrase)}) THEN 0.6::DOUBLE ELSE 0 END + len(list_intersect({ws}, {X.words('text')}))::DOUBLE / len({ws}) * 0.4::DOUBLE, 1)"
@@ -226,10 +240,11 @@ def vector_topk(spark, sf_dir):
     return retrieve.vector_topk(_vectors(spark, sf_dir), _vector0(spark, sf_dir), 20).select(F.col("key").alias("vec_id"), _r(F.col("embedding_similarity"), "similarity"))
 
 
-@_query("SELECT n::BIGINT AS n, least(n * 4, 100)::BIGINT AS first, least(n * 3, 75)::BIGINT AS second, least(n * 2, 50)::BIGINT AS third FROM range(0, 60) t(n)")
+@_query("SELECT conv_id, n, least(n * 4, 100) AS first, least(n * 3, 75) AS second, least(n * 2, 50) AS third FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)")
 def candidate_budgets(spark, sf_dir):
-    n = F.col("id")
-    return spark.range(60).select(n.alias("n"), *(F.least(n * per, F.lit(most)).cast("long").alias(k) for k, (per, most) in zip(("first", "second", "third"), retrieve.BUDGETS.values(), strict=True)))
+    """How many candidates a search for as many results as a conversation has turns takes."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    return turns.select("conv_id", "n", *(F.least(F.col("n") * per, F.lit(most)).cast("long").alias(k) for k, (per, most) in zip(("first", "second", "third"), retrieve.BUDGETS.values(), strict=True)))
 
 
 # --- similarity components -----------------------------------------------------------------
@@ -469,7 +484,7 @@ def delete_by_key(spark, sf_dir):
     return db.join(fs.select("path"), "path", "left_anti")
 
 
-@_query(f"WITH {_BM25_TABLES.lstrip()} SELECT DISTINCT doc_id, source FROM documents")
+@_query("SELECT DISTINCT doc_id, source FROM documents")
 def collection_scan(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", "source").distinct()
 
