@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lodestone.functions import forms, text
-from lodestone.sources.textfiles import TextFiles
+from lodestone.sources.textfiles import TextFiles, read_files
 
 from .scoring import concepts
+from .segments import Segments
 
 #: A row of the stored corpus. embedding is null until one is supplied.
 SCHEMA = "id string, file_path string, filename string, size long, index_path string, title string, document string, content string, embedding array<float>"
@@ -61,6 +60,19 @@ def files(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("textfiles").load(root)
 
 
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """(file_path, filename, size) of the same files; none of them is opened."""
+    spark.dataSource.register(TextFiles)
+    return spark.read.format("textfiles").option("contents", "false").load(root)
+
+
+def contents(listed: DataFrame) -> DataFrame:
+    """Files of a listing, with their content, dealt out by path. Those that can't be read are left out."""
+    # With a number, as Spark would merge partitions by the few bytes that a listing has.
+    tasks = int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return listed.select("file_path", "filename", "size").repartition(tasks, "file_path").mapInArrow(read_files, "file_path string, filename string, size long, content string")
+
+
 def corpus_rows(found: DataFrame, root: str, stems: bool = False) -> DataFrame:
     """Files as rows of the stored corpus. The id is a hash of the path, so a file that is read again has its old id."""
     return with_representation(found, "content", "document", stems).select(
@@ -108,49 +120,34 @@ def sync_plan(db: DataFrame, fs: DataFrame) -> DataFrame:
 # --- storage -------------------------------------------------------------------------------
 
 
-@dataclass
 class Collection:
-    """A stored corpus: numbered snapshots in Parquet, the last of which counts.
+    """A stored corpus, by file paths, as segments: a change writes its own rows, whatever the collection's size.
 
-    A change writes a whole new snapshot beside the old one, so a lost executor or a reader of the old
-    snapshot sees no half-made state.
+    A path may have several rows; those of one path leave together.
     """
 
-    spark: SparkSession
-    path: str
-
-    def _fs(self):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), p
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self.segments = Segments(spark, path, "file_path", {"rows": SCHEMA}, "size")
 
     def versions(self) -> list[int]:
-        fs, p = self._fs()
-        if not fs.exists(p):
-            return []
-        done = [s.getPath() for s in fs.listStatus(p) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return sorted(int(d.getName()[1:]) for d in done if d.getName().startswith("v"))
+        return self.segments.versions()
 
     def read(self) -> DataFrame:
         """The rows; none where nothing has been written."""
-        if not (known := self.versions()):
-            return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/v{known[-1]:06d}")
-
-    def write(self, rows: DataFrame) -> None:
-        """rows become the collection; the snapshot before the last is deleted."""
-        known = self.versions()
-        number = known[-1] + 1 if known else 1
-        rows.write.parquet(f"{self.path}/v{number:06d}")
-        fs, _ = self._fs()
-        for old in known[:-1]:
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{old:06d}"), True)
+        return self.segments.read()
+
+    def change(self, rows: DataFrame | None = None, gone: DataFrame | None = None) -> None:
+        """rows come, once those of the paths in gone (file_path) have left."""
+        columns = [c.split()[0] for c in SCHEMA.split(", ")]
+        self.segments.change(None if rows is None else {"rows": rows.select(*columns)}, gone)
 
     def append(self, rows: DataFrame) -> None:
-        self.write(self.read().unionByName(rows))
+        self.change(rows)
 
     def delete(self, paths: DataFrame) -> None:
         """Rows whose file_path is in paths (path) go."""
-        self.write(self.read().join(paths.select(F.col("path").alias("file_path")), "file_path", "left_anti"))
+        self.change(gone=paths.select(F.col("path").alias("file_path")))
 
     def index_path(self, given: str | None, default: str) -> tuple[str, bool]:
         """The folder of the first row that has one, else the one given, else default; and whether given differs."""

@@ -5,14 +5,15 @@ All run over whole tables. Sums of floating-point numbers are rounded to six pla
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone.functions import forms, text
 from lodestone.functions.query import Query
-from lodestone.operators import bm25, corpus, locate, report, retrieve, scoring
-from lodestone.session import table
+from lodestone.operators import blocks, bm25, corpus, locate, report, retrieve, scoring
+from lodestone.session import scratch_root, table
 
 from . import sqltext as X
 
@@ -187,12 +188,41 @@ def bm25_index_scores(spark, sf_dir):
     return bm25.Index.fit(_docs(spark, sf_dir)).score(LEXICAL).select("doc_id", _r(F.col("bm25"), "bm25"))
 
 
+def _stored(spark, sf_dir) -> bm25.StoredIndex:
+    """An index of documents that came to be by steps: a third of them with other texts, these again as they are, more that leave again, and the rest."""
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    stored = bm25.StoredIndex(spark, f"{scratch_root(spark)}/stored-{uuid.uuid4().hex}", "long")
+    third = docs.where("doc_id % 3 = 0")
+    stored.change(third.withColumn("text", F.concat(F.lit("worthless "), F.substring("text", 1, 500))))
+    stored.change(third)
+    stored.change(docs.where("doc_id % 5 = 0").withColumn("doc_id", -1 - F.col("doc_id")))
+    stored.change(docs.where("doc_id % 3 <> 0"), gone=docs.where("doc_id % 5 = 0").select((-1 - F.col("doc_id")).alias("doc_id")))
+    return stored
+
+
+@_query(f"WITH {_bm25_sql(LEXICAL)} SELECT doc_id, round(score, 6) AS bm25 FROM b")
+def stored_index_scores(spark, sf_dir):
+    return _stored(spark, sf_dir).index().score(LEXICAL).select("doc_id", _r(F.col("bm25"), "bm25"))
+
+
+@_query(f"WITH {_BM25_TABLES} SELECT term, df, cf, round(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 6) AS idf FROM df CROSS JOIN s")
+def stored_index_terms(spark, sf_dir):
+    return _stored(spark, sf_dir).index().terms.select("term", "df", "cf", _r(F.col("idf"), "idf"))
+
+
 @_query(f"WITH {_bm25_sql(LEXICAL)} SELECT doc_id, bm25, row_number() OVER (ORDER BY bm25 DESC, doc_id)::INT AS rank FROM (SELECT doc_id, round(coalesce(score, 0), 6) AS bm25 FROM documents LEFT JOIN b USING (doc_id) ORDER BY bm25 DESC, doc_id LIMIT 10)")
 def bm25_topk(spark, sf_dir):
     best = bm25.score_all(_docs(spark, sf_dir), LEXICAL).select("doc_id", _r(F.col("bm25"), "bm25")).orderBy(F.desc("bm25"), "doc_id").limit(10)
     return retrieve.with_rank(best, F.desc("bm25"), "doc_id")
 
 
+@_query(f"WITH {_bm25_sql(LEXICAL)} SELECT doc_id, bm25, row_number() OVER (ORDER BY bm25 DESC, doc_id)::INT AS rank FROM (SELECT doc_id, round(coalesce(score, 0), 6) AS bm25 FROM documents LEFT JOIN b USING (doc_id) ORDER BY bm25 DESC, doc_id LIMIT 10)")
+def bm25_topk_blocks(spark, sf_dir):
+    """The same ten documents from a stored index, by bounds of blocks."""
+    built = blocks.BlockedIndex.build(_docs(spark, sf_dir), f"{scratch_root(spark)}/blocks-{uuid.uuid4().hex}")
+    return retrieve.with_rank(built.topk(LEXICAL, 10), F.desc("bm25"), "doc_id")
+
+
 @_query(
     f"""WITH {_BM25_TABLES}, q AS (SELECT item_id AS query_id, term, count(*) AS times FROM (SELECT item_id, unnest({X.bm25_tokens("text")}) AS term FROM benchmark) GROUP BY ALL),
 b AS (SELECT query_id, doc_id, count(*) AS n_terms, round(sum(times * ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.5::DOUBLE) / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS bm25

@@ -8,6 +8,7 @@ UTF-8 are dropped, and all line ends become LF.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -42,23 +43,39 @@ def decoded(raw: bytes) -> str:
     return raw.decode("utf-8", "ignore").replace("\r\n", "\n").replace("\r", "\n")
 
 
+def read_files(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (file_path, filename, size) with the files' content, a row at a time; a file that can't be read is passed over."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            try:
+                with open(row["file_path"], "rb") as f:
+                    raw = f.read()
+            except OSError:
+                continue
+            yield pa.RecordBatch.from_pydict({"file_path": [row["file_path"]], "filename": [row["filename"]], "size": pa.array([row["size"]], pa.int64()), "content": [decoded(raw)]})
+
+
 class TextFiles(DataSource):
-    """spark.read.format("textfiles").load(folder); option endings: comma-separated file endings."""
+    """spark.read.format("textfiles").load(folder); options: endings, comma-separated file endings, and contents, false for a listing alone."""
 
     @classmethod
     def name(cls) -> str:
         return "textfiles"
 
     def schema(self) -> str:
-        return "file_path string, filename string, size long, content string"
+        return "file_path string, filename string, size long" + (", content string" if _contents(self.options) else "")
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
 
 
+def _contents(options) -> bool:
+    return options.get("contents", "true").lower() != "false"
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options):
-        self.root = options["path"]
+        self.root, self.contents = options["path"], _contents(options)
         self.endings = tuple(e for e in options.get("endings", ",".join(EXTENSIONS)).split(",") if e)
 
     def partitions(self):
@@ -72,10 +89,8 @@ class _Reader(DataSourceReader):
         return [*batches, _Batch(now)] if now or not batches else batches
 
     def read(self, partition):
-        for path, size in partition.files:
-            try:
-                with open(path, "rb") as f:
-                    raw = f.read()
-            except OSError:  # a file that can't be read is passed over
-                continue
-            yield pa.RecordBatch.from_pydict({"file_path": [path], "filename": [os.path.basename(path)], "size": pa.array([size], pa.int64()), "content": [decoded(raw)]})
+        if not partition.files:
+            return
+        paths, sizes = zip(*partition.files, strict=True)
+        listed = pa.RecordBatch.from_pydict({"file_path": list(paths), "filename": list(map(os.path.basename, paths)), "size": pa.array(sizes, pa.int64())})
+        yield from read_files([listed]) if self.contents else [listed]

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lodestone.functions.vocab import EXTENSIONS
 from lodestone.plans.engine import SearchEngine
+from lodestone.session import Scratch
 
 
 def arriving(engine: SearchEngine, folder: str, files_per_batch: int = 1000) -> DataFrame:
@@ -28,10 +29,10 @@ def start(engine: SearchEngine, folder: str, checkpoint: str, available_now: boo
     """Starts ingestion; with available_now it ends when all files there have been read."""
 
     def batch(found: DataFrame, number: int) -> None:
-        new = engine._rows(found)
-        old = engine.collection.read().join(found.select("file_path"), "file_path", "left_anti").select(*new.columns)
-        engine.collection.write(old.unionByName(new))
-        engine.rebuild_index()
+        scratch = Scratch(engine.spark, "arrived")
+        new = scratch.save(engine._rows(found), "rows")
+        engine.change(new, new.select("file_path"))
+        scratch.drop(new)
 
     writer = arriving(engine, folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
