@@ -17,30 +17,17 @@ NOT_WORD = r"[^\p{L}\p{N}_]+"
 SPACE = r"[\p{Z}\t-\r\x1c-\x1f\x85]"
 CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 
-_APART = "$1 $2"
-# Symbols are set apart from words by these rewrites, one after the other. Each comes with the symbols
-# of which a text must have one, or the rewrite changes nothing.
-SEPARATIONS = [
+# What stands between two of a symbol is set apart from them, one rule after the other. Each comes with the
+# symbol that a text must have, or the rule changes nothing.
+PAIRED = [
     (r"\*\*([^*]+)\*\*", "** $1 **", "*"),
     (r"\*([^*]+)\*", "* $1 *", "*"),
     (r"`([^`]+)`", "` $1 `", "`"),
     (r"_([^_]+)_", "_ $1 _", "_"),
-    (rf"({WORD})(\()", _APART, "("),
-    (rf"({WORD})(\[)", _APART, "["),
-    (rf"({WORD})(\.)", _APART, "."),
-    (rf"(\))({WORD})", _APART, ")"),
-    (rf"(\])({WORD})", _APART, "]"),
-    (rf"(\}})({WORD})", _APART, "}"),
-    (rf"({WORD})(=)", _APART, "="),
-    (rf"({WORD})([+\-*/%])", _APART, "+-*/%"),
-    (rf"([=+\-*/%])({WORD})", _APART, "=+-*/%"),
-    (rf"({WORD})([<>!]=?)", _APART, "<>!"),
-    (rf"([<>!]=?)({WORD})", _APART, "<>!"),
-    (rf"({WORD})([;,])", _APART, ";,"),
-    (rf"([;,])({WORD})", _APART, ";,"),
-    (rf"({WORD})(:)(?!:)", _APART, ":"),
-    (rf"(?<!:)(:)({WORD})", _APART, ":"),
 ]
+# Symbols that are set apart from a word before them, and from a word after them. So is a single colon.
+AFTER_WORD, BEFORE_WORD = r"(\[.=+\-*/%<>!;,", r")\]}=+\-*/%<>!;,"
+_SYMBOLS = r"!=.<>&|+\-*/%?:\^~{}\[\]();,#@$"
 
 
 def let(value: Column, body) -> Column:
@@ -48,10 +35,6 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _has(t: Column, symbols: str) -> Column:
-    return reduce(lambda a, b: a | b, (F.contains(t, F.lit(s)) for s in symbols))
-
-
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
@@ -67,14 +50,36 @@ def clean(c: Column) -> Column:
 
 
 def verbalize_operators(c: Column) -> Column:
-    """Operators by name: passes over the whole text, one for each operator, longest first."""
-    return reduce(lambda t, o: F.replace(t, F.lit(o[0]), F.lit(f" {o[1]} ")), OPERATORS, c)
+    """Operators by name, longest first.
+
+    Names have no symbols, so each run of symbols is replaced by itself, and the rest of the text isn't looked at. Most runs are a
+    comma or a dot.
+    """
+    names = dict(OPERATORS)
+    spelled = lambda run: reduce(lambda t, o: F.replace(t, F.lit(o[0]), F.lit(f" {o[1]} ")), OPERATORS, run)
+
+    def of(run: Column) -> Column:
+        out = F.when(run == ",", f" {names[',']} ").when(run == ".", f" {names['.']} ")
+        return out.when(run.rlike(f"^[{_SYMBOLS}]"), spelled(run)).otherwise(run)
+
+    runs = lambda t: F.regexp_extract_all(t, F.lit(f"[{_SYMBOLS}]+|[^{_SYMBOLS}]+"), 0)
+    return let(c, lambda t: F.when(t.rlike(f"[{_SYMBOLS}]"), F.array_join(F.transform(runs(t), of), "")).otherwise(t))
+
+
+def apart(c: Column) -> Column:
+    """Symbols apart from words, with white space as it comes."""
+    # Symbols are looked for first, as they are few, and what is beside them then.
+    rules = [
+        *PAIRED,
+        (f"([{AFTER_WORD}])(?<={WORD}.)", " $1", None), (f"([{BEFORE_WORD}])(?={WORD})", "$1 ", None),
+        (f"(:)(?<={WORD}.)(?!:)", " $1", ":"), (f"(:)(?={WORD})(?<!::)", "$1 ", ":"),
+    ]
+    rewrite = lambda rule: lambda t: F.regexp_replace(t, rule[0], rule[1]) if rule[2] is None else F.when(F.contains(t, F.lit(rule[2])), F.regexp_replace(t, rule[0], rule[1])).otherwise(t)
+    return reduce(lambda t, rule: let(t, rewrite(rule)), rules, c)
 
 
 def separate_symbols(c: Column) -> Column:
-    rewrite = lambda rule: lambda t: F.when(_has(t, rule[2]), F.regexp_replace(t, rule[0], rule[1])).otherwise(t)
-    apart = reduce(lambda t, rule: let(t, rewrite(rule)), SEPARATIONS, c)
-    return strip(F.regexp_replace(apart, f"{SPACE}+", " "))
+    return strip(F.regexp_replace(apart(c), f"{SPACE}+", " "))
 
 
 def identifiers(c: Column) -> Column:

@@ -22,7 +22,7 @@ def _full_forms(tokens: Column, stems: Column | None = None) -> Column:
 
 def with_embedding_text(df: DataFrame, source: str, name: str, stems: bool = False) -> DataFrame:
     """df with the column name: symbols apart, operators by name, lower case; tokens longer than one, then full forms of words."""
-    spelled = F.lower(text.unify_lines(text.verbalize_operators(text.separate_symbols(F.col(source)))))
+    spelled = F.lower(text.unify_lines(text.verbalize_operators(text.apart(F.col(source)))))  # white space is cut at in any case
     told = df.withColumn("_tokens", text.tokens(spelled))
     if stems:
         told = told.withColumn("_stems", forms.stem_map(F.array_distinct("_tokens")))

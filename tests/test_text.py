@@ -51,11 +51,12 @@ def test_columns_agree_with_driver_functions(spark):
     assert column(spark, text.words, SAMPLES) == [re.findall(r"\w+", s.lower()) for s in SAMPLES]
 
 
-@settings(max_examples=8, deadline=None)
-@given(st.lists(st.text(alphabet="ab :=*_`.(é\n", max_size=12), min_size=5, max_size=40))
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.text(alphabet="ab :=*_`.(é\n<!;)]-?&", max_size=12), min_size=5, max_size=40))
 def test_separation_of_any_text(spark, values):
     got = column(spark, text.separate_symbols, values)
     assert got == [separated(s) for s in values]
+    assert column(spark, text.verbalize_operators, values) == [verbalized(s) for s in values]
     assert not any("  " in g for g in got)
 
 
