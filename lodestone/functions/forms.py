@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from functools import cache, lru_cache
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from . import porter
@@ -66,24 +65,15 @@ def cluster_forms(stems: bool = False) -> dict[str, list[str]]:
 # --- columns -------------------------------------------------------------------------------
 
 
-def _stem_map(words: pd.Series) -> pd.Series:
-    def of(ws):
-        if ws is None:
-            return None
-        every = {*ws, *(_PARTNERS[w] for w in ws if w in _PARTNERS)}
-        every |= {stem(w) for w in every if len(w) >= 2}
-        return {w: stem(w) for w in every if len(w) >= 2}
-
-    return words.map(of)
-
-
 def stem_map(words: Column) -> Column:
-    """Stems of a list of words and of all their base forms, as a map.
+    """Stems of a list of lower-case words and of all their base forms, as a map. A plan has it as a column of its own, worked out once for each row."""
+
+    def of(ws: Column) -> Column:
+        stems = F.transform(ws, porter.stem_of)
+        return let(F.filter(F.array_distinct(F.concat(ws, stems)), lambda w: F.length(w) >= 2), lambda every: F.map_from_arrays(every, F.transform(every, porter.stem_of)))
 
-    This is the one function here that needs Python workers. It can't stand in a lambda, so a plan has it as a
-    column of its own, worked out once for each row; workers remember words they have met.
-    """
-    return F.pandas_udf(_stem_map, "map<string,string>")(words)
+    partnered = lambda ws: F.filter(F.concat(ws, F.filter(F.transform(ws, plural_partner), lambda p: p.isNotNull())), lambda w: F.length(w) >= 2)
+    return let(let(F.array_distinct(words), partnered), of)
 
 
 def plural_partner(word: Column) -> Column:

@@ -1,7 +1,17 @@
-"""The stemming algorithm that M. F. Porter published in 1980, from the paper's rules."""
+"""The stemming algorithm that M. F. Porter published in 1980, from the paper's rules: of driver strings, and of columns.
+
+The column version marks each y that is a consonant as Y, once: what a letter is depends on those before it, and steps
+change ends only. The paper's measure is then how often a vowel is followed by a consonant.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, functions as F
+
+from .text import let
+
 _VOWELS = "aeiou"
 
 
@@ -88,3 +98,76 @@ def stem(word: str) -> str:
     if _double(w) and w[-1] == "l" and measure(w[:-1]) > 1:
         w = w[:-1]
     return w
+
+
+# --- columns -------------------------------------------------------------------------------
+
+_PAIR = "[aeiouy][^aeiouy]"
+_CVC = "[^aeiouy][aeiouy][^aeiouywxY]$"
+
+
+def _more_than(stem: Column, least: int) -> Column:
+    """Whether the measure is over 0 or 1."""
+    return stem.rlike(".*".join([_PAIR] * (least + 1)))
+
+
+def _less(w: Column, n: int) -> Column:
+    return F.substring(w, F.lit(1), F.length(w) - n)
+
+
+def _twice(w: Column) -> Column:
+    """Whether w ends with a consonant twice."""
+    return F.lower(w).rlike(r"(.)\1$") & w.rlike("[^aeiouy]$")
+
+
+def _without_s(w: Column) -> Column:
+    return F.when(F.endswith(w, F.lit("sses")) | F.endswith(w, F.lit("ies")), _less(w, 2)).when(w.rlike("(^|[^s])s$"), _less(w, 1)).otherwise(w)
+
+
+def _without_ed(w: Column) -> Column:
+    def restored(stem: Column) -> Column:
+        short = ~_more_than(stem, 1) & _more_than(stem, 0) & stem.rlike(_CVC)
+        return F.when(stem.rlike("(at|bl|iz)$"), F.concat(stem, F.lit("e"))).when(_twice(stem) & ~stem.rlike("[lsz]$"), _less(stem, 1)).when(short, F.concat(stem, F.lit("e"))).otherwise(stem)
+
+    out = F.when(F.endswith(w, F.lit("eed")), F.when(_more_than(_less(w, 3), 0), _less(w, 1)).otherwise(w))
+    for suffix in ("ed", "ing"):
+        n = len(suffix)
+        out = out.when(F.endswith(w, F.lit(suffix)) & _less(w, n).rlike("[aeiouy]"), let(_less(w, n), restored))
+    return out.otherwise(w)
+
+
+def _with_i(w: Column) -> Column:
+    return F.when(w.rlike("[aeiouy].*[yY]$"), F.concat(_less(w, 1), F.lit("i"))).otherwise(w)
+
+
+def _suffixes(rules: list[tuple[str, str]], least: int) -> Callable[[Column], Column]:
+    """The longest suffix that fits decides, whether or not its condition holds."""
+
+    def step(w: Column) -> Column:
+        out = F
+        for suffix, put in sorted(rules, key=lambda r: -len(r[0])):
+            stem = _less(w, len(suffix))
+            holds = _more_than(stem, least) & (stem.rlike("[st]$") if suffix == "ion" else F.lit(True))
+            out = out.when(F.endswith(w, F.lit(suffix)), F.when(holds, F.concat(stem, F.lit(put))).otherwise(w))
+        return out.otherwise(w)
+
+    return step
+
+
+def _without_e(w: Column) -> Column:
+    stem = _less(w, 1)
+    return F.when(F.endswith(w, F.lit("e")) & (_more_than(stem, 1) | (_more_than(stem, 0) & ~stem.rlike(_CVC))), stem).otherwise(w)
+
+
+def _without_l(w: Column) -> Column:
+    return F.when(F.endswith(w, F.lit("ll")) & _more_than(_less(w, 1), 1), _less(w, 1)).otherwise(w)
+
+
+def stem_of(word: Column) -> Column:
+    """The stem of a lower-case word, without a Python worker; it may stand in a lambda."""
+    marked = F.replace(F.regexp_replace(word, "(^|[aeiou])y", "$1Y"), F.lit("yy"), F.lit("yY"))
+    steps = [_without_s, _without_ed, _with_i, _suffixes(STEP_2, 0), _suffixes(STEP_3, 0), _suffixes([(s, "") for s in STEP_4], 1), _without_e, _without_l]
+    whole = marked
+    for step in steps:
+        whole = let(whole, step)
+    return F.when(F.length(word) <= 2, word).otherwise(F.lower(whole))

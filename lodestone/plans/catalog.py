@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestone.functions import forms, text
+from lodestone.functions import forms, porter, text
 from lodestone.functions.query import Query
 from lodestone.operators import blocks, bm25, corpus, locate, report, retrieve, scoring
 from lodestone.session import scratch_root, table
@@ -110,11 +110,11 @@ def plural_forms(spark, sf_dir):
     return vocabulary.select("word", F.array_join(F.array_sort(forms.base_forms_of(F.array("word"))), " ").alias("forms"))
 
 
-@_query()
+@_query(f"WITH v AS (SELECT DISTINCT unnest({X.words('text')}) AS word FROM documents), {X.stem_tables('v')} SELECT word, stem FROM stems")
 def stems(spark, sf_dir):
-    """The stem of each distinct word of documents; SQL has no stemmer."""
+    """The stem of each distinct word of documents, worked out once a word."""
     vocabulary = _docs(spark, sf_dir).select(F.explode(text.words(F.col("text"))).alias("word")).distinct()
-    return vocabulary.select("word", forms.stem_map(F.array("word")).alias("m")).select("word", F.coalesce(F.try_element_at("m", F.col("word")), "word").alias("stem"))
+    return vocabulary.select("word", porter.stem_of(F.col("word")).alias("stem"))
 
 
 @_query(f"SELECT page_id, list_sort({X.concepts('html')}) AS concepts FROM pages")

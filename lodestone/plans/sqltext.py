@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lodestone.functions.porter import STEP_2, STEP_3, STEP_4
 from lodestone.functions.vocab import BOOSTED, CLUSTERS, CONCEPTS, OPERATORS, PATTERN_WORDS, PLURALS, STOP_WORDS
 
 W = r"[\p{L}\p{N}_]"
@@ -113,3 +114,45 @@ def clusters(c: str) -> str:
 
 def weight(freq: str, total: str, word: str) -> str:
     return f"({freq}::DOUBLE / {total} * CASE WHEN list_contains({lst(BOOSTED)}, {word}) THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN {freq} > {total} * 0.1::DOUBLE THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END)"
+
+
+def _measured(stem: str, least: int) -> str:
+    return f"regexp_matches({stem}, '{'.*'.join(['[aeiouy][^aeiouy]'] * (least + 1))}')"
+
+
+def _cut(n: int) -> str:
+    return f"left(w, -{n})"
+
+
+def _doubled(w: str) -> str:
+    return f"(length({w}) > 1 AND lower(right({w}, 1)) = lower({w}[-2]) AND regexp_matches({w}, '[^aeiouy]$'))"
+
+
+def _suffix_case(rules, least: int) -> str:
+    cases = []
+    for suffix, put in sorted(rules, key=lambda r: -len(r[0])):
+        stem = _cut(len(suffix))
+        more = f" AND regexp_matches({stem}, '[st]$')" if suffix == "ion" else ""
+        cases.append(f"WHEN ends_with(w, '{suffix}') THEN CASE WHEN {_measured(stem, least)}{more} THEN {stem} || '{put}' ELSE w END")
+    return f"CASE {' '.join(cases)} ELSE w END"
+
+
+def stem_tables(src: str) -> str:
+    """Common tables from src (word) to stems (word, stem), a step of the paper each."""
+    cvc = "'[^aeiouy][aeiouy][^aeiouywxY]$'"
+    vowel = lambda n: f"regexp_matches({_cut(n)}, '[aeiouy]')"
+    steps = [
+        f"CASE WHEN ends_with(w, 'sses') OR ends_with(w, 'ies') THEN {_cut(2)} WHEN ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN {_cut(1)} ELSE w END",
+        # What is left of a past form or a gerund gets a mark, so that the next step knows it.
+        f"CASE WHEN ends_with(w, 'eed') THEN CASE WHEN {_measured(_cut(3), 0)} THEN {_cut(1)} ELSE w END WHEN ends_with(w, 'ed') AND {vowel(2)} THEN '>' || {_cut(2)} WHEN ends_with(w, 'ing') AND {vowel(3)} THEN '>' || {_cut(3)} ELSE w END",
+        f"CASE WHEN starts_with(w, '>') THEN (SELECT CASE WHEN regexp_matches(u, '(at|bl|iz)$') THEN u || 'e' WHEN {_doubled('u')} AND NOT regexp_matches(u, '[lsz]$') THEN left(u, -1) WHEN {_measured('u', 0)} AND NOT {_measured('u', 1)} AND regexp_matches(u, {cvc}) THEN u || 'e' ELSE u END FROM (SELECT substr(w, 2) AS u)) ELSE w END",
+        f"CASE WHEN regexp_matches(w, '[yY]$') AND {vowel(1)} THEN {_cut(1)} || 'i' ELSE w END",
+        _suffix_case(STEP_2, 0),
+        _suffix_case(STEP_3, 0),
+        _suffix_case([(s, "") for s in STEP_4], 1),
+        f"CASE WHEN ends_with(w, 'e') AND ({_measured(_cut(1), 1)} OR ({_measured(_cut(1), 0)} AND NOT regexp_matches({_cut(1)}, {cvc}))) THEN {_cut(1)} ELSE w END",
+        f"CASE WHEN ends_with(w, 'll') AND {_measured(_cut(1), 1)} THEN {_cut(1)} ELSE w END",
+    ]
+    out = [f"s0 AS (SELECT word, replace(regexp_replace(word, '(^|[aeiou])y', '\\1Y', 'g'), 'yy', 'yY') AS w FROM {src})"]
+    out += [f"s{i} AS (SELECT word, {step} AS w FROM s{i - 1})" for i, step in enumerate(steps, 1)]
+    return ", ".join([*out, f"stems AS (SELECT word, CASE WHEN length(word) <= 2 THEN word ELSE lower(w) END AS stem FROM s{len(steps)})"])

@@ -32,6 +32,19 @@ def test_stems_of_the_paper(word):
     assert porter.stem(word) == PORTER[word]
 
 
+WORDS_OF_PARTS = st.lists(st.sampled_from("y yy a e i o u s ss ed eed ing at bl iz ation ement ion l ll t b é w x z ies sses ous li ful ness 1".split()), max_size=6).map("".join)
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(WORDS_OF_PARTS, min_size=40, max_size=120))
+def test_stems_of_columns(spark, values):
+    assert column(spark, porter.stem_of, values) == [porter.stem(v) for v in values]
+
+
+def test_stems_of_columns_of_the_paper(spark):
+    assert column(spark, porter.stem_of, list(PORTER)) == list(PORTER.values())
+
+
 def test_sizes_of_the_tables():
     assert len(set(STOP_WORDS)) == len(STOP_WORDS) == 97
     assert len(set(CONCEPTS)) == 110 and len(OPERATORS) == 51 and len(PATTERN_WORDS) == 16 and len(CLUSTERS) == 7
