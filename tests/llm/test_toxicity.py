@@ -7,9 +7,14 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from lodestone.llm import toxicity as T
+from lodestone.llm.folds import fold
 from lodestone.session import table
 
+from . import weights_by_folds
+
 
 def test_terms_of_a_batch():
     texts = ["A dog, a DOG_cat", "", "école—Été 3x", "x" * 5000, " ..", "dog"]
@@ -121,6 +126,20 @@ def test_held_out_accuracy(spark):
     assert abs(low.toxic.mean() - low.score.mean()) < 0.02 and abs(high.toxic.mean() - high.score.mean()) < 0.05
 
 
+def test_weights_are_chosen_on_training_rows():
+    found = weights_by_folds.main()
+    assert min(found, key=lambda w: found[w][-1]) == (T.LEAST_WEIGHT, T.FULL_G2, T.LIFT)
+
+
+def test_labels_held_out_teach_nothing(spark):
+    d = "/root/testdata/sf0.001"
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    other = labels.withColumn("toxic", F.when(fold(F.col("doc_id"), T.FOLDS) == T.HELD_OUT, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert other.exceptAll(labels).count() > 5
+    told = lambda some: sorted((r.doc_id, r.score, r.evidence) for r in T.toxicity(docs, some).collect())
+    assert told(labels) == told(other)
+
+
 def test_edge_cases(spark):
     docs = [(i, "you idiot " + w) if i % 2 else (i, "a fine day " + w) for i, w in enumerate(["one", "two", "three", "four"] * 20)]
     docs += [(900, None), (901, ""), (None, "you idiot"), (902, "IDIOT! " * 5000), (903, "nothing known"), (3, "you idiot four"), (3, "you idiot four")]
