@@ -5,8 +5,9 @@ configuration linear program (least number of sequences, each filled by one patt
 is solved on the driver whatever the size of the table. Multiplicative weights give each length a
 price; the pattern worth most at these prices comes from a knapsack by dynamic programming; the
 lengths it covers become cheaper. The patterns used make up the fractional solution, and the prices bound
-how few sequences any plan needs. It is rounded down to whole sequences that never hold more pieces than there are;
-what is left is priced anew, and what no pattern fills well in the end is packed best-fit.
+how few sequences any plan needs. It is rounded to whole sequences that never hold more pieces than there are. Of what is
+left the longest pieces are each given the pattern worth most beside them, by a knapsack that knows how many pieces there are,
+again and again; the last few pieces are packed best-fit.
 
 Pieces find their places without meeting: each knows its number among the pieces of its length in
 its partition, partitions' counts are summed up by length, and the plan says for each length and
@@ -36,11 +37,12 @@ CAPACITY = 2048
 ROUNDS, NEAR = 60, 0.02
 #: The most that a use of a pattern adds to the covered share of a length, and how fast prices fall with that share.
 STEP, PRICE = 1.0, 4.0
-#: How the solution is rounded: patterns filled less than the first number are not used, of the others so large a share
-#: of their amount, and then, where the last one says so, as often as there are pieces. Each way is tried.
-ROUNDINGS = ((0.9995, 1.0, True), (0.97, 1.0, True), (0.9995, 0.25, False), (0.97, 0.25, False), (0.9995, 0.05, False), (0.0, 0.05, False))
-#: How often what rounding leaves is priced anew.
-PASSES = 4
+#: Patterns of the solution that are filled less are left to the second stage, which takes those it needs.
+FILLED = 0.9995
+#: What the second stage pays for long pieces above their length: less than one token in all, so a fuller sequence always wins.
+LONGER = 1e-4
+#: How many of the longest lengths get a pattern by the same prices, and how few pieces are left when best fit is tried for them.
+SEEDS, LAST = 64, (300, 100, 30)
 CHUNK = 8_000_000
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
@@ -159,15 +161,16 @@ def _best_fit(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], i
     return [(dict(p), n) for rows in opened.values() for p, n in rows]
 
 
-def _rounded(solution, left: np.ndarray, capacity: int, filled: float, part: float, twice: bool) -> list[tuple[dict[int, int], int]]:
-    """Whole sequences by the patterns that are filled so far, taken out of left, which holds what is still to be packed."""
+def _rounded(solution, left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Whole sequences by the patterns that are filled, taken out of left, which holds what is still to be packed."""
     out = []
-    for again in (False, True)[: 1 + twice]:  # what rounding down has left may still fill whole sequences
-        for pattern, x in solution:
-            if sum(l * n for l, n in pattern.items()) < capacity * filled:
+    patterns = sorted(solution, key=lambda s: -sum(l * n for l, n in s[0].items()))
+    for again in (False, True):  # what rounding down has left may still fill whole sequences
+        for pattern, x in patterns:
+            if sum(l * n for l, n in pattern.items()) < capacity * FILLED:
                 continue
             most = min(int(left[l]) // n for l, n in pattern.items())
-            times = most if again else min(int(part * x), most)
+            times = most if again else min(int(x), most)
             if times:
                 out.append((pattern, times))
                 for l, n in pattern.items():
@@ -175,31 +178,80 @@ def _rounded(solution, left: np.ndarray, capacity: int, filled: float, part: flo
     return out
 
 
-def plan_sequences(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[list[tuple[dict[int, int], int]], int]:
-    """[(pattern, number of sequences)], and the least number of sequences that any plan needs, by the linear program.
+def _bounded_knapsack(prices: np.ndarray, lengths: np.ndarray, counts: np.ndarray, capacity: int):
+    """space to the pattern of most value in it that takes no length more often than counts says. Items are looked at in the order given."""
+    best, items, taken = np.zeros(capacity + 1), [], []
+    for i, length in enumerate(lengths.tolist()):
+        left, k = min(int(counts[i]), capacity // length), 1
+        while left:  # 1, 2, 4, ... pieces and the rest, each taken or not
+            n = min(k, left)
+            more = best[: capacity + 1 - n * length] + n * prices[i]
+            better = more > best[n * length :] + 1e-12
+            row = np.zeros(capacity + 1, bool)
+            row[n * length :] = better
+            best[n * length :] = np.where(better, more, best[n * length :])
+            items.append((length, n))
+            taken.append(row)
+            left, k = left - n, 2 * k
+
+    def pattern(space: int) -> dict[int, int]:
+        out: dict[int, int] = {}
+        for (length, n), row in zip(reversed(items), reversed(taken), strict=True):
+            if row[space]:
+                out[length] = out.get(length, 0) + n
+                space -= n * length
+        return out
+
+    return pattern
+
+
+def _filled_up(left: np.ndarray, capacity: int, stop: int, order: np.random.Generator) -> list[tuple[dict[int, int], int]]:
+    """Whole sequences taken out of left until at most stop pieces are there: the longest ones and what goes best beside them.
+
+    If no sequence with one of the longest lengths gets full, the longest piece gets the best there is.
+    """
+    out = []
+    while left.sum() > stop:
+        lengths = order.permutation(np.flatnonzero(left))
+        pattern_of = _bounded_knapsack(lengths * (1 + LONGER * lengths / capacity), lengths, left[lengths], capacity)
+        seeds, n = np.sort(lengths)[::-1][:SEEDS].tolist(), len(out)
+        for full in (True, False):
+            for length in seeds if full else seeds[:1] * (len(out) == n):
+                pattern = pattern_of(capacity - length)
+                if full and length + sum(l * k for l, k in pattern.items()) < capacity:
+                    continue
+                pattern[length] = pattern.get(length, 0) + 1
+                if not full:  # one piece more of this length than there is may have been counted in
+                    pattern[length] = min(pattern[length], int(left[length]))
+                if times := min(int(left[l]) // k for l, k in pattern.items()):
+                    out.append((pattern, times))
+                    for l, k in pattern.items():
+                        left[l] -= k * times
+    return out
 
-    The patterns hold exactly counts[l] pieces of each length l. What rounding leaves is priced and rounded anew, and
-    what no pattern fills well is packed best-fit. Several ways of rounding are tried.
+
+def plan_sequences(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[list[tuple[dict[int, int], int]], int, int]:
+    """[(pattern, number of sequences)], the least number of sequences that any plan needs, by the linear program, and how many pieces were packed best-fit.
+
+    The patterns hold exactly counts[l] pieces of each length l. Best fit is tried for the last pieces, from each of LAST on. Where
+    that needs more than the bound, all pieces are given patterns by the second stage too: of few large pieces, each of a length
+    of its own, the program's amounts are less than one and rounding them says little.
     """
-    left = counts.astype(np.int64).copy()
-    full = [({capacity: 1}, int(left[capacity]))] if left[capacity] else []
-    least = int(left[capacity])
-    left[capacity] = 0
-    solution, bound = solve_lp(left, capacity, rounds)
+    every = counts.astype(np.int64).copy()
+    full = [({capacity: 1}, int(every[capacity]))] if every[capacity] else []
+    least = int(every[capacity])
+    every[capacity] = 0
+    solution, bound = solve_lp(every, capacity, rounds)
     least += int(np.ceil(bound - 1e-6))
-    best: list[tuple[dict[int, int], int]] | None = None
-    for filled, part, twice in ROUNDINGS:
-        rest, found = left.copy(), list(full)
-        patterns = solution
-        for _ in range(PASSES):
-            more = _rounded(sorted(patterns, key=lambda s: -sum(l * n for l, n in s[0].items())), rest, capacity, filled, part, twice)
-            found += more
-            if not more or not rest.any() or not twice:
-                break
-            patterns, _ = solve_lp(rest, capacity, max(1, rounds // 4))
-        found += _best_fit(rest, capacity)
-        if best is None or sum(n for _, n in found) < sum(n for _, n in best):
-            best = found
+    order, best, last = np.random.default_rng(0), None, 0
+    for rounded in (True, False):
+        left = every.copy()
+        found = full + (_rounded(solution, left, capacity) if rounded else [])
+        for stop in LAST:
+            found += _filled_up(left, capacity, stop, order)
+            whole = found + _best_fit(left, capacity)
+            if best is None or sum(n for _, n in whole) < sum(n for _, n in best):
+                best, last = whole, int(left.sum())
         if sum(n for _, n in best) == least:
             break
     held = np.zeros(len(counts), np.int64)
@@ -208,7 +260,7 @@ def plan_sequences(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = R
             held[l] += n * times
     if (held != counts).any():
         raise AssertionError("the plan does not hold each piece once")
-    return best, least
+    return best, least, last
 
 
 def place_runs(plan: list[tuple[dict[int, int], int]], capacity: int) -> dict[str, np.ndarray]:
@@ -308,8 +360,8 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY,
     tokenizer is a path, or a file name of the public tokenizers. Null text counts as empty and
     gives the one id that ends each document. Only documents longer than capacity are cut. Rows with
     the same or no doc_id are documents of their own; other columns are not read. An empty table
-    gives no rows. The plan that is sent to all tasks has at most 63 runs for each pattern, and there
-    are no more patterns than rounds and, after rounding, leftovers of one sequence each.
+    gives no rows. The plan that is sent to all tasks has a run for each pattern and length in it; the number of patterns hangs on
+    how many lengths there are, at most capacity, and not on how many pieces.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")

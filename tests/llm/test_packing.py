@@ -1,9 +1,11 @@
 import random
 import zlib
 from collections import defaultdict
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -87,14 +89,41 @@ def test_plan_holds_every_piece(kind):
         "full": np.full(9, 2048),
     }[kind]
     counts = np.bincount(lengths, minlength=2049)
-    plan, least = P.plan_sequences(counts)
+    plan, least, last = P.plan_sequences(counts)
     held = np.zeros(2049, int)
     for pattern, n in plan:
         assert n > 0 and sum(l * k for l, k in pattern.items()) <= 2048
         for l, k in pattern.items():
             held[l] += k * n
     assert (held == counts).all()
-    assert least <= sum(n for _, n in plan) <= sum(n for _, n in P._best_fit(counts.copy(), 2048))
+    fit = sum(n for _, n in P._best_fit(counts.copy(), 2048))
+    assert least <= sum(n for _, n in plan) <= fit and last <= P.LAST[0]
+
+
+def test_the_program_makes_the_plan_of_a_whole_table():
+    """Of sf0.1 all pieces but some hundred are in patterns that were priced, and one sequence more than the bound is needed at most."""
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column("text").combine_chunks()
+    encode, counts = Encoder(public_tokenizers.path("word_bpe_49k.json")), np.zeros(2049, int)
+    for i in range(0, len(texts), 2000):
+        size = np.diff(encode(texts.slice(i, 2000))[1]) // 4 + 1
+        counts[2048] += (size // 2048).sum()
+        counts += np.bincount((size % 2048)[size % 2048 > 0], minlength=2049)
+    plan, least, last = P.plan_sequences(counts)
+    assert last <= 300 < counts[:2048].sum() / 10 and sum(n for _, n in plan) <= least + 1
+
+
+def test_bounded_knapsack():
+    rng = random.Random(2)
+    for _ in range(30):
+        lengths = rng.sample(range(1, 20), 4)
+        counts, prices = [rng.randint(1, 3) for _ in lengths], [rng.random() for _ in lengths]
+        pattern = P._bounded_knapsack(np.array(prices), np.array(lengths), np.array(counts), 25)
+        for space in (0, 7, 25):
+            value = lambda ks: sum(k * p for k, p in zip(ks, prices, strict=True))
+            best = max(value(ks) for ks in product(*(range(c + 1) for c in counts)) if sum(k * l for k, l in zip(ks, lengths, strict=True)) <= space)
+            got = [pattern(space).get(l, 0) for l in lengths]
+            assert all(k <= c for k, c in zip(got, counts, strict=True)) and sum(k * l for k, l in zip(got, lengths, strict=True)) <= space
+            assert abs(value(got) - best) < 1e-9
 
 
 def test_bound_of_the_program():
@@ -103,7 +132,7 @@ def test_bound_of_the_program():
     solution, bound = P.solve_lp(counts, 10)
     assert bound == pytest.approx(7) and [p for p, _ in solution] == [{6: 1}]
     counts[4] = 7
-    plan, least = P.plan_sequences(counts, 10)
+    plan, least, _ = P.plan_sequences(counts, 10)
     assert least == sum(n for _, n in plan) == 7
 
 
