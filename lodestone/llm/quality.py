@@ -26,7 +26,7 @@ from lodestone.session import Scratch, table
 from .filters import hash_filter, passing
 from .folds import fold
 from .units import chunks, raw_bytes
-from .workers import tidy
+from .workers import release, tidy
 
 ORDER = 5
 #: A document counts as having so many more bytes of the mean of its language: short ones say little.
@@ -211,12 +211,14 @@ def _asking(shards: int, order: int):
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for row in range(batch.num_rows):
-                keys, by, edge = _wanted(_distinct([*_pieces(*_opened(batch, row), order)]), shards, order)
+                keys, by, edge = _wanted(_distinct([(some,) for *_, some in _pieces(*_opened(batch, row), order)]), shards, order)
                 asked = [(s, press.compress(np.diff(keys[by[edge[s] : edge[s + 1]]], prepend=np.uint64(0)).tobytes())) for s in range(shards) if edge[s + 1] > edge[s]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([s for s, _ in asked], pa.int32()), pa.array([batch.column("block")[row].as_py()] * len(asked), pa.int64()), pa.array([p for _, p in asked], pa.binary())],
                     ["shard", "block", "payload"],
                 )
+                del keys, by, asked
+                release()
 
     return run
 
@@ -321,16 +323,23 @@ def _scorer(shards: int, order: int):
                 distinct = _distinct(pieces)
                 loss = np.zeros(len(at) - 1)
                 if len(distinct):
-                    keys, by, _ = _wanted(distinct, shards, order)
-                    values = np.empty((2, len(keys)))
-                    values[0, by], values[1, by] = np.concatenate(own), np.concatenate(gamma)
+                    keys, by, edge = _wanted(distinct, shards, order)
+                    values, filled = np.empty((2, len(keys)), np.float32), edge[np.flatnonzero(np.diff(edge))]
+                    for start, *both in zip(filled.tolist(), own, gamma, strict=True):
+                        values[:, by[start : start + len(both[0])]] = both
+                    # A block's arrays are large; those that have done their work go before more are made.
+                    own, gamma = [], []
+                    del by, both
                     logs = _log_probabilities(distinct, keys, *values, order)
+                    del keys, values
                     for a, b, codes, some in pieces:
                         total = np.concatenate([[0.0], np.cumsum(logs[np.searchsorted(distinct, some)][codes])])
                         loss[a:b] = -np.diff(total[at[a : b + 1] - at[a]])
                 cols = [batch.column(c)[row].values for c in ("doc_id", "text_key", "lang", "size")]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(loss)], ["doc_id", "text_key", "lang", "n_symbols", "loss"])
                 own, gamma = [], []
+                del data, pieces, distinct
+                release()
 
     return run
 

@@ -17,15 +17,20 @@ def _trim() -> Callable[[int], int] | None:
     return getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
+def release() -> None:
+    """Gives the worker's unused memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    if (trim := _trim()) is not None:
+        trim(0)
+
+
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """run, after which the worker's unused memory goes back to the system."""
 
     @functools.wraps(run)
     def wrapped(batches: Iterator) -> Iterator:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        if (trim := _trim()) is not None:
-            trim(0)
+        release()
 
     return wrapped
 
