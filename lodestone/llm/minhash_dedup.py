@@ -29,7 +29,7 @@ from .components import connected_components
 from .filters import hash_filter, passes
 from .rows import keep_rows, with_group
 from .units import chunks, coded, raw_bytes, split
-from .workers import tidy
+from .workers import small_batches, tidy
 
 WORDS, BINS, ROWS = 5, 128, 4
 #: Links need PER_CENT * union <= 100 * intersection.
@@ -37,7 +37,7 @@ PER_CENT = 75
 #: A sketch is the one-permutation signature of so many bins, by 16 bits each. Of sets of at least ESTIMATED shingles, the
 #: similarity is at most the share of bins that agree plus MARGIN, which is over six standard deviations.
 SKETCH, ESTIMATED, MARGIN = 256, 64, 0.19
-CHUNK = 8_000_000
+CHUNK = 4_000_000
 #: Rows of a bucket are dealt out in so many parts when they meet what is known of it.
 SALTS = 32
 #: Members of a bucket are held against one another in parts of about so many.
@@ -185,7 +185,7 @@ def _full_sets(sent):
             if len(seen) > 1_000_000:
                 seen.clear()
             texts = batch.column("text").fill_null("").take(pa.array(once, pa.int64()))
-            for a, b in chunks(pc.binary_length(texts).to_pylist(), CHUNK // 4):
+            for a, b in chunks(pc.binary_length(texts).to_pylist(), CHUNK // 2):
                 sets = [s for s in shingle_sets(texts.slice(a, b - a)) if len(s)]
                 if sets:
                     sketch = [x.tobytes() for x in sketches(sets)]
@@ -302,7 +302,8 @@ def near_duplicate_rows(docs: DataFrame, scratch: Scratch) -> DataFrame:
     cols = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     told = cols.mapInArrow(_describe, f"doc_id {kind}, text_key long, n long, fp binary, bands array<long>")
-    told = scratch.save(told.withColumn("rid", F.monotonically_increasing_id()), "described")
+    with small_batches(docs.sparkSession):
+        told = scratch.save(told.withColumn("rid", F.monotonically_increasing_id()), "described")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("least")
     classes = told.where("n > 0").groupBy("fp").agg(F.min("rid").alias("cls"), F.count(F.lit(1)).alias("size"), first)
     classes = scratch.save(classes, "classes")
