@@ -43,6 +43,8 @@ FILLED = 0.9995
 LONGER = 1e-4
 #: How many of the longest lengths get a pattern by the same prices, and how few pieces are left when best fit is tried for them.
 SEEDS, LAST = 64, (300, 100, 30)
+#: A plan that needs one sequence more than the bound, or one in so many, is good enough.
+NEAR_BOUND = 10_000
 CHUNK = 8_000_000
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
@@ -234,7 +236,7 @@ def plan_sequences(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = R
     """[(pattern, number of sequences)], the least number of sequences that any plan needs, by the linear program, and how many pieces were packed best-fit.
 
     The patterns hold exactly counts[l] pieces of each length l. Best fit is tried for the last pieces, from each of LAST on. Where
-    that needs more than the bound, all pieces are given patterns by the second stage too: of few large pieces, each of a length
+    that needs clearly more than the bound, all pieces are given patterns by the second stage too: of few large pieces, each of a length
     of its own, the program's amounts are less than one and rounding them says little.
     """
     every = counts.astype(np.int64).copy()
@@ -252,7 +254,7 @@ def plan_sequences(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = R
             whole = found + _best_fit(left, capacity)
             if best is None or sum(n for _, n in whole) < sum(n for _, n in best):
                 best, last = whole, int(left.sum())
-        if sum(n for _, n in best) == least:
+        if sum(n for _, n in best) - least <= max(1, least // NEAR_BOUND):
             break
     held = np.zeros(len(counts), np.int64)
     for pattern, n in best:
