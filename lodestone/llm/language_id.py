@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lodestone.session import Scratch, table
 
 from .folds import fold
+from .rows import unused
 from .workers import tidy
 
 ORDERS = (3, 4)
@@ -216,15 +217,20 @@ def cuts(docs: DataFrame, predict, least_score: float = LEAST_SCORE) -> tuple[di
 
 
 def drop_unidentified(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
-    """The rows of docs, with all columns, whose text is in a known language: its score reaches the language's cut."""
+    """The rows of docs, with all columns, whose text is in a known language: its score reaches the language's cut.
+
+    Null texts and texts without letters go; rows that repeat stay or go together. Other columns may have any names and
+    values. Where nothing could be learned, and from an empty table, no rows stay.
+    """
     scratch = Scratch(docs.sparkSession, "language-id-keep")
     predict = predictor(docs.sparkSession, trained_on(docs, scratch))
     by_lang, general = cuts(docs, predict, least_score)
-    told = docs.withColumn("_k_row", predict(docs["text"]))
+    (as_told,) = unused(docs, "told")
+    told = docs.withColumn(as_told, predict(docs["text"]))
     cut = F.lit(general)
     for lang, least in by_lang.items():
-        cut = F.when(F.col("_k_row.lang_pred") == lang, least).otherwise(cut)
-    return told.where((F.col("_k_row.lang_pred") != UNKNOWN) & (F.col("_k_row.score") >= cut)).drop("_k_row")
+        cut = F.when(F.col(f"{as_told}.lang_pred") == lang, least).otherwise(cut)
+    return told.where((F.col(f"{as_told}.lang_pred") != UNKNOWN) & (F.col(f"{as_told}.score") >= cut)).drop(as_told)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

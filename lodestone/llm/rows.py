@@ -10,6 +10,15 @@ from lodestone.session import Scratch
 HOT, SALTS = 200, 64
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    prefix = "_k"
+    while any(f"{prefix}_{n}".lower() in taken for n in names):
+        prefix += "k"
+    return [f"{prefix}_{n}" for n in names]
+
+
 def with_group(rows: DataFrame, groups: DataFrame, on: list[str], salt: str, size: str = "size") -> DataFrame:
     """rows with the column g, a struct of the other columns of their group, or null where there is none.
 
@@ -31,19 +40,19 @@ def keep_rows(docs: DataFrame, verdicts: DataFrame, key: Column, scratch: Scratc
 
     key is text_key's expression over docs. Rows of docs that agree in doc_id and key have the same text. They go
     if no verdict on them is kept; otherwise the one whose columns come first as JSON stays for those dropped.
-    Names in docs may be any but _k_id, _k_text and _k_row.
     """
+    id_, text, one_row = unused(docs, "id", "text", "row")
     groups = verdicts.groupBy("doc_id", "text_key").agg(F.max("kept").alias("kept"), F.min("kept").alias("all_kept"))
     groups = scratch.save(groups.where("not all_kept"), "dropped")
 
     def matching(some: DataFrame, how: str) -> DataFrame:
-        k = some.select(F.col("doc_id").alias("_k_id"), F.col("text_key").alias("_k_text"))
-        return docs.join(k.hint("merge"), docs["doc_id"].eqNullSafe(F.col("_k_id")) & key.eqNullSafe(F.col("_k_text")), how)
+        k = some.select(F.col("doc_id").alias(id_), F.col("text_key").alias(text))
+        return docs.join(k.hint("merge"), docs["doc_id"].eqNullSafe(F.col(id_)) & key.eqNullSafe(F.col(text)), how)
 
     out = matching(groups, "left_anti")
     again = groups.where("kept")
     if again.isEmpty():
         return out
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    one = matching(again, "left_semi").groupBy("doc_id", key.alias("_k_text")).agg(F.min_by(row, F.to_json(row)).alias("_k_row"))
-    return out.unionByName(one.select("_k_row.*"))
+    one = matching(again, "left_semi").groupBy("doc_id", key.alias(text)).agg(F.min_by(row, F.to_json(row)).alias(one_row))
+    return out.unionByName(one.select(f"{one_row}.*"))

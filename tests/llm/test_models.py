@@ -15,6 +15,60 @@ def test_language_of_held_out_documents(spark):
     assert len(got) > 150 and (got.lang == got.lang_pred).mean() > 0.98
 
 
+def plain_languages(rows):
+    """rows (doc_id, text, lang): {doc_id: ([(share of n-grams, language)] in order of preference)}, from sets of strings."""
+
+    def strings(text):
+        words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+        line = f" {' '.join(words)} "
+        return [line[i : i + n] for n in L.ORDERS for i in range(len(line) - n + 1)] if words else []
+
+    counts = {}
+    for i, t, g in rows:
+        if g is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            counts.setdefault(g, Counter()).update(strings(t))
+    totals = {g: c.total() for g, c in counts.items() if c}
+    share = {g: {s: n / totals[g] for s, n in counts[g].items()} for g in totals}
+    most = Counter()
+    for own in share.values():
+        for s, x in own.items():
+            most[s] = max(most[s], x)
+    member = {g: {s for s, x in own.items() if x >= L.FLOOR and x >= L.RATIO * most[s]} for g, own in share.items()}
+    out = {}
+    for i, t, _ in rows:
+        all_ = strings(t)
+        out[i] = sorted(((sum(s in member[g] for s in all_) / len(all_), g) for g in member), key=lambda x: (-x[0], -totals[x[1]], x[1])) if all_ else []
+    return out
+
+
+def test_language_against_plain_version(spark):
+    """The whole query: counts, members, votes and verdicts. The filters' false positives leave a small difference."""
+    d = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text, r.lang) for r in table(spark, d, "documents").collect()]
+    want, got = plain_languages(rows), {r.doc_id: r for r in L.query(spark, d).collect()}
+    assert set(got) == set(want)
+    for i, t, _ in rows:
+        if not want[i]:
+            assert (got[i].lang_pred, got[i].score) == (L.UNKNOWN, 0.0)
+            continue
+        (best, lang), *others = want[i]
+        near = 0.01 + 2 / len(t) ** 0.5  # the corrected count of few n-grams varies more
+        told = dict((g, x) for x, g in want[i])
+        assert abs(got[i].score - told[got[i].lang_pred]) < near, i
+        assert got[i].lang_pred == lang or best - told[got[i].lang_pred] < near, i
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+    assert sum(got[i].lang_pred == w[0][1] for i, w in want.items() if w) >= 0.99 * len(rows)
+
+
+def test_language_ties_and_repeats(spark):
+    """Languages that say the same: the one with most n-grams, then the first by name. Rows that repeat are told alike."""
+    rows = [(i, "one two three", g) for i in range(40) for g in ("xx", "aa", "mm")] + [(i, "one two three", "xx") for i in range(8)]
+    got = L.identify(spark.createDataFrame([r for r in rows if r[2] != "xx"], "doc_id long, text string, lang string")).collect()
+    assert len(got) == 80 and {r.lang_pred for r in got} == {"aa"}
+    got = L.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(got) == len(rows) and {(r.lang_pred, r.score) for r in got} == {("xx", got[0].score)}
+
+
 def test_filters_hold_what_they_were_given():
     rng = np.random.default_rng(1)
     keys = rng.integers(0, 2**63, 5000, dtype=np.uint64)
