@@ -1,12 +1,12 @@
 """Quality by the perplexity of an interpolated modified Kneser-Ney model of trusted text.
 
 The model is over bytes, so it knows every script and has no vocabulary to bound: n-grams of up to ORDER bytes, as many as
-trusted text has. Counts are summed up by n-gram; below the top, an n-gram counts the bytes it follows. Each order's counts meet
-the totals of their contexts in joins by key, which give discounted shares and back-off weights.
+trusted text has. Counts are summed up by n-gram; below the top, an n-gram counts the bytes it follows. Contexts have the total
+of their n-grams' counts, and how many of these are 1, 2 and more.
 
 Neither the model nor the documents are ever whole in one place. Documents are packed in blocks; a block asks
-for its distinct n-grams, split by hash into the shards of the model, and each shard answers in the order asked. So
-an n-gram travels once for each block, not for each place where it stands. Perplexities are held against a quantile,
+for its distinct n-grams, split by hash into the shards of the model, and each shard answers in the order asked, in whole
+counts, of which the block makes probabilities. So an n-gram travels once for each block, not for each place where it stands. Perplexities are held against a quantile,
 language by language, of those of trusted documents kept back from training.
 """
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from math import ceil
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ from lodestone.session import Scratch, table
 
 from .filters import hash_filter, passing
 from .folds import fold
+from .rows import unused, with_group
 from .units import chunks, raw_bytes
 from .workers import release, tidy
 
@@ -116,28 +118,37 @@ def discounts(of: dict[int, int]) -> tuple[float, float, float]:
     return clip(1 - 2 * y * n2 / n1, 1), clip(2 - 3 * y * n3 / n2, 2), clip(3 - 4 * y * n4 / max(n3, 1), 3)
 
 
-def train(trusted: DataFrame, scratch: Scratch, order: int = ORDER) -> DataFrame:
-    """(key, own, gamma): for each n-gram the discounted share of its context's count, and for each context the
-    weight of shorter ones. Keys are n-grams below their order; a key may be in one row of either kind. All rows of trusted (pressed) count."""
+#: What the model knows of a key: the n-gram's own count; of the n-grams that it is the context of, their counts' total
+#: and how many have counts 1, 2 and more. None of it is 0 for want of being counted.
+FACTS = ("n", "total", "ones", "twos", "more")
+
+
+class Model(NamedTuple):
+    """rows are (key, n, total, ones, twos, more); a key may be in two rows, one with n and one with the others. Keys are
+    n-grams below their order. discounts[k] are those of order k."""
+
+    rows: DataFrame
+    discounts: np.ndarray
+
+
+def train(trusted: DataFrame, scratch: Scratch, order: int = ORDER) -> Model:
+    """The model of all rows of trusted (pressed)."""
     counts = trusted.select("pressed").mapInArrow(_counter(order), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     orders = {order: scratch.save(counts, "counts")}
     for k in range(order - 1, 0, -1):  # below the top, an n-gram counts the bytes it follows
         low = F.col("gram").bitwiseAND(F.lit((1 << (8 * k)) - 1)).alias("gram")
         orders[k] = scratch.save(orders[k + 1].select(low).groupBy("gram").agg(F.count(F.lit(1)).alias("n")), f"order{k}")
-    model = None
+    rows, off = None, np.zeros((order + 2, 3))
     for k, held in orders.items():
-        d1, d2, d3 = discounts({r.n: r.c for r in held.where("n <= 4").groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()})
-        off = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        named = held.withColumn("context", F.shiftrightunsigned("gram", 8))
-        contexts = named.groupBy("context").agg(F.sum("n").alias("total"), F.sum(off).alias("off"))
+        off[k] = discounts({r.n: r.c for r in held.where("n <= 4").groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()})
         key = lambda c, of: F.col(c).bitwiseOR(F.lit(of << int(_TAG))).alias("key")
-        own = named.join(contexts.select("context", "total"), "context").select(key("gram", k), ((F.col("n") - off) / F.col("total")).cast("float").alias("own"), F.lit(None).cast("float").alias("gamma"))
-        gamma = contexts.select(key("context", k - 1), F.lit(None).cast("float").alias("own"), (F.col("off") / F.col("total")).cast("float").alias("gamma"))
-        rows = own.unionByName(gamma)
-        model = rows if model is None else model.unionByName(rows)
-    model = scratch.save(model, "model")
+        facts = [F.sum("n").alias("total"), F.count_if(F.col("n") == 1).alias("ones"), F.count_if(F.col("n") == 2).alias("twos"), F.count_if(F.col("n") > 2).alias("more")]
+        contexts = held.groupBy(F.shiftrightunsigned("gram", 8).alias("context")).agg(*facts).select(key("context", k - 1), *FACTS[1:])
+        both = held.select(key("gram", k), "n").unionByName(contexts, allowMissingColumns=True)
+        rows = both if rows is None else rows.unionByName(both)
+    rows = scratch.save(rows.select("key", *FACTS), "model")
     scratch.drop(*orders.values())
-    return model
+    return Model(rows, off)
 
 
 # --- blocks, what they ask, and what shards answer -------------------------------------------
@@ -224,7 +235,7 @@ def _asking(shards: int, order: int):
 
 
 def _sharded(shards: int):
-    """(key, own, gamma) to (shard, key, own, gamma)."""
+    """Rows of a model with the shard of each."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,14 +246,13 @@ def _sharded(shards: int):
     return run
 
 
-def _short(values: np.ndarray) -> bytes:
-    """Numbers to 13 bits after the leading one, so within 1 / 16,000; equal bytes of all of them together, as they compress well."""
-    bits = values.astype(np.float32).view(np.uint32)
-    return ((bits + np.uint32(512)) & np.uint32(0xFFFFFC00)).view(np.uint8).reshape(-1, 4).T.tobytes()
+def _planes(counts: np.ndarray) -> bytes:
+    """The counts' bytes, equal ones of all of them together, as they compress well."""
+    return counts.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
-def _long(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.float32).ravel()
+def _counts(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
 
 
 def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -254,7 +264,7 @@ def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
 
 @tidy
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of shards, each one's model before what it is asked, to (block, shard, payload): own and gamma in the order asked."""
+    """Rows of shards, each one's model before what it is asked, to (block, shard, payload): FACTS in the order asked, 0 where the model has none."""
     press, unpress = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
     shard, held, ready = None, [], None
     for batch in batches:
@@ -264,59 +274,68 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if shards[a] != shard:
                 shard, held, ready = int(shards[a]), [], None
             if not asks[a]:
-                cols = [batch.column(c).slice(a, b - a) for c in ("key", "own", "gamma")]
-                held.append([c.fill_null(np.nan if c.type == pa.float32() else 0).to_numpy() for c in cols])
+                held.append([batch.column(c).slice(a, b - a).fill_null(0).to_numpy() for c in ("key", *FACTS)])
                 continue
             if ready is None:
-                key, own, gamma = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.empty(0, np.int64), np.empty(0, np.float32), np.empty(0, np.float32))
-                ready = []
-                for v in (own, gamma):
-                    there = ~np.isnan(v)
+                key, n, *of_context = (np.concatenate(x) for x in zip(*held, strict=True)) if held else [np.empty(0, np.int64)] * (1 + len(FACTS))
+                held, ready = [], []
+                for there, facts in ((n > 0, [n]), (n == 0, of_context)):
                     k = key[there].view(np.uint64)
                     order = np.argsort(k)
-                    ready.append((k[order], v[there][order]))
-                held = []
+                    ready.append((k[order], [v[there][order] for v in facts]))
+                del key, n, of_context
             for row in range(a, b):
                 asked = np.cumsum(np.frombuffer(unpress.decompress(batch.column("payload")[row].as_buffer()), np.uint64))
                 got = []
-                for (keys, values), none in zip(ready, (0.0, 1.0), strict=True):
-                    answer = np.full(len(asked), none, np.float32)
-                    if len(keys):
-                        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-                        hit = keys[at] == asked
+                for keys, facts in ready:
+                    at = np.minimum(np.searchsorted(keys, asked), max(len(keys) - 1, 0))
+                    hit = keys[at] == asked if len(keys) else np.zeros(len(asked), bool)
+                    for values in facts:
+                        answer = np.zeros(len(asked), np.int64)
                         answer[hit] = values[at[hit]]
-                    got.append(answer)
+                        got.append(press.compress(_planes(answer)))
                 blocks.append(batch.column("block")[row].as_py())
                 numbers.append(shard)
-                out.append(press.compress(_short(np.concatenate(got))))
-        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(numbers, pa.int32()), pa.array(out, pa.binary())], ["block", "shard", "payload"])
+                out.append(got)
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(numbers, pa.int32()), pa.array(out, pa.list_(pa.binary()))], ["block", "shard", "payload"])
 
 
-def _log_probabilities(distinct: np.ndarray, keys: np.ndarray, own: np.ndarray, gamma: np.ndarray, order: int) -> np.ndarray:
-    """Of each n-gram's last byte after the others: p(w | context) = own + gamma(context) * p(w | shorter context)."""
+def _log_probabilities(distinct: np.ndarray, keys: np.ndarray, own: np.ndarray, total: np.ndarray, back: np.ndarray, order: int) -> np.ndarray:
+    """Of each n-gram's last byte after the others: p(w | context) = (own + back(context) * p(w | shorter context)) / total(context).
+
+    own are counts less their discounts, back what the discounts of a context's n-grams come to. Without counts, the context says nothing.
+    """
     p = np.full(len(distinct), 1 / 256)
     for k in range(1, order + 1):
         low = _low(distinct, k)
-        p = own[np.searchsorted(keys, _tagged(low, k))] + gamma[np.searchsorted(keys, _tagged(low >> np.uint64(8), k - 1))] * p
+        at = np.searchsorted(keys, _tagged(low >> np.uint64(8), k - 1))
+        mine = own[np.searchsorted(keys, _tagged(low, k))] + back[at] * p
+        np.divide(mine, total[at], out=p, where=total[at] > 0)
     return np.log(np.maximum(p, 1e-30))
 
 
-def _scorer(shards: int, order: int):
+def _discounted(keys: np.ndarray, facts: list[np.ndarray], off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(own, total, back) of some keys, by their facts and the discounts of each order."""
+    n, total, *kinds = facts
+    k = (keys >> _TAG).astype(np.int64)
+    own = np.where(n > 0, n - off[k, np.clip(n, 1, 3) - 1], 0)
+    return own, total, sum(off[k + 1, i] * some for i, some in enumerate(kinds))
+
+
+def _scorer(shards: int, order: int, off: np.ndarray):
     """Rows of blocks, each one's answers by shard before the block, to (doc_id, text_key, lang, n_symbols, loss)."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor()
-        block, own, gamma = None, [], []
+        block, answers = None, []
         for batch in batches:
             numbers, answer = batch.column("block").to_pylist(), batch.column("payload").is_valid().to_pylist()
             for row in range(batch.num_rows):
                 if numbers[row] != block:
-                    block, own, gamma = numbers[row], [], []
+                    block, answers = numbers[row], []
                 if answer[row]:
-                    both = _long(unpress.decompress(batch.column("payload")[row].as_buffer()))
-                    own.append(both[: len(both) // 2])
-                    gamma.append(both[len(both) // 2 :])
+                    answers.append(batch.column("payload")[row].as_py())
                     continue
                 data, at = _opened(batch, row)
                 pieces = [*_pieces(data, at, order)]
@@ -324,12 +343,13 @@ def _scorer(shards: int, order: int):
                 loss = np.zeros(len(at) - 1)
                 if len(distinct):
                     keys, by, edge = _wanted(distinct, shards, order)
-                    values, filled = np.empty((2, len(keys)), np.float32), edge[np.flatnonzero(np.diff(edge))]
-                    for start, *both in zip(filled.tolist(), own, gamma, strict=True):
-                        values[:, by[start : start + len(both[0])]] = both
+                    values = np.empty((3, len(keys)))
+                    for shard, payload in zip(np.flatnonzero(np.diff(edge)).tolist(), answers, strict=True):
+                        some = by[edge[shard] : edge[shard + 1]]
+                        values[:, some] = _discounted(keys[some], [_counts(unpress.decompress(x)) for x in payload], off)
                     # A block's arrays are large; those that have done their work go before more are made.
-                    own, gamma = [], []
-                    del by, both
+                    answers = []
+                    del by, some, payload
                     logs = _log_probabilities(distinct, keys, *values, order)
                     del keys, values
                     for a, b, codes, some in pieces:
@@ -337,28 +357,28 @@ def _scorer(shards: int, order: int):
                         loss[a:b] = -np.diff(total[at[a : b + 1] - at[a]])
                 cols = [batch.column(c)[row].values for c in ("doc_id", "text_key", "lang", "size")]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(loss)], ["doc_id", "text_key", "lang", "n_symbols", "loss"])
-                own, gamma = [], []
+                answers = []
                 del data, pieces, distinct
                 release()
 
     return run
 
 
-def losses(docs: DataFrame, model: DataFrame, scratch: Scratch, order: int = ORDER, block: int = BLOCK) -> DataFrame:
+def losses(docs: DataFrame, model: Model, scratch: Scratch, order: int = ORDER, block: int = BLOCK) -> DataFrame:
     """(doc_id, text_key, lang, n_symbols, loss) for every row of docs (doc_id, text_key, lang, text)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     packed = docs.select("doc_id", "text_key", "lang", "text").mapInArrow(_packed(block), f"doc_id array<{kind}>, text_key array<long>, lang array<string>, size array<long>, data binary")
     packed = scratch.save(packed.withColumn("block", F.monotonically_increasing_id()), "blocks")
-    shards = max(16, ceil(model.count() / SHARD))
+    shards = max(16, ceil(model.rows.count() / SHARD))
     asked = packed.select("block", "size", "data").mapInArrow(_asking(shards, order), "shard int, block long, payload binary")
-    known = model.mapInArrow(_sharded(shards), "shard int, key long, own float, gamma float")
-    both = known.select("shard", "key", "own", "gamma", F.lit(None).cast("long").alias("block"), F.lit(None).cast("binary").alias("payload")).unionByName(asked, allowMissingColumns=True)
+    known = model.rows.mapInArrow(_sharded(shards), "shard int, key long, n long, total long, ones long, twos long, more long")
+    both = known.select("shard", "key", *FACTS, F.lit(None).cast("long").alias("block"), F.lit(None).cast("binary").alias("payload")).unionByName(asked, allowMissingColumns=True)
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    answers = both.repartition(max(least, shards), "shard").sortWithinPartitions("shard", F.asc_nulls_first("block")).mapInArrow(_answers, "block long, shard int, payload binary")
-    met = packed.select("block", F.lit(None).cast("int").alias("shard"), F.lit(None).cast("binary").alias("payload"), "doc_id", "text_key", "lang", "size", "data").unionByName(answers, allowMissingColumns=True)
+    answers = both.repartition(max(least, shards), "shard").sortWithinPartitions("shard", F.asc_nulls_first("block")).mapInArrow(_answers, "block long, shard int, payload array<binary>")
+    met = packed.select("block", F.lit(None).cast("int").alias("shard"), F.lit(None).cast("array<binary>").alias("payload"), "doc_id", "text_key", "lang", "size", "data").unionByName(answers, allowMissingColumns=True)
     met = met.repartition(max(least, packed.count() // 8), "block").sortWithinPartitions("block", F.asc_nulls_last("shard"))
-    found = scratch.save(met.mapInArrow(_scorer(shards, order), f"doc_id {kind}, text_key long, lang string, n_symbols long, loss double"), "scores")
-    scratch.drop(packed, model)
+    found = scratch.save(met.mapInArrow(_scorer(shards, order, model.discounts), f"doc_id {kind}, text_key long, lang string, n_symbols long, loss double"), "scores")
+    scratch.drop(packed, model.rows)
     scratch.settle()
     return found
 
@@ -391,21 +411,22 @@ def scored(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
 
     back = found.where(fold(F.col("doc_id"), FOLDS) == KEPT_BACK).join(trusted.hint("merge"), "doc_id", "left_semi").where("n_symbols > 0")
     back = scratch.save(back.select("lang", "n_symbols", "loss"), "back")
-    means = back.groupBy("lang").agg((F.sum("loss") / F.sum("n_symbols")).alias("mean"))
-    of_all = back.agg((F.sum("loss") / F.sum("n_symbols")).alias("mean")).first().mean
-    of_all = found.agg((F.sum("loss") / F.sum("n_symbols")).alias("mean")).first().mean if of_all is None else of_all
+    mean = (F.sum("loss") / F.sum("n_symbols")).alias("mean")
+    means = scratch.save(back.groupBy("lang").agg(mean), "means")
+    of_all = back.agg(mean).first().mean
+    of_all = found.agg(mean).first().mean if of_all is None else of_all
     of_all = 0.0 if of_all is None else of_all
     perplexity = F.exp((F.col("loss") + PRIOR * F.col("mean")) / (F.col("n_symbols") + PRIOR))
 
-    def with_mean(df: DataFrame) -> DataFrame:
-        return df.join(means, "lang", "left").withColumn("mean", F.coalesce("mean", F.lit(of_all))).withColumn("perplexity", perplexity)
-
-    told = with_mean(back)
+    told = back.join(means, "lang").withColumn("perplexity", perplexity)
     cut = (F.percentile_approx("perplexity", QUANTILE, 10_000) * SLACK).alias("threshold")
     by_lang = told.groupBy("lang").agg(cut, F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST).select("lang", "threshold")
     general = told.agg(cut).first().threshold
     general = float("inf") if general is None else general
-    out = with_mean(found).join(scratch.save(by_lang, "thresholds"), "lang", "left").withColumn("threshold", F.coalesce("threshold", F.lit(general)))
+    # One language may be most of the corpus: its rows meet what is known of it in parts.
+    langs = found.groupBy("lang").agg(F.count(F.lit(1)).alias("size")).join(means, "lang").join(by_lang, "lang", "left")
+    out = with_group(found, scratch.save(langs, "langs"), ["lang"], "doc_id")
+    out = out.withColumn("mean", F.coalesce("g.mean", F.lit(of_all))).withColumn("threshold", F.coalesce("g.threshold", F.lit(general))).withColumn("perplexity", perplexity)
     kept = (F.col("n_symbols") > 0) & (F.col("perplexity") <= F.col("threshold"))
     return out.select("doc_id", "text_key", "lang", "n_symbols", "perplexity", "threshold", kept.alias("kept"))
 
@@ -422,10 +443,12 @@ def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, with all columns, that are kept."""
+    """The rows of docs, with all columns, that are kept: as rate() tells. Rows that repeat stay or go together; so null and empty
+    texts go, whatever their other columns say. Other columns may have any names and values. An empty table gives no rows."""
     scratch = Scratch(docs.sparkSession, "quality-keep")
-    bad = scored(docs, labels, scratch).where("not kept").select(F.col("doc_id").alias("_k_id"), F.col("text_key").alias("_k_text"), F.col("lang").alias("_k_lang")).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("_k_id")) & (F.xxhash64(docs["text"]) == F.col("_k_text")) & (F.coalesce(docs["lang"].cast("string"), F.lit("")) == F.col("_k_lang"))
+    id_, text, lang = unused(docs, "id", "text", "lang")
+    bad = scored(docs, labels, scratch).where("not kept").select(F.col("doc_id").alias(id_), F.col("text_key").alias(text), F.col("lang").alias(lang)).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(text)) & (F.coalesce(docs["lang"].cast("string"), F.lit("")) == F.col(lang))
     return docs.join(scratch.save(bad, "dropped").hint("merge"), same, "left_anti")
 
 
