@@ -3,7 +3,7 @@
     python -m jobs.saved_searches --documents IN --queries Q --results OUT
 
 IN holds Parquet files (doc_id, text, ...), Q a table of searches: a key, which the config names, and text. All searches are
-scored together, by BM25, in one pass over the postings of their terms. OUT is partitioned by part, the hash of the search's key,
+scored together, by BM25, in passes over the documents. OUT is partitioned by part, the hash of the search's key,
 so that who reads one search reads one folder:
 
     OUT/part=P    (query_id, rank, doc_id, bm25, component, n_terms, line, line_terms)
@@ -19,15 +19,17 @@ import logging
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone.operators import bm25
+from lodestone.session import Scratch
 
 from .common import defaults, options
 
 log = logging.getLogger("jobs.saved_searches")
 
 
-def results(docs: DataFrame, queries: DataFrame, config: dict) -> DataFrame:
+def results(docs: DataFrame, queries: DataFrame, config: dict, scratch: Scratch) -> DataFrame:
     """(query_id, rank, doc_id, bm25, component, n_terms, line, line_terms): up to top rows for each search (query_id, text)."""
-    best = bm25.Index.fit(docs).search_many(queries, config["top"], config["least"])
+    # The few best are written down: they are joined twice, and their size then tells that no text need move.
+    best = scratch.save(bm25.Index.fit(docs).search_many(queries, config["top"], config["least"]), "best")
     best = bm25.best_lines(best.withColumn("component", F.round(bm25.squash(F.col("bm25")), 6)), docs, queries)
     return best.select("query_id", "rank", "doc_id", "bm25", "component", "n_terms", "line", "line_terms")
 
@@ -38,8 +40,10 @@ def run(spark: SparkSession, documents: str, queries: str, target: str, config:
     docs = spark.read.parquet(documents).select("doc_id", "text")
     asked = spark.read.parquet(queries).select(F.col(config["query_key"]).alias("query_id"), "text")
     log.info("%d searches of %s over %d documents of %s", asked.count(), queries, docs.count(), documents)
-    found = results(docs, asked, config).withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(config["parts"])).cast("int"))
+    scratch = Scratch(spark, "saved")
+    found = results(docs, asked, config, scratch).withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(config["parts"])).cast("int"))
     found.repartition("part").sortWithinPartitions("query_id", "rank").write.mode("overwrite").partitionBy("part").parquet(target)
+    scratch.clear()
     written = read(spark, target).count()
     log.info("%d results written to %s", written, target)
     return written

@@ -88,6 +88,11 @@ class Scratch:
             conf = self.spark._jsparkSession.sessionState().newHadoopConf()
             path.getFileSystem(conf).delete(path, True)
 
+    def clear(self) -> None:
+        """Deletes all of its tables."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
     def settle(self) -> None:
         """Lets Spark remove the shuffle files of steps that are done: those whose plans nothing holds any more."""
         gc.collect()

@@ -7,6 +7,8 @@ from collections import Counter
 
 import pytest
 
+from pyspark.sql import Window, functions as F
+
 from jobs import index_stream, saved_searches
 from jobs.common import defaults
 from lodestone.functions.query import Query
@@ -157,3 +159,19 @@ def test_jobs_stand_alone():
     for p in [*(ROOT / "jobs").glob("*.py"), ROOT / "tests/test_jobs.py"]:
         assert not re.search(r"^\s*(from|import) .*(llm|corpus_pipeline)", p.read_text(), re.M), p
     assert defaults("index_stream")["buckets"] > 0 and defaults("saved_searches")["top"] > 0
+
+
+def test_searches_move_no_pairs(spark, tmp_path):
+    """Of searches whose terms all documents have, only the best leave a task; several passes give the same, and so does an index without documents."""
+    docs = spark.createDataFrame([(i, f"of in {'rare ' * (i % 3)} word{i % 7}", "en") for i in range(600)], DOC).repartition(3).select("doc_id", "text")
+    queries = spark.createDataFrame([(i, f"of in word{i % 7} rare") for i in range(40)] + [(None, "rare")], "query_id long, text string")
+    fitted = bm25.Index.fit(docs)
+    assert fitted._search_some([r for r in bm25.tokenized(queries.select(F.col("query_id").alias("doc_id"), "text")).select(F.col("doc_id").alias("query_id"), F.explode("tokens").alias("term"), F.lit(1).alias("times")).collect()], {"query_id": queries.schema["query_id"].dataType, "doc_id": docs.schema["doc_id"].dataType}, 4, None, 6, 1.5, 0.75).count() <= 41 * 4 * 3
+    scored = fitted.score_many(queries).withColumn("bm25", F.round("bm25", 6))
+    best = Window.partitionBy("query_id").orderBy(F.desc("bm25"), "doc_id")
+    want = sorted(map(repr, (tuple(r) for r in scored.withColumn("rank", F.row_number().over(best)).where("rank <= 4").select("query_id", "rank", "doc_id", "bm25", "n_terms").collect())))
+    found = lambda index: sorted(repr(tuple(r)) for r in index.search_many(queries, 4).collect())
+    assert found(fitted) == want == found(bm25.Index(fitted.postings, fitted.terms, fitted.corpus))
+    with pytest.MonkeyPatch.context() as patched:
+        patched.setattr(bm25, "AT_ONCE", 7)
+        assert found(fitted) == want
