@@ -125,6 +125,11 @@ def forms_of(words: Column, stems: Column | None = None) -> Column:
     return F.array_distinct(let(words, lambda ws: F.concat(base_forms_of(ws, stems), F.flatten(F.transform(F.array_distinct(ws), partials_of)))))
 
 
+def forms_of_one(word: Column) -> Column:
+    """All forms of one lower-cased word without stems, sorted; they are distinct as they are."""
+    return F.sort_array(F.concat(sorted_base_forms_of(word), partials_of(word)))
+
+
 def _ends(words: Column) -> Column:
     long = F.filter(F.array_distinct(words), lambda w: F.length(w) > 4)
     both = lambda w: F.array(F.concat(F.lit("prefix_"), F.substring(w, 1, 3)), F.concat(F.lit("suffix_"), F.substring(w, F.length(w) - 2, F.lit(3))))

@@ -35,7 +35,7 @@ def search_text(c: Column) -> Column:
     plain = text.tokens(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_\p{Z}\t-\r\x1c-\x1f\x85]", " "))
     wanted = F.filter(text.without_stops(plain), lambda t: F.length(t) > 2)
     own = F.filter(text.tokens(F.lower(c)), lambda t: F.length(t) > 1)
-    return F.array_join(F.concat(own, F.flatten(F.transform(wanted, lambda t: F.sort_array(forms.forms_of(F.array(t)))))), " ")
+    return F.array_join(F.concat(own, F.flatten(F.transform(wanted, forms.forms_of_one))), " ")
 
 
 def with_representation(df: DataFrame, source: str, name: str, stems: bool = False) -> DataFrame:
