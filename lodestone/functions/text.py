@@ -108,6 +108,18 @@ def bm25_tokens(c: Column) -> Column:
     return F.filter(identifiers(c), lambda w: ~w.isin(*stops))
 
 
+def counted(c: Column) -> Column:
+    """array<struct(term, tf)>: how often each word of a list occurs, in order of words. No rows move."""
+
+    def of(s: Column) -> Column:
+        n = F.size(s)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        told = lambda st: F.transform(st, lambda at, j: F.struct(F.get(s, at).alias("term"), (F.coalesce(F.get(st, j + 1), n) - at).cast("long").alias("tf")))
+        return F.when(n > 0, let(starts, told))
+
+    return let(F.sort_array(c), of)
+
+
 def topic_words(c: Column) -> Column:
     """Identifiers of three letters and more that aren't stop words."""
     return F.filter(without_stops(identifiers(c)), lambda w: F.length(w) > 2)
