@@ -46,9 +46,9 @@ def add_batch(docs: DataFrame, number: int, target: str, config: dict) -> None:
     rows = latest(docs)
     bucket = F.pmod(F.xxhash64("term"), F.lit(config["buckets"])).cast("int")
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(config["files_per_bucket"]))
-    found = bm25.weighed_postings(rows).withColumn("bucket", bucket)
-    # A bucket's rows go to several tasks, so that a term of all documents doesn't burden one.
-    dealt = found.repartition("bucket", spread).sortWithinPartitions("bucket", "term", "doc_id")
+    found = bm25.weighed_postings(rows).withColumn("bucket", bucket).withColumn("spread", spread)
+    # A bucket's rows go to several tasks, so that a term of all documents doesn't burden one, and to the more the more rows there are.
+    dealt = found.hint("rebalance", F.col("bucket"), F.col("spread")).drop("spread").sortWithinPartitions("bucket", "term", "doc_id")
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(postings)
     bm25.doc_stats(rows).write.mode("overwrite").parquet(lengths)
     log.info("batch %d: %d rows read, %d documents and %d postings written to %s", number, docs.count(), spark.read.parquet(lengths).count(), spark.read.schema("doc_id long").parquet(postings).count(), target)
