@@ -70,7 +70,7 @@ def _keyword_lists(content: Column, stems: Column | None = None) -> Column:
     """struct(base, total): the base forms of a text's keywords, with repeats and in order, and how many forms of all kinds there are."""
 
     def of(words: Column) -> Column:
-        base = F.flatten(F.transform(words, lambda w: F.array_sort(forms.base_forms_of(F.array(w), stems))))
+        base = F.flatten(F.transform(words, lambda w: forms.sorted_base_forms_of(w, stems)))
         partial = F.aggregate(words, F.lit(0), lambda s, w: s + F.when(F.length(w) > 4, 2 * (F.length(w) - 3)).otherwise(0))
         return let(base, lambda b: F.struct(b.alias("base"), (F.size(b) + partial).cast("double").alias("total")))
 
@@ -89,16 +89,19 @@ def keyword_relevance(content: Column, query: Query, stems: Column | None = None
     """
     if not query.keywords:
         return F.lit(0.0)
+    wanted = sorted({f for w in query.keywords for f in query.keyword_forms(w)})
 
     def of(k: Column) -> Column:
-        base, total = k["base"], k["total"]
+        # Only what is alike to some keyword counts, and of that there is little.
+        return let(F.filter(k["base"], lambda f: forms.alike(f, wanted, stems)), lambda base: told(base, k["total"]))
 
+    def told(base: Column, total: Column) -> Column:
         def count(word: Column) -> Column:
             return F.size(F.filter(base, lambda f: f == word)).cast("double")
 
         def gain(word: str, weight: float) -> Column:
-            own = literal(query.keyword_forms(word))
-            alike = F.filter(F.array_distinct(base), lambda f: F.arrays_overlap(forms.forms_of(F.array(f), stems), own))
+            own = query.keyword_forms(word)
+            alike = F.filter(F.array_distinct(base), lambda f: forms.alike(f, own, stems))
             first = lambda f: F.when(f.isNull(), F.lit(None).cast("double")).otherwise(F.least(F.lit(weight), _weight(count(f), total, f)) * 2.0)
             morphological = let(F.get(alike, F.lit(0)), first)
             return let(count(F.lit(word)), lambda n: F.when(n > 0, F.least(F.lit(weight), _weight(n, total, F.lit(word))) * 3.0).otherwise(morphological))
