@@ -9,7 +9,7 @@
 3. A bucket sends out a star: its hub is the member of the least number, with an edge to each other member. Links are confirmed
    on full sets and joined to components.
 4. In buckets whose members are of several components, those outside the hub's one are held against the others, a part
-   of the bucket against a part of it in each task. What sizes and sketches don't rule out is compared on full sets,
+   of the bucket against a part of it in each task. What sizes and sketches don't rule out is compared on full sets, which no others are sent for,
    until all that may be linked are of one component or compared; so no bucket loses a link. Only links leave the tasks.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from lodestone.session import Scratch, table
 
 from .components import connected_components
-from .filters import hash_filter, passes
+from .filters import hash_filter, passes, passing
 from .rows import keep_rows, with_group
 from .units import chunks, coded, raw_bytes, split
 from .workers import small_batches, tidy
@@ -198,14 +198,36 @@ def _sketch_rows(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SKETCH)
 
 
+def _among(sent):
+    """(rid, bands) to (rid, key) of the bands in the filter."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("bands").flatten().to_numpy()
+            found = np.flatnonzero(passes(sent.value, keys.view(np.uint64)))
+            rid = batch.column("rid").to_numpy()[found // (BINS // ROWS)]
+            yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(keys[found])], ["rid", "key"])
+
+    return run
+
+
+@tidy
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, n_a, n_b, sketch_a, sketch_b) to the pairs (a, b) that sizes and sketches don't rule out."""
+    for batch in batches:
+        if batch.num_rows:
+            alike = (_sketch_rows(batch.column("sketch_a")) == _sketch_rows(batch.column("sketch_b"))).mean(axis=1)
+            left = np.flatnonzero(may_link(alike, batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()))
+            yield batch.select(["a", "b"]).take(pa.array(left))
+
+
 @tidy
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, set_a, set_b, sketch_a, sketch_b) to (a, b, linked)."""
+    """(a, b, set_a, set_b) to (a, b, linked)."""
     for batch in batches:
-        n_a, n_b = (pc.binary_length(batch.column(c)).to_numpy() // 8 for c in ("set_a", "set_b"))
-        alike = (_sketch_rows(batch.column("sketch_a")) == _sketch_rows(batch.column("sketch_b"))).mean(axis=1) if batch.num_rows else np.empty(0)
         linked = np.zeros(batch.num_rows, bool)
-        for i in np.flatnonzero(may_link(alike, n_a, n_b)).tolist():
+        for i in range(batch.num_rows):
             s, t = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in ("set_a", "set_b"))
             both = np.sort(np.concatenate([s, t]), kind="stable")  # two sorted runs
             same = int(np.count_nonzero(both[1:] == both[:-1]))
@@ -216,12 +238,42 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _compared(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b, linked) of distinct pairs (a, b). A class may be in very many of them as a."""
     pairs = scratch.save(pairs, "pairs")
-    hubs = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("size")).join(sets.select(F.col("rid").alias("a"), "shingles", "sketch"), "a")
-    other = sets.select(F.col("rid").alias("b"), F.col("shingles").alias("set_b"), F.col("sketch").alias("sketch_b"))
-    met = with_group(pairs, hubs, ["a"], "b").join(other, "b").select("a", "b", F.col("g.shingles").alias("set_a"), "set_b", F.col("g.sketch").alias("sketch_a"), "sketch_b")
+    met = _met(pairs, sets.select("rid", "n", "sketch"))
+    met = met.select("a", "b", F.col("g_a.n").alias("n_a"), F.col("g_b.n").alias("n_b"), F.col("g_a.sketch").alias("sketch_a"), F.col("g_b.sketch").alias("sketch_b"))
+    pairs = scratch.save(met.mapInArrow(_likely, "a long, b long"), "likely")
+    # Only the sets of pairs that are left move.
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
+    met = _met(pairs, _of_rids(sets.select("rid", "shingles"), ends)).select("a", "b", F.col("g_a.shingles").alias("set_a"), F.col("g_b.shingles").alias("set_b"))
     return scratch.save(met.mapInArrow(_confirmed, "a long, b long, linked boolean"), "compared")
 
 
+def _met(pairs: DataFrame, told: DataFrame) -> DataFrame:
+    """(a, b, g_a, g_b): pairs with what is told of both."""
+    hubs = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("size")).join(told.withColumnRenamed("rid", "a"), "a")
+    other = told.select(F.col("rid").alias("b"), F.struct(*(c for c in told.columns if c != "rid")).alias("g_b"))
+    return with_group(pairs, hubs, ["a"], "b").withColumnRenamed("g", "g_a").join(other, "b")
+
+
+def _of_rids(told: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of told whose rid is in wanted (rid), and few others."""
+    sent = told.sparkSession.sparkContext.broadcast(hash_filter(wanted.select(F.xxhash64("rid").alias("id_key")), "id_key"))
+    kept = told.withColumn("id_key", F.xxhash64("rid"))
+    return kept.mapInArrow(passing(sent), kept.schema).drop("id_key")
+
+
+def _part_near(group: pa.Table) -> pa.Table:
+    """Rows (key, i, j, rid, label, asks, n, sketch) of two parts of a bucket to those that sizes and sketches allow a link with one of the other kind."""
+    asks, label, n = (group.column(c).to_numpy() for c in ("asks", "label", "n"))
+    sketch = _sketch_rows(group.column("sketch"))
+    near, others = np.zeros(len(asks), bool), np.flatnonzero(~asks)
+    for i in np.flatnonzero(asks).tolist():
+        other = others[label[others] != label[i]]
+        other = other[may_link((sketch[other] == sketch[i]).mean(axis=1), np.full(len(other), n[i]), n[other])]
+        near[other] = True
+        near[i] = len(other) > 0
+    return group.select(["key", "i", "j", "rid", "label", "asks"]).filter(pa.array(near))
+
+
 def _part_links(group: pa.Table) -> pa.Table:
     """Rows (rid, label, asks, shingles, sketch) of two parts of a bucket to the links (u, v) that join members that ask with the others.
 
@@ -271,13 +323,21 @@ def _open_links(entries: DataFrame, labels: DataFrame, sets: DataFrame, scratch:
     every = lambda n: F.explode(F.sequence(F.lit(0), parts(n) - 1))
     asking = met.where("asks").select("key", "rid", "label", "asks", part("asking").alias("i"), every("size").alias("j"))
     others = met.select("key", "rid", "label", F.lit(False).alias("asks"), every("asking").alias("i"), part("size").alias("j"))
-    both = asking.unionByName(others).join(sets.select("rid", "shingles", "sketch"), "rid").select("key", "i", "j", "rid", "label", "asks", "shingles", "sketch")
+    both = asking.unionByName(others).select("key", "i", "j", "rid", "label", "asks")
+    near = both.join(sets.select("rid", "n", "sketch"), "rid").groupBy("key", "i", "j").applyInArrow(_part_near, both.schema)
+    near = scratch.save(near, "near")
+    scratch.settle()
+    if near.isEmpty():
+        return None
+    # Only the sets of members that are left move.
+    both = near.join(_of_rids(sets.select("rid", "shingles", "sketch"), near.select("rid").distinct()), "rid").select("key", "i", "j", "rid", "label", "asks", "shingles", "sketch")
     return both.groupBy("key", "i", "j").applyInArrow(_part_links, "u long, v long")
 
 
 def _bucket_links(entries: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """(rid, component) of the classes linked within buckets (key, rid, hub)."""
     told = _compared(entries.where("rid <> hub").select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct(), sets, scratch)
+    scratch.settle()
     known = connected_components(told.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
     known = scratch.save(known.withColumnRenamed("node", "rid"), "labels")
     links = _open_links(entries, known, sets, scratch)
@@ -311,6 +371,11 @@ def near_duplicate_rows(docs: DataFrame, scratch: Scratch) -> DataFrame:
     reps = scratch.save(reps.select("rid", "text_key", "n", "fp", "bands"), "reps")
 
     banded = reps.select("rid", F.explode("bands").alias("key"))
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    sent = spark.sparkContext.broadcast(hash_filter(shared, "key"))
+    # Most bands are of one class and go no further.
+    banded = scratch.save(reps.select("rid", "bands").mapInArrow(_among(sent), "rid long, key long"), "banded")
+    scratch.settle()
     buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("rid").alias("hub"), F.bit_xor(F.xxhash64("rid")).alias("x"), F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("y")).where("members > 1")
     one = buckets.groupBy("members", "hub", "x", "y").agg(F.min("key").alias("key"))  # of buckets with the same members
     one = one.select("key", "hub", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
@@ -321,8 +386,13 @@ def near_duplicate_rows(docs: DataFrame, scratch: Scratch) -> DataFrame:
         met = scratch.save(reps.drop("bands").join(entries.select("rid").distinct(), "rid", "left_semi"), "met")
         sent = spark.sparkContext.broadcast(hash_filter(met, "text_key"))
         sets = cols.select("text_key", "text").mapInArrow(_full_sets(sent), "fp binary, shingles binary, sketch binary")
-        sets = sets.join(met.select("rid", "n", "fp"), "fp").dropDuplicates(["rid"]).select("rid", "n", "shingles", "sketch")
-        labels = _bucket_links(entries, scratch.save(sets, "sets"), scratch)
+        # A set has one class, so its copies are where the join has brought it.
+        sets = scratch.save(sets.join(met.select("rid", "n", "fp"), "fp").dropDuplicates(["fp"]).select("rid", "n", "shingles", "sketch"), "sets")
+        scratch.drop(reps, met)
+        scratch.settle()
+        labels = _bucket_links(entries, sets, scratch)
+        scratch.drop(sets)
+        scratch.settle()
 
     if labels is not None:
         own = classes.join(labels.withColumnRenamed("rid", "cls"), "cls", "left").withColumn("node", F.coalesce("component", "cls")).select("fp", "size", "node", "least")

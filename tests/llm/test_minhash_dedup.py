@@ -141,3 +141,39 @@ def test_set_sizes(text):
 
 def test_scratch_is_used(spark):
     assert Scratch(spark, "x").root.startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def shuffled(spark):
+    """Bytes of all shuffles so far."""
+    gateway = spark.sparkContext._gateway
+    none = gateway.jvm.java.util.ArrayList()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(none, False, False, gateway.new_array(gateway.jvm.double, 0), none)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_what_moves_is_little_more_than_the_texts(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    size = docs.selectExpr("sum(octet_length(text)) AS n").first().n
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before, old = shuffled(spark), spark.conf.get(key)
+    spark.conf.set(key, "-1")  # as at size, where tables are too large to be sent to all tasks
+    try:
+        M.near_duplicates(docs).write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.set(key, old)
+    assert shuffled(spark) - before < 1.6 * size
+
+
+def test_members_left_out_of_a_part_have_no_link(spark):
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(150)]
+    texts = [varied(rng, base, rng.choice([0.0, 0.01, 0.02, 0.05, 0.2])) for _ in range(60)]
+    sets = [M.shingle_set(t) for t in texts]
+    sketch = M.sketches(sets)
+    asks = [i % 3 == 0 for i in range(60)]
+    common = {"key": [1] * 60, "i": [0] * 60, "j": [0] * 60, "rid": list(range(60)), "label": list(range(60)), "asks": asks}
+    part = M.pa.table(common | {"n": [len(s) for s in sets], "sketch": [x.tobytes() for x in sketch]})
+    near = set(M._part_near(part).column("rid").to_pylist())
+    share = lambda s, t: len(np.intersect1d(s, t)) / len(np.union1d(s, t))
+    linked = {(a, b) for a in range(60) for b in range(60) if asks[a] and not asks[b] and share(sets[a], sets[b]) >= 0.75}
+    assert linked and {x for pair in linked for x in pair} <= near and len(near) < 60
