@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestone.functions import forms, text
@@ -19,59 +21,81 @@ def lines(docs: DataFrame) -> DataFrame:
 
 def _occurrences(line: Column, word: Column) -> Column:
     """The columns where word stands as a whole word in a lower-cased line; the first MOST."""
-    parts = F.split(line, F.concat(F.lit(f"(?<!{text.WORD})"), word, F.lit(f"(?!{text.WORD})")), -1)
-    count = F.least(F.size(parts) - 1, F.lit(MOST))
+    # The word first, as it is found faster than what is not before it.
+    parts = F.split(line, F.concat(word, F.lit(f"(?<!{text.WORD}"), word, F.lit(f")(?!{text.WORD})")), -1)
+
+    def columns(parts: Column) -> Column:
+        count = F.least(F.size(parts) - 1, F.lit(MOST))
+
+        def column(k: Column) -> Column:
+            before = F.aggregate(F.slice(parts, 1, k), F.lit(0), lambda s, p: s + F.length(p))
+            return before + (k - 1) * F.length(word) + 1
+
+        return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), column)).otherwise(F.array().cast("array<int>"))
 
-    def column(k: Column) -> Column:
-        before = F.aggregate(F.slice(parts, 1, k), F.lit(0), lambda s, p: s + F.length(p))
-        return before + (k - 1) * F.length(word) + 1
+    return forms.let(parts, columns)
 
-    return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), column)).otherwise(F.array().cast("array<int>"))
+
+def _plain(query: Query) -> bool:
+    return not any(w.startswith(("prefix_", "suffix_")) for w in query.content_words)
 
 
 def _alike(words: Column, query: Query, word: str, stems: Column | None) -> Column:
-    """Those of a list of distinct words that are alike to a word of the query."""
+    """Those of a list of words that are alike to a word of the query."""
     own = query._all(word)
-    if any(w.startswith(("prefix_", "suffix_")) for w in query.content_words):
+    if not _plain(query):
         return F.filter(words, lambda x: F.arrays_overlap(forms.forms_of(F.array(x), stems), literal(own)))
     return F.filter(words, lambda x: forms.alike(x, own, stems))
 
 
-def _line_matches(line: Column, number: Column, query: Query, alike: Column, n: int) -> Column:
-    """A phrase match, or else one for each place of each word that is in one of the n lists of alike."""
-    low = F.lower(line)
+def _may_have(low: Column, query: Query, wanted: list[str], stems: Column | None) -> Column:
+    """Whether a lower-cased text may have a word that is alike to one of wanted: it has one of the strings that such words have."""
+    if not wanted:
+        return F.lit(False)
+    if stems is not None or not _plain(query):
+        return F.lit(True)
+    own = sorted({f for w in wanted for f in query._all(w)})
+    whole = forms.with_partners(f for f in own if not f.startswith(("prefix_", "suffix_")))
+    ends = {f[7:] for f in own if f.startswith(("prefix_", "suffix_")) and len(f) == 10}
+    some = sorted(ends) + [w for w in whole if not any(e in w for e in ends)]
+    return reduce(lambda a, b: a | b, (F.contains(low, F.lit(x)) for x in some))
+
+
+def _line_matches(low: Column, number: Column, query: Query, wanted: list[str], stems: Column | None) -> Column:
+    """A phrase match in a lower-cased line, or else one for each place of each word that is alike to one of wanted."""
     place = F.instr(low, F.lit(query.lowered))
     phrase = F.array(F.struct(number.alias("line"), place.alias("column"), F.lit("phrase").alias("match_type")))
 
     def of(words: Column) -> Column:
-        among = lambda own: lambda x: F.array_contains(own, x)
-        found = [F.filter(words, among(alike[i])) for i in range(n)]
-        return F.concat(*(F.flatten(F.transform(F.slice(f, 1, MOST), lambda x: _occurrences(low, x))) for f in found))
+        return F.concat(*(F.flatten(F.transform(F.slice(_alike(words, query, w, stems), 1, MOST), lambda x: _occurrences(low, x))) for w in wanted))
 
-    words = forms.let(text.words(low), of) if n else F.array().cast("array<int>")
-    morphological = F.transform(F.slice(words, 1, MOST), lambda c: F.struct(number.alias("line"), c.alias("column"), F.lit("morphological").alias("match_type")))
-    return F.when(place > 0, phrase.cast(MATCH)).otherwise(morphological.cast(MATCH))
+    words = text.words(low)
+    if wanted and _plain(query):  # one look at all words, and one for each of wanted at those few
+        every = sorted({f for w in wanted for f in query._all(w)})
+        words = F.filter(words, lambda x: forms.alike(x, every, stems))
+    found = forms.let(words, of) if wanted else F.array().cast("array<int>")
+    morphological = F.transform(F.slice(found, 1, MOST), lambda c: F.struct(number.alias("line"), c.alias("column"), F.lit("morphological").alias("match_type")))
+    return F.when(place > 0, phrase.cast(MATCH)).when(_may_have(low, query, wanted, stems), morphological.cast(MATCH)).otherwise(F.array().cast(MATCH))
 
 
 def matches(content: Column, query: Query, stems: Column | None = None) -> Column:
     """The first MOST matches in order of line, query word, line word and place. No rows move.
 
-    Words are held against the query once for a document, and lines after the last match wanted aren't looked at.
+    Lines after the last match wanted aren't looked at, nor are words of lines that can have none.
     """
     if not query.text:
         return F.array().cast(MATCH)
     wanted = [w for w in query.content_words if len(w) > 2]
     nothing = F.array().cast(MATCH)
 
-    def scan(alike: Column) -> Column:
-        numbered = F.transform(F.split(content, "\n"), lambda line, i: F.struct(line.alias("line"), (i + 1).alias("number")))
-        more = lambda got, l: F.when(F.size(got) >= MOST, got).otherwise(F.concat(got, _line_matches(l["line"], l["number"], query, alike, len(wanted))))
+    def scan(low: Column) -> Column:
+        numbered = F.transform(F.split(low, "\n"), lambda line, i: F.struct(line.alias("line"), (i + 1).alias("number")))
+        more = lambda got, l: F.when(F.size(got) >= MOST, got).otherwise(F.concat(got, _line_matches(l["line"], l["number"], query, wanted, stems)))
         whole = F.slice(F.aggregate(numbered, nothing, more), 1, MOST)
-        any_alike = F.exists(alike, lambda a: F.size(a) > 0)
-        return F.when(content.isNull(), F.lit(None).cast(MATCH)).when(any_alike | F.contains(F.lower(content), F.lit(query.lowered)), whole).otherwise(nothing)
+        some = _may_have(low, query, wanted, stems) | F.contains(low, F.lit(query.lowered))
+        return F.when(low.isNull(), F.lit(None).cast(MATCH)).when(some, whole).otherwise(nothing)
 
-    found = forms.let(F.array_distinct(text.words(F.lower(content))), lambda ws: F.array(*(_alike(ws, query, w, stems) for w in wanted)) if wanted else F.array().cast("array<array<string>>"))
-    return forms.let(found, scan)
+    return forms.let(F.lower(content), scan)
 
 
 def display(content: Column, query: Query, stems: Column | None = None) -> Column:

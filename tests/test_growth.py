@@ -47,3 +47,19 @@ def test_forms_of_one_word(spark):
     words = ["", "a", "class", "classes", "running", "prefix_abc", "ünïcode", "aaaaaa", "properties", "abcd"]
     rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", forms.forms_of_one(F.col("w")).alias("f")).collect()
     assert {r.w: r.f for r in rows} == {w: forms.all_forms(w) for w in words}
+
+
+def test_words_are_held_against_a_query_line_by_line(spark):
+    from lodestone.functions.query import Query
+    from lodestone.operators import locate
+
+    rows = [(1, "Function dfunction\nfunctional, function;éfunction function_x"), (2, None), (3, ""), (4, "nothing here"), (5, "fun ion\n\nunion UNION\nFUNCTIONS")]
+    docs = spark.createDataFrame([*rows, (6, "function\n" * 30)], "doc_id long, text string")
+    found = locate.match_rows(docs, Query("function"))
+    # No list of a whole document's words is made: lines that can have no match, or come after the last one wanted, are not split.
+    assert "array_distinct" not in plan(found) and "contains(" in plan(found).lower()
+    got = [tuple(r) for r in found.orderBy("doc_id", "nth").collect()]
+    assert [(d, line, col) for d, _, line, col, kind in got if kind == "phrase"] == [(1, 1, 1), (1, 2, 1), (5, 4, 1), *((6, i, 1) for i in range(1, 11))]
+    assert [(d, line, col) for d, _, line, col, kind in got if kind != "phrase"] == [(5, 3, 1), (5, 3, 7)] * 2  # each of two words, each at both places
+    places = locate.match_rows(docs, Query("other functional")).where("doc_id = 1").select("line", "column").collect()
+    assert [tuple(r) for r in places] == [(1, 1), (2, 1), (2, 13), (2, 32)]
