@@ -102,6 +102,11 @@ def sorted_base_forms_of(word: Column, stems: Column | None = None) -> Column:
     return F.when(word.isin(*_PARTNERS), F.sort_array(F.array(word, plural_partner(word)))).otherwise(F.array(word))
 
 
+def joined_base_forms_of(word: Column) -> Column:
+    """The sorted base forms of one lower-cased word without stems, with spaces between."""
+    return F.when(word.isin(*_PARTNERS), F.array_join(sorted_base_forms_of(word), " ")).otherwise(word)
+
+
 def alike(word: Column, wanted: list[str], stems: Column | None = None) -> Column:
     """Whether a match key of a lower-cased word is among wanted; null counts as no."""
     partnered = [w for w, p in _PARTNERS.items() if p in wanted]

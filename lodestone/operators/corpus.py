@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lodestone.functions import forms, text
+from lodestone.functions.vocab import STOP_WORDS
 from lodestone.sources.textfiles import TextFiles, read_files
 
 from .scoring import concepts
@@ -15,8 +16,10 @@ SCHEMA = "id string, file_path string, filename string, size long, index_path st
 
 
 def _full_forms(tokens: Column, stems: Column | None = None) -> Column:
-    """The sorted base forms of tokens of three letters and more that aren't stop words."""
-    wanted = F.filter(text.without_stops(tokens), lambda t: F.length(t) > 2)
+    """The sorted base forms of tokens of three letters and more that aren't stop words; of one token, they may be one string with spaces."""
+    wanted = F.filter(tokens, lambda t: (F.length(t) > 2) & ~t.isin(*STOP_WORDS))
+    if stems is None:  # few words have two forms: no list for each word
+        return F.transform(wanted, forms.joined_base_forms_of)
     return F.flatten(F.transform(wanted, lambda t: forms.sorted_base_forms_of(t, stems)))
 
 

@@ -48,9 +48,10 @@ def morphological(content: Column, query: Query, stems: Column | None = None) ->
 
 def concepts(content: Column, stems: Column | None = None) -> Column:
     """Distinct concept words of a text: identifiers with a form in the vocabulary, those forms, and pattern words."""
-    words = F.array_distinct(text.identifiers(content))
-    if stems is None:  # then the words that can have a form in the vocabulary are known
-        words = F.filter(words, lambda w: w.isin(*forms.with_partners(CONCEPTS)))
+    if stems is None:  # then the words that can have a form in the vocabulary are known; all are identifiers
+        words = F.array_distinct(F.filter(F.split(F.lower(content), text.NOT_WORD), lambda w: w.isin(*forms.with_partners(CONCEPTS))))
+    else:
+        words = F.array_distinct(text.identifiers(content))
 
     def of(word: Column) -> Column:
         hits = lambda h: F.when(F.size(h) > 0, F.concat(F.array(word), h)).otherwise(F.array().cast("array<string>"))

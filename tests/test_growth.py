@@ -63,3 +63,12 @@ def test_words_are_held_against_a_query_line_by_line(spark):
     assert [(d, line, col) for d, _, line, col, kind in got if kind != "phrase"] == [(5, 3, 1), (5, 3, 7)] * 2  # each of two words, each at both places
     places = locate.match_rows(docs, Query("other functional")).where("doc_id = 1").select("line", "column").collect()
     assert [tuple(r) for r in places] == [(1, 1), (2, 1), (2, 13), (2, 32)]
+
+
+def test_words_outside_the_vocabulary_meet_no_pattern(spark):
+    from lodestone.operators import scoring
+
+    docs = spark.createDataFrame([(1, "xclass a, class B classes Élan class\tb functions_ 9type def"), (2, None), (3, "")], "doc_id long, text string")
+    found = docs.select("doc_id", F.array_sort(scoring.concepts(F.col("text"))).alias("c"))
+    assert "rlike" not in plan(found).lower()
+    assert {r.doc_id: r.c for r in found.collect()} == {1: ["b", "class", "classes"], 2: None, 3: []}
