@@ -6,10 +6,10 @@
    densification). Texts with one set are one class, and only its first row goes on.
 2. Four neighbouring bins make a band. Classes that agree in a band meet in a bucket; a pair at
    similarity 0.75 misses all 32 buckets with a chance of 5 in a million. Of buckets with the same members one stays.
-3. A bucket sends out a star: its hub is the member of the least number, with an edge to each other member. Links are confirmed
-   on full sets and joined to components.
-4. In buckets whose members are of several components, those outside the hub's one are held against the others, a part
-   of the bucket against a part of it in each task. What sizes and sketches don't rule out is compared on full sets, which no others are sent for,
+3. A bucket's hub is the member that meets the most others in all its buckets. The buckets of one hub, 32 at most, are a star, with an
+   edge from the hub to each other member. Links are confirmed on full sets and joined to components.
+4. In stars whose members are of several components, those outside the most frequent one are held against the others, a part
+   of the star against a part of it in each task. What sizes and sketches don't rule out is compared on full sets, which no others are sent for,
    until all that may be linked are of one component or compared; so no bucket loses a link. Only links leave the tasks.
 """
 
@@ -40,8 +40,8 @@ SKETCH, ESTIMATED, MARGIN = 256, 64, 0.19
 CHUNK = 4_000_000
 #: Rows of a bucket are dealt out in so many parts when they meet what is known of it.
 SALTS = 32
-#: Members of a bucket are held against one another in parts of about so many.
-PART = 512
+#: Members of a star are held against one another in parts of about so many; one of more than LONG shingles counts as several.
+PART, LONG = 2048, 512
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 _PROBES = 1024
 _SPACES = b"\t\n\x0b\x0c\r "
@@ -199,15 +199,15 @@ def _sketch_rows(column: pa.Array) -> np.ndarray:
 
 
 def _among(sent):
-    """(rid, bands) to (rid, key) of the bands in the filter."""
+    """(rid, n, bands) to (rid, n, key) of the bands in the filter."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column("bands").flatten().to_numpy()
             found = np.flatnonzero(passes(sent.value, keys.view(np.uint64)))
-            rid = batch.column("rid").to_numpy()[found // (BINS // ROWS)]
-            yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(keys[found])], ["rid", "key"])
+            rid, n = (batch.column(c).to_numpy()[found // (BINS // ROWS)] for c in ("rid", "n"))
+            yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(n), pa.array(keys[found])], ["rid", "n", "key"])
 
     return run
 
@@ -262,7 +262,7 @@ def _of_rids(told: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _part_near(group: pa.Table) -> pa.Table:
-    """Rows (key, i, j, rid, label, asks, n, sketch) of two parts of a bucket to those that sizes and sketches allow a link with one of the other kind."""
+    """Rows (key, i, j, rid, label, asks, n, sketch) of two parts of a star to those that sizes and sketches allow a link with one of the other kind."""
     asks, label, n = (group.column(c).to_numpy() for c in ("asks", "label", "n"))
     sketch = _sketch_rows(group.column("sketch"))
     near, others = np.zeros(len(asks), bool), np.flatnonzero(~asks)
@@ -275,7 +275,7 @@ def _part_near(group: pa.Table) -> pa.Table:
 
 
 def _part_links(group: pa.Table) -> pa.Table:
-    """Rows (rid, label, asks, shingles, sketch) of two parts of a bucket to the links (u, v) that join members that ask with the others.
+    """Rows (rid, label, asks, shingles, sketch) of two parts of a star to the links (u, v) that join members that ask with the others.
 
     Pairs of one component, also as joined here, are left out; so are those that sizes and sketches rule out.
     """
@@ -305,42 +305,56 @@ def _part_links(group: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
-def _open_links(entries: DataFrame, labels: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame | None:
-    """Links (u, v) of buckets whose members are of several components, or None where there is no such bucket."""
-    at = scratch.save(entries.join(labels, "rid", "left").select("key", "rid", F.coalesce("component", "rid").alias("label")), "at")
-    salt = F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int").alias("salt")
-    # The component of the hub, and how many members are outside it and in all.
-    buckets = at.groupBy("key").agg(F.min_by("label", "rid").alias("main"), F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
-    buckets = scratch.save(buckets.select("key", "main", "size"), "open")
-    if buckets.isEmpty():
+def _stars(entries: DataFrame, scratch: Scratch) -> DataFrame:
+    """(rid, n, hub) of buckets (key, rid, n, members): each hub, itself included, with all that it shares a bucket of its own with, once."""
+    of = entries.groupBy("rid").agg(F.sum("members").alias("weight"), F.collect_list(F.struct("key", "members")).alias("buckets"))
+    hub = F.max_by("rid", F.struct("weight", -F.col("rid"))).alias("hub")
+    hubs = of.select("rid", "weight", F.inline("buckets")).groupBy("key").agg(hub, F.max("members").alias("size"))
+    return scratch.save(with_group(entries, hubs, ["key"], "rid").select("rid", "n", F.col("g.hub").alias("hub")).distinct(), "stars")
+
+
+def _open_links(stars: DataFrame, labels: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """Links (u, v) of stars whose members are of several components, or None where there is no such star."""
+    at = stars.join(labels, "rid", "left").select(F.col("hub").alias("key"), "rid", "n", F.coalesce("component", "rid").alias("label"))
+    at = scratch.save(at, "at")
+    # The most frequent component, and how much there is outside it and in all.
+    of = at.groupBy("key", "label").agg(F.count(F.lit(1)).alias("members"), F.sum(F.greatest(F.lit(1.0), F.col("n") / LONG)).alias("weight"))
+    most = F.struct("members", -F.col("label"))
+    of = of.groupBy("key").agg(F.max_by("label", most).alias("main"), F.sum("members").alias("size"), F.count(F.lit(1)).alias("labels"), F.sum("weight").alias("all"), F.max_by("weight", most).alias("settled"))
+    parts = lambda weight: F.greatest(F.lit(1), F.ceil(weight / PART)).cast("int")
+    of = of.where("labels > 1").select("key", "main", "size", parts(F.col("all")).alias("parts"), parts(F.col("all") - F.col("settled")).alias("asking"))
+    of = scratch.save(of, "open")
+    if of.isEmpty():
         return None
-    copies = buckets.select("key", "main", "size", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    met = scratch.save(at.select("key", "rid", "label", salt).join(copies, ["key", "salt"]).select("key", "rid", "label", "size", (F.col("label") != F.col("main")).alias("asks")), "met")
-    asked = met.where("asks").groupBy("key").agg(F.count(F.lit(1)).alias("asking")).select("key", "asking", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    met = met.withColumn("salt", salt).join(asked, ["key", "salt"])
-    parts = lambda n: F.ceil(F.col(n) / PART).cast("int")
-    part = lambda n: F.pmod(F.xxhash64("rid", F.lit(7)), parts(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), parts(n) - 1))
-    asking = met.where("asks").select("key", "rid", "label", "asks", part("asking").alias("i"), every("size").alias("j"))
-    others = met.select("key", "rid", "label", F.lit(False).alias("asks"), every("asking").alias("i"), part("size").alias("j"))
-    both = asking.unionByName(others).select("key", "i", "j", "rid", "label", "asks")
-    near = both.join(sets.select("rid", "n", "sketch"), "rid").groupBy("key", "i", "j").applyInArrow(_part_near, both.schema)
+    met = with_group(at, of, ["key"], "rid").where("g is not null")
+    part = lambda n: F.pmod(F.xxhash64("rid", F.lit(7)), n).cast("int")
+    every = lambda n, cell: F.transform(F.sequence(F.lit(0), n - 1), cell)
+    cell = lambda i, j, asks: F.struct(F.col("key").alias("key"), i.alias("i"), j.alias("j"), F.lit(asks).alias("asks"))
+    others = every(F.col("g.asking"), lambda i: cell(i, part(F.col("g.parts")), False))
+    asking = every(F.col("g.parts"), lambda j: cell(part(F.col("g.asking")), j, True))
+    met = met.select("rid", "n", "label", F.when(F.col("label") == F.col("g.main"), others).otherwise(F.concat(others, asking)).alias("cells"))
+    # A sketch and a set meet all cells of their class at once.
+    met = met.groupBy("rid", "n", "label").agg(F.flatten(F.collect_list("cells")).alias("cells")).join(sets.select("rid", "sketch"), "rid")
+    both = met.select("rid", "n", "label", "sketch", F.explode("cells").alias("cell")).select("cell.*", "rid", "label", "n", "sketch")
+    near = both.groupBy("key", "i", "j").applyInArrow(_part_near, "key long, i int, j int, rid long, label long, asks boolean")
     near = scratch.save(near, "near")
     scratch.settle()
     if near.isEmpty():
         return None
     # Only the sets of members that are left move.
-    both = near.join(_of_rids(sets.select("rid", "shingles", "sketch"), near.select("rid").distinct()), "rid").select("key", "i", "j", "rid", "label", "asks", "shingles", "sketch")
+    left = near.groupBy("rid", "label").agg(F.collect_list(F.struct("key", "i", "j", "asks")).alias("cells"))
+    left = left.join(_of_rids(sets.select("rid", "shingles", "sketch"), near.select("rid").distinct()), "rid")
+    both = left.select("rid", "label", "shingles", "sketch", F.explode("cells").alias("cell")).select("cell.*", "rid", "label", "shingles", "sketch")
     return both.groupBy("key", "i", "j").applyInArrow(_part_links, "u long, v long")
 
 
-def _bucket_links(entries: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """(rid, component) of the classes linked within buckets (key, rid, hub)."""
-    told = _compared(entries.where("rid <> hub").select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct(), sets, scratch)
+def _bucket_links(stars: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(rid, component) of the classes linked within stars (rid, n, hub)."""
+    told = _compared(stars.where("rid <> hub").select(F.col("hub").alias("a"), F.col("rid").alias("b")), sets, scratch)
     scratch.settle()
     known = connected_components(told.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
     known = scratch.save(known.withColumnRenamed("node", "rid"), "labels")
-    links = _open_links(entries, known, sets, scratch)
+    links = _open_links(stars, known, sets, scratch)
     if links is None:
         return known
     links = scratch.save(links.distinct(), "links")
@@ -374,13 +388,13 @@ def near_duplicate_rows(docs: DataFrame, scratch: Scratch) -> DataFrame:
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     sent = spark.sparkContext.broadcast(hash_filter(shared, "key"))
     # Most bands are of one class and go no further.
-    banded = scratch.save(reps.select("rid", "bands").mapInArrow(_among(sent), "rid long, key long"), "banded")
+    banded = scratch.save(reps.select("rid", "n", "bands").mapInArrow(_among(sent), "rid long, n long, key long"), "banded")
     scratch.settle()
-    buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("rid").alias("hub"), F.bit_xor(F.xxhash64("rid")).alias("x"), F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("y")).where("members > 1")
-    one = buckets.groupBy("members", "hub", "x", "y").agg(F.min("key").alias("key"))  # of buckets with the same members
-    one = one.select("key", "hub", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("rid").alias("first"), F.bit_xor(F.xxhash64("rid")).alias("x"), F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("y")).where("members > 1")
+    one = buckets.groupBy("members", "first", "x", "y").agg(F.min("key").alias("key"))  # of buckets with the same members
+    one = one.select("key", "members", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salt = F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int").alias("salt")
-    entries = scratch.save(banded.select("rid", "key", salt).join(one, ["key", "salt"]).select("key", "rid", "hub"), "entries")
+    entries = scratch.save(banded.select("rid", "n", "key", salt).join(one, ["key", "salt"]).select("key", "rid", "n", "members"), "entries")
     labels = None
     if not entries.isEmpty():
         met = scratch.save(reps.drop("bands").join(entries.select("rid").distinct(), "rid", "left_semi"), "met")
@@ -390,7 +404,7 @@ def near_duplicate_rows(docs: DataFrame, scratch: Scratch) -> DataFrame:
         sets = scratch.save(sets.join(met.select("rid", "n", "fp"), "fp").dropDuplicates(["fp"]).select("rid", "n", "shingles", "sketch"), "sets")
         scratch.drop(reps, met)
         scratch.settle()
-        labels = _bucket_links(entries, sets, scratch)
+        labels = _bucket_links(_stars(entries, scratch), sets, scratch)
         scratch.drop(sets)
         scratch.settle()
 

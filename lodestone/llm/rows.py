@@ -27,7 +27,8 @@ def with_group(rows: DataFrame, groups: DataFrame, on: list[str], salt: str, siz
     """
     told = groups.select(*on, size, F.struct(*(c for c in groups.columns if c not in on)).alias("_g"))
     hot = told.where(F.col(size) > HOT).select(*on, F.col("_g").alias("_hot"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_part"))
-    cold = told.where(F.col(size) <= HOT).select(*on, F.col("_g").alias("_cold"), F.lit(-1).alias("_part"))
+    # A literal would leave the keys of the join, and then a whole group would be dealt to one task again.
+    cold = told.where(F.col(size) <= HOT).select(*on, F.col("_g").alias("_cold"), F.when(F.col(size) <= HOT, -1).otherwise(0).alias("_part"))
     part = F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")
     out = rows.withColumn("_part", part).join(hot, [*on, "_part"], "left")
     # Rows that met their group are dealt out as before; no other group has their part.

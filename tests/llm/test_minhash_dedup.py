@@ -1,9 +1,13 @@
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import minhash_dedup as M
+from lodestone.llm import rows as R
 from lodestone.session import Scratch, table
 
 from .brute import near_duplicates, shingles
@@ -177,3 +181,46 @@ def test_members_left_out_of_a_part_have_no_link(spark):
     share = lambda s, t: len(np.intersect1d(s, t)) / len(np.union1d(s, t))
     linked = {(a, b) for a in range(60) for b in range(60) if asks[a] and not asks[b] and share(sets[a], sets[b]) >= 0.75}
     assert linked and {x for pair in linked for x in pair} <= near and len(near) < 60
+
+
+def joined_on(spark, name):
+    """Rows that inner joins on a column of this name have made so far."""
+    store, total = spark._jsparkSession.sharedState().statusStore(), 0
+    runs = store.executionsList()
+    for i in range(runs.size()):
+        run = runs.apply(i).executionId()
+        nodes, values = store.planGraph(run).allNodes(), store.executionMetrics(run)
+        for node in map(nodes.apply, range(nodes.size())):
+            if "Join" in node.name() and re.search(rf"\[{name}#\d+L\], \[{name}#\d+L\], Inner", node.desc()):
+                for metric in map(node.metrics().apply, range(node.metrics().size())):
+                    value = values.get(metric.accumulatorId())
+                    if metric.name() == "number of output rows" and value.isDefined():
+                        total += int(value.get().replace(",", ""))
+    return total
+
+
+def test_joins_make_no_more_rows_than_there_are_classes(spark, monkeypatch):
+    """A group of near copies, many of them linked with few others or none: each meets its sketch and its set once, however many parts there are."""
+    monkeypatch.setattr(M, "PART", 10)
+    rng = random.Random(13)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, varied(rng, base, rng.choice([0.01, 0.03, 0.06, 0.1]))) for i in range(240)]
+    before = joined_on(spark, "rid")
+    check(spark, rows)
+    assert 0 < joined_on(spark, "rid") - before <= 2 * len(rows)
+
+
+def test_a_large_group_meets_what_is_known_of_it_in_many_tasks(spark, monkeypatch):
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    rows = spark.range(4000).selectExpr("if(id < 3000, 0, id) AS a", "id AS b")
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        groups = rows.groupBy("a").count().withColumnRenamed("count", "size")
+        met = R.with_group(rows, groups, ["a"], "b").select("a", "b", F.col("g.size").alias("size"), F.spark_partition_id().alias("task")).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sorted((r.a, r.b, r.size) for r in met) == sorted((0, i, 3000) if i < 3000 else (i, i, 1) for i in range(4000))
+    assert max(Counter(r.task for r in met).values()) < 1000
